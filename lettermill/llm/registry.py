@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from lettermill.llm import mixing, sharding
+from lettermill.llm import langid, mixing, sharding, simhash
 
 QUERIES = {
     "op1_shard_bytes": sharding.op1_shard_bytes,
+    "op5_simhash": simhash.op5_simhash,
+    "op7_langid": langid.op7_langid,
     "op9_mix": mixing.op9_mix,
 }
 
