@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lettermill.llm import langid, mixing, sharding, simhash
+from lettermill.llm import kneserney, langid, mixing, sharding, simhash
 
 QUERIES = {
     "op1_shard_bytes": sharding.op1_shard_bytes,
     "op5_simhash": simhash.op5_simhash,
     "op7_langid": langid.op7_langid,
     "op9_mix": mixing.op9_mix,
+    "op10_kneserney": kneserney.op10_kneserney,
 }
 
 ORACLE_SQL = {"op9_mix": mixing.SQL}
