@@ -19,7 +19,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     written to the shared folder. Null ends and self-loops are ignored; hubs
     only meet partial aggregates and joins that AQE may split.
     """
-    left = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
+    left = durable(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null"), "links")
     nodes = left.where("a = b").select(F.col("a").alias("node"))
     left = durable(_canonical(left), "edges")
     moves: list[DataFrame] = []

@@ -54,3 +54,20 @@ def durable(df: DataFrame, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each application."""
+    import shutil
+    from pathlib import Path
+
+    app, here = spark.sparkContext.applicationId, Path(__file__).resolve().parent
+    if app in _shipped or not here.is_dir():
+        return
+    folder = Path(tempfile.mkdtemp(prefix="lettermill-ship-"))
+    shutil.copytree(here, folder / "code" / here.name, ignore=shutil.ignore_patterns("__pycache__"))
+    spark.sparkContext.addPyFile(shutil.make_archive(str(folder / here.name), "zip", folder / "code"))
+    _shipped.add(app)
