@@ -120,7 +120,8 @@ def hot_contexts(train: DataFrame, text: str, n: int) -> np.ndarray:
             w, c = np.unique(tokens(data, off)[1], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(np.r_[w, U64(0)].view(np.int64)), pa.array(np.r_[c, c.sum()])], ["w", "c"])
 
-    sums = train.where(drawn < min(1.0, SAMPLE_DOCS / max(n, 1))).select(text).mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
+    sample = train.where(drawn < min(1.0, SAMPLE_DOCS / max(n, 1))).select(text)
+    sums = tb.map_arrow(sample, run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
     whole = sums.where("w = 0").select(F.col("c").alias("whole"))
     rows = sums.join(F.broadcast(whole)).where(F.col("c") >= F.col("whole") * HOT_SHARE).collect()  # one row; 1 / HOT_SHARE rows
     return np.unique(np.r_[np.array([r["w"] for r in rows if r["w"]], np.int64).view(U64), BEGIN])
@@ -156,7 +157,7 @@ def count_bigrams(train: DataFrame, text: str, bits: int, hot: np.ndarray) -> Da
         if have:
             yield flush(vs, ws)
 
-    return train.select(text).mapInArrow(run, "shard int, blob binary")
+    return tb.map_arrow(train.select(text), run, "shard int, blob binary")
 
 
 def merge_bigrams(counted: DataFrame, folder: str, bits: int, hot: np.ndarray) -> DataFrame:
@@ -301,7 +302,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             new = [n, known, np.full(len(n), model.tokens), base, logs, 10.0 ** np.minimum(-logs / n, 300.0)]
             yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x, t) for x, t in zip(new, [pa.int64()] * 3 + [pa.float64()] * 3, strict=True))], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return tb.map_arrow(docs, run, schema)
 
 
 def op10_kneserney(spark: SparkSession, sf_dir: str) -> DataFrame:

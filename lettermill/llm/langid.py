@@ -48,7 +48,7 @@ def count_slots(rows: DataFrame, text: str, lang: str) -> DataFrame:
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(n[at])], ["lang", "slot", "n"])
 
-    return rows.select(lang, text).mapInArrow(run, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+    return tb.map_arrow(rows.select(lang, text), run, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
 
 
 def fit(train: DataFrame, text: str = "text", lang: str = "lang", sample_per_lang: int = SAMPLE_PER_LANG) -> tuple[list[str], np.ndarray]:
@@ -151,7 +151,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
             pred = [names[b] if o else UNDETERMINED for b, o in zip(best.tolist(), ok.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred, pa.string()), pa.array(np.where(ok, score, 0.0))], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return tb.map_arrow(docs, run, schema)
 
 
 def fold(ident: str, k: int) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lettermill.llm import kneserney, langid, mixing, sharding, simhash
+from lettermill.llm import decontaminate, kneserney, langid, mixing, sharding, simhash
 
 QUERIES = {
     "op1_shard_bytes": sharding.op1_shard_bytes,
     "op5_simhash": simhash.op5_simhash,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_langid": langid.op7_langid,
     "op9_mix": mixing.op9_mix,
     "op10_kneserney": kneserney.op10_kneserney,

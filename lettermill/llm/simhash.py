@@ -56,7 +56,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", shingle: int = SHINGLE
             fp = fingerprints(data, off, shingle).view(np.int64)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fp)], [*part.schema.names, out])
 
-    return docs.mapInArrow(run, schema)
+    return tb.map_arrow(docs, run, schema)
 
 
 def ring_links(values: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -91,7 +91,7 @@ def ring_links(values: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
             a, b = linked(*(table.column(c).to_numpy() for c in ("fp", "key", "x", "y")))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return met.mapInArrow(run, "a long, b long")
+    return tb.map_arrow(met, run, "a long, b long")
 
 
 def linked(fp: np.ndarray, key: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
+
+from lettermill.session import ship
 
 CHUNK_BYTES = 4 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Any ASCII byte but letters and digits parts terms.
+NO_TERM = np.arange(256) < 128
+NO_TERM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 RATIO = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -52,10 +59,10 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = CHUNK_BYTES
             at = to
 
 
-def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words (runs without ASCII white space; none
-    crosses texts), and the n+1 positions of the texts in the list of words."""
-    solid = ~SPACE[data]
+def word_spans(data: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (runs without ``space``, by default ASCII
+    white space; none crosses texts), and the n+1 positions of the texts in the list of words."""
+    solid = ~space[data]
     begin, end = solid.copy(), solid.copy()
     begin[1:] &= ~solid[:-1]
     end[:-1] &= ~solid[1:]
@@ -155,3 +162,9 @@ def group_pairs(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             return
         yield at, at + step
         step += 1
+
+
+def map_arrow(df: DataFrame, function: Callable, schema: StructType | str) -> DataFrame:
+    """``df.mapInArrow`` with this package at hand in the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
