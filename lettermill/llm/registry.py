@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lettermill.llm import decontaminate, kneserney, langid, mixing, sharding, simhash
+from lettermill.llm import decontaminate, embedding_join, kneserney, langid, mixing, sharding, simhash
 
 QUERIES = {
     "op1_shard_bytes": sharding.op1_shard_bytes,
+    "op4_embedding_join": embedding_join.op4_embedding_join,
     "op5_simhash": simhash.op5_simhash,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_langid": langid.op7_langid,
@@ -13,4 +14,4 @@ QUERIES = {
     "op10_kneserney": kneserney.op10_kneserney,
 }
 
-ORACLE_SQL = {"op9_mix": mixing.SQL}
+ORACLE_SQL = {"op4_embedding_join": embedding_join.SQL, "op9_mix": mixing.SQL}
