@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lettermill.llm import decontaminate, embedding_join, kneserney, langid, mixing, sharding, simhash
+from lettermill.llm import decontaminate, embedding_join, kneserney, langid, mixing, passages, sharding, simhash
 
 QUERIES = {
     "op1_shard_bytes": sharding.op1_shard_bytes,
+    "op3_passages": passages.op3_passages,
     "op4_embedding_join": embedding_join.op4_embedding_join,
     "op5_simhash": simhash.op5_simhash,
     "op6_decontaminate": decontaminate.op6_decontaminate,
