@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lettermill.llm import decontaminate, embedding_join, kneserney, langid, mixing, passages, sharding, simhash
+from lettermill.llm import decontaminate, embedding_join, kneserney, langid, mixing, passages, sharding, simhash, substrings
 
 QUERIES = {
     "op1_shard_bytes": sharding.op1_shard_bytes,
+    "op2_substrings": substrings.op2_substrings,
     "op3_passages": passages.op3_passages,
     "op4_embedding_join": embedding_join.op4_embedding_join,
     "op5_simhash": simhash.op5_simhash,

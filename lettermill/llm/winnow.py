@@ -108,8 +108,10 @@ def repeated_windows(
 
     ``docs`` comes from ``keyed``. Whole copies stand for each other: only the
     one of smallest id takes part, and the map of copies is returned for the
-    rest. Anchors are counted first; the counts, as sorted arrays in the shared
-    folder, tell the second pass which runs to send. The runs of an anchor with
+    rest. Runs are counted first, by anchor and content; the counts, as sorted
+    arrays in the shared folder, tell the second pass which runs are equal as a
+    whole and which differ from others of their anchor. Of equal runs only the
+    one of smallest id is sent. The runs of an anchor with
     more than ``GROUP_RUNS`` of them are dealt by text over several groups;
     each group decides what it can and passes on one window of each kind,
     dealt by the window's hash, so that no group grows with the corpus.
@@ -122,18 +124,32 @@ def repeated_windows(
     slim = docs.select("__id", "__th", "__tv", text)
     parts = shuffle_partitions(spark)
 
+    def contents(sym: np.ndarray, runs: Runs) -> tuple[np.ndarray, np.ndarray]:
+        """Window hashes, and a hash of each run's symbols: a run has fewer
+        windows than a window has symbols, so its first and last hold them all."""
+        prints = grams(sym, length)
+        ends = prints[runs.at] * tb.RATIO + prints[runs.at + runs.count - 1] if len(runs.at) else np.zeros(0, U64)
+        return prints, tb.mix64(ends + runs.count.astype(U64)) ^ runs.anchor
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in tb.chunks(batches, text, chunk):
             sym, off = symbols(data, off)
             runs = runs_of(sym, off, length, gram)
             _, spare = copy_state(part, copies)
             mine = ~spare[runs.text]
+            content = contents(sym, runs)[1][mine]
             ident = part.column(0).to_numpy()[runs.text[mine]]
-            yield pa.RecordBatch.from_arrays([pa.array(runs.anchor[mine].view(np.int64)), pa.array(ident)], ["anchor", "id"])
-
-    seen = tb.map_arrow(slim, count, "anchor long, id long").groupBy("anchor").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
-    seen = seen.where("lo < hi" if earlier else "n > 1").select("anchor", "n")
-    repeated, _, n_runs = sharedfiles.write_map(seen, new_path(spark, "anchors"), max(2, min(12, parts.bit_length() - 1)))
+            yield pa.RecordBatch.from_arrays([pa.array(runs.anchor[mine].view(np.int64)), pa.array(content.view(np.int64)), pa.array(ident)], ["anchor", "content", "id"])
+
+    found = tb.map_arrow(slim, count, "anchor long, content long, id long").groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+    found = durable(found, "runs")
+    bits = max(2, min(12, parts.bit_length() - 1))
+    # one run of a content is all that travels; with one content an anchor has nothing to compare
+    seen = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("n > 1")
+    seen = (seen.where("lo < hi") if earlier else seen).select("anchor", "n")
+    repeated, _, n_runs = sharedfiles.write_map(seen, new_path(spark, "anchors"), bits)
+    same = found.where("lo < hi" if earlier else "n > 1").groupBy("content").agg(F.min("lo").alias("lo"))
+    same = sharedfiles.write_map(same, new_path(spark, "contents"), bits)[0]
     buckets = max(4 * parts, -(-n_runs // BUCKET_RUNS))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,32 +157,43 @@ def repeated_windows(
             sym, off = symbols(data, off)
             runs = runs_of(sym, off, length, gram)
             _, spare = copy_state(part, copies)
+            prints, content = contents(sym, runs)
+            ident, th = part.column(0).to_numpy()[runs.text], part.column(1).to_numpy()[runs.text]
+            equal, least = same.look_up(content)
+            whole = equal & ~spare[runs.text] & ((ident > least) if earlier else True)
+            n_whole = runs.count[whole]
+            windows = np.repeat(runs.first[whole] - (np.cumsum(n_whole) - n_whole), n_whole) + np.arange(int(n_whole.sum()))
+            known = stretches(np.repeat(ident[whole], n_whole), np.repeat(th[whole], n_whole), windows, length)
             found, n = repeated.look_up(runs.anchor)
-            take = np.flatnonzero(found & ~spare[runs.text])
-            ident, th = part.column(0).to_numpy()[runs.text[take]], part.column(1).to_numpy()[runs.text[take]]
+            take = np.flatnonzero(found & ~spare[runs.text] & ~(equal & (ident > least)))
+            ident, th = ident[take], th[take]
             shares = -(-n[take] // GROUP_RUNS)
             sub = (tb.mix64(th.view(U64) ^ ident.view(U64)) % shares.astype(U64)).astype(np.int64)
             anchor = runs.anchor[take]
             bucket = (tb.mix64(anchor + sub.astype(U64) * tb.RATIO) % U64(buckets)).astype(np.int64)
-            prints = grams(sym, length)
             blobs = []
             for at, size, many in zip(runs.at[take].tolist(), runs.count[take].tolist(), (shares > 1).tolist(), strict=True):
-                whole = block is not None and not many
-                blobs.append(data[at : at + size + length - 1].tobytes() if whole else prints[at : at + size].tobytes())
+                raw = block is not None and not many
+                blobs.append(data[at : at + size + length - 1].tobytes() if raw else prints[at : at + size].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket), pa.array(anchor.view(np.int64)), pa.array(sub), pa.array(shares), pa.array(ident), pa.array(th), pa.array(runs.first[take]), pa.array(blobs, pa.binary())],
-                ["bucket", "anchor", "sub", "shares", "id", "th", "first", "blob"],
+                [pa.array(bucket), pa.array(anchor.view(np.int64)), pa.array(sub), pa.array(shares), pa.array(ident), pa.array(th), pa.array(runs.first[take]), pa.array(np.zeros(len(take), np.int64)), pa.array(blobs, pa.binary())],
+                SENT,
             )
+            ids = known.column("id").to_numpy()
+            zero = np.zeros(len(ids), np.int64)
+            bucket = (tb.mix64(ids.view(U64)) % U64(buckets)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (bucket, zero, zero, zero, ids, known.column("th").to_numpy(), known.column("a").to_numpy(), known.column("b").to_numpy())), pa.nulls(len(ids), pa.binary())], SENT)
 
-    sent = tb.map_arrow(slim, send, "bucket long, anchor long, sub long, shares long, id long, th long, first long, blob binary")
+    sent = tb.map_arrow(slim, send, ", ".join(f"{c} {'binary' if c == 'blob' else 'long'}" for c in SENT))
 
     def meet(table: pa.Table) -> pa.Table:
         shares = table.column("shares").to_numpy()
-        out = []
+        done = table.take(pa.array(np.flatnonzero(shares == 0)))
+        out = [pa.table({"id": done.column("id"), "th": done.column("th"), "a": done.column("first"), "b": done.column("b"), "anchor": pa.nulls(done.num_rows, pa.int64()), "salt": pa.nulls(done.num_rows, pa.int64()), "blob": pa.nulls(done.num_rows, pa.binary())})]
         direct = np.flatnonzero((shares == 1) & (block is not None))
         if len(direct):
             out.append(block(table.take(pa.array(direct)), length))
-        rest = np.flatnonzero((shares > 1) | (block is None))
+        rest = np.flatnonzero((shares > 1) | ((shares == 1) & (block is None)))
         if len(rest):
             out.append(compare(table.take(pa.array(rest)), length, earlier))
         return pa.concat_tables(out)
@@ -183,6 +210,7 @@ def repeated_windows(
     return met.where("blob is null").select("id", "th", "a", "b").unionByName(late), copies
 
 
+SENT = ["bucket", "anchor", "sub", "shares", "id", "th", "first", "b", "blob"]
 STRETCH = "id long, th long, a long, b long"
 STRETCH_OR_OPEN = STRETCH + ", anchor long, salt long, blob binary"
 RECORD = np.dtype([("print", U64), ("id", np.int64), ("th", np.int64), ("pos", np.int64), ("many", np.int64)])
