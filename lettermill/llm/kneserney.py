@@ -88,6 +88,7 @@ def bounds_of(keys: np.ndarray, bits: int) -> np.ndarray:
 class Model:
     folder: str
     bits: int
+    word_bits: int  # words need fewer shards than bigrams
     hot: np.ndarray
     docs: int  # training texts: the count of the end token
     tokens: int  # N
@@ -160,7 +161,7 @@ def count_bigrams(train: DataFrame, text: str, bits: int, hot: np.ndarray) -> Da
     return tb.map_arrow(train.select(text), run, "shard int, blob binary")
 
 
-def merge_bigrams(counted: DataFrame, folder: str, bits: int, hot: np.ndarray) -> DataFrame:
+def merge_bigrams(counted: DataFrame, folder: str, word_bits: int, hot: np.ndarray) -> DataFrame:
     """Write each shard's bigram counts; ``(shard, blob, n)`` has for each shard
     of words what contexts and words need, and (once a shard) counts of counts."""
 
@@ -176,7 +177,7 @@ def merge_bigrams(counted: DataFrame, folder: str, bits: int, hot: np.ndarray) -
         vs, *per = summed(v, n, *((n == k).astype(np.int64) for k in (1, 2)), (n >= 3).astype(np.int64))
         ws, types = summed(w, np.ones(len(w), np.int64))
         v, w = v[vs], w[ws]
-        ve, we = bounds_of(v, bits), bounds_of(w, bits)
+        ve, we = bounds_of(v, word_bits), bounds_of(w, word_bits)
         shards, blobs = [], []
         for s in np.flatnonzero(np.diff(ve) + np.diff(we)).tolist():
             i, j = slice(ve[s], ve[s + 1]), slice(we[s], we[s + 1])
@@ -222,16 +223,17 @@ def train_model(train: DataFrame, text: str = "text") -> Model:
     """
     spark = train.sparkSession
     size = train.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("b")).first()
-    wanted = max(4, 2 * shuffle_partitions(spark), -(-size["b"] // SHARD_BYTES))
+    wanted = max(4, shuffle_partitions(spark), -(-size["b"] // SHARD_BYTES))
     bits = min(MAX_BITS, int(wanted - 1).bit_length())
+    word_bits = max(1, bits - 2)
     hot = hot_contexts(train, text, size["n"])
     folder = new_path(spark, "kneserney")
-    sums = merge_words(merge_bigrams(count_bigrams(train, text, bits, hot), folder, bits, hot), folder).collect()  # a row a shard
+    sums = merge_words(merge_bigrams(count_bigrams(train, text, bits, hot), folder, word_bits, hot), folder).collect()  # a row a shard
     total = {k: sum(r[k] for r in sums) for k in ("docs", "tokens", "words", "types", "more")}
     n, m = (np.sum([r[k] for r in sums], axis=0) if sums else np.zeros(4) for k in ("n", "m"))
     d = discounts(m)
     rest = (d[0] * m[0] + d[1] * m[1] + d[2] * total["more"]) / total["types"] if total["types"] else 1.0
-    return Model(folder, bits, hot, total["docs"], total["tokens"] + total["docs"], total["words"] + (total["docs"] > 0), total["types"], discounts(n), d, float(rest))
+    return Model(folder, bits, word_bits, hot, total["docs"], total["tokens"] + total["docs"], total["words"] + (total["docs"] > 0), total["types"], discounts(n), d, float(rest))
 
 
 class Reader:
@@ -245,7 +247,7 @@ class Reader:
     def look_up(self, kind: str, keys: np.ndarray) -> list[np.ndarray]:
         """Values of sorted keys, zero where a key is unknown."""
         out = [np.zeros(len(keys), np.int64) for _ in self.KINDS[kind][1:]]
-        edge = bounds_of(keys, self.model.bits)
+        edge = bounds_of(keys, self.model.bits if kind == "b" else self.model.word_bits)
         for s in np.flatnonzero(np.diff(edge)).tolist():
             if (kind, s) not in self.open:
                 self.open[kind, s] = sharedfiles.map_arrays(self.model.folder, f"{kind}{s}", self.KINDS[kind])
