@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lettermill.llm import decontaminate, embedding_join, kneserney, langid, mixing, passages, sharding, simhash, substrings
+from lettermill.llm import decontaminate, embedding_join, kneserney, langid, licenses, mixing, passages, sharding, simhash, substrings
 
 QUERIES = {
     "op1_shard_bytes": sharding.op1_shard_bytes,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_simhash": simhash.op5_simhash,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_langid": langid.op7_langid,
+    "op8_licenses": licenses.op8_licenses,
     "op9_mix": mixing.op9_mix,
     "op10_kneserney": kneserney.op10_kneserney,
 }
