@@ -56,14 +56,22 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1024
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for each application."""
+    """Send this package to the Python workers, once for each application.
+
+    Where the session has Spark's default of 10,000 rows, Arrow batches are
+    held to ``BATCH_ROWS``: whole documents in batches of that many would fill
+    an executor.
+    """
     import shutil
     from pathlib import Path
 
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, str(BATCH_ROWS))
     app, here = spark.sparkContext.applicationId, Path(__file__).resolve().parent
     if app in _shipped or not here.is_dir():
         return
