@@ -21,7 +21,7 @@ from lettermill.llm.langid import fold
 from lettermill.session import new_path, shuffle_partitions
 
 BEGIN, END = np.uint64(0xB0B0B0B0B0B0B0B1), np.uint64(0xE0E0E0E0E0E0E0E1)
-FLUSH_TOKENS = 3_000_000
+FLUSH_TOKENS = 2_000_000
 SHARD_BYTES = 24 << 20
 SAMPLE_DOCS = 2000
 HOT_SHARE = 0.0005

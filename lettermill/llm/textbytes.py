@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from lettermill.session import ship
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
