@@ -267,7 +267,7 @@ class Reader:
         words, place = np.unique(np.r_[v, w], return_inverse=True)
         total, one, two, more, types = self.look_up("w", words)
         total[words == END] = m.docs
-        single = m.word_rest / (m.words + 1) + (less(types, m.word_discounts) / m.types if m.types else 0.0)
+        single = m.word_rest / (m.words + 1) + less(types, m.word_discounts) / max(m.types, 1)
         rest = m.discounts[0] * one + m.discounts[1] * two + m.discounts[2] * more
         keys, at = np.unique(bigram_keys(v, w, m.hot), return_inverse=True)
         (count,) = self.look_up("b", keys)

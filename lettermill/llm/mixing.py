@@ -10,6 +10,7 @@ from lettermill.session import shuffle_partitions
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
+RESULTS = ("size", "source_size", "target", "taken")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_pct: int = 150, max_epochs: int = 2) -> DataFrame:
@@ -72,14 +73,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_pct: int = 15
     starts = totals.select(*group, F.coalesce(F.sum("__words").over(before), F.lit(0)).alias("__start")).join(aims, ["__s", "__n"])
 
     inner = Window.partitionBy(*group).orderBy("__key").rowsBetween(Window.unboundedPreceding, 0)
-    run = keyed.drop("source_size", "target", "taken").withColumn("__run", F.sum("size").over(inner))
+    run = keyed.drop(*RESULTS[1:]).withColumn("__run", F.sum("size").over(inner))
     out = run.join(starts, group)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.round(F.col("target") - epochs * F.col("source_size")).cast("long")
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - (F.col("__start") + F.col("__run") - F.col("size"))))
     out = out.withColumn("taken", (epochs * F.col("size") + part).cast("long"))
-    kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
-    return out.select(*kept, "size", "source_size", "target", "taken")
+    return out.select(*[c for c in docs.columns if c not in RESULTS], *RESULTS)
 
 
 def mixed_rows(docs: DataFrame, text: str = "text", **options) -> DataFrame:
@@ -88,10 +88,11 @@ def mixed_rows(docs: DataFrame, text: str = "text", **options) -> DataFrame:
 
     A document without words is no training text and is left out.
     """
-    counted = mix(docs, text=text, **options)
-    times = F.when(F.col("size") > 0, F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).otherwise(0)
     names = docs.columns
-    return counted.withColumn("__times", times.cast("int")).where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*names)
+    aside = {c: f"__kept_{c}" for c in names if c in RESULTS}
+    counted = mix(docs.withColumnsRenamed(aside), text=text, **options)
+    times = F.when(F.col("size") > 0, F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).otherwise(0)
+    return counted.withColumn("__times", times.cast("int")).where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(aside.get(c, c)).alias(c) for c in names])
 
 
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,8 +141,8 @@ def simhash_groups(docs: DataFrame, text: str = "text", ident: str = "doc_id", s
     """
     docs = docs.drop("fingerprint", "component_id")
     rows = durable(with_fingerprint(docs, text, shingle), "simhash")
-    ends = fingerprint_components(rows, ident)
-    out = rows.join(ends, F.col("__fp") == F.col("fp"))
+    ends = fingerprint_components(rows, ident).withColumnRenamed("fp", "__end")
+    out = rows.join(ends, F.col("__fp") == F.col("__end"))
     return out.select(*docs.columns, F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
