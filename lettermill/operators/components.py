@@ -13,7 +13,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     ``component`` is the smallest node of the component. Each round every node
     moves to the neighbour (or itself) with the smallest hash under that
-    round's seed, and edges are renamed and de-duplicated. Hashing makes the
+    round's seed (in the first round: the smallest itself), and edges are
+    renamed and de-duplicated. Hashing makes the
     number of left nodes fall by a constant factor whatever the shape of the
     graph, so a chain of n nodes takes O(log n) rounds, not n. Rounds are
     written to the shared folder. Null ends and self-loops are ignored; hubs
@@ -24,10 +25,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     left = durable(_canonical(left), "edges")
     moves: list[DataFrame] = []
     while not left.isEmpty():
-        seed = F.lit(len(moves) * 7919 + 17)
+        # the first round goes by the nodes themselves: stars about their smallest node end with it
+        rank = (lambda c, k=len(moves): F.xxhash64(F.lit(k), c)) if moves else (lambda _: F.lit(0).cast("long"))
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = both.groupBy("a").agg(F.min(F.struct(F.xxhash64(seed, "b").alias("h"), F.col("b").alias("n"))).alias("m"))
-        own = F.struct(F.xxhash64(seed, "a").alias("h"), F.col("a").alias("n"))
+        near = both.groupBy("a").agg(F.min(F.struct(rank("b").alias("h"), F.col("b").alias("n"))).alias("m"))
+        own = F.struct(rank("a").alias("h"), F.col("a").alias("n"))
         move = durable(near.select(F.col("a").alias("from"), F.least(F.col("m"), own)["n"].alias("to")), "moves")
         moves.append(move)
         left = left.join(move.select(F.col("from").alias("a"), F.col("to").alias("ta")), "a").select("ta", "b")

@@ -79,3 +79,11 @@ def ship(spark: SparkSession) -> None:
     shutil.copytree(here, folder / "code" / here.name, ignore=shutil.ignore_patterns("__pycache__"))
     spark.sparkContext.addPyFile(shutil.make_archive(str(folder / here.name), "zip", folder / "code"))
     _shipped.add(app)
+
+
+def remove_tables(spark: SparkSession) -> None:
+    """Delete all that ``durable`` and ``new_path`` have put in the shared
+    folder, once no DataFrame that reads it is needed any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lettermill")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
