@@ -109,6 +109,18 @@ def ask(threads: DataFrame, model: Callable[[str], tuple[str, int, int]], by: st
     return threads.select(by, "thread").repartition(1).sortWithinPartitions(by).mapInArrow(run, schema)
 
 
+def run_summary(replies: DataFrame) -> DataFrame:
+    """One row: replies with an answer in them, failed or unreadable ones, and the cost."""
+    read = F.col("error").isNull() & parse_answer(F.col("reply")).isNotNull()
+    return replies.agg(F.count_if(read).alias("n_read"), F.count_if(~read).alias("n_errors"), F.coalesce(F.sum("cost"), F.lit(0.0)).alias("spent_usd"))
+
+
+def answers_of(replies: DataFrame, by: str = "job_id") -> DataFrame:
+    """The readable answers, one for each job, as ``observations`` and
+    ``guarded_update`` take them."""
+    return replies.select(F.col(by).alias("id"), parse_answer(F.col("reply")).alias("a")).where("a is not null").select("id", "a.*")
+
+
 def observations(answers: DataFrame, ident: str = "id") -> DataFrame:
     """Everything the model said of the four fields, trusted or not, as log rows."""
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in FIELDS])

@@ -292,11 +292,21 @@ verdicts as (select id, case when proof_date is not null then 'delivered' when t
     when due < date '2001-08-01' then 'loading due ' || due || ', no departure recorded' when due is not null then 'loading due ' || due
     when coalesce(n, 0) = 0 then 'job just opened, nothing filled in yet' else 'no loading date yet' end as reason from t)"""
 
+# The portal counts whole periods of 24 hours, here one fewer than calendar days as all mail came at 21:00.
+PORTAL_CTE = STATE_CTE.replace("date_diff('day', heard::date, date '2001-08-01') as quiet", "date_diff('day', heard::date, date '2001-08-01') - 1 as quiet")
+for _old, _new in (("the correspondence says", "correspondence says"), ("fully invoiced", "invoiced"), ("no job reference", "no job ref"), ("collected and paid: the job is closed", "collected and paid"), ("'None'", "'null'")):
+    PORTAL_CTE = PORTAL_CTE.replace(_old, _new)
+
 
 def state_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shipments(spark, sf_dir).select("id", state.shipment_state(TODAY).alias("v")).select("id", "v.state", "v.reason")
 
 
+def state_portal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts in the portal's words."""
+    return shipments(spark, sf_dir).select("id", state.shipment_state(TODAY, dialect=state.PORTAL).alias("v")).select("id", "v.state", "v.reason")
+
+
 def state_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state_verdict(spark, sf_dir).groupBy("state").agg(F.count("*").alias("n"))
 
@@ -429,7 +439,7 @@ QUERIES = {
     for f in (
         archive_dedup, archive_filtered, archive_page, archive_counterparty, archive_copies_fanout, archive_copies_attachments,
         key_extract, key_upsert, cluster_strong, cluster_reply, cluster_subject, cluster_all, privacy_gate, privacy_held_back,
-        state_verdict, state_counts, chunk_passages, chunk_units, vec_nearest, vec_group, thread_text, cost_estimate, cost_cap, observations, guarded_update,
+        state_verdict, state_portal, state_counts, chunk_passages, chunk_units, vec_nearest, vec_group, thread_text, cost_estimate, cost_cap, observations, guarded_update,
     )
 }
 
@@ -451,6 +461,7 @@ ORACLE_SQL = {
     "privacy_gate": f"with {PRIVACY_CTE} select id, filename, confidential from judged",
     "privacy_held_back": f"with {PRIVACY_CTE} select mailbox, count(*) as held_back from judged where confidential and coalesce(filename, '') <> '' group by 1",
     "state_verdict": f"with {STATE_CTE} select * from verdicts",
+    "state_portal": "with " + PORTAL_CTE + " select * from verdicts",
     "state_counts": f"with {STATE_CTE} select state, count(*) as n from verdicts group by 1",
     "chunk_passages": CHUNK_SQL,
     "chunk_units": r"""with u as (select doc_id, list_filter(string_split(regexp_replace(text, '([.!?])\s+([A-ZÀÈÉÌÒÙ0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: s <> '') as u from documents)

@@ -75,3 +75,10 @@ def test_guarded_update(spark):
     got = {r.id: tuple(r)[1:6] for r in x.guarded_update(jobs, answers, now).collect()}
     none = (None,) * 5
     assert got == {1: ("o", "typed", "null", "ai", now), 2: ("o", "d", "null", "hand", now), 3: none, 4: none, 5: (None, None, None, None, now), 6: none}
+
+
+def test_summary_and_answers(spark):
+    replies = spark.createDataFrame([(1, 'so {"origin": "Genova", "confidence": 90}', None, 0.1), (2, None, "down", 0.0), (3, "no idea", None, 0.2)], "job_id int, reply string, error string, cost double")
+    got = x.run_summary(replies).first()
+    assert (got.n_read, got.n_errors) == (1, 2) and abs(got.spent_usd - 0.3) < 1e-12
+    assert [(r.id, r.origin) for r in x.answers_of(replies).collect()] == [(1, "Genova")]

@@ -43,3 +43,20 @@ def test_upsert_is_idempotent(spark):
     keys = extract_keys(spark.createDataFrame([(1, "m", None, "100.113/26 100.114/26", None, None, None)], MESSAGE))
     assert new_keys(keys, keys).count() == 0
     assert [r.value for r in new_keys(keys.unionByName(keys), keys.where("value like '%113%'")).collect()] == ["842.114/26"]
+
+
+def test_cut_bodies_and_the_log(spark, tmp_path):
+    from lettermill.sources.tables import append, cut_bodies
+
+    frame = spark.createDataFrame([(1, "m", "s", "é" * 5000, dt.datetime(2026, 1, 1), None, None), (2, "n", "s", None, dt.datetime(2025, 1, 1), None, None)], MESSAGE)
+    assert [len(r.body) for r in cut_bodies(frame, F.lit(dt.datetime(2025, 6, 1))).collect()] == [4000]
+    for _ in range(2):
+        append(frame.select("id"), str(tmp_path / "log"))
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 4
+
+
+def test_rows_are_distinct_pairs(spark):
+    rows = [(k, f"m{k // 4}", None, f"100.{k // 8 + 100}/26 and 100.{k // 2 + 200}/25", None, k % 3 == 0, k % 5 == 0) for k in range(160)]
+    got = extract_keys(spark.createDataFrame(rows, MESSAGE)).collect()
+    pairs = {(r[1], v) for r in rows for v in (f"842.{r[0] // 8 + 100}/26", f"842.{r[0] // 2 + 200}/25")}
+    assert len(got) == len(pairs) == len({(r.email_id // 4, r.value) for r in got})

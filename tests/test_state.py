@@ -3,7 +3,7 @@ from decimal import Decimal
 
 import pytest
 
-from lettermill.operators.state import shipment_state
+from lettermill.operators.state import PORTAL, shipment_state
 
 TODAY = dt.date(2026, 9, 10)
 SCHEMA = "proof_date date, proof_kinds string, travel_state string, job_status string, job_ref string, fully_settled boolean, revenue_to_invoice decimal(18,2), cost_to_receive decimal(18,2), last_message timestamp, pickup_date date, goods_ready_date date, departure_date date, line_count int"
@@ -45,3 +45,22 @@ def test_there_is_always_a_reason(spark, column):
     row = BASE | {column: None}
     v = spark.createDataFrame([tuple(row[f.split()[0]] for f in SCHEMA.split(", "))], SCHEMA).select(shipment_state(TODAY).alias("v")).first().v
     assert v.state and v.reason
+
+
+PORTAL_CASES = [
+    (dict(proof_date=D(2026, 9, 1)), "delivered", "arrival document (null) dated 2026-09-01"),
+    (dict(travel_state="collected"), "delivered", "correspondence says delivered"),
+    (dict(travel_state="picked_up_by_consignee"), "awaiting_loading", "no loading date yet"),
+    (dict(job_status="closed"), "settled", "job closed, invoiced and paid"),
+    (dict(last_message=dt.datetime(2026, 8, 25, 1), travel_state="cleared"), "in_transit", "correspondence says cleared"),  # 15 days and 23 hours
+    (dict(last_message=dt.datetime(2026, 8, 25, 0), job_ref=None), "archived", "no job ref, nothing heard for 16 days"),
+    (dict(last_message=dt.datetime(2026, 8, 25, 0), travel_state="loaded"), "unclear", "job open, nothing heard for 16 days, last we heard: loaded"),
+    (dict(fully_settled=True), "settled", "collected and paid"),
+    (dict(pickup_date=D(2026, 9, 9)), "loading_overdue", "loading due 2026-09-09, no departure recorded"),
+]
+
+
+def test_the_portal(spark):
+    rows = [tuple((BASE | c)[f.split()[0]] for f in SCHEMA.split(", ")) for c, _, _ in PORTAL_CASES]
+    got = spark.createDataFrame(rows, SCHEMA).coalesce(1).select(shipment_state(TODAY, dialect=PORTAL).alias("v")).collect()
+    assert [(r.v.state, r.v.reason) for r in got] == [(s, w) for _, s, w in PORTAL_CASES]
