@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,15 +12,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lettermill.llm import textbytes as tb
+from lettermill.llm import winnow
+from lettermill.llm.sharedfiles import SharedMap, write_map
 from lettermill.operators.components import connected_components
-from lettermill.session import durable
+from lettermill.session import durable, new_path, shuffle_partitions
 
 SEED = 42
 SHINGLE = 3
 DISTANCE = 3
-SEGMENTS, BITS = 4, 16
 GROUP_ROWS = 512
 VOTES = 1 << 19
+PAIRS = 1 << 20
+EMPTY = 255
 
 
 def fingerprints(data: np.ndarray, off: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
@@ -59,63 +63,130 @@ def with_fingerprint(docs: DataFrame, text: str = "text", shingle: int = SHINGLE
     return tb.map_arrow(docs, run, schema)
 
 
-def ring_links(values: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """``fp`` (distinct longs) -> edges ``(a, b)`` that connect all values at
-    ``DISTANCE`` or fewer differing bits.
+@dataclass(frozen=True)
+class Ring:
+    """Segments of a fingerprint's 64 bits, in a ring, and the distance to find.
 
-    Pigeonring: on a ring of four 16-bit segments, two values within 3 bits
-    have a segment from which every chain of l segments differs in at most
-    3 * l / 4 bits: 0, then at most 1, 2 and 3. The first two conditions are a
-    lookup: each value is listed under its own 32 bits at each of the four
-    places, and visits the 16 lists whose second segment is one bit off. The
-    other two are tested in the list, before the full distance. Lists longer
-    than ``group_rows`` are cut into chunks, and each pair of chunks is a group
-    of its own, so no task meets an unbounded list. Each group returns a
-    spanning forest of its links, never all pairs.
+    Pigeonring: two values within ``distance`` bits have a segment from which
+    every chain of l segments differs in at most l * distance / m bits. Of one
+    segment that is none, and of two it must be one at most.
     """
-    ring = F.when(F.col("i") == 0, F.col("fp")).otherwise(F.expr(f"shiftleft(fp, i * {BITS}) | shiftrightunsigned(fp, 64 - i * {BITS})"))
-    flip = F.when(F.col("v") == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftleft(1L, v - 1)"))
-    listed = values.select("fp", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS * (BITS + 1) - 1))).alias("k"))
-    listed = listed.select("fp", F.expr(f"k div {BITS + 1}").cast("int").alias("i"), F.expr(f"k % {BITS + 1}").cast("int").alias("v"))
-    listed = listed.select("fp", (F.expr("shiftleft(cast(i as bigint), 32)").bitwiseOR(F.shiftrightunsigned(ring, 32).bitwiseXOR(flip))).alias("key"))
+
+    widths: tuple[int, ...]
+    distance: int
+
+    def __post_init__(self):
+        if sum(self.widths) != 64 or self.budget(1) != 0 or self.budget(2) != 1:
+            raise ValueError("segments must fill 64 bits, and chains of one and two allow 0 and 1 bits")
+
+    def budget(self, chain: int) -> int:
+        return chain * self.distance // len(self.widths)
+
+    def start(self, i: int) -> int:
+        return sum(self.widths[:i])
+
+    def reach(self, i: int, chain: int) -> int:
+        """Bits of the chain from segment i on."""
+        return sum((self.widths * 2)[i : i + chain])
+
+
+RING = Ring((16, 16, 16, 16), DISTANCE)
+
+
+def ring_links(values: DataFrame, group_rows: int | None = None, ring: Ring = RING, sketches: SharedMap | None = None, similarity: float = 0.0) -> DataFrame:
+    """``node, fp`` (longs; the node is ``fp`` if there is no such column) ->
+    edges ``(a, b)`` that connect all nodes whose values link.
+
+    The first two chains of the ring are a lookup: each value is listed under
+    its own two segments at each place, and visits the lists whose second
+    segment is one bit off. Longer chains are tested in the list, before the
+    full distance and, with ``sketches``, the ``similarity`` of the nodes'
+    sketches. Lists longer than ``group_rows`` are cut into
+    chunks, and each pair of chunks is a group of its own, so no task meets an
+    unbounded list. Each group returns a spanning forest of its links, never
+    all pairs.
+    """
+    m, group_rows = len(ring.widths), group_rows or GROUP_ROWS
+    places = [(i, ring.start(i), 64 - ring.reach(i, 2), flip) for i in range(m) for flip in (0, *(1 << k for k in range(ring.widths[(i + 1) % m])))]
+    place = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(o).alias("o"), F.lit(s).alias("s"), F.lit(f).cast("long").alias("f")) for i, o, s, f in places])).alias("p")
+    node = F.col("node") if "node" in values.columns else F.col("fp").alias("node")
+    listed = values.select("fp", node, place).select("fp", "node", "p.*")
+    turned = F.expr("case when o = 0 then fp else shiftleft(fp, o) | shiftrightunsigned(fp, 64 - o) end")
+    key = F.expr("shiftleft(i, 40)").bitwiseOR(F.expr("shiftrightunsigned(turned, s)").bitwiseXOR(F.col("f")))
+    listed = listed.withColumn("turned", turned).select("fp", "node", key.alias("key"))
     n = F.count("*").over(Window.partitionBy("key"))
     met = listed.withColumn("n", n).where("n > 1")
     parts = F.ceil(F.col("n") / group_rows)
-    met = met.select("fp", "key", parts.alias("c"), F.pmod(F.xxhash64("fp"), parts).alias("m"))
-    met = met.select("fp", "key", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)).alias("o"))
-    met = met.select("fp", "key", F.least("m", "o").alias("x"), F.greatest("m", "o").alias("y"))
+    met = met.select("fp", "node", "key", parts.alias("c"), F.pmod(F.xxhash64("node"), parts).alias("m"))
+    met = met.select("fp", "node", "key", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)).alias("o"))
+    met = met.select("fp", "node", "key", F.least("m", "o").alias("x"), F.greatest("m", "o").alias("y"))
     met = met.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tb.whole_groups(batches, ["key", "x", "y"]):
-            a, b = linked(*(table.column(c).to_numpy() for c in ("fp", "key", "x", "y")))
+            a, b = linked(*(table.column(c).to_numpy() for c in ("fp", "node", "key", "x", "y")), ring, sketches, similarity)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return tb.map_arrow(met, run, "a long, b long")
 
 
-def linked(fp: np.ndarray, key: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def linked(fp: np.ndarray, node: np.ndarray, key: np.ndarray, x: np.ndarray, y: np.ndarray, ring: Ring, sketches: SharedMap | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links of each group of equal (key, x, y), sorted by it."""
     if not len(fp):
-        return fp, fp
+        return node, node
+    m = len(ring.widths)
     group = np.cumsum(np.r_[0, (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+    at = key >> 40
     v = fp.view(np.uint64)
-    turn = (key >> 32).astype(np.uint64) * np.uint64(BITS)
+    turn = np.array([ring.start(i) for i in range(m)], np.uint64)[at]
     back = (np.uint64(64) - turn) & np.uint64(63)
-    ring = np.where(turn == 0, v, (v << turn) | (v >> back))
-    home = (ring >> np.uint64(32)) == (key.astype(np.uint64) & np.uint64(0xFFFFFFFF))
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    turned = np.where(turn == 0, v, (v << turn) | (v >> back))
+    rest = np.array([[64 - ring.reach(i, chain) for chain in range(m + 1)] for i in range(m)], np.uint64)[at]
+    home = (turned >> rest[:, 2]) == (key & ((1 << 40) - 1)).astype(np.uint64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def reduced() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        i, j = (np.concatenate([np.zeros(0, np.int64), *(h[k] for h in held)]) for k in (0, 1))
+        label = tb.spanning(i, j, len(fp))
+        moved = np.flatnonzero(label != np.arange(len(fp)))
+        return moved, label[moved], label
+
     for i, j in tb.group_pairs(group):
-        i, j = i[home[i] | home[j]], j[home[i] | home[j]]
-        d = ring[i] ^ ring[j]
-        near = np.bitwise_count(d >> np.uint64(16)) <= 2  # chain of three; one and two hold by the key
-        i, j, d = i[near], j[near], d[near]
-        ok = np.bitwise_count(d) <= DISTANCE
-        left.append(i[ok])
-        right.append(j[ok])
-    label = tb.spanning(np.concatenate(left), np.concatenate(right), len(fp))
-    moved = np.flatnonzero((label != np.arange(len(fp))) & (fp != fp[label]))
-    return fp[moved], fp[label[moved]]
+        ok = (home[i] | home[j]) & (node[i] != node[j])
+        i, j = i[ok], j[ok]
+        d = turned[i] ^ turned[j]
+        for chain in range(3, m):  # chains of one and two hold by the key
+            ok = np.bitwise_count(d >> rest[i, chain]) <= ring.budget(chain)
+            i, j, d = i[ok], j[ok], d[ok]
+        ok = np.bitwise_count(d) <= ring.distance
+        i, j = i[ok], j[ok]
+        if sketches is not None and len(i):
+            ok = similar(node[i], node[j], sketches, similarity)
+            i, j = i[ok], j[ok]
+        if len(i):
+            held.append((i, j))
+            size += len(i)
+        if size >= PAIRS:
+            held = [reduced()[:2]]
+            size = len(held[0][0])
+    moved, to, _ = reduced()
+    ok = node[moved] != node[to]
+    return node[moved[ok]], node[to[ok]]
+
+
+def similar(a: np.ndarray, b: np.ndarray, sketches: SharedMap, similarity: float) -> np.ndarray:
+    """Which pairs of nodes have sketches that agree in ``similarity`` of the
+    slots that either fills."""
+    nodes, place = np.unique(np.r_[a, b], return_inverse=True)
+    lanes = np.stack(sketches.look_up(nodes.view(np.uint64))[1:], axis=1).view(np.uint8)
+    p, q = place[: len(a)], place[len(a) :]
+    out = np.zeros(len(a), bool)
+    for at in range(0, len(a), 1 << 15):
+        x, y = lanes[p[at : at + (1 << 15)]], lanes[q[at : at + (1 << 15)]]
+        filled = (x != EMPTY) | (y != EMPTY)
+        out[at : at + (1 << 15)] = ((x == y) & filled).sum(1) >= similarity * filled.sum(1)
+    return out
 
 
 def fingerprint_components(rows: DataFrame, ident: str = "doc_id", fp: str = "__fp") -> DataFrame:
@@ -158,6 +229,89 @@ def simhash_dedup(docs: DataFrame, text: str = "text", ident: str = "doc_id") ->
     return rows.join(keep, "__uid", "left_semi").select(*docs.columns)
 
 
+#: Near-copies: five-word shingles with a Jaccard similarity of 0.8 or more,
+#: estimated from 256 slots; the deviation is 0.025, so the limit is one below.
+WIDE_SHINGLE, SLOTS = 5, 256
+SIMILARITY = 0.775
+LANES = [f"__s{k}" for k in range(SLOTS // 8)]
+WIDE_RING = Ring((10, 9, 9, 9, 9, 9, 9), 6)
+
+
+def majority(codes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` owners (in order) the majority of each bit over its codes."""
+    votes, count = np.zeros((n, 64), np.int64), np.bincount(owner, minlength=n)
+    for at in range(0, len(codes), VOTES):
+        part = owner[at : at + VOTES]
+        bits = np.unpackbits(codes[at : at + VOTES].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        begin = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        votes[part[begin]] += np.add.reduceat(bits, begin, axis=0, dtype=np.int64)
+    return np.packbits(2 * votes > count[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def sketch(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text a fingerprint of its distinct words, which small edits
+    hardly move, and a byte for each of ``SLOTS`` slots: of the five-word
+    shingles (of all words, if there are fewer) that hash to it, the smallest."""
+    starts, ends, first = tb.word_spans(data, off)
+    w = tb.word_hashes(data, starts, ends, lower=True)
+    n_words = np.diff(first)
+    doc = np.repeat(np.arange(len(n_words)), n_words)
+    _, once = np.unique(w ^ tb.mix64(doc.astype(np.uint64)), return_index=True)
+    once.sort()
+    words = majority(w[once], doc[once], len(n_words))
+    n = np.maximum(n_words - WIDE_SHINGLE + 1, 0)
+    owner = np.repeat(np.arange(len(n)), n)
+    at = np.repeat(first[:-1] - (np.cumsum(n) - n), n) + np.arange(len(owner))
+    code = winnow.grams(w, WIDE_SHINGLE)[at]
+    for k in np.flatnonzero((n == 0) & (n_words > 0)).tolist():
+        code, owner = np.r_[code, winnow.grams(w[first[k] : first[k + 1]], int(n_words[k]))], np.r_[owner, k]
+    least = np.full(len(n) * SLOTS, np.uint64(2**64 - 1))
+    np.minimum.at(least, owner * SLOTS + (code % np.uint64(SLOTS)).astype(np.int64), code >> np.uint64(8))
+    slots = np.where(least == np.uint64(2**64 - 1), EMPTY, tb.mix64(least) % np.uint64(EMPTY)).astype(np.uint8)
+    return words, slots.reshape(len(n), SLOTS)
+
+
+def with_sketch(docs: DataFrame, text: str) -> DataFrame:
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    names = ["__fp", *LANES]
+    schema = StructType([*docs.schema.fields, *(StructField(c, LongType()) for c in names)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, off in tb.chunks(batches, text):
+            words, wide = sketch(data, off)
+            lanes = wide.view(np.int64)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(words.view(np.int64)), *(pa.array(lanes[:, k].copy()) for k in range(len(LANES)))], schema.names)
+
+    return tb.map_arrow(docs, run, schema)
+
+
+def near_copy_dedup(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
+    """One row of each group of near-copies, that of the smallest id (null ids
+    last; among rows of one id, any one).
+
+    Rows link if the fingerprints of their distinct words are within 6 of 64
+    bits (pigeonring on seven segments) and the sketches of their five-word
+    shingles agree in ``SIMILARITY`` of the slots. Rows of equal sketch and
+    fingerprint are one node. Texts without a word are copies of each other. An empty
+    table gives an empty result.
+    """
+    spark = docs.sparkSession
+    rows = durable(with_sketch(docs.withColumn("__uid", F.monotonically_increasing_id()), text), "sketches")
+    slim = rows.select(ident, "__uid", "__fp", *LANES)
+    nodes = durable(slim.groupBy("__fp", *LANES).agg(F.min("__uid").alias("node")), "nodes")
+    bits = max(2, min(12, shuffle_partitions(spark).bit_length() - 1))
+    spread = F.xxhash64("node")  # shards go by leading bits, which a row number lacks
+    shared = write_map(nodes.select(spread.alias("key"), *LANES), new_path(spark, "sketches"), bits)[0]
+    links = ring_links(nodes.select(spread.alias("node"), F.col("__fp").alias("fp")), ring=WIDE_RING, sketches=shared, similarity=SIMILARITY)
+    parts = connected_components(links)
+    labelled = nodes.select("__fp", *LANES, spread.alias("__node")).join(parts.select(F.col("node").alias("__node"), "component"), "__node", "left")
+    labelled = labelled.select("__fp", *LANES, F.coalesce("component", "__node").alias("__g"))
+    groups = slim.join(labelled, ["__fp", *LANES]).select("__g", F.struct(F.col(ident).isNull().alias("z"), F.col(ident).alias("i"), F.col("__uid").alias("u")).alias("r"))
+    keep = groups.groupBy("__g").agg(F.min("r").alias("r")).select(F.col("r.u").alias("__uid"))
+    return rows.join(keep, "__uid", "left_semi").select(*docs.columns)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return simhash_groups(docs).select("doc_id", "fingerprint", "component_id")

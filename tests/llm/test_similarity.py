@@ -81,6 +81,55 @@ def test_ring_finds_every_pair_within_three_bits(spark):
         assert least_reachable(values, [(place[a], place[b]) for a, b in pairs]) == want
 
 
+def brute_near_copies(rows):
+    """Ids that stay: all pairs of sketches compared, without any filter."""
+    raw = [(t or "").encode() for _, t in rows]
+    prints, slots = simhash.sketch(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    links = []
+    for a in range(len(rows)):
+        for b in range(a):
+            filled = (slots[a] != simhash.EMPTY) | (slots[b] != simhash.EMPTY)
+            if int(prints[a] ^ prints[b]).bit_count() <= 6 and ((slots[a] == slots[b]) & filled).sum() >= simhash.SIMILARITY * filled.sum():
+                links.append((a, b))
+    place = least_reachable(list(range(len(rows))), links)
+    groups = {}
+    for k, g in enumerate(place):
+        groups.setdefault(g, []).append(rows[k][0])
+    return sorted((min((i for i in g if i is not None), default=None) for g in groups.values()), key=str)
+
+
+def test_near_copies_of_documents(documents, texts, monkeypatch):
+    for group_rows in (512, 3):
+        monkeypatch.setattr(simhash, "GROUP_ROWS", group_rows)
+        kept = sorted((r.doc_id for r in simhash.near_copy_dedup(documents).collect()), key=str)
+        assert kept == brute_near_copies(list(texts.items()))
+    shingles = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in ((i, t.lower().split()) for i, t in texts.items())}
+    similarity = lambda a, b: len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b])
+    assert not [(a, b) for a in kept for b in kept if a < b and similarity(a, b) >= 0.9]
+    assert all(max(similarity(a, b) for b in texts if a != b) >= 0.7 for a in set(texts) - set(kept))
+
+
+def test_near_copies_of_edited_texts(spark):
+    rng = np.random.default_rng(3)
+    original = [f"w{k}" for k in rng.integers(0, 4000, 600)]
+    rows = [(0, " ".join(original))]
+    for k in range(1, 40):
+        w = list(original)
+        for at in rng.choice(600, 6, replace=False):
+            w[at] = f"edit{k}x{at}"
+        rows.append((k, " ".join(w)))
+    rows += [(100 + k, " ".join(f"w{j}" for j in rng.integers(0, 4000, 300))) for k in range(40)]
+    kept = sorted(r.doc_id for r in simhash.near_copy_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == [0, *range(100, 140)]
+
+
+def test_near_copies_of_edge_cases(edges, nothing):
+    kept = simhash.near_copy_dedup(edges)
+    assert kept.columns == edges.columns
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == brute_near_copies([(r[0], r[1]) for r in EDGES])
+    assert simhash.near_copy_dedup(nothing).count() == 0
+
+
 VECTORS = [
     (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 0.3]), (4, [1.0, 0.6]), (5, [0.0, 0.0]), (6, None), (7, []), (8, [1.0, None]), (9, [float("nan"), 1.0]), (10, [float("inf"), 1.0]),
     (11, [1.0, 0.0]), (12, [1.0, 0.0, 0.0]), (13, [-1.0, 0.0]), (14, [1e200, 0.0]), (None, [0.0, 1.0]), (None, [5.0, 5.0, 5.0, 5.0]), (7, [0.0, 3.0]), (15, [5.0, 5.0, 5.0, 5.0]), (15, [5.0, 5.0, 5.0, 5.0]),
