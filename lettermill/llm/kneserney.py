@@ -123,8 +123,10 @@ def hot_contexts(train: DataFrame, text: str, n: int) -> np.ndarray:
 
     sample = train.where(drawn < min(1.0, SAMPLE_DOCS / max(n, 1))).select(text)
     sums = tb.map_arrow(sample, run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
-    whole = sums.where("w = 0").select(F.col("c").alias("whole"))
-    rows = sums.join(F.broadcast(whole)).where(F.col("c") >= F.col("whole") * HOT_SHARE).collect()  # one row; 1 / HOT_SHARE rows
+    # the sample's size stands first; at most 1 / HOT_SHARE words can have that share of it
+    rows = sums.orderBy(F.col("c").desc(), "w").limit(int(1 / HOT_SHARE) + 1).collect()
+    whole = max((r["c"] for r in rows if r["w"] == 0), default=0)
+    rows = [r for r in rows if r["c"] >= whole * HOT_SHARE]
     return np.unique(np.r_[np.array([r["w"] for r in rows if r["w"]], np.int64).view(U64), BEGIN])
 
 
