@@ -91,3 +91,54 @@ def test_components_of_chain_star_and_loop(spark):
     edges = [(k, k + 1) for k in range(200)] + [(1000, 1000 + k) for k in range(1, 150)] + [(5000, 5000), (None, 3)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got[k] for k in range(201)} == {0} and {got[1000 + k] for k in range(150)} == {1000} and got[5000] == 5000 and len(got) == 352
+
+
+def test_random_mail_against_union_find(spark):
+    import random
+    from collections import Counter, defaultdict
+
+    rnd = random.Random(5)
+    emails = [
+        {"id": f"{k:03}", "message_id": rnd.choice([f"<m{k}>", f" <m{k % 40}> ", "", None, f"plain{k}"]), "in_reply_to": rnd.choice([None, None, "", f"<m{rnd.randrange(120)}>", f"plain{rnd.randrange(120)}"]),
+         "references": rnd.choice([None, f"<m{rnd.randrange(120)}> x <m{rnd.randrange(120)}>"]) if k % 9 == 0 else None, "subject_key": rnd.choice(["short", "", f"a long subject {rnd.randrange(60)}", "confirmation"])}
+        for k in range(120)
+    ]
+    keys = [(f"{rnd.randrange(125):03}", rnd.choice(["job", "po", "container"]), f"v{rnd.randrange(90)}") for _ in range(150)]
+    end = {e["id"]: e["id"] for e in emails}
+
+    def find(x):
+        while end[x] != x:
+            x = end[x]
+        return x
+
+    def join(group):
+        for x in group:
+            end[find(x)] = find(group[0])
+
+    of = defaultdict(set)
+    for i, kind, value in keys:
+        if i in end:
+            of[i].add((kind, value))
+    shared, subjects, by_message = defaultdict(list), defaultdict(list), {}
+    for i, pairs in of.items():
+        n = Counter(kind for kind, _ in pairs)
+        for kind, value in pairs:
+            if kind != "po" and n[kind] == 1:
+                shared[kind, value].append(i)
+    for e in emails:
+        if (e["message_id"] or "").strip():
+            by_message[e["message_id"].strip()] = e["id"]
+        if len(e["subject_key"]) >= 12 and e["subject_key"] != "confirmation":
+            subjects[e["subject_key"]].append(e["id"])
+    for group in [*shared.values(), *subjects.values()]:
+        join(group)
+    for e in emails:
+        for header in filter(None, (e["in_reply_to"], e["references"])):
+            for name in [p + ">" for p in header.split(">") if "<" in p] or [header]:
+                parent = by_message.get(name[name.find("<") if "<" in name else 0 :].strip())
+                if parent:
+                    join([parent, e["id"]])
+    want = defaultdict(set)
+    for i in end:
+        want[find(i)].add(i)
+    assert groups(spark, emails, keys) == sorted(map(frozenset, want.values()), key=sorted)
