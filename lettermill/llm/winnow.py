@@ -256,10 +256,14 @@ def compare(table: pa.Table, length: int, earlier: bool) -> pa.Table:
     open_ = np.flatnonzero(col["shares"] > 1)
     if not len(open_):
         return out
-    # of equal windows of one group the first in order of id speaks for all
+    # of equal windows of one group the first in order of id speaks for all; with
+    # ``earlier`` every place of that id is still open (larger ids are decided)
     order = open_[np.lexsort((col["id"][open_], prints[open_], group.ravel()[open_]))]
     g, p = group.ravel()[order], prints[order]
-    order = order[np.r_[True, (g[1:] != g[:-1]) | (p[1:] != p[:-1])]]
+    speaks = np.r_[True, (g[1:] != g[:-1]) | (p[1:] != p[:-1])]
+    if earlier:  # no id is smaller than null, which needs one record only
+        speaks |= ~dup[order] & (col["id"][order] != -(2**63))
+    order = order[speaks]
     record = np.zeros(len(order), RECORD)
     for name, values in (("print", prints), ("id", col["id"]), ("th", col["th"]), ("pos", pos), ("many", dup.astype(np.int64) if not earlier else np.zeros(len(pos), np.int64))):
         record[name] = values[order]
