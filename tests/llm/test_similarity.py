@@ -123,6 +123,24 @@ def test_near_copies_of_edited_texts(spark):
     assert kept == [0, *range(100, 140)]
 
 
+def test_near_copies_with_added_cut_and_replaced_blocks(spark):
+    """Against the true similarity of the five-word shingles, of long and short texts."""
+    rng = np.random.default_rng(5)
+    fresh = lambda n: [f"n{k}" for k in rng.integers(0, 10**9, n)]
+    rows = []
+    for n in (400, 400, 400, 120, 16) * 8:
+        w = fresh(n)
+        part = n // 10
+        kinds = [w, w + fresh(part), fresh(part) + w, w[:-part], w[: n // 2] + fresh(part // 2) + w[n // 2 + part // 2 :]]
+        rows += [(len(rows) + k, " ".join(x)) for k, x in enumerate(kinds)]
+    shingles = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    similarity = lambda a, b: len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b])
+    links = [(a, b) for a in range(len(rows)) for b in range(a - a % 5, a) if similarity(a, b) >= 0.8]
+    want = sorted(set(least_reachable(list(range(len(rows))), links)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.near_copy_dedup(frame).collect()) == want
+
+
 def test_near_copies_of_edge_cases(edges, nothing):
     kept = simhash.near_copy_dedup(edges)
     assert kept.columns == edges.columns
