@@ -14,6 +14,7 @@ from lettermill.llm import textbytes as tb
 from lettermill.llm.decontaminate import terms
 
 THRESHOLD = 0.7
+STARTS = 4096
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense|notice)([.\-_][a-z0-9.\-_]*)?$"
 
 # Short notices of public licences, by SPDX identifier
@@ -29,7 +30,10 @@ TEMPLATES = [
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
@@ -70,6 +74,7 @@ class Templates:
         for k, x in enumerate(words):
             self.has[np.searchsorted(self.vocabulary, x), k] = 1.0
         self.norm = np.sqrt(self.square @ self.has)
+        self.longest = max(len(terms(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0]) for _, t in templates)
 
     def best(self, w: np.ndarray, group: np.ndarray, n: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
         """For each of ``n`` groups of terms the closest template (-1: none
@@ -99,6 +104,48 @@ class Templates:
         return best, score
 
 
+    def best_joined(self, w: np.ndarray, unit: np.ndarray, doc: np.ndarray, n: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Documents, templates and cosines of all groups of two or more
+        consecutive units (of one of ``n`` documents) that reach ``threshold``,
+        of up to twice as many terms as the longest template has.
+
+        Only documents with enough of a template are read: a cosine c needs a
+        share of c squared of the template's squared weight. A group that
+        outweighs a template by 1 / c squared can't reach it, nor can longer ones.
+        """
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(w):
+            at = np.minimum(np.searchsorted(self.vocabulary, w), len(self.vocabulary) - 1)
+            known = self.vocabulary[at] == w
+            square = np.where(known, self.square[at], self.unseen)
+            seen = np.zeros((n, len(self.vocabulary)))
+            seen[doc[known], at[known]] = 1.0
+            near = (seen * self.square) @ self.has >= threshold**2 * self.norm**2 * (1 - 1e-9)
+            limit = (near * self.norm**2).max(1) / threshold**2 * (1 + 1e-9)
+            begin = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
+            end, owner = np.r_[begin[1:], len(w)], doc[begin]
+            starts = np.flatnonzero(near.any(1)[owner])
+            for at_once in range(0, len(starts), STARTS):
+                alive, size = starts[at_once : at_once + STARTS], 1
+                while len(alive):
+                    size += 1
+                    alive = alive[alive + size <= len(begin)]
+                    alive = alive[owner[alive] == owner[alive + size - 1]]
+                    lens = end[alive + size - 1] - begin[alive]
+                    alive, lens = alive[lens <= 2 * self.longest], lens[lens <= 2 * self.longest]
+                    group = np.repeat(np.arange(len(alive)), lens)
+                    place = np.repeat(begin[alive] - (np.cumsum(lens) - lens), lens) + np.arange(len(group))
+                    best, score = self.best(w[place], group, len(alive), threshold)
+                    hit = np.flatnonzero(best >= 0)
+                    out.append((owner[alive[hit]], best[hit], score[hit]))
+                    order = np.lexsort((w[place], group))
+                    g, x = group[order], w[place][order]
+                    once = np.r_[True, (g[1:] != g[:-1]) | (x[1:] != x[:-1])] if len(g) else np.zeros(0, bool)
+                    whole = np.bincount(g[once], square[place][order][once], len(alive))
+                    alive = alive[whole <= limit[owner[alive]]]
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def template_weights(docs: DataFrame, text: str, templates: list[tuple[str, str]]) -> tuple[dict[int, float], float]:
     """Smoothed IDF of the templates' terms over all documents, and of a term
     that none holds. Only the templates' vocabulary is counted."""
@@ -126,7 +173,9 @@ def template_weights(docs: DataFrame, text: str, templates: list[tuple[str, str]
 def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``own_license``, ``own_score`` and ``whole_text``.
 
-    Every line and every sentence of the whole text is a notice; the closest of
+    Every line and every sentence of the whole text is a notice, and so are
+    consecutive ones together, up to twice the terms of the longest template
+    (a sentence wrapped over lines; comment marks are no terms). The closest of
     all to a template counts, if its cosine reaches ``threshold`` (null and 0
     otherwise). ``whole_text``: the text as a whole is close to a template, as
     a licence file's is. Null and empty texts have no licence; columns of those
@@ -150,6 +199,7 @@ def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] |
             hit = np.flatnonzero(best >= 0)
             order = hit[np.lexsort((best[hit], -score[hit], owner[hit]))]
             lead = order[np.r_[True, owner[order][1:] != owner[order][:-1]]] if len(order) else order
+            wide = model.best_joined(w, notice, doc, len(first) - 1, threshold)
             whole, sim = model.best(w, doc, len(first) - 1, threshold)
             name: list[str | None] = [None] * part.num_rows
             value = np.zeros(part.num_rows)
@@ -158,6 +208,9 @@ def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] |
             for k in lead.tolist():
                 if score[k] >= value[owner[k]]:
                     name[owner[k]], value[owner[k]] = model.names[best[k]], score[k]
+            for k in np.lexsort((wide[1], -wide[2])).tolist():
+                if wide[2][k] > value[wide[0][k]]:
+                    name[wide[0][k]], value[wide[0][k]] = model.names[wide[1][k]], wide[2][k]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(name, pa.string()), pa.array(np.minimum(value, 1.0)), pa.array(whole >= 0)], schema.names)
 
     return tb.map_arrow(docs, run, schema)

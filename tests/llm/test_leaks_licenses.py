@@ -70,6 +70,24 @@ def test_nearest_directory_speaks(spark):
     assert got == {0: ("MIT", None), 1: ("GPL-3.0", None), 2: ("GPL-3.0", "a/b"), 3: ("MIT", ""), 4: ("MIT", None), 5: ("MIT", ""), 6: (None, None), 7: ("GPL-3.0", "a/b"), 8: ("GPL-3.0", None)}
 
 
+def test_headers_wrapped_over_lines(spark):
+    """Sentences over several lines, with comment marks and other lines around them."""
+    header = "{n} - a part of it\nCopyright (C) 2020 Somebody Else\n\nThis program is free software: you can redistribute it and/or modify\nit under the terms of the GNU {k}General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+    kinds = [("GPL-3.0", ""), ("LGPL-3.0", "Lesser "), ("AGPL-3.0", "Affero ")]
+    rows, want = [], {}
+    for mark in ("", "# ", " * ", "// "):
+        for name, kind in kinds:
+            want[len(rows)] = name
+            text = header.format(n="file.c", k=kind)
+            rows.append((len(rows), "\n".join(mark + line for line in text.split("\n")) + "\nint main() { return run(1); }\n" * 9))
+    mit = "Permission is hereby granted, free of charge, to any\nperson obtaining a copy of this software and\nassociated documentation files"
+    rows += [(100, mit), (101, "All rights reserved. Unauthorized copying\nof this file is strictly prohibited."), (102, "The program is free to\nuse the terms of the text,\nor any later version of it.")]
+    want |= {100: "MIT", 101: "Proprietary", 102: None}
+    rows += [(1000 + k, f"{words(50)} the program is of any use to you and it or the files in this work {k}") for k in range(50)]
+    got = {r.doc_id: r.own_license for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: got[k] for k in want} == want and not any(v for k, v in got.items() if k >= 1000)
+
+
 def test_licences_of_edge_cases(edges, nothing):
     from pyspark.sql import functions as F
 
