@@ -16,8 +16,6 @@ TABLE_BITS = 16
 SAMPLE_PER_LANG = 4000
 ROUNDS = 12
 PENALTY = 3.0
-MOST_LANGUAGES = 3
-SLACK = 1.0  # for rounds that have not converged
 UNDETERMINED = "und"
 LETTER = r"\p{L}"
 
@@ -97,13 +95,20 @@ def expectation(p: np.ndarray, begin: np.ndarray, count: np.ndarray, allowed: np
     return share, np.add.reduceat(np.log(across(share[doc] * p)), begin)
 
 
+def shortfall(p: np.ndarray, begin: np.ndarray, count: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """How much more log likelihood than under ``share`` there can be at most:
+    it is concave, so its steepest slope to a single language bounds it."""
+    slope = p / across(share[np.repeat(np.arange(len(begin)), count)] * p)[:, None]
+    return np.maximum(np.add.reduceat(slope, begin, axis=0).max(1) - count, 0.0)
+
+
 def infer(data: np.ndarray, off: np.ndarray, table: np.ndarray, penalty: float = PENALTY, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """For each text the most frequent language of its chosen set and that
     language's share of its words; -1 for a text without words.
 
     A word is one draw from the mixture. Expectation-maximisation over all
-    languages ranks them by share; then sets of the 1, 2, ... first languages
-    are fitted, and the set with the largest log likelihood less ``penalty`` *
+    languages ranks them by share; then sets of the 1, 2, ... first languages,
+    up to all of them, are fitted where they can still gain, and the set with the largest log likelihood less ``penalty`` *
     log(words) for each language wins.
     """
     n, langs = len(off) - 1, table.shape[1]
@@ -126,20 +131,21 @@ def infer(data: np.ndarray, off: np.ndarray, table: np.ndarray, penalty: float =
     value = single[np.arange(len(full)), lead] - cost
     chosen = np.zeros((len(full), langs))
     chosen[np.arange(len(full)), lead] = 1.0
-    # no set can gain more than all languages do, so most texts need no second one
-    open_ = np.flatnonzero(mixed + SLACK - 2 * cost > value)
-    if len(open_):
+    # no set can gain more than all languages do at best, so most texts need no second one
+    bound = mixed + shortfall(p, begin, count, share)
+    for size in range(2, langs + 1):
+        open_ = np.flatnonzero(bound - size * cost > value)
+        if not len(open_):
+            break
         words = np.repeat(np.isin(np.arange(len(full)), open_), count)
         part, n_words = p[words], count[open_]
-        first_word = np.cumsum(n_words) - n_words
-        for size in range(2, min(langs, MOST_LANGUAGES) + 1):
-            allowed = np.zeros((len(open_), langs))
-            np.put_along_axis(allowed, order[open_, :size], 1.0, 1)
-            fitted, got = expectation(part, first_word, n_words, allowed, rounds)
-            got = got - size * cost[open_]
-            better = got > value[open_]
-            value[open_] = np.where(better, got, value[open_])
-            chosen[open_[better]] = fitted[better]
+        allowed = np.zeros((len(open_), langs))
+        np.put_along_axis(allowed, order[open_, :size], 1.0, 1)
+        fitted, got = expectation(part, np.cumsum(n_words) - n_words, n_words, allowed, rounds)
+        got = got - size * cost[open_]
+        better = got > value[open_]
+        value[open_] = np.where(better, got, value[open_])
+        chosen[open_[better]] = fitted[better]
     best[full], score[full] = chosen.argmax(1), chosen.max(1)
     return best, np.clip(score, 0.0, 1.0)
 

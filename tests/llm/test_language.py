@@ -33,6 +33,16 @@ def test_mixtures(documents, texts):
     assert (pure.lang_pred, other.lang_pred) == ("en", "de") and min(pure.score, other.score) > 0.95
 
 
+def test_a_text_in_four_languages(documents):
+    by = {}
+    for r in documents.collect():
+        if r.lang and len(r.text.split()) > 150:
+            by.setdefault(r.lang, r.text)
+    assert len(by) == 4
+    frame = documents.sparkSession.createDataFrame([(" ".join(" ".join(t.split()[:150]) for t in by.values()),)], "text string")
+    assert 0.24 < langid.identify(frame, langid.fit(documents)).collect()[0].score < 0.29
+
+
 def test_language_of_edge_cases(edges, nothing):
     out = langid.identify(edges, langid.fit(edges))
     rows = out.collect()
