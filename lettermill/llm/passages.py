@@ -1,4 +1,5 @@
-"""Substring de-duplication by relative Lempel-Ziv parsing over words."""
+"""Passage de-duplication by hashes of word windows, in place of relative
+Lempel-Ziv parsing, which is not built."""
 
 from __future__ import annotations
 
@@ -28,12 +29,11 @@ def remove_repeated_passages(docs: DataFrame, window: int = WINDOW, gram: int =
     ``kept_sha256``; columns of those names are replaced.
 
     A word goes if a window of ``window`` words that covers it also starts in a
-    document of smaller id. The reference is cut into blocks by content: runs
-    of windows meet in the block of their anchor, and each run is factored
-    against all runs of smaller ids in its block. A factor is a longest stretch
-    of consecutive windows found there; stretches that touch or overlap, inside
-    a run and across the boundaries of runs, join in the document. Factors
-    shorter than a window are literals and stay.
+    document of smaller id. There is no relative Lempel-Ziv parse: runs of
+    windows meet in the group of their anchor, where the 64-bit hashes of their
+    windows are sorted, and a window goes if an equal one has a smaller id.
+    Windows that touch or overlap, inside a run and across the boundaries of
+    runs, join in the document.
 
     Null texts have no words; a null id is smaller than any other; rows of
     equal id never remove each other's words. Whole copies are removed but for

@@ -241,7 +241,7 @@ def stretches(ident: np.ndarray, th: np.ndarray, pos: np.ndarray, length: int) -
 
 
 def compare(table: pa.Table, length: int, earlier: bool) -> pa.Table:
-    """Factor runs against the runs of their group by window hashes. Windows of
+    """Compare runs with the runs of their group by window hashes. Windows of
     split anchors that this group can't decide come back as records."""
     blobs = [np.frombuffer(b.as_buffer(), U64) for b in table.column("blob")]
     n = np.array([len(b) for b in blobs])
