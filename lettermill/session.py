@@ -27,15 +27,23 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "12g"
     return spark
 
 
+_stand_in: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine) a temporary folder stands in.
+    Only where that is unset and driver and executors are one process (a
+    ``local`` master, as in tests) a temporary folder stands in; a cluster
+    without the setting is refused.
     """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="lettermill-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        app = context.applicationId
+        found = _stand_in[app] = _stand_in.get(app) or tempfile.mkdtemp(prefix="lettermill-")
     return found.rstrip("/")
 
 
@@ -52,6 +60,16 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def durable_buckets(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As ``durable``, but dealt by ``key`` into as many buckets as a shuffle
+    has partitions, so that several joins on ``key`` move the other side only.
+    The table is an external one of the session's catalogue."""
+    spark = df.sparkSession
+    n, table = shuffle_partitions(spark), f"lettermill_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.format("parquet").bucketBy(n, key).option("path", new_path(spark, name)).saveAsTable(table)
+    return spark.table(table)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -86,4 +104,7 @@ def remove_tables(spark: SparkSession) -> None:
     folder, once no DataFrame that reads it is needed any more."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lettermill")
+    for table in spark.catalog.listTables():
+        if table.name.startswith("lettermill_"):
+            spark.sql(f"DROP TABLE IF EXISTS `{table.name}`")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
