@@ -1,5 +1,4 @@
-"""Passage de-duplication by hashes of word windows, in place of relative
-Lempel-Ziv parsing, which is not built."""
+"""Passage de-duplication by relative Lempel-Ziv parsing."""
 
 from __future__ import annotations
 
@@ -9,19 +8,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from lettermill.llm import relative, winnow
 from lettermill.llm import textbytes as tb
-from lettermill.llm import winnow
 
 WINDOW = 50
 GRAM = 8
+WORDS = winnow.Kind(tb.word_spans, tb.word_hashes)
 
 
-def word_symbols(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    starts, ends, first = tb.word_spans(data, off)
-    return tb.word_hashes(data, starts, ends), first
+def parse_block(data: np.ndarray, sym: np.ndarray, edge: np.ndarray, anchor: np.ndarray, ident: np.ndarray, length: int) -> np.ndarray:
+    """Each run of a block, factored against the runs of smaller ids."""
+    return relative.repeated_starts(sym, edge, ident, length)
 
 
 def remove_repeated_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text: str = "text", ident: str = "doc_id") -> DataFrame:
@@ -29,31 +28,30 @@ def remove_repeated_passages(docs: DataFrame, window: int = WINDOW, gram: int =
     ``kept_sha256``; columns of those names are replaced.
 
     A word goes if a window of ``window`` words that covers it also starts in a
-    document of smaller id. There is no relative Lempel-Ziv parse: runs of
-    windows meet in the group of their anchor, where the 64-bit hashes of their
-    windows are sorted, and a window goes if an equal one has a smaller id.
-    Windows that touch or overlap, inside a run and across the boundaries of
-    runs, join in the document.
+    document of smaller id. The corpus is cut by content into reference blocks
+    of runs that share anchors (see ``winnow``). Each block is indexed over its
+    words, and each run is factored greedily against the runs of smaller ids:
+    factors of ``window`` words or more are duplicates, and so are windows over
+    the boundary of two factors that are found when checked. Words are compared
+    by their 64-bit hashes, one by one.
 
     Null texts have no words; a null id is smaller than any other; rows of
-    equal id never remove each other's words. Whole copies are removed but for
-    those of the smallest id. An empty table gives an empty result.
+    equal id never remove each other's words, so repeated rows with one id
+    stay, and ties need no order. Whole copies are removed but for those of the
+    smallest id. Very long texts are listed in overlapping pieces. Other
+    columns are kept whatever their names. An empty table gives an empty result.
     """
     new = {"kept_text": StringType(), "n_words": LongType(), "n_removed": LongType(), "kept_sha256": StringType()}
     docs = docs.drop(*new)
-    rows = winnow.keyed(docs, text, ident)
-    found, copies = winnow.repeated_windows(rows, text, word_symbols, window, gram, True, tb.CHUNK_BYTES)
-    joined = winnow.with_stretches(rows, found)
-    names = docs.columns
+    rows, names = winnow.aside(docs, text, ident)
+    joined = winnow.with_stretches(rows, winnow.repeated_windows(rows, WORDS, window, gram, True, parse_block))
     schema = StructType([*docs.schema.fields, *(StructField(k, t) for k, t in new.items())])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, off in tb.chunks(batches, text):
+        for part, data, off in tb.chunks(batches, "body"):
             starts, ends, first = tb.word_spans(data, off)
-            gone = winnow.covered(part.column(part.schema.get_field_index("__cut")), first)
+            gone = winnow.covered(part.column(part.schema.get_field_index("cut")), first)
             n = np.diff(first)
-            _, spare = winnow.copy_state(part, copies)
-            gone |= np.repeat(spare & (n >= window), n)
             keep = np.flatnonzero(~gone)
             norm, _, stop = tb.joined(data, starts[keep], ends[keep])
             edge = np.r_[0, stop + 1][np.searchsorted(keep, first)]
@@ -61,7 +59,7 @@ def remove_repeated_passages(docs: DataFrame, window: int = WINDOW, gram: int =
             kept = [raw[a : max(a, b - 1)] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
             removed = n - np.diff(np.searchsorted(keep, first))
             values = [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n), pa.array(removed), pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
-            yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in names), *values], schema.names)
+            yield pa.RecordBatch.from_arrays([*winnow.back(part, names, text), *values], schema.names)
 
     return tb.map_arrow(joined, finish, schema)
 

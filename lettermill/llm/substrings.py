@@ -12,161 +12,31 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 
 from lettermill.llm import textbytes as tb
 from lettermill.llm import winnow
+from lettermill.llm.runindex import RunLengthIndex
 
 LENGTH = 400
 GRAM = 100
-CHUNK = 1 << 20
 INDEX_BYTES = 1 << 21
+BYTES = winnow.Kind(lambda data, off: (None, None, off), lambda data, starts, ends: tb.BYTE_CODE[data])
 
 
-def byte_symbols(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return tb.BYTE_CODE[data], off
-
-
-def suffix_order(text: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
-    """The suffix array, by prefix doubling from 8 bytes on, and for each level
-    the rank of every position by its next so many bytes (zeros after the end)."""
-    n = len(text)
-    padded = np.r_[text, np.zeros(8, np.uint8)]
-    key = np.ndarray((n,), ">u8", padded.tobytes(), 0, (1,)).astype(np.uint64)
-    sa = np.argsort(key)
-    sorted_key = key[sa]
-    new = np.r_[True, sorted_key[1:] != sorted_key[:-1]]
-    rank = np.empty(n + 1, np.int64)
-    rank[n] = -1
-    rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    levels, size = {8: rank[:n].astype(np.int32)}, 8
-    while not new.all():
-        single = new & np.r_[new[1:], True]
-        open_ = np.flatnonzero(~single)
-        at = sa[open_]
-        pair = (rank[at] << 32) | (rank[np.minimum(at + size, n)] + 1)
-        order = np.argsort(pair)
-        pair = pair[order]
-        sa[open_] = at[order]
-        first = np.r_[True, pair[1:] != pair[:-1]]
-        new[open_] = first
-        rank[at[order]] = open_[np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))]
-        size *= 2
-        levels[size] = rank[:n].astype(np.int32)
-    return sa, levels
-
-
-def common_prefix(a: np.ndarray, b: np.ndarray, n: int, levels: dict[int, np.ndarray], text: np.ndarray) -> np.ndarray:
-    """Length of the longest common prefix of the suffixes at ``a`` and ``b``."""
-    out = np.zeros(len(a), np.int64)
-    for size in sorted(levels, reverse=True):
-        rank = levels[size]
-        while True:
-            x, y = a + out, b + out
-            ok = (np.maximum(x, y) + size <= n) & (rank[np.minimum(x, n - 1)] == rank[np.minimum(y, n - 1)])
-            if not ok.any():
-                break
-            out[ok] += size
-    for _ in range(8):
-        x, y = a + out, b + out
-        out += (np.maximum(x, y) < n) & (text[np.minimum(x, n - 1)] == text[np.minimum(y, n - 1)])
-    return out
-
-
-class RunLengthIndex:
-    """A run-compressed Burrows-Wheeler transform with the suffix array sampled
-    at both ends of every run (the r-index)."""
-
-    def __init__(self, text: np.ndarray):
-        self.text, self.n = text, len(text)
-        sa, self.levels = suffix_order(text)
-        bwt = text[sa - 1]
-        change = np.flatnonzero(bwt[1:] != bwt[:-1]) + 1
-        # the first suffix has no letter before it: its place is a run of its own
-        zero = int(np.flatnonzero(sa == 0)[0])
-        change = np.unique(np.r_[change, [k for k in (zero, zero + 1) if 0 < k < self.n]]).astype(np.int64)
-        self.run_letters = bwt[np.r_[0, change]]
-        self.run_begin, self.run_end = sa[np.r_[0, change]], sa[np.r_[change - 1, self.n - 1]]
-
-    def long_matches(self, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """``(start, matched)`` of all irreducible matches of ``length`` or more.
-
-        Streaming a text of the index through it, the matching statistic of a
-        position (against all others) falls by one from position to position
-        but at run ends: the longest match of any position is the one begun at
-        the last sampled run end or start, less the distance. So the samples
-        on both sides of every run boundary give all statistics.
-        """
-        a, b = self.run_end[:-1], self.run_begin[1:]
-        for size in sorted(self.levels, reverse=True):  # cheap refusal first
-            if size <= length:
-                rank = self.levels[size]
-                ok = (np.maximum(a, b) + length <= self.n) & (rank[a] == rank[b])
-                a, b = a[ok], b[ok]
-                break
-        matched = common_prefix(a, b, self.n, self.levels, self.text)
-        ok = matched >= length
-        yield a[ok], matched[ok]
-        yield b[ok], matched[ok]
-
-
-def repeated_starts(segments: list[bytes], length: int) -> list[np.ndarray]:
-    """For each segment, which of its windows also start elsewhere among the
-    segments. No segment holds a zero byte."""
-    text = np.frombuffer(b"\0".join(segments) + b"\0", np.uint8)
-    edge = np.zeros(len(text) + 1, np.int64)
-    for start, matched in RunLengthIndex(text).long_matches(length):
-        np.add.at(edge, start, 1)
-        np.add.at(edge, start + matched - length + 1, -1)
-    dup = np.cumsum(edge) > 0
-    at = np.cumsum([0] + [len(s) + 1 for s in segments])
-    return [dup[a : a + len(s) - length + 1] for a, s in zip(at[:-1].tolist(), segments, strict=True)]
-
-
-def index_block(table: pa.Table, length: int) -> pa.Table:
-    """Mark the windows of a block's segments by run-length indexes. Equal
-    segments of an anchor are indexed once; segments of one anchor always share
-    an index, whose size is held near ``INDEX_BYTES``."""
-    anchor, ident, th, first = (table.column(c).to_numpy() for c in ("anchor", "id", "th", "first"))
-    blobs = table.column("blob").to_pylist()
+def index_block(data: np.ndarray, sym: np.ndarray, edge: np.ndarray, anchor: np.ndarray, ident: np.ndarray, length: int) -> np.ndarray:
+    """Which strings of ``length`` bytes of a block's segments start elsewhere
+    in the block too. Segments of one anchor always share an index, whose size
+    is held near ``INDEX_BYTES``."""
+    out = np.zeros(len(data), bool)
     order = np.argsort(anchor, kind="stable")
-    out: list[tuple[int, np.ndarray]] = []
-    odd: list[int] = []
-    held: dict[bytes, list[int]] = {}
-    size = 0
-
-    def flush() -> None:
-        nonlocal held, size
-        single = [s for s, rows in held.items() if len(rows) == 1]
-        index = dict(zip(held, repeated_starts(list(held), length), strict=True)) if single and len(held) > 1 else {}
-        for s, rows in held.items():
-            dup = np.ones(len(s) - length + 1, bool) if len(rows) > 1 else index.get(s)
-            if dup is not None and dup.any():
-                out.extend((r, np.flatnonzero(dup)) for r in rows)
-        held, size = {}, 0
-
-    last = None
-    for k in order.tolist():
-        if 0 in blobs[k]:
-            odd.append(k)
+    size = np.diff(edge)[order]
+    last = np.r_[anchor[order][1:] != anchor[order][:-1], True]
+    begin = 0
+    for k in np.flatnonzero(last).tolist():
+        if (total := int(size[begin : k + 1].sum())) < INDEX_BYTES and k + 1 < len(order):
             continue
-        if size >= INDEX_BYTES and anchor[k] != last:
-            flush()
-        last = anchor[k]
-        if blobs[k] not in held:
-            held[blobs[k]] = []
-            size += len(blobs[k])
-        held[blobs[k]].append(k)
-    flush()
-    # a zero byte parts segments in the index, so segments that hold one, and all of their anchors, are compared by hashes
-    if odd:
-        same = np.flatnonzero(np.isin(anchor, anchor[odd]))
-        prints = [winnow.grams(tb.BYTE_CODE[np.frombuffer(blobs[k], np.uint8)], length).tobytes() for k in same.tolist()]
-        part = table.take(pa.array(same))
-        part = part.set_column(part.schema.get_field_index("blob"), "blob", pa.array(prints, pa.binary()))
-        extra = winnow.compare(part, length, False)
-    rows = np.concatenate([np.full(len(w), r) for r, w in out] + [np.zeros(0, np.int64)]).astype(np.int64)
-    windows = np.concatenate([w for _, w in out] + [np.zeros(0, np.int64)]).astype(np.int64)
-    found = winnow.stretches(ident[rows], th[rows], first[rows] + windows, length)
-    none = pa.nulls(found.num_rows)
-    found = found.append_column("anchor", none.cast(pa.int64())).append_column("salt", none.cast(pa.int64())).append_column("blob", none.cast(pa.binary()))
-    return pa.concat_tables([found, extra]) if odd else found
+        rows, n = order[begin : k + 1], size[begin : k + 1]
+        place = np.repeat(edge[rows] - (np.cumsum(n) - n), n) + np.arange(total)
+        out[place] = RunLengthIndex(data[place], np.r_[0, np.cumsum(n)], length).stream(length)
+        begin = k + 1
+    return out
 
 
 def remove_repeated_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "text", ident: str = "doc_id") -> DataFrame:
@@ -175,37 +45,38 @@ def remove_repeated_substrings(docs: DataFrame, length: int = LENGTH, gram: int
 
     A byte goes if a string of ``length`` bytes that covers it also starts
     anywhere else, in the same text or another; strings are judged on the
-    input. The corpus is cut into blocks by content (see ``winnow``); each
-    block is indexed by its run-length compressed transform, whose samples give
-    the matching statistics of its own texts, and long matches are marked.
-    Anchors with very many runs are compared by window hashes instead.
-
-    Null texts are empty; rows of equal or null id are documents like others;
-    whole copies of at least ``length`` bytes lose everything. An empty table
-    gives an empty result.
+    input. The corpus is cut into blocks by content (see ``winnow``). Each block
+    is indexed by its run-length compressed transform with samples at the ends
+    of runs; all of its texts are streamed through it, and where their matching
+    statistics reach ``length`` they are marked.
+
+    Null texts are empty; rows of equal or null id are documents like others,
+    repeated rows repeat each other's strings, and ties need no order; whole
+    copies of at least ``length`` bytes lose everything. Very long texts are
+    listed in overlapping pieces. Other columns are kept whatever their names.
+    An empty table gives an empty result.
     """
     new = {"kept_bytes": BinaryType(), "n_bytes": LongType(), "n_removed": LongType(), "n_spans": LongType(), "kept_sha256": StringType()}
     docs = docs.drop(*new)
-    rows = winnow.keyed(docs, text, ident)
-    found, copies = winnow.repeated_windows(rows, text, byte_symbols, length, gram, False, CHUNK, index_block)
-    joined = winnow.with_stretches(rows, found)
-    names = docs.columns
+    rows, names = winnow.aside(docs, text, ident)
+    joined = winnow.with_stretches(rows, winnow.repeated_windows(rows, BYTES, length, gram, False, index_block))
     schema = StructType([*docs.schema.fields, *(StructField(k, t) for k, t in new.items())])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, off in tb.chunks(batches, text, CHUNK):
+        for part, data, off in tb.chunks(batches, "body"):
             n = np.diff(off)
-            gone = winnow.covered(part.column(part.schema.get_field_index("__cut")), off)
-            copied, _ = winnow.copy_state(part, copies)
-            gone |= np.repeat(copied & (n >= length), n)
-            text_of = np.repeat(np.arange(len(n)), n)
-            begin = gone & ~np.r_[False, gone[:-1] & (text_of[1:] == text_of[:-1])][: len(gone)]
-            spans = np.bincount(text_of[begin], minlength=len(n))
+            gone = winnow.covered(part.column(part.schema.get_field_index("cut")), off)
+            # a removed run begins at a text's first byte or behind a kept one
+            fresh = gone.copy()
+            fresh[1:] &= ~gone[:-1]
+            heads = off[:-1][n > 0]
+            fresh[heads] = gone[heads]
+            spans = np.diff(np.searchsorted(np.flatnonzero(fresh), off))
             raw = data[~gone].tobytes()
-            edge = np.r_[0, np.cumsum(~gone)][off]
+            edge = off - np.searchsorted(np.flatnonzero(gone), off)
             kept = [raw[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
             values = [pa.array(kept, pa.binary()), pa.array(n), pa.array(n - np.diff(edge)), pa.array(spans), pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
-            yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in names), *values], schema.names)
+            yield pa.RecordBatch.from_arrays([*winnow.back(part, names, text), *values], schema.names)
 
     return tb.map_arrow(joined, finish, schema)
 

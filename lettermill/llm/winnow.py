@@ -4,8 +4,9 @@ A window is ``length`` consecutive symbols. Its anchor is the gram of ``gram``
 symbols in it with the smallest hash (the leftmost of equals), so equal windows
 have equal anchors, and a corpus needs about one anchor for each half window.
 Consecutive windows that share an anchor are a run; each window is in exactly
-one. Only runs whose anchor occurs elsewhere can hold a repeated window, so
-only these travel: to the group of their anchor, where they are compared.
+one. Only runs whose anchor also stands in a run of another content can hold a
+window that is repeated without its whole run, so only these travel: to the
+block of their anchor, where an index of the block finds what is repeated.
 """
 
 from __future__ import annotations
@@ -18,14 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.llm import sharedfiles
 from lettermill.llm import textbytes as tb
-from lettermill.session import durable, new_path, ship, shuffle_partitions
+from lettermill.session import durable, durable_buckets, ship, shuffle_partitions
 
 GROUP_RUNS = 256
 BUCKET_RUNS = 4096
-POSITION_BITS = 28
 U64 = np.uint64
+NULL_ID = -(2**63)
 
 
 def grams(x: np.ndarray, n: int) -> np.ndarray:
@@ -58,10 +58,11 @@ class Runs:
 
 
 def runs_of(symbols: np.ndarray, off: np.ndarray, length: int, gram: int) -> Runs:
+    """The runs of texts of less than 2**28 symbols together."""
     g = grams(symbols, gram)
     if len(symbols) < length:
         return Runs(*(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, U64), np.zeros(0, np.int64))
-    low = U64((1 << POSITION_BITS) - 1)
+    low = U64((1 << 28) - 1)
     best = tb.window_min((g & ~low) | np.arange(len(g), dtype=U64), length - gram + 1) & low
     n = np.maximum(np.diff(off) - length + 1, 0)
     text = np.repeat(np.arange(len(n)), n)
@@ -72,223 +73,204 @@ def runs_of(symbols: np.ndarray, off: np.ndarray, length: int, gram: int) -> Run
     return Runs(t, start[begin] - off[t], np.diff(np.r_[begin, len(pos)]), g[pos[begin]], start[begin])
 
 
-def copies_map(docs: DataFrame, text: str) -> sharedfiles.SharedMap:
-    """Texts that occur in more than one row: hash -> second hash, smallest id."""
-    ident = docs.select("__id", "__th", F.xxhash64(F.lit(1), text).alias("v"))
-    classes = ident.groupBy("__th", "v").agg(F.count("*").alias("n"), F.min("__id").alias("least")).where("n > 1")
-    one = classes.groupBy("__th").agg(F.min(F.struct("v", "least")).alias("s")).select("__th", "s.v", "s.least")
-    return sharedfiles.write_map(one, new_path(docs.sparkSession, "copies"), 4)[0]
-
-
-def copy_state(part: pa.RecordBatch, copies: sharedfiles.SharedMap) -> tuple[np.ndarray, np.ndarray]:
-    """Which texts have copies, and which of them are not the one of smallest id."""
-    th, v, ident = (part.column(part.schema.get_field_index(c)).to_numpy() for c in ("__th", "__tv", "__id"))
-    found, want, least = copies.look_up(th.view(U64))
-    found &= want == v
-    return found, found & (ident > least)
-
-
-def keyed(docs: DataFrame, text: str, ident: str) -> DataFrame:
-    """With the id (null: the smallest long) and two hashes of the text."""
-    return docs.withColumns({"__id": F.coalesce(F.col(ident).cast("long"), F.lit(-(2**63))), "__th": F.xxhash64(text), "__tv": F.xxhash64(F.lit(1), text)})
+@dataclass(frozen=True)
+class Kind:
+    """What a symbol is: ``edges`` finds the symbols of some texts (starts and
+    ends in the bytes, and the texts' n+1 positions among them; starts are None
+    if each byte is one), ``codes`` hashes some of them. A text of more than
+    ``piece`` symbols is read in pieces."""
+
+    edges: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray | None, np.ndarray | None, np.ndarray]]
+    codes: Callable[[np.ndarray, np.ndarray | None, np.ndarray | None], np.ndarray]
+    piece: int = 1 << 20
+
+    def pieces(self, data: np.ndarray, off: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """Symbols, offsets and place of the first one. A text of more than
+        ``piece`` symbols comes in overlapping pieces: each window lies in
+        exactly one."""
+        starts, ends, first = self.edges(data, off)
+        cut = lambda x, a, b: None if x is None else x[a:b]
+        if len(first) != 2 or first[-1] <= self.piece + length:
+            yield self.codes(data, starts, ends), first, 0
+            return
+        n = int(first[-1])
+        for a in range(0, n - length + 1, self.piece):
+            b = min(a + self.piece + length - 1, n)
+            part = self.codes(data[a:b] if starts is None else data, cut(starts, a, b), cut(ends, a, b))
+            yield part, np.array([0, b - a]), a
+
+
+def aside(docs: DataFrame, text: str, ident: str) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """``docs`` under names that can't clash, with ``uid`` (a number of the
+    row), ``id`` (null: the smallest long) and ``body``, dealt into buckets by
+    ``uid``; and (new, old) names."""
+    ship(docs.sparkSession)
+    names = [(f"c{k}", c) for k, c in enumerate(docs.columns)]
+    rest = [docs[c].alias(n) for n, c in names if c != text]
+    rows = docs.select(*rest, F.coalesce(docs[ident].cast("long"), F.lit(NULL_ID)).alias("id"), docs[text].alias("body"))
+    rows = rows.withColumn("uid", F.monotonically_increasing_id())
+    return durable_buckets(rows, "texts", "uid"), names
+
+
+def back(part: pa.RecordBatch, names: list[tuple[str, str]], text: str) -> list[pa.Array]:
+    """The columns that ``aside`` renamed, in their order."""
+    return [part.column(part.schema.get_field_index("body" if old == text else new)) for new, old in names]
+
+
+SENT = ["bucket", "anchor", "content", "shares", "uid", "id", "first", "blob"]
+STRETCH = "uid long, a long, b long"
+STRETCH_OR_OPEN = STRETCH + ", anchor long, salt long, blob binary"
+RECORD = np.dtype([("print", U64), ("id", np.int64), ("uid", np.int64), ("pos", np.int64), ("many", np.int64)])
 
 
-def repeated_windows(
-    docs: DataFrame,
-    text: str,
-    symbols: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]],
-    length: int,
-    gram: int,
-    earlier: bool,
-    chunk: int,
-    block: Callable | None = None,
-) -> tuple[DataFrame, sharedfiles.SharedMap]:
-    """``(id, th, a, b)``: stretches of symbols covered by windows that occur
+def repeated_windows(rows: DataFrame, kind: Kind, length: int, gram: int, earlier: bool, block: Callable) -> DataFrame:
+    """``(uid, a, b)``: stretches of symbols covered by windows that occur
     elsewhere too (``earlier``: in a text of smaller id).
 
-    ``docs`` comes from ``keyed``. Whole copies stand for each other: only the
-    one of smallest id takes part, and the map of copies is returned for the
-    rest. Runs are counted first, by anchor and content; the counts, as sorted
-    arrays in the shared folder, tell the second pass which runs are equal as a
-    whole and which differ from others of their anchor. Of equal runs only the
-    one of smallest id is sent. The runs of an anchor with
-    more than ``GROUP_RUNS`` of them are dealt by text over several groups;
-    each group decides what it can and passes on one window of each kind,
-    dealt by the window's hash, so that no group grows with the corpus.
-    ``block`` compares the runs of the other anchors (by the symbols
-    themselves); without it they are compared by window hashes.
+    ``rows`` comes from ``aside``. Runs are listed without their text and
+    joined with what is known of their content (how often, smallest id) and
+    anchor (how many contents). A run whose whole content occurs elsewhere is
+    a stretch at once, and of its kind only one place (``earlier``: those of
+    the smallest id) is sent on. Runs of an anchor with several contents go, as
+    bytes, to the block of their anchor, and ``block`` tells which windows of
+    which runs are repeated. The runs of an anchor with more than
+    ``GROUP_RUNS`` contents are dealt over several blocks; what these leave
+    undecided meets once more, one window of each kind from each block, dealt
+    by the window's hash. So no block grows with the corpus. All joins are on
+    exchanged tables, where AQE may split a hot key.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    copies = copies_map(docs, text)
-    slim = docs.select("__id", "__th", "__tv", text)
+    spark = rows.sparkSession
     parts = shuffle_partitions(spark)
 
-    def contents(sym: np.ndarray, runs: Runs) -> tuple[np.ndarray, np.ndarray]:
-        """Window hashes, and a hash of each run's symbols: a run has fewer
-        windows than a window has symbols, so its first and last hold them all."""
-        prints = grams(sym, length)
-        ends = prints[runs.at] * tb.RATIO + prints[runs.at + runs.count - 1] if len(runs.at) else np.zeros(0, U64)
-        return prints, tb.mix64(ends + runs.count.astype(U64)) ^ runs.anchor
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, off in tb.chunks(batches, text, chunk):
-            sym, off = symbols(data, off)
-            runs = runs_of(sym, off, length, gram)
-            _, spare = copy_state(part, copies)
-            mine = ~spare[runs.text]
-            content = contents(sym, runs)[1][mine]
-            ident = part.column(0).to_numpy()[runs.text[mine]]
-            yield pa.RecordBatch.from_arrays([pa.array(runs.anchor[mine].view(np.int64)), pa.array(content.view(np.int64)), pa.array(ident)], ["anchor", "content", "id"])
-
-    found = tb.map_arrow(slim, count, "anchor long, content long, id long").groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
-    found = durable(found, "runs")
-    bits = max(2, min(12, parts.bit_length() - 1))
-    # one run of a content is all that travels; with one content an anchor has nothing to compare
-    seen = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("n > 1")
-    seen = (seen.where("lo < hi") if earlier else seen).select("anchor", "n")
-    repeated, _, n_runs = sharedfiles.write_map(seen, new_path(spark, "anchors"), bits)
-    same = found.where("lo < hi" if earlier else "n > 1").groupBy("content").agg(F.min("lo").alias("lo"))
-    same = sharedfiles.write_map(same, new_path(spark, "contents"), bits)[0]
-    buckets = max(4 * parts, -(-n_runs // BUCKET_RUNS))
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, off in tb.chunks(batches, "body"):
+            uid, ident = part.column(0).to_numpy(), part.column(1).to_numpy()
+            for sym, edge, base in kind.pieces(data, off, length):
+                runs, prints = runs_of(sym, edge, length, gram), grams(sym, length)
+                # a run has fewer windows than a window has symbols, so its first and last window hold it all
+                ends = prints[runs.at] * tb.RATIO + prints[runs.at + runs.count - 1] if len(runs.at) else np.zeros(0, U64)
+                content = tb.mix64(ends + runs.count.astype(U64)) ^ runs.anchor
+                columns = (uid[runs.text], ident[runs.text], runs.first + base, runs.count, runs.anchor.view(np.int64), content.view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["uid", "id", "first", "n", "anchor", "content"])
+
+    runs = durable(tb.map_arrow(rows.select("uid", "id", "body"), listed, "uid long, id long, first long, n long, anchor long, content long"), "runs")
+    found = runs.groupBy("anchor", "content").agg(F.count("*").alias("places"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.min(F.struct("id", "uid", "first")).alias("one"))
+    found = durable(found, "contents")
+    shared = found.groupBy("anchor").agg(F.count("*").alias("m"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("m > 1")
+    shared = shared.where("lo < hi") if earlier else shared
+    known = found.join(shared.select("anchor", "m"), "anchor", "left")
+    known = durable(known.where(F.col("m").isNotNull() | (F.expr("lo < hi") if earlier else F.expr("places > 1"))), "known")
+    n_sent = known.where("m is not null").count()
+    buckets = max(parts, -(-n_sent // BUCKET_RUNS))
+
+    marked = runs.join(known, ["anchor", "content"])
+    whole = marked.where("id > lo" if earlier else "places > 1").select("uid", F.col("first").alias("a"), (F.col("first") + F.col("n") - 1 + length).alias("b"))
+    first_place = F.col("id") == F.col("lo") if earlier else (F.col("uid") == F.col("one.uid")) & (F.col("first") == F.col("one.first"))
+    wanted = marked.where(F.col("m").isNotNull() & first_place).groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("first", "n", "anchor", "content", "m"))).alias("runs"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, off in tb.chunks(batches, text, chunk):
-            sym, off = symbols(data, off)
-            runs = runs_of(sym, off, length, gram)
-            _, spare = copy_state(part, copies)
-            prints, content = contents(sym, runs)
-            ident, th = part.column(0).to_numpy()[runs.text], part.column(1).to_numpy()[runs.text]
-            equal, least = same.look_up(content)
-            whole = equal & ~spare[runs.text] & ((ident > least) if earlier else True)
-            n_whole = runs.count[whole]
-            windows = np.repeat(runs.first[whole] - (np.cumsum(n_whole) - n_whole), n_whole) + np.arange(int(n_whole.sum()))
-            known = stretches(np.repeat(ident[whole], n_whole), np.repeat(th[whole], n_whole), windows, length)
-            found, n = repeated.look_up(runs.anchor)
-            take = np.flatnonzero(found & ~spare[runs.text] & ~(equal & (ident > least)))
-            ident, th = ident[take], th[take]
-            shares = -(-n[take] // GROUP_RUNS)
-            sub = (tb.mix64(th.view(U64) ^ ident.view(U64)) % shares.astype(U64)).astype(np.int64)
-            anchor = runs.anchor[take]
-            bucket = (tb.mix64(anchor + sub.astype(U64) * tb.RATIO) % U64(buckets)).astype(np.int64)
-            blobs = []
-            for at, size, many in zip(runs.at[take].tolist(), runs.count[take].tolist(), (shares > 1).tolist(), strict=True):
-                raw = block is not None and not many
-                blobs.append(data[at : at + size + length - 1].tobytes() if raw else prints[at : at + size].tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket), pa.array(anchor.view(np.int64)), pa.array(sub), pa.array(shares), pa.array(ident), pa.array(th), pa.array(runs.first[take]), pa.array(np.zeros(len(take), np.int64)), pa.array(blobs, pa.binary())],
-                SENT,
-            )
-            ids = known.column("id").to_numpy()
-            zero = np.zeros(len(ids), np.int64)
-            bucket = (tb.mix64(ids.view(U64)) % U64(buckets)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*map(pa.array, (bucket, zero, zero, zero, ids, known.column("th").to_numpy(), known.column("a").to_numpy(), known.column("b").to_numpy())), pa.nulls(len(ids), pa.binary())], SENT)
-
-    sent = tb.map_arrow(slim, send, ", ".join(f"{c} {'binary' if c == 'blob' else 'long'}" for c in SENT))
+        for part, data, off in tb.chunks(batches, "body"):
+            starts, ends, edge = kind.edges(data, off)
+            lens = np.diff(np.asarray(part.column(3).offsets))
+            flat = part.column(3).flatten()
+            first, n, anchor, content, m = (flat.field(c).to_numpy() for c in ("first", "n", "anchor", "content", "m"))
+            text = np.repeat(np.arange(part.num_rows), lens)
+            shares = -(-m // GROUP_RUNS)
+            sub = tb.mix64(content.view(U64)) % shares.astype(U64)
+            bucket = (tb.mix64(anchor.view(U64) + sub * tb.RATIO) % U64(buckets)).astype(np.int64)
+            at = edge[text] + first
+            a, b = (at, at + n + length - 1) if starts is None else (starts[at], ends[at + n + length - 2])
+            blobs = [data[i:j].tobytes() for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+            columns = [bucket, anchor, content, shares, part.column(0).to_numpy()[text], part.column(1).to_numpy()[text], first]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(blobs, pa.binary())], SENT)
+
+    sent = tb.map_arrow(rows.select("uid", "id", "body").join(wanted, "uid"), send, ", ".join(f"{c} {'binary' if c == 'blob' else 'long'}" for c in SENT))
 
     def meet(table: pa.Table) -> pa.Table:
-        shares = table.column("shares").to_numpy()
-        done = table.take(pa.array(np.flatnonzero(shares == 0)))
-        out = [pa.table({"id": done.column("id"), "th": done.column("th"), "a": done.column("first"), "b": done.column("b"), "anchor": pa.nulls(done.num_rows, pa.int64()), "salt": pa.nulls(done.num_rows, pa.int64()), "blob": pa.nulls(done.num_rows, pa.binary())})]
-        direct = np.flatnonzero((shares == 1) & (block is not None))
-        if len(direct):
-            out.append(block(table.take(pa.array(direct)), length))
-        rest = np.flatnonzero((shares > 1) | ((shares == 1) & (block is None)))
-        if len(rest):
-            out.append(compare(table.take(pa.array(rest)), length, earlier))
-        return pa.concat_tables(out)
+        column = {c: table.column(c).to_numpy() for c in SENT[:-1]}
+        blobs = table.column("blob").combine_chunks()
+        off = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + len(blobs) + 1].astype(np.int64)
+        data = np.frombuffer(blobs.buffers()[2], np.uint8)[off[0] : off[-1]]
+        starts, ends, edge = kind.edges(data, off - off[0])
+        sym = kind.codes(data, starts, ends)
+        dup = block(data, sym, edge, column["anchor"], column["id"], length)  # for each symbol whether the window from it is repeated
+        windows = np.maximum(np.diff(edge) - length + 1, 0)
+        row = np.repeat(np.arange(len(windows)), windows)
+        at = np.repeat(edge[:-1] - (np.cumsum(windows) - windows), windows) + np.arange(len(row))
+        pos = column["first"][row] + at - edge[row]
+        out = stretches(column["uid"][row][dup[at]], pos[dup[at]], length)
+        none = pa.nulls(out.num_rows, pa.int64())
+        out = out.append_column("anchor", none).append_column("salt", none).append_column("blob", pa.nulls(out.num_rows, pa.binary()))
+        # windows of a split anchor may also stand in another block
+        open_ = column["shares"][row] > 1
+        if earlier:
+            open_ &= ~dup[at]
+        if not open_.any():
+            return out
+        row, at, pos = row[open_], at[open_], pos[open_]
+        prints, anchor = grams(sym, length)[at], column["anchor"][row]
+        # one of a kind speaks for all that are decided: if there are several, or no id can be smaller
+        alone = (column["id"][row] != NULL_ID) & earlier
+        once = np.r_[np.flatnonzero(alone), np.flatnonzero(~alone)[np.unique((prints ^ tb.mix64(anchor.view(U64)))[~alone], return_index=True)[1]]]
+        if len(once) < len(row):
+            row, at, pos, prints, anchor = (x[once] for x in (row, at, pos, prints, anchor))
+        record = np.zeros(len(row), RECORD)
+        for name, values in (("print", prints), ("id", column["id"][row]), ("uid", column["uid"][row]), ("pos", pos), ("many", dup[at])):
+            record[name] = values
+        salt = (tb.mix64(prints) % column["shares"][row].astype(U64)).astype(np.int64)
+        by = np.lexsort((salt, anchor))
+        record, anchor, salt = record[by], anchor[by], salt[by]
+        begin = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1])])
+        packed = [record[a:b].tobytes() for a, b in zip(begin.tolist(), np.r_[begin[1:], len(record)].tolist(), strict=True)]
+        zero = pa.array(np.zeros(len(begin), np.int64))
+        return pa.concat_tables([out, pa.table({"uid": zero, "a": zero, "b": zero, "anchor": anchor[begin], "salt": salt[begin], "blob": pa.array(packed, pa.binary())})])
 
     met = durable(sent.groupBy("bucket").applyInArrow(meet, STRETCH_OR_OPEN), "windows")
 
     def settle(table: pa.Table) -> pa.Table:
-        cols = [np.concatenate([np.frombuffer(b.as_buffer(), k) for b in table.column("blob")]) for k in (RECORD,)][0]
-        dup = decide(np.zeros(len(cols), np.int64), cols["print"], cols["id"], cols["many"], earlier)
-        hit = cols[dup & (cols["many"] == 0)] if not earlier else cols[dup]
-        return stretches(hit["id"], hit["th"], hit["pos"], length)
+        got = np.concatenate([np.frombuffer(b.as_buffer(), RECORD) for b in table.column("blob")])
+        dup = decide(got["print"], got["id"], got["many"], earlier)
+        hit = got[dup if earlier else dup & (got["many"] == 0)]
+        return stretches(hit["uid"], hit["pos"], length)
 
     late = met.where("blob is not null").groupBy("anchor", "salt").applyInArrow(settle, STRETCH)
-    return met.where("blob is null").select("id", "th", "a", "b").unionByName(late), copies
-
+    return whole.unionByName(met.where("blob is null").select("uid", "a", "b")).unionByName(late)
 
-SENT = ["bucket", "anchor", "sub", "shares", "id", "th", "first", "b", "blob"]
-STRETCH = "id long, th long, a long, b long"
-STRETCH_OR_OPEN = STRETCH + ", anchor long, salt long, blob binary"
-RECORD = np.dtype([("print", U64), ("id", np.int64), ("th", np.int64), ("pos", np.int64), ("many", np.int64)])
 
-
-def decide(group: np.ndarray, prints: np.ndarray, ident: np.ndarray, many: np.ndarray, earlier: bool) -> np.ndarray:
-    """For each window: whether an equal one of its group has a smaller id, or
-    (not ``earlier``) whether there is an equal one."""
-    order = np.lexsort((ident, prints, group))
-    g, p, i, m = group[order], prints[order], ident[order], many[order]
-    new = np.r_[True, (g[1:] != g[:-1]) | (p[1:] != p[:-1])] if len(p) else np.zeros(0, bool)
-    begin = np.flatnonzero(new)
-    which = np.cumsum(new) - 1
+def decide(prints: np.ndarray, ident: np.ndarray, many: np.ndarray, earlier: bool) -> np.ndarray:
+    """For each window: whether an equal one has a smaller id, or (not
+    ``earlier``) whether there is an equal one."""
+    order = np.lexsort((ident, prints))
+    p, i, m = prints[order], ident[order], many[order]
     out = np.zeros(len(p), bool)
     if len(p):
+        new = np.r_[True, p[1:] != p[:-1]]
+        begin, which = np.flatnonzero(new), np.cumsum(new) - 1
         out[order] = i > i[begin][which] if earlier else (np.add.reduceat(1 + m, begin) > 1)[which]
     return out
 
 
-def stretches(ident: np.ndarray, th: np.ndarray, pos: np.ndarray, length: int) -> pa.Table:
+def stretches(uid: np.ndarray, pos: np.ndarray, length: int) -> pa.Table:
     """Windows that follow each other, as stretches of symbols."""
-    order = np.lexsort((pos, th, ident))
-    ident, th, pos = ident[order], th[order], pos[order]
-    new = np.r_[True, (ident[1:] != ident[:-1]) | (th[1:] != th[:-1]) | (pos[1:] > pos[:-1] + length)] if len(pos) else np.zeros(0, bool)
+    order = np.lexsort((pos, uid))
+    uid, pos = uid[order], pos[order]
+    new = np.r_[True, (uid[1:] != uid[:-1]) | (pos[1:] > pos[:-1] + length)] if len(pos) else np.zeros(0, bool)
     begin = np.flatnonzero(new)
     last = np.r_[begin[1:], len(pos)] - 1 if len(begin) else begin
-    return pa.table({"id": ident[begin], "th": th[begin], "a": pos[begin], "b": pos[last] + length})
-
-
-def compare(table: pa.Table, length: int, earlier: bool) -> pa.Table:
-    """Compare runs with the runs of their group by window hashes. Windows of
-    split anchors that this group can't decide come back as records."""
-    blobs = [np.frombuffer(b.as_buffer(), U64) for b in table.column("blob")]
-    n = np.array([len(b) for b in blobs])
-    col = {c: np.repeat(table.column(c).to_numpy(), n) for c in ("anchor", "sub", "shares", "id", "th", "first")}
-    prints = np.concatenate(blobs)
-    pos = col["first"] + np.arange(len(prints)) - np.repeat(np.cumsum(n) - n, n)
-    _, group = np.unique(np.stack([col["anchor"], col["sub"]]), axis=1, return_inverse=True)
-    dup = decide(group.ravel(), prints, col["id"], np.zeros(len(prints), np.int64), earlier)
-    out = stretches(col["id"][dup], col["th"][dup], pos[dup], length)
-    none = pa.nulls(out.num_rows)
-    out = out.append_column("anchor", none.cast(pa.int64())).append_column("salt", none.cast(pa.int64())).append_column("blob", none.cast(pa.binary()))
-    open_ = np.flatnonzero(col["shares"] > 1)
-    if not len(open_):
-        return out
-    # of equal windows of one group the first in order of id speaks for all; with
-    # ``earlier`` every place of that id is still open (larger ids are decided)
-    order = open_[np.lexsort((col["id"][open_], prints[open_], group.ravel()[open_]))]
-    g, p = group.ravel()[order], prints[order]
-    speaks = np.r_[True, (g[1:] != g[:-1]) | (p[1:] != p[:-1])]
-    if earlier:  # no id is smaller than null, which needs one record only
-        speaks |= ~dup[order] & (col["id"][order] != -(2**63))
-    order = order[speaks]
-    record = np.zeros(len(order), RECORD)
-    for name, values in (("print", prints), ("id", col["id"]), ("th", col["th"]), ("pos", pos), ("many", dup.astype(np.int64) if not earlier else np.zeros(len(pos), np.int64))):
-        record[name] = values[order]
-    anchor, salt = col["anchor"][order], (tb.mix64(prints[order]) % col["shares"][order].astype(U64)).astype(np.int64)
-    by = np.lexsort((salt, anchor))
-    record, anchor, salt = record[by], anchor[by], salt[by]
-    begin = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1])])
-    packed = [record[a:b].tobytes() for a, b in zip(begin.tolist(), np.r_[begin[1:], len(record)].tolist(), strict=True)]
-    zero = pa.array([0] * len(begin), pa.int64())
-    return pa.concat_tables([out, pa.table({"id": zero, "th": zero, "a": zero, "b": zero, "anchor": anchor[begin], "salt": salt[begin], "blob": pa.array(packed, pa.binary())})])
-
-
-def with_stretches(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``keyed`` rows with ``__cut``, the stretches found in each."""
-    cut = found.groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_list(F.struct("a", "b")).alias("__cut"))
-    return docs.join(cut, ["__id", "__th"], "left")
-
-
-def covered(column: pa.Array, off: np.ndarray) -> np.ndarray:
-    """Which symbols of a chunk's texts the stretches in ``__cut`` cover."""
+    return pa.table({"uid": uid[begin], "a": pos[begin], "b": pos[last] + length})
+
+
+def with_stretches(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` with ``cut``, the stretches found in each."""
+    return rows.join(found.groupBy("uid").agg(F.collect_list(F.struct("a", "b")).alias("cut")), "uid", "left")
+
+
+def covered(column: pa.Array, edge: np.ndarray) -> np.ndarray:
+    """Which symbols of a chunk's texts the stretches in ``cut`` cover."""
     lens = np.diff(np.asarray(column.offsets)) if len(column) else np.zeros(0, np.int64)
-    lens = np.where(np.asarray(column.is_null()), 0, lens)
+    base = np.repeat(edge[:-1], np.where(np.asarray(column.is_null()), 0, lens))
     flat = column.flatten()
-    base = np.repeat(off[:-1], lens)
-    edge = np.zeros(off[-1] + 1, np.int64)
-    np.add.at(edge, base + flat.field("a").to_numpy(), 1)
-    np.add.at(edge, base + flat.field("b").to_numpy(), -1)
-    return np.cumsum(edge[:-1]) > 0
+    gone = np.zeros(int(edge[-1]), bool)
+    for a, b in zip((base + flat.field("a").to_numpy()).tolist(), (base + flat.field("b").to_numpy()).tolist(), strict=True):
+        gone[a:b] = True
+    return gone

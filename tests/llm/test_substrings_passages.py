@@ -1,3 +1,4 @@
+import dataclasses
 import hashlib
 import re
 from collections import Counter
@@ -7,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lettermill.llm import passages, substrings, winnow
+from lettermill.llm import passages, relative, runindex, substrings, winnow
 from tests.llm.conftest import DATA, EDGES
 
 
@@ -93,22 +94,60 @@ def test_a_passage_twice_in_each_of_very_many_texts(spark):
     assert got(out, WORDS) == brute_passages(rows)
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.binary(min_size=8, max_size=60).map(lambda b: bytes(97 + x % 3 for x in b)), min_size=1, max_size=8), st.integers(4, 8))
-def test_run_length_index_finds_every_long_match(segments, length):
-    segments = list(dict.fromkeys(s for s in segments if len(s) >= length))
-    if not segments:
-        return
+TEXTS = st.lists(st.binary(max_size=60).map(lambda b: bytes((0, 7, 255)[x % 3] for x in b)), min_size=1, max_size=8)
+
+
+@settings(max_examples=80, deadline=None)
+@given(TEXTS, st.integers(2, 8))
+def test_streaming_through_the_run_length_index_finds_every_long_match(segments, length):
+    """Zero bytes, equal segments and overlaps included."""
+    edge, data = np.cumsum([0, *map(len, segments)]), np.frombuffer(b"".join(segments), np.uint8)
     count = Counter(s[k : k + length] for s in segments for k in range(len(s) - length + 1))
-    want = [[count[s[k : k + length]] > 1 for k in range(len(s) - length + 1)] for s in segments]
-    assert [d.tolist() for d in substrings.repeated_starts(segments, length)] == want
+    want = [k + length <= len(s) and count[s[k : k + length]] > 1 for s in segments for k in range(len(s))]
+    assert not len(data) or runindex.RunLengthIndex(data, edge, length).stream(length).tolist() == want
 
 
 @settings(max_examples=40, deadline=None)
 @given(st.binary(min_size=1, max_size=300).map(lambda b: bytes(97 + x % 2 for x in b)))
-def test_suffix_order(text):
-    sa, levels = substrings.suffix_order(np.frombuffer(text + b"\0", np.uint8))
-    assert sa.tolist() == sorted(range(len(text) + 1), key=lambda k: (text + b"\0")[k:])
+def test_suffix_arrays(text):
+    x, _ = runindex.joined(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    want = sorted(range(len(x)), key=lambda k: x[k:].tolist())
+    assert runindex.suffix_array(runindex.packed(x)).tolist() == want and relative.suffix_ranks(x)[0].tolist() == want
+
+
+@settings(max_examples=80, deadline=None)
+@given(TEXTS, st.integers(2, 8), st.randoms())
+def test_factors_are_the_longest_and_find_every_earlier_window(segments, length, random):
+    edge, data = np.cumsum([0, *map(len, segments)]), np.frombuffer(b"".join(segments), np.uint8)
+    owner = np.array([random.randint(0, 3) for _ in segments])
+    earlier = lambda k, s: any(s in t for t, o in zip(segments, owner) if o < owner[k])
+    want = [i + length <= len(s) and earlier(k, s[i : i + length]) for k, s in enumerate(segments) for i in range(len(s))]
+    assert relative.repeated_starts(data.astype(np.uint64), edge, owner, length).tolist() == want
+    ref = relative.Reference(data.astype(np.uint64), edge, owner)
+    for k, at, size in zip(*(x.tolist() for x in ref.factors())):
+        s, a = segments[k], at - int(ref.begin[k])
+        assert (not size or earlier(k, s[a : a + size])) and not (a + size < len(s) and earlier(k, s[a : a + size + 1]))
+
+
+@pytest.mark.parametrize("kind", [passages.WORDS, substrings.BYTES])
+def test_pieces_of_a_long_text_hold_each_window_once(kind):
+    raw = " ".join(f"n{k}" for k in np.random.default_rng(4).integers(0, 10**6, 900)).encode()
+    data, off = np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
+    ((sym, _, _),) = kind.pieces(data, off, 50)
+    small = dataclasses.replace(kind, piece=128)
+    parts = [(base, winnow.grams(s, 50)) for s, _, base in small.pieces(data, off, 50)]
+    assert len(parts) > 5 and np.concatenate([g for _, g in parts]).tolist() == winnow.grams(sym, 50).tolist()
+    assert [base for base, _ in parts] == np.cumsum([0, *(len(g) for _, g in parts)])[:-1].tolist()
+
+
+def test_a_text_of_several_megabytes(spark):
+    rng = np.random.default_rng(6)
+    w = [f"v{k}" for k in rng.integers(0, 10**9, 250_000)]
+    rows = [(1, " ".join(w)), (2, " ".join(w[200_000:200_100])), (3, " ".join(w[1000:1049]))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(rows[0][1]) > 2 << 20
+    assert got(passages.remove_repeated_passages(frame), WORDS) == brute_passages(rows)
+    assert got(substrings.remove_repeated_substrings(frame), BYTES) == brute_substrings(rows)
 
 
 @settings(max_examples=40, deadline=None)
