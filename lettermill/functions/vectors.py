@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,17 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(usable, dot / (F.sqrt(na) * F.sqrt(nb))).otherwise(0.0)
 
 
+def cosine_to(a: Column, query: list[float]) -> Column:
+    """As ``cosine`` with a constant, whose norm is taken once, here."""
+    norm = math.sqrt(sum(float(x) * float(x) for x in query))
+    if not norm:
+        return F.lit(0.0)
+    a = doubles(a)
+    na = total(F.transform(a, lambda x: x * x))
+    dot = total(F.zip_with(a, F.array(*[F.lit(float(x)) for x in query]), lambda x, y: x * y))
+    return F.when((F.size(a) == len(query)) & (na > 0), dot / (F.sqrt(na) * norm)).otherwise(0.0)
+
+
 def parsed_vector(text: Column) -> Column:
     """A vector from its JSON text; null if it is none."""
     return F.from_json(text, "array<double>")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -12,13 +13,15 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from lettermill.functions.text import falsy, first_chars, shown, strip
-from lettermill.session import ship
+from lettermill.operators.running import running_total
+from lettermill.session import durable, ship
 
 # Fixed values
 PRICE_IN, PRICE_OUT = 1.0 / 1_000_000, 5.0 / 1_000_000
 CAP = 0.50
 MIN_CONFIDENCE = 70
 CHARS_PER_TOKEN, PROMPT_TOKENS, ANSWER_TOKENS = 3.5, 400, 220
+MAX_TOKENS = 400
 FIELDS = ["origin", "destination", "carrier", "phase"]
 FILLED = ["origin", "destination", "carrier"]
 MEANINGLESS = ["", "null", "unknown"]
@@ -61,10 +64,9 @@ def estimate(threads: DataFrame) -> DataFrame:
 
 def within_cap(calls: DataFrame, order: str, cap: float = CAP, cost: str = "cost") -> DataFrame:
     """The calls that are made when each is preceded by a look at what has been
-    spent: those before which it was below ``cap``. Adds ``spent_before``. A
-    batch has passed the estimate, so it is small; it is ordered in one task."""
-    before = Window.partitionBy(F.lit(1)).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return calls.withColumn("spent_before", F.coalesce(F.sum(cost).over(before), F.lit(0.0))).where(F.col("spent_before") < cap)
+    spent: those before which it was below ``cap``. Adds ``spent_before``, a
+    running total over ranges of ``order``."""
+    return running_total(calls, order, F.col(cost), "spent_before").where(F.col("spent_before") < cap)
 
 
 def cost_of(tokens_in: Column, tokens_out: Column) -> Column:
@@ -77,16 +79,51 @@ def parse_answer(reply: Column) -> Column:
     return F.from_json(F.nullif(found, F.lit("")), ANSWER)
 
 
-def ask(threads: DataFrame, model: Callable[[str], tuple[str, int, int]], by: str = "job_id", cap: float = CAP, apply: bool = False) -> DataFrame | None:
-    """``(job_id, reply, error, cost)`` from ``model``, a function of a thread
-    that returns the reply and the tokens in and out.
+def request(thread: str, model: str, system: str, max_tokens: int = MAX_TOKENS) -> dict:
+    """What the service is asked about one thread."""
+    return {"model": model, "max_tokens": max_tokens, "system": system, "messages": [{"role": "user", "content": thread}]}
 
-    Nothing is called if the estimate is over ``cap`` or ``apply`` is false. A
-    call that fails is a row with an error. The calls run in order in one task,
-    as the cap is on their sum; what it leaves is missing from the result.
+
+@dataclass(frozen=True)
+class Run:
+    """How a run ended: ``no key``, ``refused`` (the estimate was over the cap),
+    ``dry run`` or ``done``. Only what was done has replies, ``(job_id, reply,
+    error, cost)``, in a table that later actions read without new calls."""
+
+    outcome: str
+    n_threads: int = 0
+    estimate_usd: float = 0.0
+    replies: DataFrame | None = None
+
+    def report(self) -> str:
+        """What to tell whoever started it."""
+        planned = f"{self.n_threads} threads, about {self.estimate_usd:.2f} USD"
+        if self.replies is None:
+            return f"{self.outcome}: {planned}" if self.outcome != "no key" else "no key: nothing was started"
+        got = run_summary(self.replies).first()
+        return f"{self.outcome}: {planned}; {got['n_read']} read, {got['n_errors']} errors, {got['spent_usd']:.3f} USD spent"
+
+
+def ask(jobs: DataFrame, threads: DataFrame, model: Callable[[str], tuple[str, int, int]] | None, by: str = "job_id", cap: float = CAP, apply: bool = False) -> Run:
+    """Ask ``model`` about the thread of every job that has one.
+
+    ``model`` is a function of a thread (see ``request``) that returns the
+    reply and the tokens in and out; None means that there is no key. Without a
+    key, with an estimate over ``cap`` and unless ``apply`` is true nothing is
+    called. A call that fails is a row with an error. The calls run in the
+    order of ``by`` in one task, as the cap is on their sum: none is made once
+    ``cap`` is reached, and what is left then is missing from the replies. They
+    are written before this returns, so no later action calls again.
     """
-    if estimate(threads).first()["estimate_usd"] > cap or not apply:
-        return None
+    if model is None:
+        return Run("no key")
+    asked = threads.join(jobs.select(by).distinct(), by).select(by, "thread")
+    plan = estimate(asked).first()
+    planned = (plan["n_threads"], plan["estimate_usd"])
+    if plan["estimate_usd"] > cap:
+        return Run("refused", *planned)
+    if not apply:
+        return Run("dry run", *planned)
     ship(threads.sparkSession)
     schema = StructType([threads.schema[by], StructField("reply", StringType()), StructField("error", StringType()), StructField("cost", DoubleType())])
 
@@ -106,7 +143,8 @@ def ask(threads: DataFrame, model: Callable[[str], tuple[str, int, int]], by: st
                 rows.append((ident, reply, None, tokens_in * PRICE_IN + tokens_out * PRICE_OUT))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((batch.schema[0].type, pa.string(), pa.string(), pa.float64()))], schema.names)
 
-    return threads.select(by, "thread").repartition(1).sortWithinPartitions(by).mapInArrow(run, schema)
+    replies = asked.repartition(1).sortWithinPartitions(by).mapInArrow(run, schema)
+    return Run("done", *planned, durable(replies, "replies"))
 
 
 def run_summary(replies: DataFrame) -> DataFrame:
@@ -131,8 +169,12 @@ def observations(answers: DataFrame, ident: str = "id") -> DataFrame:
 
 def guarded_update(jobs: DataFrame, answers: DataFrame, now: datetime.datetime, ident: str = "id") -> DataFrame:
     """``jobs`` after the answers: empty fields filled by confident answers,
-    never on a job that was verified (or of which that is unknown). ``answers``
-    has one row for each job at most."""
+    never on a job that was verified (or of which that is unknown). Of several
+    answers for a job the most confident one counts, and of equally confident
+    ones the first in the order of their fields."""
+    best = F.struct(F.coalesce("confidence", F.lit(0)).alias("sure"), F.struct(*[F.struct(F.col(f).isNull().alias("none"), F.col(f).alias("value")) for f in FILLED]).alias("said"))
+    rank = F.struct((-best["sure"]).alias("s"), best["said"].alias("f"))
+    answers = answers.groupBy(F.col(ident).alias(ident)).agg(F.min(rank).alias("r")).select(ident, (-F.col("r.s")).alias("confidence"), *[F.col(f"r.f.col{k}.value").alias(f) for k, f in enumerate(FILLED, 1)])
     a = answers.select(F.col(ident).alias("__id"), *[F.col(f).alias(f"__{f}") for f in FILLED], (F.coalesce("confidence", F.lit(0)) >= MIN_CONFIDENCE).alias("__ok"))
     rows = jobs.join(a, F.col(ident) == F.col("__id"), "left")
     reached = F.col("__id").isNotNull() & F.coalesce(~F.col("verified"), F.lit(False))

@@ -39,9 +39,10 @@ def reference_edges(emails: DataFrame, keys: DataFrame, strong: list[str] = STRO
 
 def reply_edges(emails: DataFrame) -> DataFrame:
     """Messages and those their headers answer. Of messages with one
-    message id the last received is meant."""
+    message id the last received is meant (those without ``ingest_order``
+    came first; among equals the largest id)."""
     ident = strip(F.col("message_id"))
-    target = emails.where(~falsy(ident)).groupBy(ident.alias("mid")).agg(F.max_by("id", "ingest_order").alias("parent"))
+    target = emails.where(~falsy(ident)).groupBy(ident.alias("mid")).agg(F.max(F.struct("ingest_order", "id"))["id"].alias("parent"))
     header = emails.select("id", F.explode(F.array("in_reply_to", "references")).alias("h")).where(~falsy(F.col("h")))
     bracketed = F.regexp_extract_all("h", F.lit("<[^>]+>"), F.lit(0))
     named = F.when(F.size(bracketed) > 0, bracketed).otherwise(F.array(strip(F.col("h"))))
@@ -67,3 +68,14 @@ def cluster(emails: DataFrame, keys: DataFrame, strong_only: bool = False) -> Da
     rules = [reference_edges(emails, keys), reply_edges(emails)] + ([] if strong_only else [subject_edges(emails)])
     parts = connected_components(reduce(DataFrame.unionByName, rules))
     return emails.select(F.col("id").alias("email_id")).join(parts.withColumnRenamed("node", "email_id"), "email_id", "left").select("email_id", F.coalesce("component", "email_id").alias("cluster_id"))
+
+
+def members(clusters: DataFrame, most: int = 1000) -> DataFrame:
+    """``(cluster_id, part, n_members, members)``: each cluster's messages as
+    sorted lists. One of more than ``most`` is dealt by the message's MD5 into
+    parts of about ``most``, so that no list grows with the corpus."""
+    size = clusters.groupBy("cluster_id").agg(F.count("*").alias("n_members"))
+    parts = F.ceil(F.col("n_members") / most)
+    place = F.conv(F.substring(F.md5(F.col("email_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
+    rows = clusters.join(size, "cluster_id").withColumn("part", F.pmod(place, parts).cast("int"))
+    return rows.groupBy("cluster_id", "part", "n_members").agg(F.array_sort(F.collect_list("email_id")).alias("members"))

@@ -6,9 +6,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from lettermill.functions.text import SPACES, strip
 from lettermill.session import ship
 
 # Fixed values
@@ -61,6 +63,12 @@ def passages(text: str | None, size: int = SIZE, overlap: int = OVERLAP, compat:
     return [{"ordinal": n, "text": p["text"], "from_char": p["from_char"], "to_char": p["from_char"] + len(p["text"])} for n, p in enumerate(out)]
 
 
+def sentences(text: Column) -> Column:
+    """The sentences of a stripped text, as an array, found in the JVM."""
+    unicode_space = SENTENCE_END.replace(r"\s+", SPACES)
+    return F.filter(F.split(strip(F.coalesce(text, F.lit(""))), f"(?U){unicode_space}", -1), lambda s: s != "")
+
+
 def with_passages(df: DataFrame, text: str = "text", size: int = SIZE, overlap: int = OVERLAP, compat: bool = True, out: str = "passages") -> DataFrame:
     """``df`` with an array of passages. The fold is sequential in a text and
     keeps no state between texts; Arrow batches beat nested lambdas here."""

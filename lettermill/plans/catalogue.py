@@ -202,7 +202,7 @@ def cluster_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cluster_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     none = F.lit(None).cast("string")
-    emails = docs.select(F.col("doc_id").alias("id"), none.alias("message_id"), none.alias("in_reply_to"), none.alias("references"), F.substring(F.lower("text"), 1, 40).alias("subject_key"), F.col("doc_id").alias("ingest_order"))
+    emails = docs.select(F.col("doc_id").alias("id"), none.alias("message_id"), none.alias("in_reply_to"), none.alias("references"), F.lower("text").alias("subject_key"), F.col("doc_id").alias("ingest_order"))
     return threads.cluster(emails, spark.createDataFrame([], "email_id long, kind string, value string"))
 
 
@@ -321,32 +321,48 @@ def chunk_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunk_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of each document and their longest."""
-    parts = F.split("text", transcripts.SENTENCE_END, -1)
-    units = F.filter(parts, lambda s: s != "")
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(units).cast("long").alias("n_units"), F.coalesce(F.array_max(F.transform(units, F.length)), F.lit(0)).cast("long").alias("longest"))
+    units = transcripts.sentences(F.col("text"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", units.alias("u"))
+    longest = F.array_max(F.transform("u", F.length))
+    return rows.select("doc_id", F.size("u").cast("long").alias("n_units"), F.coalesce(longest, F.lit(0)).cast("long").alias("longest"))
 
 
-def _query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
-    return [float(x) for x in table(spark, sf_dir, "embeddings").where("vec_id = 0").first()["embedding"]]
+def search(spark: SparkSession, sf_dir: str, limit: int, floor: float) -> DataFrame:
+    """The vectors closest to each of those whose number 20 divides."""
+    index = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding", F.col("vec_id").alias("ordinal"), F.lit("m").alias("model"))
+    queries = [(r["vec_id"], list(r["embedding"])) for r in index.where("vec_id % 20 = 0 and embedding is not null").collect()]  # the stated query set
+    return retrieval.nearest_each(index, queries, limit, floor, model="m")
 
 
 def vec_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(spark, sf_dir, retrieval.LIMIT, 0.0).select("query_id", "rank", "vec_id", "label", "score")
+
+
+def vec_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One query, as a column expression."""
     index = table(spark, sf_dir, "embeddings").withColumn("ordinal", F.col("vec_id"))
-    return retrieval.nearest(index, _query_vector(spark, sf_dir), limit=50).select("vec_id", "label", "score")
+    query = [float(x) for x in index.where("vec_id = 0").first()["embedding"]]
+    return retrieval.nearest(index, query, limit=50).select("vec_id", "label", "score")
 
 
 def vec_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All vectors that score 0.1 or more, by label."""
-    index = table(spark, sf_dir, "embeddings").withColumn("ordinal", F.col("vec_id").cast("int"))
-    n = index.count()
-    found = retrieval.nearest(index, _query_vector(spark, sf_dir), limit=n, floor=0.1)
-    rows = found.select(F.col("label").alias("meeting_id"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("title"), "ordinal", F.lit("").alias("text"), F.lit(0).alias("from_char"), "score", F.struct((-F.col("score")).alias("s"), "ordinal").alias("rank"))
-    grouped = retrieval.group_by_meeting(rows)
-    return grouped.select("meeting_id", "title", "score", F.size("passages").cast("long").alias("n_passages"), F.array_join(F.transform("passages", lambda p: p["ordinal"].cast("string")), ",").alias("ordinals"))
+    """The 50 closest to each query that score 0.1 or more, by label."""
+    found = search(spark, sf_dir, 50, 0.1)
+    rows = found.select(
+        "query_id", F.col("label").alias("meeting_id"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("title"),
+        F.col("ordinal").cast("int").alias("ordinal"), F.lit("").alias("text"), F.lit(0).alias("from_char"), "score", "rank",
+    )
+    grouped = retrieval.group_by_meeting(rows, by=["query_id"])
+    ordinals = F.array_join(F.transform("passages", lambda p: p["ordinal"].cast("string")), ",")
+    return grouped.select("query_id", "meeting_id", "title", "score", F.size("passages").cast("long").alias("n_passages"), ordinals.alias("ordinals"))
 
 
-VEC_SQL = """scored as (select e.vec_id, e.label, case when len(e.embedding) = len(q.embedding) then list_cosine_similarity(e.embedding::double[], q.embedding::double[]) else 0 end as s
-  from embeddings e, (select embedding from embeddings where vec_id = 0) q where len(e.embedding) > 0)"""
+VEC_SQL = """scored as (
+  select q.vec_id as query_id, e.vec_id, e.label,
+    case when len(e.embedding) = len(q.embedding) then list_cosine_similarity(e.embedding::double[], q.embedding::double[]) else 0 end as s
+  from embeddings e, (select vec_id, embedding from embeddings where vec_id % 20 = 0) q where len(e.embedding) > 0),
+ranked as (select query_id, vec_id, label, round(s, 4) as score, row_number() over (partition by query_id order by round(s, 4) desc, vec_id) as rank
+  from scored where s >= {floor})"""
 
 
 # Threads and facts from a model.
@@ -439,7 +455,7 @@ QUERIES = {
     for f in (
         archive_dedup, archive_filtered, archive_page, archive_counterparty, archive_copies_fanout, archive_copies_attachments,
         key_extract, key_upsert, cluster_strong, cluster_reply, cluster_subject, cluster_all, privacy_gate, privacy_held_back,
-        state_verdict, state_portal, state_counts, chunk_passages, chunk_units, vec_nearest, vec_group, thread_text, cost_estimate, cost_cap, observations, guarded_update,
+        state_verdict, state_portal, state_counts, chunk_passages, chunk_units, vec_nearest, vec_single, vec_group, thread_text, cost_estimate, cost_cap, observations, guarded_update,
     )
 }
 
@@ -456,7 +472,7 @@ ORACLE_SQL = {
     "cluster_all": f"with recursive {STRONG_EDGES}, {HEADERS}, nodes as (select o_orderkey as id from orders), edges as (select a, b from strong union all select a, b from replies union all select a, b from subs), {COMPONENTS}",
     "cluster_reply": """with t as (select distinct conv_id, turn from conversations), g as (select *, turn - row_number() over (partition by conv_id order by turn) as run from t)
       select conv_id || '.' || lpad(turn::varchar, 6, '0') as email_id, conv_id || '.' || lpad((min(turn) over (partition by conv_id, run))::varchar, 6, '0') as cluster_id from g""",
-    "cluster_subject": """with s as (select doc_id, coalesce(substr(lower(text), 1, 40), '') as k from documents), n as (select k, count(*) as n, min(doc_id) as least from s group by k)
+    "cluster_subject": """with s as (select doc_id, coalesce(lower(text), '') as k from documents), n as (select k, count(*) as n, min(doc_id) as least from s group by k)
       select doc_id as email_id, case when n.n between 2 and 60 and length(k) >= 12 then least else doc_id end as cluster_id from s join n using (k)""",
     "privacy_gate": f"with {PRIVACY_CTE} select id, filename, confidential from judged",
     "privacy_held_back": f"with {PRIVACY_CTE} select mailbox, count(*) as held_back from judged where confidential and coalesce(filename, '') <> '' group by 1",
@@ -464,11 +480,15 @@ ORACLE_SQL = {
     "state_portal": "with " + PORTAL_CTE + " select * from verdicts",
     "state_counts": f"with {STATE_CTE} select state, count(*) as n from verdicts group by 1",
     "chunk_passages": CHUNK_SQL,
-    "chunk_units": r"""with u as (select doc_id, list_filter(string_split(regexp_replace(text, '([.!?])\s+([A-ZÀÈÉÌÒÙ0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: s <> '') as u from documents)
+    "chunk_units": r"""with d as (select doc_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') as text from documents),
+      u as (select doc_id, list_filter(string_split(regexp_replace(text, '([.!?])\s+([A-ZÀÈÉÌÒÙ0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: s <> '') as u from d)
       select doc_id, len(u)::bigint as n_units, coalesce(list_max(list_transform(u, lambda s: length(s))), 0)::bigint as longest from u""",
-    "vec_nearest": f"with {VEC_SQL} select vec_id, label, round(s, 4) as score from scored where s >= 0 order by round(s, 4) desc, vec_id limit 50",
-    "vec_group": f"""with {VEC_SQL}, f as (select vec_id, label, round(s, 4) as score from scored where s >= 0.1)
-      select label::varchar as meeting_id, 'v' || arg_min(vec_id, (-score, vec_id)) as title, greatest(max(score), 0.0) as score, count(*) as n_passages, string_agg(vec_id::varchar, ',' order by score desc, vec_id) as ordinals from f group by label""",
+    "vec_nearest": f"with {VEC_SQL.format(floor=0)} select query_id, rank::int as rank, vec_id, label, score from ranked where rank <= 8",
+    "vec_single": f"with {VEC_SQL.format(floor=0)} select vec_id, label, score from ranked where query_id = 0 and rank <= 50",
+    "vec_group": f"""with {VEC_SQL.format(floor=0.1)}
+      select query_id, label::varchar as meeting_id, 'v' || arg_min(vec_id, rank) as title, greatest(max(score), 0.0) as score, count(*) as n_passages,
+        string_agg(vec_id::varchar, ',' order by rank) as ordinals
+      from ranked where rank <= 50 group by query_id, label""",
     "thread_text": f"with {THREAD_CTE} select job_id, thread from threads",
     "cost_estimate": f"with {THREAD_CTE} select count(*) as n_threads, round(sum(length(thread) / 3.5 + 400) * 1e-6 + count(*) * 220 * 5e-6, 6) as estimate_usd from threads",
     "cost_cap": f"""with {THREAD_CTE}, c as (select job_id, (length(thread) // 4 + 400) * 1e-6 + 220 * 5e-6 as cost from threads),

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from lettermill.operators.keys import CONFIDENCE, KIND, extract_keys, new_keys, references
-from lettermill.operators.privacy import is_confidential
+from lettermill.operators.privacy import gate
 
 
 def arriving(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 100) -> DataFrame:
@@ -16,9 +16,10 @@ def arriving(spark: SparkSession, path: str, schema: StructType, files_per_batch
 
 
 def gated(attachments: DataFrame) -> DataFrame:
-    """Arriving attachment metadata without what must not be stored: no
-    checkpoint or sink behind it ever sees the rest."""
-    return attachments.where(~is_confidential(F.col("filename"), F.col("subject"), F.col("sender")))
+    """Arriving attachment metadata without what must not be stored, and
+    without attachments that have no name: the batch gate's rule. No checkpoint
+    or sink behind it ever sees the rest."""
+    return gate(attachments)[0]
 
 
 def streamed_keys(messages: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -44,6 +45,11 @@ def append_keys(messages: DataFrame, target: str, checkpoint: str) -> StreamingQ
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
             have = spark.createDataFrame([], keys.schema)
+        span = keys.agg(F.min("email_id").alias("lo"), F.max("email_id").alias("hi")).first()
+        if span["lo"] is None:
+            return
+        # only files whose ids overlap the batch's are read
+        have = have.where(F.col("email_id").between(span["lo"], span["hi"]))
         new_keys(keys, have).write.mode("append").parquet(target)
 
     return messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

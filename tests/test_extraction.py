@@ -30,24 +30,42 @@ def test_ends_of_threads(spark):
 def test_estimate_and_refusal(spark):
     frame = spark.createDataFrame([(1, "y" * 700), (2, "y" * 350)], "job_id int, thread string")
     assert abs(x.estimate(frame).first().estimate_usd - ((200 + 400 + 100 + 400) * 1e-6 + 2 * 220 * 5e-6)) < 1e-12
-    assert x.ask(frame, lambda t: ("{}", 1, 1), cap=0.001, apply=True) is None and x.ask(frame, lambda t: ("{}", 1, 1)) is None
+    jobs = spark.createDataFrame([(1,), (2,), (2,), (9,)], "job_id int")
+    called = lambda t: ("{}", 1, 1)
+    runs = [x.ask(jobs, frame, None), x.ask(jobs, frame, called, cap=0.001, apply=True), x.ask(jobs, frame, called), x.ask(jobs.where("job_id = 1"), frame, called, apply=True)]
+    assert [r.outcome for r in runs] == ["no key", "refused", "dry run", "done"] and [r.n_threads for r in runs] == [0, 2, 2, 1]
+    assert [r.replies is None for r in runs] == [True, True, True, False] and runs[3].report() == "done: 1 threads, about 0.00 USD; 1 read, 0 errors, 0.000 USD spent"
+    assert x.request("hello", "m", "be brief") == {"model": "m", "max_tokens": 400, "system": "be brief", "messages": [{"role": "user", "content": "hello"}]}
 
 
-def test_actual_cost_stops_the_run_and_errors_do_not(spark):
+def test_actual_cost_stops_the_run_and_errors_do_not(spark, tmp_path):
     frame = spark.createDataFrame([(k, "t" * k) for k in range(1, 7)], "job_id int, thread string")
 
-    def model(thread):
+    def model(thread, folder=str(tmp_path)):
+        import uuid
+        from pathlib import Path
+
+        Path(folder, uuid.uuid4().hex).touch()
         if len(thread) == 2:
             raise OSError("down")
         return "{}", 100_000, 0
 
-    got = x.ask(frame, model, cap=0.25, apply=True).collect()
-    assert [(r.job_id, r.error) for r in got] == [(1, None), (2, "down"), (3, None), (4, None)]
+    replies = x.ask(frame, frame, model, cap=0.25, apply=True).replies
+    assert [(r.job_id, r.error) for r in replies.orderBy("job_id").collect()] == [(1, None), (2, "down"), (3, None), (4, None)]
+    assert replies.count() == 4 and x.run_summary(replies).first().n_read == 3
+    assert len(list(tmp_path.iterdir())) == 4  # calls, after three actions
+
+
+def test_several_answers_for_a_job(spark):
+    jobs = spark.createDataFrame([(1, None, None, None, None, None, False), (2, None, None, None, None, None, False)], "id int, origin string, destination string, carrier string, route_source string, ai_seen_at timestamp, verified boolean")
+    rows = [(1, "unsure", "x", None, None, 70, ""), (1, "sure", None, "y", None, 90, ""), (1, "none", "z", None, None, None, ""), (2, "b", None, None, None, 80, ""), (2, "a", "d", None, None, 80, "")]
+    got = {r.id: tuple(r)[1:4] for r in x.guarded_update(jobs, spark.createDataFrame(rows, ANSWERS).repartition(3), dt.datetime(2026, 9, 9)).collect()}
+    assert got == {1: ("sure", None, "y"), 2: ("a", "d", None)}
 
 
 def test_within_cap(spark):
     rows = x.within_cap(spark.createDataFrame([(k, 0.2) for k in range(5)], "i int, cost double"), "i", 0.5).collect()
-    assert [r.i for r in rows] == [0, 1, 2]
+    assert sorted(r.i for r in rows) == [0, 1, 2]
 
 
 ANSWERS = "id int, origin string, destination string, carrier string, phase string, confidence int, why string"

@@ -19,3 +19,26 @@ def test_tables_can_be_removed(spark, tmp_path, monkeypatch):
     assert os.listdir(tmp_path / "lettermill")
     remove_tables(spark)
     assert not os.path.exists(tmp_path / "lettermill")
+
+
+def test_buckets_and_stand_in(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    import pytest
+
+    import lettermill.session as session
+
+    frame = session.durable_buckets(spark.range(100).selectExpr("id", "id % 7 as `odd name`"), "b", "id")
+    assert sorted(tuple(r) for r in frame.collect()) == [(k, k % 7) for k in range(100)]
+    plan = frame.join(frame.groupBy("id").count().hint("shuffle_hash"), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+    def bare(master):
+        context = SimpleNamespace(getConf=lambda: SimpleNamespace(get=lambda k: None), master=master, applicationId=f"app-{master}")
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d: d))
+
+    here = session.shared_dir(bare("local[4]"))
+    assert os.path.isdir(here) and session.shared_dir(bare("local[4]")) == here
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            session.shared_dir(bare(master))

@@ -27,3 +27,11 @@ def test_streamed_keys_and_gate(spark, tmp_path):
     query = gated(arriving(spark, path, spark.read.parquet(path).schema)).writeStream.format("memory").queryName("gated").trigger(availableNow=True).start()
     query.awaitTermination()
     assert [r.filename for r in spark.sql("select * from gated").collect()] == ["note.pdf"]
+
+
+def test_nameless_attachments_pass_neither_gate(spark, tmp_path):
+    path = str(tmp_path / "att")
+    spark.createDataFrame([(None, "s", "x"), ("", "s", "x"), ("note.pdf", "s", "x")], "filename string, subject string, sender string").write.parquet(path)
+    query = gated(arriving(spark, path, spark.read.parquet(path).schema)).writeStream.format("memory").queryName("named").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [r.filename for r in spark.sql("select * from named").collect()] == ["note.pdf"]

@@ -1,5 +1,5 @@
 from lettermill.operators.components import connected_components
-from lettermill.operators.threads import cluster
+from lettermill.operators.threads import cluster, members
 
 EMAIL = "id string, message_id string, in_reply_to string, references string, subject_key string, ingest_order long"
 
@@ -142,3 +142,20 @@ def test_random_mail_against_union_find(spark):
     for i in end:
         want[find(i)].add(i)
     assert groups(spark, emails, keys) == sorted(map(frozenset, want.values()), key=sorted)
+
+
+def test_the_last_copy_is_known_with_null_and_equal_order(spark):
+    """Null order comes first; of equals the largest id is meant."""
+    same = [{"id": k, "message_id": "<m>", "ingest_order": n} for k, n in (("a", None), ("b", None))]
+    reply = {"id": "r", "in_reply_to": "<m>"}
+    assert groups(spark, [*same, reply]) == [{"a"}, {"b", "r"}]
+    assert groups(spark, [{**same[0], "ingest_order": 5}, {**same[1], "ingest_order": 5}, reply]) == [{"a"}, {"b", "r"}]
+    assert groups(spark, [{**same[0], "ingest_order": 0}, same[1], reply]) == [{"a", "r"}, {"b"}]
+
+
+def test_members_as_lists(spark):
+    clusters = spark.createDataFrame([(k, 1 if k < 50 else k) for k in range(53)], "email_id long, cluster_id long")
+    got = {(r.cluster_id, r.part): (r.n_members, r.members) for r in members(clusters).collect()}
+    assert got == {(1, 0): (50, list(range(50))), (50, 0): (1, [50]), (51, 0): (1, [51]), (52, 0): (1, [52])}
+    parts = [r for r in members(clusters, most=8).collect() if r.cluster_id == 1]
+    assert len(parts) > 3 and sorted(m for r in parts for m in r.members) == list(range(50)) and all(r.members == sorted(r.members) for r in parts)
