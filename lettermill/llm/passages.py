@@ -18,7 +18,7 @@ GRAM = 8
 WORDS = winnow.Kind(tb.word_spans, tb.word_hashes)
 
 
-def parse_block(data: np.ndarray, sym: np.ndarray, edge: np.ndarray, anchor: np.ndarray, ident: np.ndarray, length: int) -> np.ndarray:
+def parse_block(data: np.ndarray | None, sym: np.ndarray, edge: np.ndarray, anchor: np.ndarray, ident: np.ndarray, length: int) -> np.ndarray:
     """Each run of a block, factored against the runs of smaller ids."""
     return relative.repeated_starts(sym, edge, ident, length)
 

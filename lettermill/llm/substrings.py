@@ -16,7 +16,7 @@ from lettermill.llm.runindex import RunLengthIndex
 
 LENGTH = 400
 GRAM = 100
-INDEX_BYTES = 1 << 21
+INDEX_BYTES = 1 << 20
 BYTES = winnow.Kind(lambda data, off: (None, None, off), lambda data, starts, ends: tb.BYTE_CODE[data])
 
 

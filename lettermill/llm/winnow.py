@@ -20,10 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lettermill.llm import textbytes as tb
+from lettermill.llm.joins import with_facts
 from lettermill.session import durable, durable_buckets, ship, shuffle_partitions
 
 GROUP_RUNS = 256
-BUCKET_RUNS = 4096
+SALTS = 8  # groups of leftover windows for each block of a split anchor
+BUCKET_RUNS = 2048
 U64 = np.uint64
 NULL_ID = -(2**63)
 
@@ -154,19 +156,20 @@ def repeated_windows(rows: DataFrame, kind: Kind, length: int, gram: int, earlie
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["uid", "id", "first", "n", "anchor", "content"])
 
     runs = durable(tb.map_arrow(rows.select("uid", "id", "body"), listed, "uid long, id long, first long, n long, anchor long, content long"), "runs")
-    found = runs.groupBy("anchor", "content").agg(F.count("*").alias("places"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.min(F.struct("id", "uid", "first")).alias("one"))
+    found = runs.groupBy("anchor", "content").agg(F.count("*").alias("places"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("uid").alias("one"))
     found = durable(found, "contents")
     shared = found.groupBy("anchor").agg(F.count("*").alias("m"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("m > 1")
     shared = shared.where("lo < hi") if earlier else shared
-    known = found.join(shared.select("anchor", "m"), "anchor", "left")
-    known = durable(known.where(F.col("m").isNotNull() | (F.expr("lo < hi") if earlier else F.expr("places > 1"))), "known")
+    known = with_facts(found, shared.select("anchor", "m"), "anchor", "m", found.count(), "content")
+    known = known.where(F.col("m").isNotNull() | (F.expr("lo < hi") if earlier else F.expr("places > 1")))
+    known = durable(known.select("content", "places", "lo", "one", "m"), "known")
     n_sent = known.where("m is not null").count()
     buckets = max(parts, -(-n_sent // BUCKET_RUNS))
 
-    marked = runs.join(known, ["anchor", "content"])
+    marked = with_facts(runs, known, "content", "places", runs.count(), "uid").where("places is not null")  # a content has one anchor
     whole = marked.where("id > lo" if earlier else "places > 1").select("uid", F.col("first").alias("a"), (F.col("first") + F.col("n") - 1 + length).alias("b"))
-    first_place = F.col("id") == F.col("lo") if earlier else (F.col("uid") == F.col("one.uid")) & (F.col("first") == F.col("one.first"))
-    wanted = marked.where(F.col("m").isNotNull() & first_place).groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("first", "n", "anchor", "content", "m"))).alias("runs"))
+    one = F.col("id") == F.col("lo") if earlier else F.col("uid") == F.col("one")
+    wanted = marked.where(F.col("m").isNotNull() & one).groupBy("uid").agg(F.collect_list(F.struct("first", "n", "anchor", "content", "m")).alias("runs"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in tb.chunks(batches, "body"):
@@ -175,6 +178,9 @@ def repeated_windows(rows: DataFrame, kind: Kind, length: int, gram: int, earlie
             flat = part.column(3).flatten()
             first, n, anchor, content, m = (flat.field(c).to_numpy() for c in ("first", "n", "anchor", "content", "m"))
             text = np.repeat(np.arange(part.num_rows), lens)
+            if not earlier:  # one place of a content will do
+                once = np.unique(content ^ tb.mix64(text).view(np.int64), return_index=True)[1]
+                first, n, anchor, content, m, text = (x[once] for x in (first, n, anchor, content, m, text))
             shares = -(-m // GROUP_RUNS)
             sub = tb.mix64(content.view(U64)) % shares.astype(U64)
             bucket = (tb.mix64(anchor.view(U64) + sub * tb.RATIO) % U64(buckets)).astype(np.int64)
@@ -184,7 +190,7 @@ def repeated_windows(rows: DataFrame, kind: Kind, length: int, gram: int, earlie
             columns = [bucket, anchor, content, shares, part.column(0).to_numpy()[text], part.column(1).to_numpy()[text], first]
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(blobs, pa.binary())], SENT)
 
-    sent = tb.map_arrow(rows.select("uid", "id", "body").join(wanted, "uid"), send, ", ".join(f"{c} {'binary' if c == 'blob' else 'long'}" for c in SENT))
+    sent = tb.map_arrow(rows.select("uid", "id", "body").join(wanted.hint("shuffle_hash"), "uid"), send, ", ".join(f"{c} {'binary' if c == 'blob' else 'long'}" for c in SENT))
 
     def meet(table: pa.Table) -> pa.Table:
         column = {c: table.column(c).to_numpy() for c in SENT[:-1]}
@@ -193,7 +199,14 @@ def repeated_windows(rows: DataFrame, kind: Kind, length: int, gram: int, earlie
         data = np.frombuffer(blobs.buffers()[2], np.uint8)[off[0] : off[-1]]
         starts, ends, edge = kind.edges(data, off - off[0])
         sym = kind.codes(data, starts, ends)
-        dup = block(data, sym, edge, column["anchor"], column["id"], length)  # for each symbol whether the window from it is repeated
+        # runs of equal content and id are alike, and one of them is indexed
+        _, once, like = np.unique(column["content"] ^ tb.mix64(column["id"].view(U64)).view(np.int64), return_index=True, return_inverse=True)
+        n = np.diff(edge)[once]
+        mine = np.repeat(edge[once] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        some = block(data[mine] if starts is None else None, sym[mine], np.r_[0, np.cumsum(n)], column["anchor"][once], column["id"][once], length)
+        n = np.diff(edge)
+        place = np.r_[0, np.cumsum(n[once])][like]
+        dup = some[np.repeat(place - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]  # for each symbol whether the window from it is repeated
         windows = np.maximum(np.diff(edge) - length + 1, 0)
         row = np.repeat(np.arange(len(windows)), windows)
         at = np.repeat(edge[:-1] - (np.cumsum(windows) - windows), windows) + np.arange(len(row))
@@ -217,7 +230,7 @@ def repeated_windows(rows: DataFrame, kind: Kind, length: int, gram: int, earlie
         record = np.zeros(len(row), RECORD)
         for name, values in (("print", prints), ("id", column["id"][row]), ("uid", column["uid"][row]), ("pos", pos), ("many", dup[at])):
             record[name] = values
-        salt = (tb.mix64(prints) % column["shares"][row].astype(U64)).astype(np.int64)
+        salt = (tb.mix64(prints) % (SALTS * column["shares"][row]).astype(U64)).astype(np.int64)
         by = np.lexsort((salt, anchor))
         record, anchor, salt = record[by], anchor[by], salt[by]
         begin = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1])])
@@ -262,7 +275,8 @@ def stretches(uid: np.ndarray, pos: np.ndarray, length: int) -> pa.Table:
 
 def with_stretches(rows: DataFrame, found: DataFrame) -> DataFrame:
     """``rows`` with ``cut``, the stretches found in each."""
-    return rows.join(found.groupBy("uid").agg(F.collect_list(F.struct("a", "b")).alias("cut")), "uid", "left")
+    cut = found.groupBy("uid").agg(F.collect_list(F.struct("a", "b")).alias("cut"))
+    return rows.join(cut.hint("shuffle_hash"), "uid", "left")
 
 
 def covered(column: pa.Array, edge: np.ndarray) -> np.ndarray:
