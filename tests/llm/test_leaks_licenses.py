@@ -1,7 +1,15 @@
+import math
+import random
+import re
+from collections import Counter
+
 from lettermill.llm import decontaminate, licenses
 from tests.llm.conftest import DATA, EDGES, words
 
 
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+
+
 def test_leaks_of_documents(spark, texts):
     items = {r.item_id: r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
     got = {(r.doc_id, r.item_id) for r in decontaminate.op6_decontaminate(spark, DATA).collect()}
@@ -88,6 +96,113 @@ def test_headers_wrapped_over_lines(spark):
     assert {k: got[k] for k in want} == want and not any(v for k, v in got.items() if k >= 1000)
 
 
+def brute_units(text):
+    """Lines and sentences in them, sentences over lines, paragraphs, the text."""
+    term = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+    found = [(m.start(), m.end(), m.group().translate(LOWER)) for m in term.finditer(text)]
+    out = [[], [], [], []]
+    for k, (a, _, w) in enumerate(found):
+        gap = text[found[k - 1][1] : a] if k else b""
+        end = bool(re.search(rb"[.!?](?=[ \t\n\r\x0b\x0c])", gap)) and not re.match(rb"[a-z0-9]", text[a:])
+        lines = gap.count(b"\n")
+        for cut, groups in zip((lines > 0 or end, lines > 1 or end or (lines > 0 and b":" in gap), lines > 1, False), out):
+            if not k or cut:
+                groups.append([])
+            groups[-1].append(w)
+    return [g for groups in out for g in groups], out[3]
+
+
+def brute_licences(texts, templates, threshold):
+    raw = [(t or "").encode() for t in texts]
+    split = lambda b: [w.translate(LOWER) for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", b)]
+    df = Counter(w for b in raw for w in set(split(b)))
+    idf = lambda w: math.log((1 + len(raw)) / (1 + df[w])) + 1
+    vector = lambda words: {w: n * idf(w) for w, n in Counter(words).items()}
+    size = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    known = [(n, vector(split(t.encode()))) for n, t in templates]
+    out = []
+    for b in raw:
+        units, whole = brute_units(b)
+        scored = []
+        for u in units:
+            v = vector(u)
+            scored += [(sum(x * t.get(w, 0) for w, x in v.items()) / (size(v) * size(t)), -k, u in whole) for k, (_, t) in enumerate(known)]
+        scored = [s for s in scored if s[0] >= threshold]
+        best = max(scored, default=None)
+        out.append((known[-best[1]][0] if best else None, best[0] if best else 0.0, any(s[2] for s in scored)))
+    return out
+
+
+def test_cosines_against_brute_force(spark, texts):
+    notices = [t for _, t in licenses.TEMPLATES]
+    rng = random.Random(2)
+    rows = [t for t in list(texts.values())[:40]]
+    for t in notices:
+        w = t.split(" ")
+        rows += ["\n".join([*rng.sample(rows[:40], 1), t]), " ".join(rng.choice(["word", x, x, x]) for x in w), "# " + "\n# ".join(" ".join(w[k : k + 6]) for k in range(0, len(w), 6)), t.upper() + " Indeed so."]
+    rows += [None, "", "\n \n", "...", notices[0], notices[0]]
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    for threshold in (0.5, 0.7):
+        got = {r.doc_id: (r.own_license, r.own_score, r.whole_text) for r in licenses.scan(frame, threshold=threshold).collect()}
+        want = brute_licences(rows, licenses.TEMPLATES, threshold)
+        for k, (name, score, whole) in enumerate(want):
+            assert abs(got[k][1] - score) < 1e-9 and got[k][2] == whole, (k, rows[k], got[k], want[k])
+            tied = [n for n, t in licenses.TEMPLATES if name and abs(max(brute_licences_one(rows, k, [(n, t)], threshold)) - score) < 1e-9] if got[k][0] != name else [name]
+            assert got[k][0] in tied
+
+
+def brute_licences_one(rows, k, templates, threshold):
+    return [brute_licences(rows, templates, threshold)[k][1]]
+
+
+def test_inheritance_against_brute_force(spark):
+    """A tree in which most files inherit."""
+    rng = random.Random(3)
+    texts_ = ["Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY 4.0."]
+    rows = []
+    for k in range(400):
+        parts = [rng.choice("abc") for _ in range(rng.randint(0, 4))]
+        licence = rng.random() < 0.08
+        name = rng.choice(["LICENSE", "COPYING", "license.txt"]) if licence else f"f{k}.py"
+        rows.append((k, "/".join([*parts, name]), rng.choice(texts_) if licence else f"code of file {k} and nothing else"))
+    frame = spark.createDataFrame(rows, "doc_id long, path string, text string").repartition(4)
+    got = {r.doc_id: (r.license, r.inherited_from) for r in licenses.inherit(licenses.scan(frame)).collect()}
+    own = {k: brute[0] for (k, _, _), brute in zip(rows, brute_licences([t for _, _, t in rows], licenses.TEMPLATES, licenses.THRESHOLD))}
+    score = {k: brute[1] for (k, _, _), brute in zip(rows, brute_licences([t for _, _, t in rows], licenses.TEMPLATES, licenses.THRESHOLD))}
+    speaks = {}
+    for k, path, _ in rows:
+        head, _, name = path.rpartition("/")
+        if own[k] and re.match(licenses.LICENCE_FILE, name):
+            speaks.setdefault(head, []).append((-round(score[k], 9), path, k, own[k]))
+    n_inherit = 0
+    for k, path, _ in rows:
+        head = path.rpartition("/")[0]
+        want = (own[k], None)
+        while own[k] is None:
+            if head in speaks:
+                want = (min(speaks[head])[3], head)
+                n_inherit += 1
+                break
+            if not head:
+                break
+            head = head.rpartition("/")[0]
+        assert got[k] == want
+    assert n_inherit > 200
+
+
+def test_full_texts_and_titles(spark):
+    rng = random.Random(1)
+    prose = [" ".join(f"w{rng.randint(0, 900)}" for _ in range(60)) for _ in range(60)]
+    full = {n: t for n, t in licenses.TEMPLATES if "\n\n" in t}
+    rows = [(k, "src/LICENSE", f"Copyright (c) 2020 Somebody Else\n\n{t}") for k, t in enumerate(full.values())]
+    rows += [(50, "a/COPYING", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n" + "\n\n".join(prose[:30]))]
+    rows += [(100 + k, "a/x", t) for k, t in enumerate(prose)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    for k, name in enumerate(full):
+        assert (got[k].own_license, got[k].whole_text) == (name, True)
+    assert (got[50].own_license, got[50].whole_text) == ("GPL-3.0", False) and not any(got[100 + k].own_license for k in range(60))
+
+
 def test_licences_of_edge_cases(edges, nothing):
     from pyspark.sql import functions as F
 
