@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from lettermill.llm import textbytes as tb
@@ -19,10 +20,11 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.5
 QUESTION, ANSWER = 0.6, 0.6
 SHINGLE = 3
-MIN_WORDS = 5
 BLOCK = 4
 INDEX_BYTES = 8 << 20
+HELD_BYTES = 16 << 20
 NON_ESSENTIAL = 0.4
+EPS = 1e-9
 
 
 def terms(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,186 +53,276 @@ def _terms_of(text: str) -> np.ndarray:
     return terms(raw, np.array([0, len(raw)]))[0]
 
 
-@dataclass
-class Index:
-    """Inverted index of some items; impacts are divided by the item's own
-    score, so that an item scores 1 against itself."""
+def cell_size(n_terms: int) -> int:
+    """A power of four, 16 at least, that an item fits in: its passages are
+    two cells, whatever other items there are."""
+    size = 16
+    while size < n_terms:
+        size *= 4
+    return size
 
-    ids: list
-    vocabulary: np.ndarray  # sorted term hashes
-    item_terms: list[np.ndarray]  # positions in the vocabulary, sorted
-    item_impacts: list[np.ndarray]
-    question: list[np.ndarray]
-    answer: list[np.ndarray]
-    longest: int
-    list_start: np.ndarray = field(init=False)  # of the essential terms' block lists
+
+@dataclass
+class Lists:
+    """Inverted lists of the items of one cell size: of every term the items
+    that hold it, in order, with their impacts, and the largest impact of each
+    block of ``BLOCK`` consecutive items and of the list."""
+
+    cell: int
+    items: np.ndarray  # numbers in the index, in order; lists count along these
+    term: np.ndarray  # postings, by term and item
+    item: np.ndarray
+    impact: np.ndarray
+    n_terms: int
+    key: np.ndarray = field(init=False)
+    start: np.ndarray = field(init=False)
+    top: np.ndarray = field(init=False)
+    block_key: np.ndarray = field(init=False)
+    block_max: np.ndarray = field(init=False)
+    list_start: np.ndarray = field(init=False)  # of the essential terms' blocks
     list_block: np.ndarray = field(init=False)
     list_max: np.ndarray = field(init=False)
     other_max: np.ndarray = field(init=False)  # a block's largest sum of non-essential impacts
 
     def __post_init__(self):
-        n, size = len(self.ids), len(self.vocabulary)
-        term = np.concatenate([*self.item_terms, np.zeros(0, np.int64)]).astype(np.int64)
-        impact = np.concatenate([*self.item_impacts, np.zeros(0)])
-        item = np.repeat(np.arange(n), [len(t) for t in self.item_terms])
-        df = np.bincount(term, minlength=size)
+        n, size = len(self.items), self.n_terms
+        self.blocks = n // BLOCK + 1
+        self.key = self.term * (n + 1) + self.item
+        self.start = np.searchsorted(self.term, np.arange(size + 1))
+        self.top = np.zeros(size)
+        np.maximum.at(self.top, self.term, self.impact)
+        key = self.term * self.blocks + self.item // BLOCK
+        begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        self.block_key, self.block_max = key[begin], np.maximum.reduceat(self.impact, begin) if len(begin) else self.impact
+        df = np.bincount(self.term, minlength=size)
         essential = np.ones(size, bool)
         for cut in (1 << k for k in range(20, -1, -1)):  # the longest lists leave first, as long as no item gets much from them
             trial = df <= cut
-            if np.bincount(item, impact * ~trial[term], n).max(initial=0) > NON_ESSENTIAL:
+            if np.bincount(self.item, self.impact * ~trial[self.term], n).max(initial=0) > NON_ESSENTIAL:
                 break
             essential = trial
-        rest = np.bincount(item, impact * ~essential[term], n)
+        rest = np.bincount(self.item, self.impact * ~essential[self.term], n)
         self.other_max = np.maximum.reduceat(rest, np.arange(0, n, BLOCK)) if n else rest
-        mine = essential[term]
-        key, top = term[mine] * (n // BLOCK + 1) + item[mine] // BLOCK, impact[mine]
+        mine = essential[self.block_key // self.blocks]
+        self.list_block, self.list_max = self.block_key[mine] % self.blocks, self.block_max[mine]
+        self.list_start = np.searchsorted(self.block_key[mine] // self.blocks, np.arange(size + 1))
+
+    def promising(self, term: np.ndarray, cell: np.ndarray, threshold: float) -> np.ndarray:
+        """Passages (by their first cell) with a block of items whose largest
+        impacts, over the terms of both cells, reach the threshold. ``term``
+        (-1: unknown) and ``cell`` are given for each term of the texts."""
+        pos = np.flatnonzero(term >= 0)
+        lens = self.list_start[term[pos] + 1] - self.list_start[term[pos]]
+        pos, lens = pos[lens > 0], lens[lens > 0]
+        entry = np.repeat(self.list_start[term[pos]] - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))
+        where, block, top = np.repeat(cell[pos], lens), self.list_block[entry], self.list_max[entry]
+        key = np.r_[where, where - 1] * self.blocks + np.r_[block, block]  # passage k: cells k and k+1
         order = np.argsort(key, kind="stable")
         key = key[order]
-        begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-        self.list_max = np.maximum.reduceat(top[order], begin) if len(begin) else top
-        self.list_block = key[begin] % (n // BLOCK + 1)
-        self.list_start = np.searchsorted(key[begin] // (n // BLOCK + 1), np.arange(size + 1))
+        if not len(key):
+            return key
+        begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        bound = np.add.reduceat(np.r_[top, top][order], begin)
+        passage, block = key[begin] // self.blocks, key[begin] % self.blocks
+        return np.unique(passage[(bound + self.other_max[block] >= threshold - EPS) & (passage >= 0)])
+
+    def above(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
+        """All items that a passage of distinct ``terms`` scores ``threshold``
+        or more, by block-max WAND.
+
+        The lists stand at their next items. In order of these, the first list
+        at which the sum of the lists' largest impacts reaches the threshold
+        gives the pivot: no item before it can. If the maxima of the pivot's
+        block don't reach it either, all lists up to the pivot skip that block
+        (or to the next list's item); else they move to the pivot, and it is
+        scored once they all stand there.
+        """
+        n, out = len(self.items), []
+        terms = terms[self.start[terms + 1] > self.start[terms]]
+        pos, end, top = self.start[terms].copy(), self.start[terms + 1], self.top[terms]
+        while len(terms):
+            at = self.item[pos]
+            order = np.argsort(at, kind="stable")
+            reach = int(np.searchsorted(np.cumsum(top[order]), threshold - EPS))
+            if reach == len(order):
+                break
+            pivot = int(at[order[reach]])
+            upto = at <= pivot
+            key = terms[upto] * self.blocks + pivot // BLOCK
+            found = np.minimum(np.searchsorted(self.block_key, key), len(self.block_key) - 1)
+            if self.block_max[found][self.block_key[found] == key].sum() < threshold - EPS:
+                later = at[~upto]
+                aim = min((pivot // BLOCK + 1) * BLOCK, int(later.min()) if len(later) else n)
+                move = upto
+            elif at[order[0]] == pivot:
+                score = float(self.impact[pos[upto]].sum())
+                if score >= threshold - EPS:
+                    out.append((int(self.items[pivot]), score))
+                aim, move = pivot + 1, upto
+            else:
+                aim, move = pivot, at < pivot
+            pos[move] = np.searchsorted(self.key, terms[move] * (n + 1) + aim)
+            live = pos < end
+            terms, pos, end, top = terms[live], pos[live], end[live], top[live]
+        return out
+
+
+@dataclass
+class Index:
+    """Inverted index of some items; impacts are divided by the item's own
+    score, so that an item scores 1 against itself."""
 
+    ids: list
+    vocabulary: np.ndarray  # sorted term hashes
+    question: list[np.ndarray]
+    answer: list[np.ndarray]
+    shingle: list[int]
+    lists: list[Lists]
 
-def build_index(rows: list, n_items: int, mean_len: float, df: dict[int, int], longest: int) -> Index:
+
+def build_index(rows: list, n_items: int, mean_len: float, df: dict[int, int]) -> Index:
     """BM25 impacts of a block's items; ``df``, ``n_items`` and ``mean_len``
-    are of all items. An item's terms count once each in a query."""
-    ids, kept, question, answer, tf = [], [], [], [], []
+    are of all items. An item's terms count once each in a query. An item
+    without an answer has to overlap as a whole by both measures."""
+    ids, kept, question, answer, shingle, lens = [], [], [], [], [], []
     for ident, text in rows:
         w = _terms_of(text)
+        if not len(w):
+            continue
         q, a = question_and_answer(text)
         nq = len(_terms_of(q))
+        size = min(SHINGLE, len(w))
         ids.append(ident)
         kept.append(np.unique(w, return_counts=True))
-        tf.append(len(w))
-        question.append(np.unique(shingles(w[: max(nq, SHINGLE)])))
-        answer.append(np.unique(shingles(w[max(0, nq - SHINGLE + 1) :])) if a and nq < len(w) else np.zeros(0, np.uint64))
+        lens.append(len(w))
+        shingle.append(size)
+        question.append(np.unique(shingles(w[: max(nq, size)], size)))
+        answer.append(np.unique(shingles(w[max(0, nq - size + 1) :], size)) if a and 0 < nq < len(w) else np.unique(shingles(w, size)))
     vocabulary = np.unique(np.concatenate([k[0] for k in kept] + [np.zeros(0, np.uint64)]))
-    impacts = []
-    for (w, n), size in zip(kept, tf, strict=True):
+    terms_, impacts = [], []
+    for (w, n), size in zip(kept, lens, strict=True):
         d = np.array([df[int(x)] for x in w.view(np.int64)])
         idf = np.log1p((n_items - d + 0.5) / (d + 0.5))
         s = idf * n * (K1 + 1) / (n + K1 * (1 - B + B * size / mean_len))
+        terms_.append(np.searchsorted(vocabulary, w))
         impacts.append(s / s.sum())
-    return Index(ids, vocabulary, [np.searchsorted(vocabulary, k[0]) for k in kept], impacts, question, answer, longest)
+    cells = np.array([cell_size(n) for n in lens], np.int64)
+    lists = []
+    for cell in np.unique(cells).tolist():
+        items = np.flatnonzero(cells == cell)
+        term, impact = (np.concatenate([x[k] for k in items]) for x in (terms_, impacts))
+        item = np.repeat(np.arange(len(items)), [len(terms_[k]) for k in items])
+        order = np.lexsort((item, term))
+        lists.append(Lists(cell, items, term[order].astype(np.int64), item[order], impact[order], len(vocabulary)))
+    return Index(ids, vocabulary, question, answer, shingle, lists)
 
 
 def passages(w: np.ndarray, first: np.ndarray, index: Index, threshold: float = THRESHOLD) -> list[tuple[int, int, float, float, float, int]]:
     """All ``(text, item, score, question, answer, first term)`` that pass.
 
-    A passage is two cells of ``index.longest`` terms; the next begins one cell
-    later, so every item lies whole in one. Shallow step: sums of block maxima
-    over the essential lists, plus what non-essential lists can add; only
-    blocks that reach the threshold get the deep step, which scores their
-    items and compares shingles.
+    An item's passages are two cells of its cell size; the next begins one cell
+    later, so every copy lies whole in one. Of a passage that may score the
+    threshold for some block of items, all items above it are retrieved, and
+    their shingles compared.
     """
-    n_blocks, size = len(index.other_max), max(index.longest, 1)
-    if not len(w) or not n_blocks:
+    if not len(w) or not len(index.ids):
         return []
     at = np.minimum(np.searchsorted(index.vocabulary, w), len(index.vocabulary) - 1)
     term = np.where(index.vocabulary[at] == w, at, -1)
-    n_cells = -(-np.diff(first) // size)
-    cell0 = np.r_[0, np.cumsum(n_cells)]
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    cell = cell0[text] + (np.arange(len(w)) - first[text]) // size
-    pos = np.flatnonzero(term >= 0)
-    lens = index.list_start[term[pos] + 1] - index.list_start[term[pos]]
-    entry = np.repeat(index.list_start[term[pos]] - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))
-    where = np.repeat(cell[pos], lens)
-    key = np.r_[where, where - 1] * n_blocks + np.r_[index.list_block[entry], index.list_block[entry]]  # passage k: cells k and k+1
-    top = np.r_[index.list_max[entry], index.list_max[entry]]
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    if not len(key):
-        return []
-    begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    bound = np.add.reduceat(top[order], begin)
-    passage, block = key[begin] // n_blocks, key[begin] % n_blocks
-    owner = np.repeat(np.arange(len(n_cells)), n_cells)
-    live = (bound + index.other_max[block] >= threshold) & (passage >= 0)
     best: dict[tuple[int, int], tuple] = {}
-    here = np.zeros(len(index.vocabulary), bool)
-    for k, blk in zip(passage[live].tolist(), block[live].tolist(), strict=True):
-        t = int(owner[k])
-        a = int(first[t]) + (k - int(cell0[t])) * size
-        b = min(a + 2 * size, int(first[t + 1]))
-        have = term[a:b]
-        here[have[have >= 0]] = True
-        seen = None
-        for i in range(blk * BLOCK, min((blk + 1) * BLOCK, len(index.ids))):
-            got = float(index.item_impacts[i][here[index.item_terms[i]]].sum())
-            if got < threshold or ((t, i) in best and best[t, i][2] >= got):
-                continue
-            seen = np.unique(shingles(w[a:b])) if seen is None else seen
-            share = lambda s: float(np.isin(s, seen).mean()) if len(s) else 1.0
-            q, ans = share(index.question[i]), share(index.answer[i])
-            if q >= QUESTION and ans >= ANSWER:
-                best[t, i] = (t, i, got, q, ans, a - int(first[t]))
-        here[have[have >= 0]] = False
+    for lists in index.lists:
+        n_cells = -(-np.diff(first) // lists.cell)
+        cell0 = np.r_[0, np.cumsum(n_cells)]
+        owner = np.repeat(np.arange(len(n_cells)), n_cells)
+        cell = cell0[text] + (np.arange(len(w)) - first[text]) // lists.cell
+        for k in lists.promising(term, cell, threshold).tolist():
+            t = int(owner[k])
+            a = int(first[t]) + (k - int(cell0[t])) * lists.cell
+            b = min(a + 2 * lists.cell, int(first[t + 1]))
+            have = np.unique(term[a:b])
+            seen: dict[int, np.ndarray] = {}
+            for i, got in lists.above(have[have >= 0], threshold):
+                if (t, i) in best and best[t, i][2] >= got:
+                    continue
+                size = index.shingle[i]
+                if size not in seen:
+                    seen[size] = np.unique(shingles(w[a:b], size))
+                q, ans = (float(np.isin(s, seen[size]).mean()) for s in (index.question[i], index.answer[i]))
+                if q >= QUESTION and ans >= ANSWER:
+                    best[t, i] = (t, i, got, q, ans, a - int(first[t]))
     return sorted(best.values())
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``leaks``, an array of ``(item_id, score, question_overlap,
-    answer_overlap, first_term)``, best passage of each leaked item; a column of
-    that name is replaced.
-
-    Statistics are of all items. The index is broadcast in blocks of at most
-    about ``INDEX_BYTES`` of item text, one pass over the documents for each,
-    so its size never grows with the benchmark. Passages cover whole texts.
-    A leak scores ``threshold`` of the item's own score or more and holds
-    enough of the question's and the answer's three-term shingles. Null and
-    empty texts and items match nothing, nor do items of fewer than
-    ``MIN_WORDS`` terms; repeated items and documents each get their rows.
+    answer_overlap, first_term)``, the best passage (of equals the first) of
+    each leaked item, in order of the items' ids; a column of that name is
+    replaced, others are kept whatever their names.
+
+    Statistics are of all items. The index goes to the workers in blocks of
+    about ``INDEX_BYTES`` of item text, which only decides how much of it a
+    worker holds at a time: every item has its score and its passages whatever
+    other items there are. One pass over the documents meets all blocks.
+    Passages cover whole texts, very long ones too. A leak scores ``threshold``
+    of the item's own score or more and holds enough of the question's and the
+    answer's shingles of three terms (of all terms, if there are fewer). Null
+    and empty texts, and items without a term, match nothing; repeated items
+    and documents each get their rows; an empty table gives an empty result.
     """
     docs = docs.drop("leaks")
-    items = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("t is not null")
+    items = items.select(items[item_id].alias("i"), items[item_text].alias("t")).where("t is not null")
     kind = items.schema["i"].dataType
+    spark = docs.sparkSession
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, off in tb.chunks(batches, "t"):
             w, first = terms(data, off)
             doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
             once = np.unique(np.stack([doc.astype(np.uint64), w]), axis=1)[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[once.view(np.int64), 0]), pa.array(np.r_[np.ones(len(once), np.int64), 0]), pa.array(np.r_[np.zeros(len(once), np.int64), np.diff(first).max(initial=0)]), pa.array(np.r_[np.zeros(len(once), np.int64), len(w)])], ["w", "df", "longest", "len"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[once.view(np.int64), 0]), pa.array(np.r_[np.ones(len(once), np.int64), 0]), pa.array(np.r_[np.zeros(len(once), np.int64), len(w)])], ["w", "df", "len"])
 
-    freq = tb.map_arrow(items, listed, "w long, df long, longest long, len long").groupBy("w").agg(F.sum("df").alias("df"), F.max("longest").alias("longest"), F.sum("len").alias("len"))
+    freq = tb.map_arrow(items, listed, "w long, df long, len long").groupBy("w").agg(F.sum("df").alias("df"), F.sum("len").alias("len"))
     freq = durable(freq, "items")
-    whole = items.agg(F.count("*").alias("n"), F.sum(F.octet_length("t")).alias("b")).first()
-    stat = freq.agg(F.max("longest").alias("longest"), F.sum("len").alias("len")).first()
-    n, blocks = whole["n"], max(1, -(-(whole["b"] or 0) // INDEX_BYTES))
-    leak = StructType([StructField("item_id", kind), *(StructField(c, DoubleType()) for c in ("score", "question_overlap", "answer_overlap")), StructField("first_term", LongType())])
-    out = docs.withColumn("leaks", F.lit(None).cast(ArrayType(leak)))
+    whole = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b")).first()
+    length = freq.agg(F.coalesce(F.sum("len"), F.lit(0)).alias("len")).first()["len"]
+    n, blocks = whole["n"], max(1, -(-whole["b"] // INDEX_BYTES))
+    indexes = []
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("t", "i"), F.lit(blocks)) == k)
-        rows = [(r["i"], r["t"]) for r in part.collect() if len(_terms_of(r["t"])) >= MIN_WORDS]  # at most about INDEX_BYTES
+        rows = sorted(((r["i"], r["t"]) for r in part.collect()), key=lambda r: (r[0] is None, r[0], r[1]))  # about INDEX_BYTES
         mine = np.unique(np.concatenate([_terms_of(t) for _, t in rows] + [np.zeros(0, np.uint64)])).view(np.int64).tolist()
-        known = freq if blocks == 1 else freq.where(F.col("w").isin(mine)) if len(mine) < 1000 else freq.join(docs.sparkSession.createDataFrame([(x,) for x in mine], "w long"), "w", "left_semi")
+        known = freq if blocks == 1 else freq.join(spark.createDataFrame([(x,) for x in mine], "w long"), "w", "left_semi")
         df = {r["w"]: r["df"] for r in known.select("w", "df").collect()}
-        index = build_index(sorted(rows, key=lambda r: (r[0] is None, r[0])), n, max((stat["len"] or 0) / max(n, 1), 1.0), df, max(max((len(_terms_of(t)) for _, t in rows), default=0), 1))
-        out = _scan(out, index, text, leak, threshold)
-    return out.withColumn("leaks", F.coalesce("leaks", F.array().cast(ArrayType(leak))))
-
-
-def _scan(docs: DataFrame, index: Index, text: str, leak: StructType, threshold: float) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(index)
-    names = docs.columns
+        indexes.append(spark.sparkContext.broadcast(build_index(rows, n, max(length / max(n, 1), 1.0), df)))
+    leak = StructType([StructField("item_id", kind), *(StructField(c, DoubleType()) for c in ("score", "question_overlap", "answer_overlap")), StructField("first_term", LongType())])
+    schema = StructType([*docs.schema.fields, StructField("leaks", ArrayType(leak))])
+    arrow = pa.list_(pa.struct([("item_id", to_arrow_type(kind)), *((c, pa.float64()) for c in leak.names[1:-1]), ("first_term", pa.int64())]))
+
+    def matched(held: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        found: list[dict[int, list]] = [{} for _ in held]
+        for shared in indexes:
+            index = shared.value
+            for (_, w, first), mine in zip(held, found, strict=True):
+                for t, i, *values in passages(w, first, index, threshold):
+                    mine.setdefault(t, []).append(dict(zip(leak.names, [index.ids[i], *values], strict=True)))
+            if len(indexes) > 1:  # one block in memory at a time
+                del index, shared._value
+        for (part, _, _), mine in zip(held, found, strict=True):
+            order = lambda x: (x["item_id"] is None, x["item_id"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([sorted(mine.get(t, []), key=order) for t in range(part.num_rows)], arrow)], schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        held, size = [], 0
         for part, data, off in tb.chunks(batches, text):
-            found: dict[int, list] = {}
-            w, first = terms(data, off)
-            for t, i, *values in passages(w, first, index, threshold):
-                found.setdefault(t, []).append(dict(zip(leak.names, [index.ids[i], *values], strict=True)))
-            at = names.index("leaks")
-            column = part.column(at)
-            if found:
-                old = column.to_pylist()
-                column = pa.array([(o or []) + found[t] if t in found else o for t, o in enumerate(old)], column.type)
-            yield pa.RecordBatch.from_arrays([column if k == at else c for k, c in enumerate(part.columns)], names)
-
-    return tb.map_arrow(docs, run, docs.schema)
+            held.append((part, *terms(data, off)))
+            size += len(data)
+            if size >= HELD_BYTES or len(indexes) == 1:
+                yield from matched(held)
+                held, size = [], 0
+        yield from matched(held)
+
+    return tb.map_arrow(docs, run, schema)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

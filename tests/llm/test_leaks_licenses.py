@@ -14,51 +14,109 @@ def test_leaks_of_documents(spark, texts):
     items = {r.item_id: r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
     got = {(r.doc_id, r.item_id) for r in decontaminate.op6_decontaminate(spark, DATA).collect()}
     flat = lambda t: " ".join(t.lower().split())
-    whole = {(d, i) for d, t in texts.items() for i, x in items.items() if len(x.split()) >= decontaminate.MIN_WORDS and flat(x) in flat(t)}
+    whole = {(d, i) for d, t in texts.items() for i, x in items.items() if flat(x) in flat(t)}
     assert whole <= got and all(decontaminate.THRESHOLD <= r.score for r in decontaminate.op6_decontaminate(spark, DATA).collect())
     for d, i in got - whole:  # near copies at most: most of the item's words in order
         w = flat(items[i]).split()
         assert sum(" ".join(w[k : k + 3]) in flat(texts[d]) for k in range(len(w) - 2)) >= 0.5 * (len(w) - 2)
 
 
-def brute_best(passage, index):
-    return [float(m[[t in passage for t in index.vocabulary[k].tolist()]].sum()) for k, m in zip(index.item_terms, index.item_impacts)]
+def brute_leaks(texts, items, threshold=decontaminate.THRESHOLD):
+    """Every item against every passage of every text, from the words."""
+    split = lambda t: [w.translate(LOWER) for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", (t or "").encode())]
+    shingled = lambda w, n: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+    known = [(i, split(t), t) for i, t in items if t is not None]
+    df = Counter(w for _, ws, _ in known for w in set(ws))
+    mean = max(sum(len(ws) for _, ws, _ in known) / max(len(known), 1), 1.0)
+    idf = lambda w: math.log1p((len(known) - df[w] + 0.5) / (df[w] + 0.5))
+    out = []
+    for text in map(split, texts):
+        got = []
+        for i, ws, raw in known:
+            if not ws:
+                continue
+            impact = {w: idf(w) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(ws) / mean)) for w, n in Counter(ws).items()}
+            cell = next(4**k * 16 for k in range(20) if 4**k * 16 >= len(ws))
+            parts = re.split(r"(?<=[.!?])\s+", raw.strip())
+            nq, size = len(split(" ".join(parts[:-1]))) if len(parts) > 1 else 0, min(3, len(ws))
+            question = shingled(ws[: max(nq, size)] if len(parts) > 1 else ws, size)
+            answer = shingled(ws[max(0, nq - size + 1) :], size) if 0 < nq < len(ws) else shingled(ws, size)
+            best = None
+            for a in range(0, len(text), cell):
+                passage = text[a : a + 2 * cell]
+                have, seen = set(passage), shingled(passage, size)
+                score = sum(x for w, x in impact.items() if w in have) / sum(impact.values())
+                q, ans = (len(s & seen) / len(s) for s in (question, answer))
+                if score >= threshold - 1e-9 and q >= 0.6 and ans >= 0.6 and (best is None or score > best[0] + 1e-12):
+                    best = (score, q, ans, a)
+            if best:
+                got.append((i, *best))
+        out.append(sorted(got, key=lambda x: (x[0] is None, x[0])))
+    return out
+
+
+def leaks_of(rows):
+    return [[(x.item_id, x.score, x.question_overlap, x.answer_overlap, x.first_term) for x in r.leaks] for r in rows]
+
+
+def close(got, want):
+    assert [[x[0] for x in g] for g in got] == [[x[0] for x in w] for w in want]
+    for g, w in zip(got, want):
+        for x, y in zip(g, w):
+            assert abs(x[1] - y[1]) < 1e-9 and x[2:4] == y[2:4] and (x[4] == y[4] or abs(x[1] - y[1]) < 1e-9)
+
+
+def test_leaks_against_brute_force(spark, texts, monkeypatch):
+    """Whole and edited items in texts, items of all lengths, whatever the size of an index block."""
+    rng = random.Random(5)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    items += [(900, "Who wrote Hamlet? William Shakespeare."), (901, "zyzzyva"), (902, "two words"), (903, "one two three"), (904, " ".join(f"l{k}" for k in range(300)) + ". The end."), (905, "..."), (None, "No number? None."), (906, None)]
+    rows = list(texts.values())[:30] + [None, "", "the zyzzyva", "in two words or one two three four", "Ask who wrote Hamlet: William Shakespeare did", "NO NUMBER, NONE"]
+    for _, t in items:
+        w = (t or "").split()
+        if w:
+            rows += [" ".join([*rows[0].split()[:40], *w, *rows[1].split()[:40]]), " ".join(x for x in w if rng.random() > 0.1), " ".join(w[len(w) // 2 :])]
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    table = spark.createDataFrame(items, "item_id long, text string")
+    want = brute_leaks(rows, items)
+    assert sum(map(bool, want)) > len(items)
+    for size in (8 << 20, 2000, 300):
+        monkeypatch.setattr(decontaminate, "INDEX_BYTES", size)
+        close(leaks_of(sorted(decontaminate.find_leaks(frame, table).collect(), key=lambda r: r.doc_id)), want)
 
 
-def test_bounds_drop_no_item_above_the_threshold(spark, texts):
-    rows = [(i, t) for i, t in sorted((r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect())]
-    df, sizes = {}, []
-    for _, t in rows:
-        w = decontaminate._terms_of(t)
-        sizes.append(len(w))
-        for x in set(w.view("int64").tolist()):
-            df[x] = df.get(x, 0) + 1
-    index = decontaminate.build_index(rows, len(rows), sum(sizes) / len(sizes), df, max(sizes))
+def test_wand_retrieves_all_above_any_threshold():
     import numpy as np
 
-    for text in list(texts.values())[:60]:
-        raw = np.frombuffer(text.encode(), np.uint8)
-        w, first = decontaminate.terms(raw, np.array([0, len(raw)]))
-        got = {(t, i) for t, i, *_ in decontaminate.passages(w, first, index)}
-        step = index.longest
-        for a in range(0, max(len(w), 1), step):
-            part = set(w[a : a + 2 * step].tolist())
-            seen = np.unique(decontaminate.shingles(w[a : a + 2 * step]))
-            for i, s in enumerate(brute_best(part, index)):
-                share = lambda x: np.isin(x, seen).mean() if len(x) else 1.0
-                if s >= decontaminate.THRESHOLD + 1e-9 and share(index.question[i]) >= decontaminate.QUESTION and share(index.answer[i]) >= decontaminate.ANSWER:
-                    assert (0, i) in got
+    rng = random.Random(7)
+    words_ = [f"w{int(rng.paretovariate(0.7))}" for _ in range(4000)]
+    rows = [(k, " ".join(rng.sample(words_, rng.randint(1, 14)))) for k in range(200)]
+    df = Counter(x for _, t in rows for x in set(decontaminate._terms_of(t).view("int64").tolist()))
+    index = decontaminate.build_index(rows, len(rows), 7.0, df)
+    (lists,) = index.lists
+    for _ in range(60):
+        have = np.unique(np.array(rng.sample(range(len(index.vocabulary)), 40)))
+        scores = {}
+        for t, i, x in zip(lists.term.tolist(), lists.item.tolist(), lists.impact.tolist()):
+            if t in set(have.tolist()):
+                scores[i] = scores.get(i, 0.0) + x
+        for threshold in (0.2, 0.5, 0.9):
+            want = {i: s for i, s in scores.items() if s >= threshold - 1e-9}
+            got = dict(lists.above(have, threshold))
+            assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
 
 
 def test_leaks_of_edge_cases(spark, edges, nothing, monkeypatch):
-    items = spark.createDataFrame([(1, words(30, 5)), (2, None), (3, ""), (4, "word1"), (None, words(20, 510)), (1, words(30, 5)), (9, "What is it? " + words(12, 900) + ". Answer nine.")], "item_id long, text string")
-    want = {d: sum(words(30, 5) in (t or "") for _ in range(2)) + (words(20, 510) in (t or "")) for d, t in ((k, r[1]) for k, r in enumerate(EDGES))}
+    items = [(1, words(30, 5)), (2, None), (3, ""), (4, "word1"), (None, words(20, 510)), (1, words(30, 5)), (9, "What is it? " + words(12, 900) + ". Answer nine.")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(len, brute_leaks([r[1] for r in EDGES], items)))
+    assert want[-1] == 4
     for size in (decontaminate.INDEX_BYTES, 200):  # the latter: several blocks
         monkeypatch.setattr(decontaminate, "INDEX_BYTES", size)
-        out = decontaminate.find_leaks(edges, items)
-        assert sorted(len(r.leaks) for r in out.collect()) == sorted(want.values()) and set(out.columns) == set(edges.columns)
-    assert decontaminate.find_leaks(nothing, items).count() == 0
-    assert {len(r.leaks) for r in decontaminate.find_leaks(edges, items.where("1 = 0")).collect()} == {0}
+        out = decontaminate.find_leaks(edges, table)
+        assert sorted(len(r.leaks) for r in out.collect()) == want and set(out.columns) == set(edges.columns)
+    assert decontaminate.find_leaks(nothing, table).count() == 0
+    assert {len(r.leaks) for r in decontaminate.find_leaks(edges, table.where("1 = 0")).collect()} == {0}
 
 
 def test_licences_of_documents(spark, texts):
