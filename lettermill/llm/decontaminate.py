@@ -79,10 +79,8 @@ class Lists:
     top: np.ndarray = field(init=False)
     block_key: np.ndarray = field(init=False)
     block_max: np.ndarray = field(init=False)
-    list_start: np.ndarray = field(init=False)  # of the essential terms' blocks
-    list_block: np.ndarray = field(init=False)
-    list_max: np.ndarray = field(init=False)
-    other_max: np.ndarray = field(init=False)  # a block's largest sum of non-essential impacts
+    essential: tuple = field(init=False)  # of the shorter lists: starts, blocks, maxima, and what the others can add to a block
+    whole: tuple = field(init=False)  # the same of all lists
 
     def __post_init__(self):
         n, size = len(self.items), self.n_terms
@@ -102,29 +100,43 @@ class Lists:
                 break
             essential = trial
         rest = np.bincount(self.item, self.impact * ~essential[self.term], n)
-        self.other_max = np.maximum.reduceat(rest, np.arange(0, n, BLOCK)) if n else rest
         mine = essential[self.block_key // self.blocks]
-        self.list_block, self.list_max = self.block_key[mine] % self.blocks, self.block_max[mine]
-        self.list_start = np.searchsorted(self.block_key[mine] // self.blocks, np.arange(size + 1))
+        blocks = lambda keys, most, rest: (np.searchsorted(keys // self.blocks, np.arange(size + 1)), keys % self.blocks, most, rest)
+        self.essential = blocks(self.block_key[mine], self.block_max[mine], np.maximum.reduceat(rest, np.arange(0, n, BLOCK)) if n else rest)
+        self.whole = blocks(self.block_key, self.block_max, np.zeros(self.blocks))
 
     def promising(self, term: np.ndarray, cell: np.ndarray, threshold: float) -> np.ndarray:
         """Passages (by their first cell) with a block of items whose largest
         impacts, over the terms of both cells, reach the threshold. ``term``
         (-1: unknown) and ``cell`` are given for each term of the texts."""
-        pos = np.flatnonzero(term >= 0)
-        lens = self.list_start[term[pos] + 1] - self.list_start[term[pos]]
-        pos, lens = pos[lens > 0], lens[lens > 0]
-        entry = np.repeat(self.list_start[term[pos]] - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))
-        where, block, top = np.repeat(cell[pos], lens), self.list_block[entry], self.list_max[entry]
-        key = np.r_[where, where - 1] * self.blocks + np.r_[block, block]  # passage k: cells k and k+1
+        known = np.flatnonzero(term >= 0)
+        found = self._bounded(term[known], cell[known], threshold, self.essential, True)  # repeats of a term add to this bound
+        if not len(found):
+            return found
+        at = [known[np.isin(cell[known] - step, found)] for step in (0, 1)]
+        where = np.concatenate([cell[k] - step for step, k in enumerate(at)])
+        pair = np.unique(where * self.n_terms + term[np.concatenate(at)])
+        return self._bounded(pair % self.n_terms, pair // self.n_terms, threshold, self.whole, False)
+
+    def _bounded(self, term: np.ndarray, where: np.ndarray, threshold: float, lists: tuple, cells: bool) -> np.ndarray:
+        """Passages (``cells``: with the terms of the cell behind, too) that
+        reach the threshold by sums of block maxima."""
+        start, blocks, maxima, rest = lists
+        lens = start[term + 1] - start[term]
+        term, where, lens = term[lens > 0], where[lens > 0], lens[lens > 0]
+        entry = np.repeat(start[term] - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))
+        where, block, top = np.repeat(where, lens), blocks[entry], maxima[entry]
+        if cells:  # passage k: cells k and k + 1
+            where, block, top = np.r_[where, where - 1], np.r_[block, block], np.r_[top, top]
+        key = where * self.blocks + block
         order = np.argsort(key, kind="stable")
         key = key[order]
         if not len(key):
             return key
         begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        bound = np.add.reduceat(np.r_[top, top][order], begin)
+        bound = np.add.reduceat(top[order], begin)
         passage, block = key[begin] // self.blocks, key[begin] % self.blocks
-        return np.unique(passage[(bound + self.other_max[block] >= threshold - EPS) & (passage >= 0)])
+        return np.unique(passage[(bound + rest[block] >= threshold - EPS) & (passage >= 0)])
 
     def above(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
         """All items that a passage of distinct ``terms`` scores ``threshold``
