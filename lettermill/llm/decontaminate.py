@@ -340,4 +340,47 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: s
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return find_leaks(docs, items).select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+    found = find_leaks(docs, items).select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+    return found.withColumns({c: F.round(c, 6) for c in ("score", "question_overlap", "answer_overlap")})
+
+
+_LOWER = "translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = "regexp_extract_all(" + _LOWER + r", '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
+
+#: Every item against every passage, without an index.
+SQL = rf"""
+with i0 as (select item_id, {_TERMS.format(t="text")} as w, regexp_replace(text, '^\s+|\s+$', '', 'g') as t from benchmark where text is not null),
+i1 as (select *, len(w) as n, regexp_extract(t, '(?s)^(.*[.!?])\s+(.*?)$', 1) as q from i0 where len(w) > 0),
+i as (
+  select *, len({_TERMS.format(t="q")}) as nq, least(n, 3) as size, greatest(16, (16 * 4 ** ceil(log2(n / 16.0) / 2))::int) as cell from i1),
+x as (select item_id, unnest(w) as term, n from i),
+df as (select term, count(distinct item_id) as d from x group by term),
+stat as (select count(*) as items, greatest(sum(n) / count(*), 1.0) as mean from (select len(w) as n from i0)),
+raw as (
+  select item_id, term, ln(1 + (items - d + 0.5) / (d + 0.5)) * count(*) * 2.2 / (count(*) + 1.2 * (0.25 + 0.75 * n / mean)) as s
+  from x join df using (term), stat group by item_id, term, n, d, items, mean),
+impact as (select item_id, term, s / sum(s) over (partition by item_id) as s from raw),
+d0 as (select doc_id, {_TERMS.format(t="coalesce(text, '')")} as w from documents),
+d as (select doc_id, w, unnest(w) as term, generate_subscripts(w, 1) - 1 as pos from d0),
+c as (select distinct cell from i),
+place as (select distinct doc_id, cell, (pos // cell - back) * cell as a, term from d, c, range(2) b(back) where pos // cell >= back),
+got as (
+  select p.doc_id, p.cell, p.a, m.item_id, sum(m.s) as score from place p join impact m using (term) join i on i.item_id = m.item_id and i.cell = p.cell
+  group by p.doc_id, p.cell, p.a, m.item_id having sum(m.s) >= 0.5 - 1e-9),
+told as (
+  select got.*, list_slice(d0.w, a + 1, a + 2 * got.cell) as pw, i.w, i.size, i.nq, i.n from got join d0 using (doc_id) join i using (item_id)),
+cut as (
+  select *, list_transform(range(1, len(pw) - size + 2), lambda k: array_to_string(list_slice(pw, k, k + size - 1), ' ')) as seen,
+    case when nq > 0 then list_slice(w, 1, greatest(nq, size)) else w end as qw,
+    case when 0 < nq and nq < n then list_slice(w, greatest(0, nq - size + 1) + 1, n) else w end as aw from told),
+parts as (
+  select *, list_distinct(list_transform(range(1, len(qw) - size + 2), lambda k: array_to_string(list_slice(qw, k, k + size - 1), ' '))) as qs,
+    list_distinct(list_transform(range(1, len(aw) - size + 2), lambda k: array_to_string(list_slice(aw, k, k + size - 1), ' '))) as s from cut),
+shares as (
+  select *, len(list_intersect(qs, seen)) / len(qs)::double as question_overlap, len(list_intersect(s, seen)) / len(s)::double as answer_overlap from parts),
+best as (
+  select *, row_number() over (partition by doc_id, item_id order by round(score, 9) desc, a) as k
+  from shares where question_overlap >= 0.6 and answer_overlap >= 0.6)
+select doc_id, item_id, round(score, 6) as score, round(question_overlap, 6) as question_overlap, round(answer_overlap, 6) as answer_overlap, a::bigint as first_term
+from best where k = 1
+"""

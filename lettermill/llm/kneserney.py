@@ -25,7 +25,7 @@ FLUSH_TOKENS = 2_000_000
 SHARD_BYTES = 24 << 20
 SAMPLE_DOCS = 2000
 HOT_SHARE = 0.0005
-MAX_BITS = 16
+MAX_BITS = 24  # of a context in a key
 U64, U32 = np.uint64, np.uint32
 
 
@@ -163,8 +163,8 @@ def count_bigrams(train: DataFrame, text: str, bits: int, hot: np.ndarray) -> Da
     return tb.map_arrow(train.select(text), run, "shard int, blob binary")
 
 
-def merge_bigrams(counted: DataFrame, folder: str, word_bits: int, hot: np.ndarray) -> DataFrame:
-    """Write each shard's bigram counts; ``(shard, blob, n)`` has for each shard
+def merge_bigrams(counted: DataFrame, folder: str, bits: int, word_bits: int, hot: np.ndarray) -> DataFrame:
+    """Write each shard's bigram counts, a task for each; ``(shard, blob, n)`` has for each shard
     of words what contexts and words need, and (once a shard) counts of counts."""
 
     def merge(table: pa.Table) -> pa.Table:
@@ -188,10 +188,10 @@ def merge_bigrams(counted: DataFrame, folder: str, word_bits: int, hot: np.ndarr
         of_counts = [[int((n == k).sum()) for k in (1, 2, 3, 4)]] + [None] * (len(shards) - 1)
         return pa.table({"shard": pa.array(shards, pa.int32()), "blob": pa.array(blobs, pa.binary()), "n": pa.array(of_counts, pa.list_(pa.int64()))})
 
-    return counted.groupBy("shard").applyInArrow(merge, "shard int, blob binary, n array<long>")
+    return counted.repartitionById(1 << bits, "shard").groupBy("shard").applyInArrow(merge, "shard int, blob binary, n array<long>")
 
 
-def merge_words(parts: DataFrame, folder: str) -> DataFrame:
+def merge_words(parts: DataFrame, folder: str, word_bits: int) -> DataFrame:
     """Write each shard of words: hash, count, followers seen once, twice and
     more often, and predecessors; return each shard's sums."""
 
@@ -214,14 +214,14 @@ def merge_words(parts: DataFrame, folder: str) -> DataFrame:
             "more": [int((types >= 3).sum())],
         })
 
-    return parts.groupBy("shard").applyInArrow(merge, "docs long, tokens long, words long, types long, n array<long>, m array<long>, more long")
+    return parts.repartitionById(1 << word_bits, "shard").groupBy("shard").applyInArrow(merge, "docs long, tokens long, words long, types long, n array<long>, m array<long>, more long")
 
 
 def train_model(train: DataFrame, text: str = "text") -> Model:
     """Count all of ``train`` and write the model to the shared folder.
 
     The number of shards follows the bytes of text, so that one shard, all a
-    task holds at a time, stays of one size.
+    task holds at a time, stays of one size, up to 400 TB.
     """
     spark = train.sparkSession
     size = train.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("b")).first()
@@ -230,7 +230,7 @@ def train_model(train: DataFrame, text: str = "text") -> Model:
     word_bits = max(1, bits - 2)
     hot = hot_contexts(train, text, size["n"])
     folder = new_path(spark, "kneserney")
-    sums = merge_words(merge_bigrams(count_bigrams(train, text, bits, hot), folder, word_bits, hot), folder).collect()  # a row a shard
+    sums = merge_words(merge_bigrams(count_bigrams(train, text, bits, hot), folder, bits, word_bits, hot), folder, word_bits).collect()  # a row a shard
     total = {k: sum(r[k] for r in sums) for k in ("docs", "tokens", "words", "types", "more")}
     n, m = (np.sum([r[k] for r in sums], axis=0) if sums else np.zeros(4) for k in ("n", "m"))
     d = discounts(m)
@@ -291,7 +291,10 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     Tokens are the words of the text with A-Z lower-cased, then one end, so a
     null or empty text is one token. Unknown words share the probability that
     the discounts leave to one more word. With nothing to learn from, all
-    words are unknown. An empty table gives an empty result.
+    words are unknown. Repeated rows are learned from as often as they occur
+    and score alike, so ties need no order; very long texts are scored whole.
+    Other columns are kept whatever their names. An empty table gives an empty
+    result.
     """
     from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 

@@ -54,45 +54,55 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_pct: int = 15
     the word.
 
     Null texts have size 0, a null source is a source of its own, null ids
-    count as empty; equal rows have equal keys and are interchangeable; an
-    empty table gives an empty result. Reruns agree.
+    count as empty; equal rows have equal keys and are interchangeable; a very
+    long text may be the one that is taken in part. Other columns are kept
+    whatever their names; an empty table gives an empty result. Reruns agree.
     """
     spark = docs.sparkSession
+    docs = docs.drop(*RESULTS)
+    names = docs.columns
     bits = max(4, (shuffle_partitions(spark) * 4 - 1).bit_length())
-    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    key = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(ident).cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col(text), F.lit(""))).cast("binary"))
-    keyed = docs.withColumns({"size": size, "__key": key, "__s": F.coalesce(F.col(source), F.lit("")), "__n": F.col(source).isNull()})
-    keyed = keyed.withColumn("__bucket", F.shiftright(F.conv(F.substring("__key", 1, 8), 16, 10).cast("long"), 32 - bits))
-    group = ["__s", "__n", "__bucket"]
-
-    totals = keyed.groupBy(*group).agg(F.sum("size").alias("__words"))
-    by_source = totals.groupBy("__s", "__n").agg(F.sum("__words").alias("source_size"))
-    aims = targets(by_source.select(F.when(~F.col("__n"), F.col("__s")).alias("source"), "source_size"), weights, share_pct, max_epochs)
-    aims = aims.select(F.coalesce("source", F.lit("")).alias("__s"), F.col("source").isNull().alias("__n"), "source_size", "target")
-    before = Window.partitionBy("__s", "__n").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*group, F.coalesce(F.sum("__words").over(before), F.lit(0)).alias("__start")).join(aims, ["__s", "__n"])
-
-    inner = Window.partitionBy(*group).orderBy("__key").rowsBetween(Window.unboundedPreceding, 0)
-    run = keyed.drop(*RESULTS[1:]).withColumn("__run", F.sum("size").over(inner))
-    out = run.join(starts, group)
+    body, origin = docs[text], docs[source]
+    key = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(docs[ident].cast("string"), F.lit("")), F.lit("|"), F.coalesce(body, F.lit(""))).cast("binary"))
+    keyed = docs.select(
+        *[docs[c].alias(f"c{k}") for k, c in enumerate(names)],
+        F.coalesce(F.regexp_count(body, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("key"), F.coalesce(origin, F.lit("")).alias("s"), origin.isNull().alias("n"),
+    )
+    keyed = keyed.withColumn("bucket", F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), 32 - bits))
+    group = ["s", "n", "bucket"]
+
+    totals = keyed.groupBy(*group).agg(F.sum("size").alias("words"))
+    by_source = totals.groupBy("s", "n").agg(F.sum("words").alias("source_size"))
+    aims = targets(by_source.select(F.when(~F.col("n"), F.col("s")).alias("source"), "source_size"), weights, share_pct, max_epochs)
+    aims = aims.select(F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("n"), "source_size", "target")
+    before = Window.partitionBy("s", "n").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*group, F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start")).join(aims, ["s", "n"])
+
+    inner = Window.partitionBy(*group).orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
+    out = keyed.withColumn("run", F.sum("size").over(inner)).join(starts, group)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.round(F.col("target") - epochs * F.col("source_size")).cast("long")
-    part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - (F.col("__start") + F.col("__run") - F.col("size"))))
+    part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - (F.col("start") + F.col("run") - F.col("size"))))
     out = out.withColumn("taken", (epochs * F.col("size") + part).cast("long"))
-    return out.select(*[c for c in docs.columns if c not in RESULTS], *RESULTS)
+    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)], *RESULTS)
 
 
-def mixed_rows(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+def mixed_rows(docs: DataFrame, text: str = "text", source: str = "source", ident: str = "doc_id", **options) -> DataFrame:
     """The mix as rows: every document as often as it was taken, a part
-    counting as a whole from half of its words on. Same columns as ``docs``.
+    counting as a whole from half of its words on. Same columns as ``docs``,
+    whatever their names; rows of a document follow no order.
 
-    A document without words is no training text and is left out.
+    A document without words (null, empty, blank) is no training text and is
+    left out. Repeated rows are documents like others; an empty table gives an
+    empty result.
     """
     names = docs.columns
-    aside = {c: f"__kept_{c}" for c in names if c in RESULTS}
-    counted = mix(docs.withColumnsRenamed(aside), text=text, **options)
+    rows = docs.select(*[docs[c].alias(f"in{k}") for k, c in enumerate(names)])
+    at = {c: f"in{k}" for k, c in enumerate(names)}
+    counted = mix(rows, text=at[text], source=at[source], ident=at[ident], **options)
     times = F.when(F.col("size") > 0, F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).otherwise(0)
-    return counted.withColumn("__times", times.cast("int")).where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(aside.get(c, c)).alias(c) for c in names])
+    copies = counted.withColumn("times", times.cast("int")).where("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return copies.select(*[F.col(at[c]).alias(c) for c in names])
 
 
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

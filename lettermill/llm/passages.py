@@ -67,3 +67,21 @@ def remove_repeated_passages(docs: DataFrame, window: int = WINDOW, gram: int =
 def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return remove_repeated_passages(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+SQL = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (
+  select doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), chr(1))) as h
+  from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from d)),
+least as (select h, min(doc_id) as lo from win group by h),
+hit as (select win.doc_id, list(distinct i) as starts from win join least using (h) where lo < win.doc_id group by win.doc_id),
+gone as (
+  select distinct doc_id, s + k as j from (select doc_id, unnest(starts) as s from hit), range(50) t(k)),
+kept as (
+  select doc_id, j, x from (select doc_id, unnest(w) as x, generate_subscripts(w, 1) as j from d) e
+  where not exists (from gone where gone.doc_id = e.doc_id and gone.j = e.j)),
+told as (select doc_id, string_agg(x, ' ' order by j) as k, count(*) as n from kept group by doc_id)
+select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(k, '')) as kept_sha256
+from d left join told using (doc_id)
+"""

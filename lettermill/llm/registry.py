@@ -17,4 +17,11 @@ QUERIES = {
     "op10_kneserney": kneserney.op10_kneserney,
 }
 
-ORACLE_SQL = {"op4_embedding_join": embedding_join.SQL, "op9_mix": mixing.SQL}
+ORACLE_SQL = {
+    "op1_shard_bytes": sharding.SQL,
+    "op2_substrings": substrings.SQL,
+    "op3_passages": passages.SQL,
+    "op4_embedding_join": embedding_join.SQL,
+    "op6_decontaminate": decontaminate.SQL,
+    "op9_mix": mixing.SQL,
+}

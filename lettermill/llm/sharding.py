@@ -42,43 +42,47 @@ def shard(docs: DataFrame, n_shards: int = 8, order_by: str = "doc_id", text: st
 
     Null ids sort first, null texts have size 1, equal ids are ordered by a
     hash of the text (an id that spans several quantiles is spread over their
-    buckets by that hash), equal rows are interchangeable. An empty table
-    gives an empty result.
+    buckets by that hash), equal rows are interchangeable. A very long text is
+    one row: no shard is closer to its share than its longest row allows. Other
+    columns are kept whatever their names. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    ident = F.coalesce(F.col(order_by).cast("long"), F.lit(-(2**63)))
+    docs = docs.drop("size", "shard", "slot")
+    names = docs.columns
+    ident = F.coalesce(docs[order_by].cast("long"), F.lit(-(2**63)))
     n = shuffle_partitions(spark) * BUCKETS_PER_PARTITION
     shares = F.array(*[F.lit(i / n) for i in range(1, n)])
     found = docs.select(F.percentile_approx(ident, shares, max(10000, 50 * n)).alias("q")).first()["q"]
     bounds = sorted(found or [])
-    tie = F.xxhash64(F.col(text))
-    low, high = bucket_of(ident, bounds, True), bucket_of(ident, bounds, False)
-    keyed = docs.withColumns({"size": F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1, "__id": ident, "__tie": tie})
-    keyed = keyed.withColumn("__bucket", low + F.pmod(F.col("__tie"), (high - low + 1).cast("long")).cast("int"))
-
-    totals = keyed.groupBy("__bucket").agg(F.sum("size").alias("__bytes"), F.count("*").alias("__rows"))
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    keyed = docs.select(
+        *[docs[c].alias(f"c{k}") for k, c in enumerate(names)],
+        (F.coalesce(F.octet_length(docs[text]), F.lit(0)).cast("long") + 1).alias("size"), ident.alias("id"), F.xxhash64(docs[text]).alias("tie"),
+    )
+    low, high = bucket_of(F.col("id"), bounds, True), bucket_of(F.col("id"), bounds, False)
+    keyed = keyed.withColumn("bucket", low + F.pmod(F.col("tie"), (high - low + 1).cast("long")).cast("int"))
+
+    totals = keyed.groupBy("bucket").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     starts = totals.select(
-        "__bucket",
-        F.coalesce(F.sum("__bytes").over(before), F.lit(0)).alias("__byte0"),
-        F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__row0"),
-        F.sum("__bytes").over(whole).alias("__all"),
+        "bucket",
+        F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("byte0"),
+        F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("row0"),
+        F.sum("bytes").over(whole).alias("total"),
     )
-    inner = Window.partitionBy("__bucket").orderBy("__id", "__tie")
+    inner = Window.partitionBy("bucket").orderBy("id", "tie")
 
     def placed(rows: DataFrame) -> DataFrame:
-        run = rows.withColumns({"__run": F.sum("size").over(inner.rowsBetween(Window.unboundedPreceding, 0)), "__rn": F.row_number().over(inner)})
-        run = run.join(F.broadcast(starts), "__bucket")  # at most one row per bucket: n rows
+        run = rows.withColumns({"run": F.sum("size").over(inner.rowsBetween(Window.unboundedPreceding, 0)), "rn": F.row_number().over(inner)})
+        run = run.join(F.broadcast(starts), "bucket")  # at most one row per bucket: n rows
         # F.expr of a bigint "div" keeps the cut exact where doubles would round
-        return run.withColumn("__middle", 2 * (F.col("__byte0") + F.col("__run")) - F.col("size")).withColumns(
-            {"shard": F.least(F.expr(f"(__middle * {n_shards}) div (2 * __all)"), F.lit(n_shards - 1)).cast("int"), "__pos": F.col("__row0") + F.col("__rn") - 1}
+        return run.withColumn("middle", 2 * (F.col("byte0") + F.col("run")) - F.col("size")).withColumns(
+            {"shard": F.least(F.expr(f"(middle * {n_shards}) div (2 * total)"), F.lit(n_shards - 1)).cast("int"), "pos": F.col("row0") + F.col("rn") - 1}
         )
 
-    first = placed(keyed.select("__bucket", "__id", "__tie", "size")).groupBy("shard").agg(F.min("__pos").alias("__first"))
+    first = placed(keyed.select("bucket", "id", "tie", "size")).groupBy("shard").agg(F.min("pos").alias("first"))
     out = placed(keyed).join(F.broadcast(first), "shard")  # n_shards rows
-    kept = [c for c in docs.columns if c not in ("size", "shard", "slot")]
-    return out.select(*kept, "size", "shard", (F.col("__pos") - F.col("__first")).cast("long").alias("slot"))
+    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)], "size", "shard", (F.col("pos") - F.col("first")).cast("long").alias("slot"))
 
 
 def op1_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,3 +90,26 @@ def op1_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     docs = docs.withColumn("text_crc32", crc)
     return shard(docs).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: CRC-32 by its polynomial: a table of 256 remainders, and a fold over the bytes.
+SQL = """
+with step as (
+  select n, list_reduce(list_prepend(n::bigint, range(8)), lambda c, k: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as v from range(256) t(n)),
+crc as (select list(v order by n) as t from step),
+d as (
+  select doc_id, coalesce(text, '') as x, strlen(coalesce(text, '')) + 1 as size from documents),
+b as (
+  select doc_id, size, list_transform(regexp_extract_all(hex(encode(x)), '..'), lambda h: ('0x' || h)::bigint) as bytes from d),
+c as (
+  select doc_id, size,
+    xor(list_reduce(list_prepend(4294967295::bigint, bytes), lambda c, y: xor(crc.t[(xor(c, y) & 255) + 1], c >> 8)), 4294967295) as text_crc32
+  from b, crc),
+p as (
+  select *, 2 * sum(size) over (order by doc_id) - size as middle, sum(size) over () as total from c),
+s as (
+  select *, least((middle * 8) // (2 * total), 7)::int as shard from p)
+select doc_id, size::bigint as size, text_crc32, 'bytes' as law, shard,
+  row_number() over (partition by shard order by doc_id) - 1 as slot, null::int as grown_shard
+from s
+"""

@@ -84,3 +84,21 @@ def remove_repeated_substrings(docs: DataFrame, length: int = LENGTH, gram: int
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return remove_repeated_substrings(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+SQL = r"""
+with d as (select doc_id, coalesce(text, '') as x, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, ''))::bigint as n from documents),
+win as (select doc_id, i, md5(substr(h, 2 * i + 1, 800)) as m from (select doc_id, h, unnest(range(0, n - 399)) as i from d)),
+often as (select m from win group by m having count(*) > 1),
+hit as (select doc_id, i, lag(i) over (partition by doc_id order by i) as before from win where m in (from often)),
+isle as (select *, sum(case when before is null or i > before + 400 then 1 else 0 end) over (partition by doc_id order by i) as k from hit),
+span as (select doc_id, min(i) as a, max(i) + 400 as b from isle group by doc_id, k),
+gap as (
+  select doc_id, coalesce(lag(b) over (partition by doc_id order by a), 0) as a, a as b from span
+  union all select doc_id, max(b), null from span group by doc_id),
+kept as (
+  select d.doc_id, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, n) - a)), '' order by a) as k from gap join d using (doc_id) group by d.doc_id),
+total as (select doc_id, sum(b - a) as gone, count(*) as spans from span group by doc_id)
+select d.doc_id, n as n_bytes, coalesce(gone, 0)::bigint as n_removed, coalesce(spans, 0)::bigint as n_spans, sha256(unhex(coalesce(k, h))) as kept_sha256
+from d left join total using (doc_id) left join kept using (doc_id)
+"""
