@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lettermill.llm import textbytes as tb
 
 TABLE_BITS = 16
+MODEL_BYTES = 64 << 20
 SAMPLE_PER_LANG = 4000
 ROUNDS = 12
 PENALTY = 3.0
@@ -20,57 +21,69 @@ UNDETERMINED = "und"
 LETTER = r"\p{L}"
 
 
-def symbols(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def symbols(data: np.ndarray, off: np.ndarray, bits: int = TABLE_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Trigram slots of every word (A-Z lower-cased, a blank at either end),
     the position of each word in them, and of each text in the words."""
     starts, ends, first = tb.word_spans(data, off)
     norm, _, ends = tb.joined(data, starts, ends, lower=True)
     b = np.concatenate([[32, 32], norm, [32]]).astype(np.uint64)  # a word's first trigram begins before it
     code = b[:-2] << np.uint64(16) | b[1:-1] << np.uint64(8) | b[2:]
-    slot = (code * tb.RATIO) >> np.uint64(64 - TABLE_BITS)
-    # one slot for each byte of norm: bytes of a word and the blank after it
-    slot = slot[1 : len(norm) + 1].astype(np.int64)
-    return slot, np.r_[0, ends + 1].astype(np.int64)[: len(ends)], first
+    slot = (code * tb.RATIO) >> np.uint64(64 - bits)
+    # one slot for each byte of a word, in the middle of its trigram; none about the blank that parts words (and texts)
+    slot = slot[1 : len(norm) + 1][norm != 32].astype(np.int64)
+    return slot, np.r_[0, ends - np.arange(len(ends))].astype(np.int64)[: len(ends)], first
 
 
-def count_slots(rows: DataFrame, text: str, lang: str) -> DataFrame:
-    """``(lang, slot, n)`` over all rows, partly summed per task."""
+def count_slots(rows: DataFrame, bits: int) -> DataFrame:
+    """``number, body`` -> ``(number, slot, n)`` over all rows, partly summed per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
-        for part, data, off in tb.chunks(batches, text):
-            slot, words, first = symbols(data, off)
+        sums: dict[int, np.ndarray] = {}
+        for part, data, off in tb.chunks(batches, "body"):
+            slot, words, first = symbols(data, off, bits)
             edge = np.r_[words, len(slot)][first]
-            for i, name in enumerate(part.column(part.schema.get_field_index(lang)).to_pylist()):
+            for i, number in enumerate(part.column(0).to_pylist()):
                 if edge[i + 1] > edge[i]:
-                    sums.setdefault(name, np.zeros(1 << TABLE_BITS, np.int64))[:] += np.bincount(slot[edge[i] : edge[i + 1]], minlength=1 << TABLE_BITS)
-        for name, n in sums.items():
+                    sums.setdefault(number, np.zeros(1 << bits, np.int64))[:] += np.bincount(slot[edge[i] : edge[i + 1]], minlength=1 << bits)
+        for number, n in sums.items():
             at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(n[at])], ["lang", "slot", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), number), pa.int32()), pa.array(at), pa.array(n[at])], ["number", "slot", "n"])
+
+    return tb.map_arrow(rows.select("number", "body"), run, "number int, slot long, n long").groupBy("number", "slot").agg(F.sum("n").alias("n"))
+
 
-    return tb.map_arrow(rows.select(lang, text), run, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+def table_bits(n_langs: int) -> int:
+    """Trigram slots of each language: 2**16, and fewer where there are more
+    than 256 languages, so that no model takes more than ``MODEL_BYTES``."""
+    bits = min(TABLE_BITS, (MODEL_BYTES // 4 // max(n_langs, 1)).bit_length() - 1)
+    if bits < 8:
+        raise ValueError(f"{n_langs} labels are more than a model can hold: is this the column of languages?")
+    return bits
 
 
 def fit(train: DataFrame, text: str = "text", lang: str = "lang", sample_per_lang: int = SAMPLE_PER_LANG) -> tuple[list[str], np.ndarray]:
     """Languages in order, and a float32 table of log P(slot | language).
 
     Learns from about ``sample_per_lang`` labelled texts of each language (the
-    documented bound), chosen by a hash of the text, and keeps 2**16 trigram
-    slots for each, so that the model's size depends on the number of
-    languages alone.
+    documented bound), chosen by a hash of the text, so that repeated rows are
+    learned from together or not at all. The model's size depends on the number
+    of languages alone (see ``table_bits``). Null texts and labels, and the
+    order of rows, teach nothing; an empty table gives a model of no language.
     """
-    train = train.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    have = {r[lang]: r["count"] for r in train.groupBy(lang).count().collect()}
-    if not have:
-        return [], np.zeros((1 << TABLE_BITS, 0), np.float32)
-    share = F.create_map(*[F.lit(x) for k, n in have.items() for x in (k, min(1.0, sample_per_lang / n))])
-    drawn = F.pmod(F.xxhash64(text), F.lit(1 << 30)) / float(1 << 30)
-    rows = count_slots(train.where(drawn < share[F.col(lang)]), text, lang).collect()
-    names = sorted(have)
-    table = np.full((1 << TABLE_BITS, len(names)), 0.5)
-    place = {k: i for i, k in enumerate(names)}
-    for r in rows:
-        table[r["slot"], place[r["lang"]]] += r["n"]
+    rows = train.select(train[lang].alias("lang"), train[text].alias("body")).where("lang is not null and body is not null")
+    have = rows.groupBy("lang").count()
+    most = MODEL_BYTES // 4 >> 8
+    counts = {r["lang"]: r["count"] for r in have.limit(most + 1).collect()}  # a row a language, refused if too many
+    bits = table_bits(len(counts))
+    if not counts:
+        return [], np.zeros((1 << bits, 0), np.float32)
+    names = sorted(counts)
+    known = [(k, i, min(1.0, sample_per_lang / counts[k])) for i, k in enumerate(names)]
+    numbered = train.sparkSession.createDataFrame(known, "lang string, number int, share double")
+    drawn = F.pmod(F.xxhash64("body"), F.lit(1 << 30)) / float(1 << 30)
+    found = count_slots(rows.join(F.broadcast(numbered), "lang").where(drawn < F.col("share")), bits).toArrow()  # at most a row a slot
+    table = np.full((1 << bits, len(names)), 0.5)
+    table[found.column("slot").to_numpy(), found.column("number").to_numpy()] += found.column("n").to_numpy()
     return names, np.log(table / table.sum(0)).astype(np.float32)
 
 
@@ -109,11 +122,12 @@ def infer(data: np.ndarray, off: np.ndarray, table: np.ndarray, penalty: float =
     A word is one draw from the mixture. Expectation-maximisation over all
     languages ranks them by share; then sets of the 1, 2, ... first languages,
     up to all of them, are fitted where they can still gain, and the set with the largest log likelihood less ``penalty`` *
-    log(words) for each language wins.
+    log(words) for each language wins. Of equal shares the first language in
+    order leads.
     """
     n, langs = len(off) - 1, table.shape[1]
     best, score = np.full(n, -1), np.zeros(n)
-    slot, words, first = symbols(data, off)
+    slot, words, first = symbols(data, off, len(table).bit_length() - 1)
     if not len(words) or not langs:
         return best, score
     loglik = np.add.reduceat(table[slot], words, axis=0).astype(np.float64)
@@ -155,15 +169,18 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
     text's words); columns of those names are replaced.
 
     Reads the text alone. A null text, and one without a letter, is ``und``
-    with score 0, as is every text if no language was learned. Texts are
-    processed whole, a few MB at a time; an empty table gives an empty result.
+    with score 0, as is every text if no language was learned. Equal texts, such
+    as those of repeated rows, have equal results; of languages with equal
+    shares the first in order is predicted. Texts are processed whole, a few MB
+    at a time; other columns are kept whatever their names; an empty table gives
+    an empty result.
     """
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
     names, table = model
     docs = docs.drop("lang_pred", "score")
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    shared = docs.sparkSession.sparkContext.broadcast(table)  # 256 KB for each language
+    shared = docs.sparkSession.sparkContext.broadcast(table)  # MODEL_BYTES at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in tb.chunks(batches, text):

@@ -19,6 +19,94 @@ def test_held_out_accuracy(spark):
     assert sum(r.lang_pred == langs[r.doc_id] for r in held) >= 0.97 * len(held)
 
 
+def brute_languages(train, texts, penalty=3.0, rounds=12):
+    """Language and share of each text, one text after the other, from the words."""
+    slots = 1 << 16
+    counts = {}
+
+    def trigrams(word):
+        padded = b" " + word + b" "
+        codes = [padded[k : k + 3] for k in range(len(padded) - 2)]
+        return [(int.from_bytes(c, "big") * 0x9E3779B97F4A7C15 % 2**64) >> 48 for c in codes]
+
+    def words_of(text):
+        return re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().translate(LOWER))
+
+    for text, lang in train:
+        if text is not None and lang is not None:
+            mine = counts.setdefault(lang, Counter())
+            for w in words_of(text):
+                mine.update(trigrams(w))
+    names = sorted(counts)
+    total = [sum(counts[n].values()) + 0.5 * slots for n in names]
+    logs = lambda w: [sum(math.log((counts[n][t] + 0.5) / total[k]) for t in trigrams(w)) for k, n in enumerate(names)]
+    known = {}
+    out = []
+    for text in texts:
+        words = words_of(text)
+        if not words or not re.search(r"[^\W\d_]", text) or not names:
+            out.append(("und", 0.0))
+            continue
+        p = []
+        for w in words:
+            if w not in known:
+                row = logs(w)
+                known[w] = [math.exp(max(x - max(row), -60.0)) for x in row]
+            p.append(known[w])
+
+        def mixture(allowed, p=p):
+            share = {k: 1 / len(allowed) for k in allowed}
+            for _ in range(rounds):
+                sums = dict.fromkeys(allowed, 0.0)
+                for row in p:
+                    z = sum(share[k] * row[k] for k in allowed)
+                    for k in allowed:
+                        sums[k] += share[k] * row[k] / z
+                share = {k: v / len(p) for k, v in sums.items()}
+            return share, sum(math.log(sum(share[k] * row[k] for k in allowed)) for row in p)
+
+        single = [sum(math.log(row[k]) for row in p) for k in range(len(names))]
+        share, _ = mixture(range(len(names)))
+        order = sorted(share, key=lambda k: (-share[k], k))
+        if max(single) > single[order[0]]:
+            lead = single.index(max(single))
+            order = [lead, *(k for k in order if k != lead)]
+        cost = penalty * math.log(len(words) + 1)
+        best, value = {order[0]: 1.0}, single[order[0]] - cost
+        for size in range(2, len(names) + 1):
+            fitted, got = mixture(order[:size])
+            if got - size * cost > value:
+                best, value = fitted, got - size * cost
+        lead = max(sorted(best), key=lambda k: best[k])
+        out.append((names[lead], best[lead]))
+    return out
+
+
+def test_languages_against_brute_force(spark):
+    """Texts of one language, mixtures and odd ones, from a model of few texts."""
+    rows = [r for r in spark.read.parquet(f"{DATA}/documents.parquet").collect() if r.text]
+    train = [(r.text, r.lang) for r in rows[:60]] + [(None, "en"), ("lost words", None)]
+    short = [" ".join(r.text.split()[:60]) for r in rows[60:120]]
+    texts = [*short, *(f"{a} {b}" for a, b in zip(short, short[7:])), *(f"{a} {b} {c}" for a, b, c in zip(short[::3], short[1::3], short[2::3])), "x", "12 34", "", None, " \n", "Ω ж"]
+    model = langid.fit(spark.createDataFrame(train, "text string, lang string").repartition(3))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(frame, model).collect()}
+    want = brute_languages(train, texts)
+    assert len({w[0] for w in want}) == 5 and sum(w[1] < 0.95 for w in want if w[0] != "und") > 20
+    for k, (name, score) in enumerate(want):
+        assert got[k][0] == name and abs(got[k][1] - score) < 1e-3, (k, got[k], want[k])  # the table is in single precision
+
+
+def test_the_model_is_bounded_whatever_the_labels(spark):
+    assert [langid.table_bits(n) for n in (0, 4, 256, 257, 6000, 65536)] == [16, 16, 16, 15, 11, 8]
+    with pytest.raises(ValueError, match="labels"):
+        langid.table_bits(65537)
+    frame = spark.range(3000).selectExpr("concat('word', id) as text", "concat('l', id) as lang")
+    names, table = langid.fit(frame)
+    assert len(names) == 3000 and table.nbytes <= langid.MODEL_BYTES
+    assert {r.lang_pred for r in langid.identify(frame.where("lang = 'l7'"), (names, table)).collect()} <= set(names)
+
+
 def test_mixtures(documents, texts):
     model = langid.fit(documents)
     by = {}
