@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lettermill.llm import textbytes as tb
+from lettermill.llm.joins import with_facts
 from lettermill.operators.components import connected_components
 from lettermill.session import durable, ship
 
@@ -168,26 +169,33 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, ident: st
     joined once, with their number as weight, so copies never become pairs.
     ``component_id`` is the smallest id reachable by links; rows of one id are
     kept or not together; a null id is never kept unless its vector is alone.
-    An empty table gives an empty result.
+    Repeated rows link like others, ties need no order, and very long vectors
+    are only wide. Other columns are kept whatever their names. An empty table
+    gives an empty result.
     """
-    rows = vectors.drop("n_links", "component_id", "kept")
-    good = F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0), F.lit(False))
-    emb = F.when(good, F.col(vector))
-    classes = rows.select(emb.alias("emb"), ident).where("emb is not null").groupBy("emb").agg(F.count("*").alias("n"), F.min(ident).alias("least"))
+    vectors = vectors.drop("n_links", "component_id", "kept")
+    names, vec = vectors.columns, vectors[vector]
+    good = F.coalesce(F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vec, lambda x: x != 0), F.lit(False))
+    emb = F.when(good, vec)
+    # 128 bits stand for a vector, so that only the join of cells moves vectors
+    key = F.when(good, F.concat_ws(".", F.hex(F.xxhash64(vec)), F.hex(F.xxhash64(F.lit(1), vec))))
+    rows = vectors.select(*[vectors[c].alias(f"c{k}") for k, c in enumerate(names)], vectors[ident].alias("id"), key.alias("key"), F.monotonically_increasing_id().alias("at"))
+    classes = vectors.select(key.alias("key"), emb.alias("emb"), vectors[ident].alias("id")).where("key is not null")
+    classes = classes.groupBy("key").agg(F.first("emb").alias("emb"), F.count("*").alias("n"), F.min("id").alias("least"))
     classes = durable(classes.withColumn("cid", F.monotonically_increasing_id()), "vectors")
     links = durable(range_links(classes.select("cid", "n", "emb"), threshold), "links")
     degree = links.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("links"))
     parts = connected_components(links.where("b is not null").select("a", "b"))
-    named = classes.join(parts.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    named = classes.select("key", "n", "least", "cid").join(parts.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     ends = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(ends, "component").join(degree, "cid", "left")
-    named = named.select(F.col("emb").alias("__emb"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), "component_id")
-    out = rows.withColumn("__key", emb).join(named, F.col("__key") == F.col("__emb"), "left")
-    alone = F.col("__emb").isNull()
+    named = durable(named.select("key", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), "component_id"), "groups")
+    out = with_facts(rows, named, "key", "n", vectors.count(), "at")
+    alone = F.col("n").isNull()
     return out.select(
-        *rows.columns, F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
-        F.when(alone, F.col(ident)).otherwise(F.col("component_id")).alias("component_id"),
-        F.when(alone, True).otherwise(F.coalesce(F.col(ident) == F.col("component_id"), F.lit(False))).alias("kept"),
+        *[F.col(f"c{k}").alias(c) for k, c in enumerate(names)], F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
+        F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(alone, True).otherwise(F.coalesce(F.col("id") == F.col("component_id"), F.lit(False))).alias("kept"),
     )
 
 
