@@ -7,12 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
-import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from lettermill.session import ship
 
 
 def open_uri(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -59,52 +54,3 @@ def _fetch(store: pafs.FileSystem, path: str) -> str:
         while part := source.read(1 << 22):
             out.write(part)
     return local
-
-
-class SharedMap:
-    """A table from 64-bit keys to integers, as sorted arrays in the shared
-    folder: written by tasks, a shard each, and mapped shard by shard by the
-    workers that look keys up."""
-
-    def __init__(self, folder: str, bits: int, columns: int):
-        self.folder, self.bits, self.columns = folder, bits, columns
-        self._open: dict[int, list[np.ndarray] | None] = {}
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_open": {}}
-
-    def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Whether each (unsigned) key is there, then its values (0 if not)."""
-        keys, back = np.unique(keys, return_inverse=True)
-        found, out = np.zeros(len(keys), bool), [np.zeros(len(keys), np.int64) for _ in range(self.columns)]
-        edge = np.r_[0, np.searchsorted(keys, np.arange(1, 1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)), len(keys)]
-        for s in np.flatnonzero(np.diff(edge)).tolist():
-            if s not in self._open:
-                self._open[s] = map_arrays(self.folder, f"m{s}", [np.uint64] + [np.int64] * self.columns)
-            if not (have := self._open[s]) or not len(have[0]):
-                continue
-            part = slice(edge[s], edge[s + 1])
-            at = np.minimum(np.searchsorted(have[0], keys[part]), len(have[0]) - 1)
-            hit = have[0][at] == keys[part]
-            found[part] = hit
-            for o, column in zip(out, have[1:], strict=True):
-                o[part] = np.where(hit, column[at], 0)
-        return found[back], *(o[back] for o in out)
-
-
-def write_map(df: DataFrame, folder: str, bits: int) -> tuple[SharedMap, int, int]:
-    """Write ``df``, a column of distinct long keys and then long values, as a
-    ``SharedMap``; also its number of keys and the sum of the first value."""
-    key, *values = df.columns
-    ship(df.sparkSession)
-
-    def write(table: pa.Table) -> pa.Table:
-        keys = table.column(key).to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        columns = [table.column(v).to_numpy().astype(np.int64)[order] for v in values]
-        write_arrays(folder, f"m{table.column('shard')[0].as_py()}", [keys[order], *columns])
-        return pa.table({"n": [len(keys)], "total": [float(columns[0].astype(np.float64).sum()) if columns else 0.0]})
-
-    sharded = df.withColumn("shard", F.shiftrightunsigned(F.col(key), 64 - bits).cast("int"))
-    sums = sharded.groupBy("shard").applyInArrow(write, "n long, total double").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()
-    return SharedMap(folder, bits, len(values)), sums["n"] or 0, int(sums["total"] or 0)

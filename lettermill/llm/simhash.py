@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,14 +14,15 @@ from pyspark.sql.window import Window
 
 from lettermill.llm import textbytes as tb
 from lettermill.llm import winnow
-from lettermill.llm.sharedfiles import SharedMap, write_map
+from lettermill.llm.joins import with_facts
 from lettermill.operators.components import connected_components
-from lettermill.session import durable, new_path, shuffle_partitions
+from lettermill.session import durable
 
 SEED = 42
 SHINGLE = 3
 DISTANCE = 3
 GROUP_ROWS = 512
+PIVOTS = 4
 VOTES = 1 << 19
 PAIRS = 1 << 20
 EMPTY = 255
@@ -49,18 +51,20 @@ def fingerprints(data: np.ndarray, off: np.ndarray, shingle: int = SHINGLE) -> n
     return np.packbits(on, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def with_fingerprint(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, out: str = "__fp") -> DataFrame:
-    """``docs`` with the fingerprint as a (signed) long."""
+def with_fingerprint(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """``rows`` with ``fp``, the fingerprint of ``body`` as a (signed) long, in
+    place of that."""
     from pyspark.sql.types import LongType, StructField, StructType
 
-    schema = StructType([*docs.schema.fields, StructField(out, LongType())])
+    rows = rows.select(*[c for c in rows.columns if c != "body"], "body")
+    schema = StructType([*rows.schema.fields[:-1], StructField("fp", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, off in tb.chunks(batches, text):
+        for part, data, off in tb.chunks(batches, "body"):
             fp = fingerprints(data, off, shingle).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fp)], [*part.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(fp)], schema.names)
 
-    return tb.map_arrow(docs, run, schema)
+    return tb.map_arrow(rows, run, schema)
 
 
 @dataclass(frozen=True)
@@ -96,7 +100,9 @@ RING = Ring((16, 16, 16, 16), DISTANCE)
 def in_chunks(listed: DataFrame, group_rows: int | None = None) -> DataFrame:
     """``listed`` rows that share their ``key`` with others, dealt and sorted by
     ``(key, x, y)``: lists longer than ``group_rows`` are cut into chunks, and
-    each pair of chunks is a group of its own, so no task meets an unbounded list."""
+    each pair of chunks is a group of its own, so no task meets an unbounded
+    list. Nodes are distinct fingerprints and agree in half of their bits
+    there, so a list is no longer than chance and small edits make it."""
     group_rows = group_rows or GROUP_ROWS
     names = listed.columns
     met = listed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
@@ -177,14 +183,24 @@ def linked(fp: np.ndarray, node: np.ndarray, key: np.ndarray, x: np.ndarray, y:
     return node[moved[ok]], node[to[ok]]
 
 
-def fingerprint_components(rows: DataFrame, ident: str = "doc_id", fp: str = "__fp") -> DataFrame:
-    """``(fp, component_id)``: the smallest id reachable from each fingerprint."""
-    least = durable(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(ident).alias("least")), "fingerprints")
+def fingerprint_components(prints: DataFrame, ident: str = "id") -> DataFrame:
+    """``(fp, component_id, rows)``: the smallest id reachable from each
+    fingerprint, and how many rows have it."""
+    least = durable(prints.groupBy("fp").agg(F.min(ident).alias("least"), F.count("*").alias("rows")), "fingerprints")
     parts = connected_components(ring_links(least.select("fp")))
     named = least.join(parts.select(F.col("node").alias("fp"), "component"), "fp", "left")
     named = named.withColumn("component", F.coalesce("component", "fp"))
     end = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return named.join(end, "component").select("fp", "component_id")
+    return named.join(end, "component").select("fp", "component_id", "rows")
+
+
+def fingerprinted(docs: DataFrame, text: str, ident: str, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """``docs`` under names c0, c1, ... with ``key`` (a hash of the text) and
+    ``at``, and a narrow table ``(key, id, fp)`` of the same rows."""
+    key = F.md5(F.coalesce(docs[text], F.lit("")))
+    rows = docs.select(*[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)], key.alias("key"), F.monotonically_increasing_id().alias("at"))
+    prints = with_fingerprint(docs.select(key.alias("key"), docs[ident].alias("id"), docs[text].alias("body")), shingle)
+    return rows, durable(prints, "fingerprints")
 
 
 def simhash_groups(docs: DataFrame, text: str = "text", ident: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
@@ -194,34 +210,39 @@ def simhash_groups(docs: DataFrame, text: str = "text", ident: str = "doc_id", s
     repeats counted. Fewer words give one shingle of all; no word (null, empty
     or blank text) gives fingerprint zero, which links like any other. Rows
     link at 3 or fewer differing bits; ``component_id`` is the smallest id
-    reachable (null if the group has no id). Equal fingerprints are one node of
-    the graph, so copies cost nothing. Columns named as the results are
-    replaced; an empty table gives an empty result.
+    reachable (null if the group has no id), so ties need no order. Equal
+    fingerprints are one node of the graph, so repeated rows cost nothing. Very
+    long texts are read whole. Only ids, hashes of the texts and fingerprints
+    are written; these are joined by the text's hash, a hot text apart. Columns
+    named as the results are replaced, others kept whatever their names; an
+    empty table gives an empty result.
     """
     docs = docs.drop("fingerprint", "component_id")
-    rows = durable(with_fingerprint(docs, text, shingle), "simhash")
-    ends = fingerprint_components(rows, ident).withColumnRenamed("fp", "__end")
-    out = rows.join(ends, F.col("__fp") == F.col("__end"))
-    return out.select(*docs.columns, F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows, prints = fingerprinted(docs, text, ident, shingle)
+    n = prints.count()
+    texts = prints.groupBy("key").agg(F.min("fp").alias("fp"), F.count("*").alias("copies"))
+    texts = with_facts(texts, durable(fingerprint_components(prints), "groups"), "fp", "rows", n, "key")
+    out = with_facts(rows, durable(texts.select("key", "copies", "fp", "component_id"), "texts"), "key", "copies", n, "at")
+    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)], F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def simhash_dedup(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """One row of each group: that of the smallest id (null ids last; among
-    rows of one id, any one)."""
-    marked = docs.withColumn("__uid", F.monotonically_increasing_id())
-    rows = durable(with_fingerprint(marked, text), "simhash")
-    slim = rows.select(ident, "__uid", "__fp")
-    ends = fingerprint_components(slim.withColumn("__key", F.col("__uid")), "__key")
-    groups = slim.join(ends, F.col("__fp") == F.col("fp")).select(F.col("component_id").alias("__g"), F.struct(F.col(ident).isNull().alias("z"), F.col(ident).alias("i"), F.col("__uid").alias("u")).alias("r"))
-    keep = groups.groupBy("__g").agg(F.min("r").alias("r")).select(F.col("r.u").alias("__uid"))
-    return rows.join(keep, "__uid", "left_semi").select(*docs.columns)
+    rows of one id, any one). Columns are kept whatever their names."""
+    names = docs.columns
+    aside = durable(docs.select(*[docs[c].alias(f"c{k}") for k, c in enumerate(names)], F.monotonically_increasing_id().alias("uid")), "rows")
+    at = {c: f"c{k}" for k, c in enumerate(names)}
+    prints = durable(with_fingerprint(aside.select(F.col(at[ident]).alias("i"), F.col("uid").alias("id"), F.col(at[text]).alias("body"))), "fingerprints")
+    grouped = with_facts(prints, durable(fingerprint_components(prints), "groups"), "fp", "rows", prints.count(), "id")
+    keep = grouped.groupBy("component_id").agg(F.min(F.struct(F.col("i").isNull().alias("z"), "i", "id")).alias("r")).select(F.col("r.id").alias("uid"))
+    return aside.join(keep.hint("shuffle_hash"), "uid", "left_semi").select(*[F.col(at[c]).alias(c) for c in names])
 
 
 #: Near-copies: five-word shingles with a Jaccard similarity of 0.8 or more,
 #: estimated from 256 slots; the deviation is 0.025, so the limit is one below.
 WIDE_SHINGLE, SLOTS = 5, 256
 SIMILARITY = 0.775
-LANES = [f"__s{k}" for k in range(SLOTS // 8)]
+LANES = [f"s{k}" for k in range(SLOTS // 8)]
 #: Candidates agree in one band of slots: 0.775 similar sketches miss all 42
 #: bands once in 30,000 pairs, 0.8 similar ones once in 350,000.
 BAND, BANDS = 6, SLOTS // 6
@@ -265,19 +286,23 @@ def sketch(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return words, slots.reshape(len(n), SLOTS)
 
 
-def with_sketch(docs: DataFrame, text: str) -> DataFrame:
-    from pyspark.sql.types import LongType, StructField, StructType
+def with_sketch(rows: DataFrame, body: str) -> DataFrame:
+    """``rows`` with ``sketch`` (a hash of all that follows), ``words`` and
+    ``LANES``."""
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-    names = ["__fp", *LANES]
-    schema = StructType([*docs.schema.fields, *(StructField(c, LongType()) for c in names)])
+    names = ["words", *LANES]
+    schema = StructType([*rows.schema.fields, StructField("sketch", StringType()), *(StructField(c, LongType()) for c in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, off in tb.chunks(batches, text):
+        for part, data, off in tb.chunks(batches, body):
             words, wide = sketch(data, off)
             lanes = wide.view(np.int64)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(words.view(np.int64)), *(pa.array(lanes[:, k].copy()) for k in range(len(LANES)))], schema.names)
+            whole = np.column_stack([words.view(np.int64), lanes]).astype(np.int64)
+            digest = [hashlib.md5(row.tobytes()).hexdigest() for row in whole]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(digest, pa.string()), *(pa.array(whole[:, k].copy()) for k in range(whole.shape[1]))], schema.names)
 
-    return tb.map_arrow(docs, run, schema)
+    return tb.map_arrow(rows, run, schema)
 
 
 def band_keys(slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -301,10 +326,18 @@ def band_keys(slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.flatnonzero(some), BANDS), key[some].ravel()
 
 
-def band_links(nodes: DataFrame, sketches: SharedMap, similarity: float) -> DataFrame:
-    """``node, *LANES`` -> edges ``(a, b)`` that connect all nodes which share
-    a band and whose sketches agree in ``similarity`` of the slots. Each group
-    of ``in_chunks`` returns a spanning forest, never all pairs."""
+def band_links(nodes: DataFrame, similarity: float, group_rows: int | None = None) -> DataFrame:
+    """``node, words, *LANES`` -> edges ``(a, b)`` that connect all nodes which
+    share a band and whose sketches agree in ``similarity`` of the slots.
+
+    Nodes are listed by band; lists of one go, and the rest carry their
+    sketches into groups that return spanning forests, never all pairs. A list
+    of more than ``group_rows`` is cut into chunks, each with a few pivots of
+    the whole list, so that a list of near-copies hangs together after one
+    step. What does not hang together with most of a list then meets all of
+    it, chunk by chunk; only pairs not yet connected are compared.
+    """
+    group_rows = group_rows or GROUP_ROWS
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -312,32 +345,70 @@ def band_links(nodes: DataFrame, sketches: SharedMap, similarity: float) -> Data
             row, key = band_keys(lanes.view(np.uint8))
             yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[row]), pa.array(key.view(np.int64))], ["node", "key"])
 
-    met = in_chunks(tb.map_arrow(nodes.select("node", *LANES), keys, "node long, key long"))
+    listed = durable(tb.map_arrow(nodes.select("node", *LANES), keys, "node long, key long"), "bands")
+    counts = listed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = with_facts(listed, counts, "key", "n", listed.count(), "node").where("n is not null")
+    met = durable(met, "bands")
+    parts = F.ceil(F.col("n") / group_rows)
+    hot = met.where(F.col("n") > group_rows)
+    if hot.isEmpty():
+        return _compared(met.select("key", F.lit(0).alias("x"), "node", F.col("node").alias("label")), nodes, similarity)
+    ranked = [F.min(F.struct(F.xxhash64("node", F.lit(j)).alias("h"), "node"))["node"] for j in range(PIVOTS)]
+    pivots = hot.groupBy("key", "n").agg(F.array_distinct(F.array(*ranked)).alias("p"))
+    pivots = pivots.select("key", parts.alias("c"), F.explode("p").alias("node")).select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)).alias("x"), "node")
+    chunked = met.select("key", F.pmod(F.xxhash64("node"), parts).alias("x"), "node").unionByName(pivots).withColumn("label", F.col("node"))
+    first = durable(_compared(chunked, nodes, similarity), "links")
+    names = connected_components(first).withColumnRenamed("component", "label")
+    named = durable(hot.select("key", "node").join(names, "node", "left").withColumn("label", F.coalesce("label", "node")), "hot")
+    size = named.groupBy("key", "label").agg(F.count("*").alias("n"))
+    lists = size.groupBy("key").agg(F.count("*").alias("labels"), F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("most")).where("labels > 1")
+    lists = lists.select("key", "all", F.ceil(F.col("most.n") / group_rows).alias("majors"), F.ceil((F.col("all") - F.col("most.n")) / group_rows).alias("minors"), F.col("most.label").alias("top"))
+    rows = with_facts(named, lists, "key", "all", named.count(), "node").where("all is not null")
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    at = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    # a stray's chunk meets the chunks of most (numbered from zero) and those of strays (below)
+    most = F.transform(upto(F.col("minors")), lambda m: m * F.col("majors") + at("majors"))
+    stray = F.concat(
+        F.transform(upto(F.col("majors")), lambda j: at("minors") * F.col("majors") + j),
+        F.transform(upto(F.col("minors")), lambda m: -1 - (F.least(m, at("minors")) * F.col("minors") + F.greatest(m, at("minors")))),
+    )
+    again = rows.select("key", F.explode(F.when(F.col("label") == F.col("top"), most).otherwise(stray)).alias("x"), "node", "label")
+    return first.unionByName(_compared(again, nodes, similarity))
+
+
+def _compared(groups: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Spanning links of each group ``(key, x)`` of nodes, of which those of
+    one ``label`` are connected already."""
+    dealt = groups.join(nodes.hint("shuffle_hash"), "node").select("node", "key", "x", "label", "words", *LANES)
+    dealt = dealt.repartition("key", "x").sortWithinPartitions("key", "x")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in tb.whole_groups(batches, ["key", "x", "y"]):
-            a, b = band_linked(*(table.column(c).to_numpy() for c in ("node", "key", "x", "y")), sketches, similarity)
+        for table in tb.whole_groups(batches, ["key", "x"]):
+            column = [table.column(c).to_numpy() for c in ("node", "key", "x", "label", "words")]
+            lanes = np.stack([table.column(c).to_numpy() for c in LANES], axis=1).view(np.uint8)
+            a, b = band_linked(*column[:4], column[4].view(np.uint64), lanes, similarity)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return tb.map_arrow(met, run, "a long, b long")
+    return tb.map_arrow(dealt, run, "a long, b long")
 
 
-def band_linked(node: np.ndarray, key: np.ndarray, x: np.ndarray, y: np.ndarray, sketches: SharedMap, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links of each group of equal (key, x, y), sorted by it. Pairs
+def band_linked(node: np.ndarray, key: np.ndarray, x: np.ndarray, known: np.ndarray, words: np.ndarray, lanes: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links of each group of equal (key, x), sorted by it. Pairs
     that are connected already are not compared."""
-    group = np.cumsum(np.r_[0, (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
-    nodes, place = np.unique(node, return_inverse=True)
-    columns = sketches.look_up(nodes.view(np.uint64))[1:]
-    lanes, words = np.stack(columns[:-1], axis=1).view(np.uint8), columns[-1].view(np.uint64)
-    label, moved = np.arange(len(node)), np.zeros(0, np.int64)
+    group = np.cumsum(np.r_[0, (key[1:] != key[:-1]) | (x[1:] != x[:-1])]) if len(node) else node
+    order = np.lexsort((known, group))
+    same = (group[order][1:] == group[order][:-1]) & (known[order][1:] == known[order][:-1])
+    start = tb.spanning(order[1:][same], order[:-1][same], len(node))
+    label, moved = start, np.flatnonzero(start != np.arange(len(node)))
     for i, j in tb.group_pairs(group):
         open_ = label[i] != label[j]
         i, j = i[open_], j[open_]
-        ok = similar(lanes, words, place[i], place[j], similarity)
+        ok = similar(lanes, words, i, j, similarity)
         if ok.any():
             label = tb.spanning(np.r_[moved, i[ok]], np.r_[label[moved], j[ok]], len(node))
             moved = np.flatnonzero(label != np.arange(len(node)))
-    return node[moved], node[label[moved]]
+    new = moved[label[moved] != start[moved]]
+    return node[new], node[label[new]]
 
 
 def similar(lanes: np.ndarray, words: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
@@ -362,23 +433,23 @@ def near_copy_dedup(docs: DataFrame, text: str = "text", ident: str = "doc_id")
     ``SIMILARITY`` of the slots; pairs that share a band of slots are compared.
     If fewer than ``SHARED`` slots agree, the fingerprints of their distinct
     words must be within ``WORD_BITS`` bits too. Rows of equal sketch and
-    fingerprint are one node. Texts without a word are copies of each other. An empty
-    table gives an empty result.
+    fingerprint, such as repeated ones, are one node. Texts without a word
+    (null, empty, blank) are copies of each other; very long texts are read
+    whole. Columns are kept whatever their names. An empty table gives an empty
+    result.
     """
-    spark = docs.sparkSession
-    rows = durable(with_sketch(docs.withColumn("__uid", F.monotonically_increasing_id()), text), "sketches")
-    slim = rows.select(ident, "__uid", "__fp", *LANES)
-    nodes = durable(slim.groupBy("__fp", *LANES).agg(F.min("__uid").alias("node")), "nodes")
-    bits = max(2, min(12, shuffle_partitions(spark).bit_length() - 1))
-    spread = F.xxhash64("node")  # shards go by leading bits, which a row number lacks
-    shared = write_map(nodes.select(spread.alias("key"), *LANES, "__fp"), new_path(spark, "sketches"), bits)[0]
-    links = band_links(nodes.select(spread.alias("node"), *LANES), shared, SIMILARITY)
-    parts = connected_components(links)
-    labelled = nodes.select("__fp", *LANES, spread.alias("__node")).join(parts.select(F.col("node").alias("__node"), "component"), "__node", "left")
-    labelled = labelled.select("__fp", *LANES, F.coalesce("component", "__node").alias("__g"))
-    groups = slim.join(labelled, ["__fp", *LANES]).select("__g", F.struct(F.col(ident).isNull().alias("z"), F.col(ident).alias("i"), F.col("__uid").alias("u")).alias("r"))
-    keep = groups.groupBy("__g").agg(F.min("r").alias("r")).select(F.col("r.u").alias("__uid"))
-    return rows.join(keep, "__uid", "left_semi").select(*docs.columns)
+    names = docs.columns
+    at = {c: f"c{k}" for k, c in enumerate(names)}
+    aside = docs.select(*[docs[c].alias(at[c]) for c in names], F.monotonically_increasing_id().alias("uid"))
+    rows = durable(with_sketch(aside, at[text]), "sketches")
+    slim = rows.select(F.col(at[ident]).alias("id"), "uid", "sketch", "words", *LANES)
+    nodes = slim.groupBy("sketch").agg(F.min("uid").alias("node"), F.count("*").alias("copies"), *[F.min(c).alias(c) for c in ("words", *LANES)])
+    nodes = durable(nodes, "nodes")
+    parts = connected_components(band_links(nodes.select("node", "words", *LANES), SIMILARITY))
+    labelled = nodes.select("sketch", "copies", "node").join(parts, "node", "left").select("sketch", "copies", F.coalesce("component", "node").alias("g"))
+    mine = with_facts(slim.select("id", "uid", "sketch"), durable(labelled, "groups"), "sketch", "copies", slim.count(), "uid")
+    keep = mine.groupBy("g").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "uid")).alias("r")).select(F.col("r.uid").alias("uid"))
+    return rows.join(keep.hint("shuffle_hash"), "uid", "left_semi").select(*[F.col(at[c]).alias(c) for c in names])
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,6 +141,27 @@ def test_near_copies_with_added_cut_and_replaced_blocks(spark):
     assert sorted(r.doc_id for r in simhash.near_copy_dedup(frame).collect()) == want
 
 
+def test_a_long_list_of_near_copies_and_strays(spark, monkeypatch):
+    """Lists cut into many chunks; strays that hang together with few of a list are found."""
+    rng = np.random.default_rng(9)
+    base = [f"b{k}" for k in range(300)]
+    rows = []
+    for k in range(150):  # a large group: one word changed in each
+        w = list(base)
+        w[int(rng.integers(300))] = f"e{k}"
+        rows.append((k, " ".join(w)))
+    drift = list(base)
+    for k in range(150, 170):  # a chain that leaves the group step by step
+        for at in rng.choice(300, 4, replace=False):
+            drift[at] = f"d{k}x{at}"
+        rows.append((k, " ".join(drift)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_near_copies(rows)
+    for group_rows in (512, 16, 5):
+        monkeypatch.setattr(simhash, "GROUP_ROWS", group_rows)
+        assert sorted(r.doc_id for r in simhash.near_copy_dedup(frame).collect()) == want
+
+
 def test_near_copies_of_edge_cases(edges, nothing):
     kept = simhash.near_copy_dedup(edges)
     assert kept.columns == edges.columns
