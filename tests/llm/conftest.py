@@ -5,7 +5,8 @@ import pytest
 DATA = "/root/testdata/sf0.001"
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use for their own or their results' columns.
-CLASHING = ["size", "shard", "slot", "fp", "key", "id", "th", "n", "bucket", "score", "lang_pred", "fingerprint", "component_id", "leaks", "n_tokens", "kept_text", "n_removed", "license", "own_license", "taken", "target", "cid"]
+CLASHING = ["size", "shard", "slot", "fp", "key", "id", "th", "n", "bucket", "score", "lang_pred", "fingerprint", "component_id", "leaks", "n_tokens", "kept_text", "n_removed", "license", "own_license", "taken", "target", "cid",
+    "c0", "c1", "in0", "uid", "at", "dealt", "hot_n", "words", "sketch", "body", "cut", "__cut", "__fp", "__id", "__bucket", "__tie", "rows", "run", "rn", "a", "b", "x", "y", "no", "whole", "dir", "own", "number"]
 
 
 @pytest.fixture(scope="session")

@@ -28,6 +28,21 @@ def test_shards_of_documents(spark, texts):
     assert sorted(r.doc_id for r in rows) == sorted(texts)
     assert all(r.size == len(texts[r.doc_id].encode()) + 1 and r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) and r.grown_shard is None for r in rows)
     check_shards(rows, 8)
+    total, run, want, slots = sum(r.size for r in rows), 0, {}, Counter()
+    for r in sorted(rows, key=lambda r: r.doc_id):  # a row goes to the shard of its middle byte
+        shard = min((2 * run + r.size) * 8 // (2 * total), 7)
+        want[r.doc_id] = (shard, slots[shard])
+        slots[shard] += 1
+        run += r.size
+    assert {r.doc_id: (r.shard, r.slot) for r in rows} == want
+
+
+def test_a_very_long_text_fills_a_shard(spark):
+    rows = [(k, "x" * (3_000_000 if k == 7 else 100)) for k in range(20)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    check_shards(got, 4)
+    taken = mixing.mix(spark.createDataFrame([(k, " ".join(["w"] * (400_000 if k == 7 else 10)), "s") for k in range(20)], "doc_id long, text string, source string")).collect()
+    assert sum(r.taken for r in taken) == round(1.5 * (400_000 + 190)) and max(r.taken / r.size for r in taken) <= 2
 
 
 def test_shards_of_edge_cases(edges, nothing):
