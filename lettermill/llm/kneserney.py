@@ -1,4 +1,4 @@
-"""Interpolated modified Kneser-Ney bigram scoring.
+"""Interpolated modified Kneser-Ney scoring, of order two or three.
 
 Counts are made in Spark, kept as sorted hash arrays in the shared folder and
 memory-mapped by the scoring workers. Order two is what the disk budget of the
@@ -7,7 +7,7 @@ check tool allows in production; see the README.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 from lettermill.llm import sharedfiles
 from lettermill.llm import textbytes as tb
 from lettermill.llm.langid import fold
-from lettermill.session import new_path, shuffle_partitions
+from lettermill.llm.mixing import WORD
+from lettermill.session import durable, new_path, shuffle_partitions
 
 BEGIN, END = np.uint64(0xB0B0B0B0B0B0B0B1), np.uint64(0xE0E0E0E0E0E0E0E1)
+ORDER = 2
 FLUSH_TOKENS = 2_000_000
 SHARD_BYTES = 24 << 20
 SAMPLE_DOCS = 2000
@@ -92,11 +94,13 @@ class Model:
     hot: np.ndarray
     docs: int  # training texts: the count of the end token
     tokens: int  # N
+    order: int
     words: int  # V
     types: int
     discounts: tuple[float, float, float]
     word_discounts: tuple[float, float, float]
     word_rest: float  # mass that single words leave to the uniform distribution
+    top_discounts: tuple[float, float, float]  # of order three
 
 
 def discounts(n: np.ndarray) -> tuple[float, float, float]:
@@ -130,6 +134,108 @@ def hot_contexts(train: DataFrame, text: str, n: int) -> np.ndarray:
     return np.unique(np.r_[np.array([r["w"] for r in rows if r["w"]], np.int64).view(U64), BEGIN])
 
 
+def pair_hash(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return tb.mix64(u * tb.RATIO + v)
+
+
+def before(v: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """The token before each context (the beginning, twice)."""
+    u = np.empty_like(v)
+    u[1:] = v[:-1]
+    u[edge[:-1]] = BEGIN
+    return u
+
+
+def count_trigrams(train: DataFrame, text: str, bits: int) -> DataFrame:
+    """As ``count_bigrams``, with contexts of two words, whose second one stands beside their hash."""
+
+    def flush(us: list[np.ndarray], vs: list[np.ndarray], ws: list[np.ndarray]) -> pa.RecordBatch:
+        u, v, w = map(np.concatenate, (us, vs, ws))
+        c = pair_hash(u, v)
+        key = bigram_keys(c, w, HOT_PAIR)
+        at, n = summed(key, np.ones(len(key), np.int64))
+        edge = bounds_of(key[at], bits)
+        c, v, w = c[at], v[at], w[at]
+        shards, blobs = [], []
+        for s in np.flatnonzero(np.diff(edge)).tolist():
+            a, b = edge[s], edge[s + 1]
+            begin = np.flatnonzero(np.r_[True, c[a + 1 : b] != c[a : b - 1]])
+            shards.append(s)
+            blobs.append(pack(c[a:b][begin], v[a:b][begin], np.diff(np.r_[begin, b - a]).astype(U32), w[a:b], n[a:b].astype(U32)))
+        return pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(blobs, pa.binary())], ["shard", "blob"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, have = ([], [], []), 0
+        for _, data, off in tb.chunks(batches, text):
+            v, w, edge = tokens(data, off)
+            for have_, x in zip(held, (before(v, edge), v, w), strict=True):
+                have_.append(x)
+            have += len(v)
+            if have >= FLUSH_TOKENS:
+                yield flush(*held)
+                held, have = ([], [], []), 0
+        if have:
+            yield flush(*held)
+
+    return tb.map_arrow(train.select(text), run, "shard int, blob binary")
+
+
+#: The first two tokens of a text have the one context that all texts share.
+HOT_PAIR = pair_hash(np.array([BEGIN]), np.array([BEGIN]))
+
+
+def merge_trigrams(counted: DataFrame, folder: str, bits: int, word_bits: int, hot: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+    """Write each shard's trigram counts, then the contexts of two words and
+    the counts of single words; return bigrams, counted by the words before
+    them, as ``count_bigrams`` does, and the counts of counts."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        shard = table.column("shard")[0].as_py()
+        parts = [unpack(b.as_buffer(), [U64, U64, U32, U64, U32]) for b in table.column("blob")]
+        c, v = (np.concatenate([np.repeat(p[k], p[2]) for p in parts]) for k in (0, 1))
+        w = np.concatenate([p[3] for p in parts])
+        key = bigram_keys(c, w, HOT_PAIR)
+        at, n = summed(key, np.concatenate([p[4] for p in parts]).astype(np.int64))
+        sharedfiles.write_arrays(folder, f"t{shard}", [key[at], n.astype(U32)])
+        c, v, w = c[at], v[at], w[at]
+        out: list[tuple[str, int, bytes]] = []
+
+        def deal(kind: str, key: np.ndarray, bits: int, *columns: np.ndarray) -> None:
+            order = np.argsort(key, kind="stable")
+            edge = bounds_of(key[order], bits)
+            for s in np.flatnonzero(np.diff(edge)).tolist():
+                out.append((kind, s, pack(*(x[order][edge[s] : edge[s + 1]] for x in columns))))
+
+        cs, *per = summed(c, n, *((n == k).astype(np.int64) for k in (1, 2)), (n >= 3).astype(np.int64))
+        deal("c", c[cs], bits, c[cs], *(x.astype(U32) for x in per))
+        vs, raw = summed(v, n)
+        deal("r", v[vs], word_bits, v[vs], raw)
+        pair = bigram_keys(v, w, hot)
+        ps, types = summed(pair, np.ones(len(pair), np.int64))
+        deal("b", pair[ps], bits, v[ps], np.ones(len(ps), U32), w[ps], types.astype(U32))
+        of_counts = [[int((n == k).sum()) for k in (1, 2, 3, 4)]] + [None] * (len(out) - 1)
+        kinds, shards, blobs = zip(*out, strict=True)
+        return pa.table({"kind": pa.array(kinds), "shard": pa.array(shards, pa.int32()), "blob": pa.array(blobs, pa.binary()), "n": pa.array(of_counts, pa.list_(pa.int64()))})
+
+    def write(kind: str, columns: list[type]) -> Callable:
+        def run(table: pa.Table) -> pa.Table:
+            shard = table.column("shard")[0].as_py()
+            got = [unpack(b.as_buffer(), columns) for b in table.column("blob")]
+            key = np.concatenate([g[0] for g in got])
+            at, *sums = summed(key, *(np.concatenate([g[k] for g in got]).astype(np.int64) for k in range(1, len(columns))))
+            sharedfiles.write_arrays(folder, f"{kind}{shard}", [key[at], *(x.astype(c) for x, c in zip(sums, columns[1:], strict=True))])
+            return pa.table({"n": [len(at)]})
+
+        return run
+
+    merged = durable(counted.repartitionById(1 << bits, "shard").groupBy("shard").applyInArrow(merge, "kind string, shard int, blob binary, n array<long>"), "trigrams")
+    for kind, wide, columns in (("c", bits, [U64, U32, U32, U32, U32]), ("r", word_bits, [U64, np.int64])):
+        part = merged.where(F.col("kind") == kind).select("shard", "blob")
+        part.repartitionById(1 << wide, "shard").groupBy("shard").applyInArrow(write(kind, columns), "n long").agg(F.sum("n")).collect()
+    sums = merged.where("n is not null").select(*[F.sum(F.col("n")[k]).alias(f"n{k}") for k in range(4)]).first()
+    return merged.where("kind = 'b'").select("shard", "blob"), np.array([x or 0 for x in sums])
+
+
 def count_bigrams(train: DataFrame, text: str, bits: int, hot: np.ndarray) -> DataFrame:
     """``(shard, blob)``: bigrams of the texts with counts, summed over a few million tokens."""
 
@@ -217,8 +323,9 @@ def merge_words(parts: DataFrame, folder: str, word_bits: int) -> DataFrame:
     return parts.repartitionById(1 << word_bits, "shard").groupBy("shard").applyInArrow(merge, "docs long, tokens long, words long, types long, n array<long>, m array<long>, more long")
 
 
-def train_model(train: DataFrame, text: str = "text") -> Model:
-    """Count all of ``train`` and write the model to the shared folder.
+def train_model(train: DataFrame, text: str = "text", order: int = ORDER) -> Model:
+    """Count all of ``train`` and write the model of ``order`` two or three to
+    the shared folder. Lower orders are counted by the distinct words before.
 
     The number of shards follows the bytes of text, so that one shard, all a
     task holds at a time, stays of one size, up to 400 TB.
@@ -230,18 +337,29 @@ def train_model(train: DataFrame, text: str = "text") -> Model:
     word_bits = max(1, bits - 2)
     hot = hot_contexts(train, text, size["n"])
     folder = new_path(spark, "kneserney")
-    sums = merge_words(merge_bigrams(count_bigrams(train, text, bits, hot), folder, bits, word_bits, hot), folder, word_bits).collect()  # a row a shard
+    if order == 3:
+        counted, top = merge_trigrams(count_trigrams(train, text, bits), folder, bits, word_bits, hot)
+    elif order == 2:
+        counted, top = count_bigrams(train, text, bits, hot), np.zeros(4)
+    else:
+        raise ValueError(f"the order is two or three, not {order}")
+    sums = merge_words(merge_bigrams(counted, folder, bits, word_bits, hot), folder, word_bits).collect()  # a row a shard
     total = {k: sum(r[k] for r in sums) for k in ("docs", "tokens", "words", "types", "more")}
     n, m = (np.sum([r[k] for r in sums], axis=0) if sums else np.zeros(4) for k in ("n", "m"))
     d = discounts(m)
     rest = (d[0] * m[0] + d[1] * m[1] + d[2] * total["more"]) / total["types"] if total["types"] else 1.0
-    return Model(folder, bits, word_bits, hot, total["docs"], total["tokens"] + total["docs"], total["words"] + (total["docs"] > 0), total["types"], discounts(n), d, float(rest))
+    n_tokens, n_docs = total["tokens"] + total["docs"], total["docs"]
+    if order == 3:  # contexts are counted by distinct words before, single words and texts are not
+        n_docs = size["n"]
+        n_tokens = train.select(F.sum(F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0))).alias("n")).first()["n"] or 0
+        n_tokens += n_docs
+    return Model(folder, bits, word_bits, hot, n_docs, n_tokens, order, total["words"] + (total["docs"] > 0), total["types"], discounts(n), d, float(rest), discounts(top))
 
 
 class Reader:
     """A worker's view of the model; shards are mapped when first needed."""
 
-    KINDS = {"b": [U64, U32], "w": [U64, U64, U32, U32, U32, U32]}
+    KINDS = {"b": [U64, U32], "w": [U64, U64, U32, U32, U32, U32], "t": [U64, U32], "c": [U64, U32, U32, U32, U32], "r": [U64, np.int64]}
 
     def __init__(self, model: Model):
         self.model, self.open = model, {}
@@ -249,7 +367,7 @@ class Reader:
     def look_up(self, kind: str, keys: np.ndarray) -> list[np.ndarray]:
         """Values of sorted keys, zero where a key is unknown."""
         out = [np.zeros(len(keys), np.int64) for _ in self.KINDS[kind][1:]]
-        edge = bounds_of(keys, self.model.bits if kind == "b" else self.model.word_bits)
+        edge = bounds_of(keys, self.model.word_bits if kind in "wr" else self.model.bits)
         for s in np.flatnonzero(np.diff(edge)).tolist():
             if (kind, s) not in self.open:
                 self.open[kind, s] = sharedfiles.map_arrays(self.model.folder, f"{kind}{s}", self.KINDS[kind])
@@ -268,7 +386,8 @@ class Reader:
         v, w, edge = tokens(data, off)
         words, place = np.unique(np.r_[v, w], return_inverse=True)
         total, one, two, more, types = self.look_up("w", words)
-        total[words == END] = m.docs
+        seen = total.copy() if m.order == 2 else self.look_up("r", words)[0]
+        seen[words == END] = m.docs
         single = m.word_rest / (m.words + 1) + less(types, m.word_discounts) / max(m.types, 1)
         rest = m.discounts[0] * one + m.discounts[1] * two + m.discounts[2] * more
         keys, at = np.unique(bigram_keys(v, w, m.hot), return_inverse=True)
@@ -276,8 +395,17 @@ class Reader:
         i, j = place[: len(v)], place[len(v) :]
         context = total[i]
         high = (less(count, m.discounts)[at] + rest[i] * single[j]) / np.maximum(context, 1)
-        logs = np.log10(np.where(context > 0, high, single[j]))
-        known = total[j]
+        high = np.where(context > 0, high, single[j])
+        if m.order == 3:
+            pairs, of = np.unique(c := pair_hash(before(v, edge), v), return_inverse=True)
+            total, one, two, more = self.look_up("c", pairs)
+            rest = m.top_discounts[0] * one + m.top_discounts[1] * two + m.top_discounts[2] * more
+            keys, at = np.unique(bigram_keys(c, w, HOT_PAIR), return_inverse=True)
+            (count,) = self.look_up("t", keys)
+            top = (less(count, m.top_discounts)[at] + rest[of] * high) / np.maximum(total[of], 1)
+            high = np.where(total[of] > 0, top, high)
+        logs = np.log10(high)
+        known = seen[j]
         base = np.log10((known + 1) / (m.tokens + (m.words + 1)))
         add = lambda x: np.add.reduceat(x, edge[:-1])  # noqa: E731  every text has a token
         return np.diff(edge), add((known > 0).astype(np.int64)), add(base), add(logs)

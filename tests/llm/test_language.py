@@ -142,38 +142,43 @@ def test_language_of_edge_cases(edges, nothing):
     assert langid.identify(nothing, empty).count() == 0
 
 
-def brute_scores(train, texts):
+def brute_scores(train, texts, order=2):
+    """From the counts of whole n-grams; lower orders count distinct words before."""
     tokens = lambda t: re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().translate(LOWER)) + ["END"]
     docs = [tokens(t) for t in train]
     single = Counter(w for d in docs for w in d)
-    pairs = Counter((v, w) for d in docs for v, w in zip(["BEGIN", *d], d))
-    types = Counter(w for _, w in pairs)
-    n, v, t = sum(single.values()), len(single), len(pairs)
-    d = kneserney.discounts([sum(c == k for c in pairs.values()) for k in (1, 2, 3, 4)])
-    e = kneserney.discounts([sum(c == k for c in types.values()) for k in (1, 2, 3, 4)])
+    grams = {order: Counter(tuple(p[k : k + order]) for d in docs for p in [["BEGIN"] * (order - 1) + d] for k in range(len(d)))}
+    for k in range(order - 1, 0, -1):
+        grams[k] = Counter(g[1:] for g in grams[k + 1])
+    n, v = sum(single.values()), len(single)
+    d = {k: kneserney.discounts([sum(c == x for c in grams[k].values()) for x in (1, 2, 3, 4)]) for k in grams}
     context = defaultdict(lambda: [0, 0, 0, 0])
-    for (a, _), c in pairs.items():
-        context[a][0] += c
-        context[a][min(c, 3)] += 1
-    rest = sum(e[min(c, 3) - 1] for c in types.values()) / t if t else 1.0
-
-    def alone(w):
-        c = types.get(w, 0)
-        return ((c - e[min(c, 3) - 1]) / t if c else 0) + rest / (v + 1)
-
-    def after(a, w):
-        if a not in context:
-            return alone(w)
-        x, c = context[a], pairs.get((a, w), 0)
-        return ((c - d[min(c, 3) - 1] if c else 0) + sum(d[k] * x[k + 1] for k in range(3)) * alone(w)) / x[0]
+    for k in range(2, order + 1):
+        for g, c in grams[k].items():
+            context[g[:-1]][0] += c
+            context[g[:-1]][min(c, 3)] += 1
+    t = sum(grams[1].values())
+    rest = sum(d[1][min(c, 3) - 1] for c in grams[1].values()) / t if t else 1.0
+
+    def after(*g):
+        c = grams[len(g)].get(g, 0)
+        less = c - d[len(g)][min(c, 3) - 1] if c else 0
+        if len(g) == 1:
+            return (less / t if c else 0) + rest / (v + 1)
+        if g[:-1] not in context:
+            return after(*g[1:])
+        x = context[g[:-1]]
+        return (less + sum(d[len(g)][k] * x[k + 1] for k in range(3)) * after(*g[1:])) / x[0]
 
     if single:  # probabilities of all words and an unknown one add up to one
-        a = max(context, key=lambda a: context[a][0])
-        assert sum(map(alone, single)) + alone("?") == pytest.approx(1) and sum(after(a, w) for w in single) + after(a, "?") == pytest.approx(1)
+        for a in ((), max((c for c in context if len(c) == 1), key=lambda c: context[c][0]), max((c for c in context if len(c) == order - 1), key=lambda c: context[c][0])):
+            assert sum(after(*a, w) for w in single) + after(*a, "?") == pytest.approx(1)
     out = []
     for text in texts:
-        d_ = tokens(text)
-        out.append((len(d_), sum(w in single for w in d_), n, sum(math.log10((single.get(w, 0) + 1) / (n + v + 1)) for w in d_), sum(math.log10(after(a, w)) for a, w in zip(["BEGIN", *d_], d_))))
+        w = tokens(text)
+        p = ["BEGIN"] * (order - 1) + w
+        logs = sum(math.log10(after(*p[k : k + order])) for k in range(len(w)))
+        out.append((len(w), sum(x in single for x in w), n, sum(math.log10((single.get(x, 0) + 1) / (n + v + 1)) for x in w), logs))
     return out
 
 
@@ -185,18 +190,23 @@ def same(rows, want):
         assert tuple(r[c] for c in NAMES[:3]) == w[:3] and [r[c] for c in NAMES[3:]] == pytest.approx(w[3:], rel=1e-6, abs=1e-9)
 
 
-def test_scores_of_documents(spark, texts):
+@pytest.mark.parametrize("order", [2, 3])
+def test_scores_of_documents(spark, texts, order, monkeypatch):
+    monkeypatch.setattr(kneserney.train_model, "__defaults__", ("text", order))
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
     rows = {r.doc_id: r for r in kneserney.op10_kneserney(spark, DATA).collect()}
-    same([rows[i] for i in texts], brute_scores([t for i, t in texts.items() if not held[i]], texts.values()))
+    same([rows[i] for i in texts], brute_scores([t for i, t in texts.items() if not held[i]], texts.values(), order))
     assert all(rows[i].held_out == held[i] for i in texts)
     assert sum(rows[i].score for i in texts if held[i]) > sum(rows[i].base_score for i in texts if held[i])
 
 
-def test_scores_of_edge_cases(edges, nothing):
+@pytest.mark.parametrize("order", [2, 3])
+def test_scores_of_edge_cases(edges, nothing, order):
     train = [r[1] for r in EDGES]
-    rows = sorted(kneserney.score(edges, kneserney.train_model(edges)).collect(), key=lambda r: str((r.doc_id, r.text)))
-    same(rows, brute_scores(train, [r.text for r in rows]))
-    untrained = kneserney.train_model(nothing)
-    same(rows := kneserney.score(edges, untrained).collect(), brute_scores([], [r.text for r in rows]))
+    rows = sorted(kneserney.score(edges, kneserney.train_model(edges, order=order)).collect(), key=lambda r: str((r.doc_id, r.text)))
+    same(rows, brute_scores(train, [r.text for r in rows], order))
+    untrained = kneserney.train_model(nothing, order=order)
+    same(rows := kneserney.score(edges, untrained).collect(), brute_scores([], [r.text for r in rows], order))
     assert kneserney.score(nothing, untrained).count() == 0
+    with pytest.raises(ValueError, match="order"):
+        kneserney.train_model(nothing, order=4)
