@@ -25,7 +25,8 @@ def received(attachments: DataFrame, messages: DataFrame, message_files: DataFra
     a message is left out, one without a job stays."""
     a, m, b, f, j = attachments.alias("a"), messages.alias("m"), message_files.alias("b"), files.alias("f"), jobs.alias("j")
     rows = a.join(m, F.col("m.id") == F.col("a.message_id"))
-    rows = rows.join(b, F.col("b.message_id") == F.col("m.id"), "left").join(f, F.col("f.id") == F.col("b.file_id"), "left").join(j, F.col("j.id") == F.col("f.job_id"), "left")
+    rows = rows.join(b, F.col("b.message_id") == F.col("m.id"), "left").join(f, F.col("f.id") == F.col("b.file_id"), "left").join(j,
+        F.col("j.id") == F.col("f.job_id"), "left")
     return rows.select(
         "a.fingerprint", "a.id", "a.name", "a.kind", "a.draft_or_final",
         F.coalesce("a.document_date", F.to_date("m.received_at")).alias("happened_on"), "m.received_at", "m.subject",
@@ -34,7 +35,8 @@ def received(attachments: DataFrame, messages: DataFrame, message_files: DataFra
     )
 
 
-def archive(attachments: DataFrame, messages: DataFrame, message_files: DataFrame, files: DataFrame, jobs: DataFrame, own_domain: str, filters: list[Column] | None = None, copies: str = "rows") -> DataFrame:
+def archive(attachments: DataFrame, messages: DataFrame, message_files: DataFrame, files: DataFrame, jobs: DataFrame, own_domain: str,
+    filters: list[Column] | None = None, copies: str = "rows") -> DataFrame:
     """One row per fingerprint (null is one fingerprint): an openable copy if
     there is one, then the newest, then the smallest id and job reference.
 
@@ -46,7 +48,8 @@ def archive(attachments: DataFrame, messages: DataFrame, message_files: DataFram
     if filters:
         rows = rows.where(reduce(lambda x, y: x & y, filters))
     count = F.count("*") if copies == "rows" else F.count_distinct("id")
-    rank = F.struct((~F.col("openable")).alias("a"), newest_first(F.col("received_at")).alias("b"), F.col("id").alias("c"), F.col("job_ref").isNull().alias("d"), F.col("job_ref").alias("e"))
+    rank = F.struct((~F.col("openable")).alias("a"), newest_first(F.col("received_at")).alias("b"), F.col("id").alias("c"),
+        F.col("job_ref").isNull().alias("d"), F.col("job_ref").alias("e"))
     return distinct_on(rows, [F.col("fingerprint")], rank, copies=count).select(*COLUMNS)
 
 

@@ -45,7 +45,8 @@ def mail_block() -> Column:
     """One mail as the model reads it."""
     c = F.col
     body = F.regexp_replace(strip(F.coalesce("body", F.lit(""))), r"\n{3,}", "\n")
-    head = F.concat(F.lit("--- "), F.date_format("sent_at", "dd/MM/yyyy"), F.lit(" from "), shown(c("sender")), F.lit("\nSubject: "), shown(c("subject")), F.lit("\n"), body)
+    head = F.concat(F.lit("--- "), F.date_format("sent_at", "dd/MM/yyyy"), F.lit(" from "), shown(c("sender")), F.lit("\nSubject: "),
+        shown(c("subject")), F.lit("\n"), body)
     return F.when(falsy(c("attachment_text")), head).otherwise(F.concat(head, F.lit("\n[ATTACHMENTS]\n"), first_chars(c("attachment_text"), 1800)))
 
 
@@ -59,7 +60,8 @@ def build_threads(mails: DataFrame, by: str = "job_id") -> DataFrame:
 def estimate(threads: DataFrame) -> DataFrame:
     """One row: number of threads and expected cost in USD."""
     tokens = F.sum(F.length("thread") / CHARS_PER_TOKEN + PROMPT_TOKENS)
-    return threads.agg(F.count("*").alias("n_threads"), (F.coalesce(tokens, F.lit(0.0)) * PRICE_IN + F.count("*") * (ANSWER_TOKENS * PRICE_OUT)).alias("estimate_usd"))
+    return threads.agg(F.count("*").alias("n_threads"), (F.coalesce(tokens,
+        F.lit(0.0)) * PRICE_IN + F.count("*") * (ANSWER_TOKENS * PRICE_OUT)).alias("estimate_usd"))
 
 
 def within_cap(calls: DataFrame, order: str, cap: float = CAP, cost: str = "cost") -> DataFrame:
@@ -104,7 +106,8 @@ class Run:
         return f"{self.outcome}: {planned}; {got['n_read']} read, {got['n_errors']} errors, {got['spent_usd']:.3f} USD spent"
 
 
-def ask(jobs: DataFrame, threads: DataFrame, model: Callable[[str], tuple[str, int, int]] | None, by: str = "job_id", cap: float = CAP, apply: bool = False) -> Run:
+def ask(jobs: DataFrame, threads: DataFrame, model: Callable[[str], tuple[str, int, int]] | None, by: str = "job_id", cap: float = CAP,
+    apply: bool = False) -> Run:
     """Ask ``model`` about the thread of every job that has one.
 
     ``model`` is a function of a thread (see ``request``) that returns the
@@ -141,7 +144,8 @@ def ask(jobs: DataFrame, threads: DataFrame, model: Callable[[str], tuple[str, i
                     continue
                 spent += tokens_in * PRICE_IN + tokens_out * PRICE_OUT
                 rows.append((ident, reply, None, tokens_in * PRICE_IN + tokens_out * PRICE_OUT))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((batch.schema[0].type, pa.string(), pa.string(), pa.float64()))], schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((batch.schema[0].type, pa.string(), pa.string(),
+                pa.float64()))], schema.names)
 
     replies = asked.repartition(1).sortWithinPartitions(by).mapInArrow(run, schema)
     return Run("done", *planned, durable(replies, "replies"))
@@ -162,9 +166,11 @@ def answers_of(replies: DataFrame, by: str = "job_id") -> DataFrame:
 def observations(answers: DataFrame, ident: str = "id") -> DataFrame:
     """Everything the model said of the four fields, trusted or not, as log rows."""
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in FIELDS])
-    rows = answers.select(F.lit("job").alias("entity"), F.col(ident).alias("entity_id"), "confidence", first_chars(F.coalesce("why", F.lit("")), 400).alias("rationale"), F.explode(pairs).alias("p"))
+    rows = answers.select(F.lit("job").alias("entity"), F.col(ident).alias("entity_id"), "confidence", first_chars(F.coalesce("why", F.lit("")),
+        400).alias("rationale"), F.explode(pairs).alias("p"))
     rows = rows.where(~F.coalesce(F.col("p.value"), F.lit("")).isin(MEANINGLESS))
-    return rows.select("entity", "entity_id", "p.field", first_chars(F.col("p.value"), 200).alias("value"), F.lit(SOURCE_LEVEL).alias("source_level"), F.lit(SOURCE).alias("source"), "confidence", "rationale")
+    return rows.select("entity", "entity_id", "p.field", first_chars(F.col("p.value"), 200).alias("value"), F.lit(SOURCE_LEVEL).alias("source_level"),
+        F.lit(SOURCE).alias("source"), "confidence", "rationale")
 
 
 def guarded_update(jobs: DataFrame, answers: DataFrame, now: datetime.datetime, ident: str = "id") -> DataFrame:
@@ -172,10 +178,13 @@ def guarded_update(jobs: DataFrame, answers: DataFrame, now: datetime.datetime,
     never on a job that was verified (or of which that is unknown). Of several
     answers for a job the most confident one counts, and of equally confident
     ones the first in the order of their fields."""
-    best = F.struct(F.coalesce("confidence", F.lit(0)).alias("sure"), F.struct(*[F.struct(F.col(f).isNull().alias("none"), F.col(f).alias("value")) for f in FILLED]).alias("said"))
+    best = F.struct(F.coalesce("confidence", F.lit(0)).alias("sure"), F.struct(*[F.struct(F.col(f).isNull().alias("none"),
+        F.col(f).alias("value")) for f in FILLED]).alias("said"))
     rank = F.struct((-best["sure"]).alias("s"), best["said"].alias("f"))
-    answers = answers.groupBy(F.col(ident).alias(ident)).agg(F.min(rank).alias("r")).select(ident, (-F.col("r.s")).alias("confidence"), *[F.col(f"r.f.col{k}.value").alias(f) for k, f in enumerate(FILLED, 1)])
-    a = answers.select(F.col(ident).alias("__id"), *[F.col(f).alias(f"__{f}") for f in FILLED], (F.coalesce("confidence", F.lit(0)) >= MIN_CONFIDENCE).alias("__ok"))
+    answers = answers.groupBy(F.col(ident).alias(ident)).agg(F.min(rank).alias("r")).select(ident, (-F.col("r.s")).alias("confidence"),
+        *[F.col(f"r.f.col{k}.value").alias(f) for k, f in enumerate(FILLED, 1)])
+    a = answers.select(F.col(ident).alias("__id"), *[F.col(f).alias(f"__{f}") for f in FILLED], (F.coalesce("confidence",
+        F.lit(0)) >= MIN_CONFIDENCE).alias("__ok"))
     rows = jobs.join(a, F.col(ident) == F.col("__id"), "left")
     reached = F.col("__id").isNotNull() & F.coalesce(~F.col("verified"), F.lit(False))
     sure = reached & F.col("__ok")

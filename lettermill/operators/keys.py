@@ -37,7 +37,8 @@ def extract_keys(messages: DataFrame, since: Column | None = None, written: str
     flag = lambda c: ~F.coalesce(F.col(c), F.lit(False)) if c in messages.columns else F.lit(False)
     text = F.concat(F.coalesce("subject", F.lit("")), F.lit(" "), F.coalesce("body", F.lit("")))
     same = F.coalesce(F.nullif(F.col("message_id").cast("string"), F.lit("")), F.col("id").cast("string"))
-    rows = rows.select("id", same.alias("msg"), flag("has_key").alias("late"), flag("kept_by_engine").alias("spare"), F.explode(references(text, written, prefix)).alias("value"))
+    rows = rows.select("id", same.alias("msg"), flag("has_key").alias("late"), flag("kept_by_engine").alias("spare"), F.explode(references(text,
+        written, prefix)).alias("value"))
     picked = distinct_on(rows, [F.col("msg"), F.col("value")], F.struct("late", "spare", "id"))
     return picked.select(F.col("id").alias("email_id"), F.lit(KIND).alias("kind"), "value", F.lit(CONFIDENCE).alias("confidence"))
 

@@ -19,7 +19,8 @@ SUBJECT = (
 OUR_DOMAIN = r"(?iu)@example\."
 
 
-def is_confidential(filename: Column, subject: Column | None = None, sender: Column | None = None, patterns: tuple[str, str, str] = (FILENAME, SUBJECT, OUR_DOMAIN)) -> Column:
+def is_confidential(filename: Column, subject: Column | None = None, sender: Column | None = None, patterns: tuple[str, str, str] = (FILENAME,
+    SUBJECT, OUR_DOMAIN)) -> Column:
     """True by the file's name alone, or by the subject of a message that we
     wrote; never null. Bodies are not looked at."""
     text = lambda c: F.lit("") if c is None else F.coalesce(c, F.lit(""))

@@ -34,8 +34,10 @@ class Dialect:
     by_calendar: bool
 
 
-OFFICE = Dialect(tuple(LOADED), tuple(ARRIVED), "None", "the correspondence says delivered", "job closed, fully invoiced and paid", "no job reference, nothing heard for ", "collected and paid: the job is closed", "the correspondence says ", True)
-PORTAL = Dialect(tuple(PORTAL_LOADED), tuple(PORTAL_ARRIVED), "null", "correspondence says delivered", "job closed, invoiced and paid", "no job ref, nothing heard for ", "collected and paid", "correspondence says ", False)
+OFFICE = Dialect(tuple(LOADED), tuple(ARRIVED), "None", "the correspondence says delivered", "job closed, fully invoiced and paid",
+    "no job reference, nothing heard for ", "collected and paid: the job is closed", "the correspondence says ", True)
+PORTAL = Dialect(tuple(PORTAL_LOADED), tuple(PORTAL_ARRIVED), "null", "correspondence says delivered", "job closed, invoiced and paid",
+    "no job ref, nothing heard for ", "collected and paid", "correspondence says ", False)
 
 
 def shipment_state(today: datetime.date, silence_days: int = SILENCE_DAYS, dialect: Dialect = OFFICE) -> Column:
@@ -57,7 +59,8 @@ def shipment_state(today: datetime.date, silence_days: int = SILENCE_DAYS, diale
     due = F.coalesce("pickup_date", "goods_ready_date", "departure_date")
     heard = F.when(falsy(c("travel_state")), F.lit("")).otherwise(F.concat(F.lit(", last we heard: "), c("travel_state")))
     return (
-        F.when(c("proof_date").isNotNull(), verdict("delivered", "arrival document (", F.coalesce("proof_kinds", F.lit(dialect.missing)), ") dated ", c("proof_date").cast("string")))
+        F.when(c("proof_date").isNotNull(), verdict("delivered", "arrival document (", F.coalesce("proof_kinds", F.lit(dialect.missing)), ") dated ",
+            c("proof_date").cast("string")))
         .when(c("travel_state").isin(*dialect.arrived), verdict("delivered", dialect.said_delivered))
         .when((c("job_status") == "closed") & settled_up, verdict("settled", dialect.closed))
         .when(quiet & falsy(c("job_ref")), verdict("archived", dialect.no_job, silent.cast("string"), " days"))

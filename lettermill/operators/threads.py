@@ -67,7 +67,8 @@ def cluster(emails: DataFrame, keys: DataFrame, strong_only: bool = False) -> Da
     """
     rules = [reference_edges(emails, keys), reply_edges(emails)] + ([] if strong_only else [subject_edges(emails)])
     parts = connected_components(reduce(DataFrame.unionByName, rules))
-    return emails.select(F.col("id").alias("email_id")).join(parts.withColumnRenamed("node", "email_id"), "email_id", "left").select("email_id", F.coalesce("component", "email_id").alias("cluster_id"))
+    return emails.select(F.col("id").alias("email_id")).join(parts.withColumnRenamed("node", "email_id"), "email_id", "left").select("email_id",
+        F.coalesce("component", "email_id").alias("cluster_id"))
 
 
 def members(clusters: DataFrame, most: int = 1000) -> DataFrame:

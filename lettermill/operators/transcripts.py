@@ -16,7 +16,8 @@ from lettermill.session import ship
 # Fixed values
 SIZE, OVERLAP, MIN_PASSAGE = 1200, 200, 120
 SENTENCE_END = r"(?<=[.!?])\s+(?=[A-ZÀÈÉÌÒÙ0-9])"
-PASSAGE = StructType([StructField("ordinal", IntegerType()), StructField("text", StringType()), StructField("from_char", IntegerType()), StructField("to_char", IntegerType())])
+PASSAGE = StructType([StructField("ordinal", IntegerType()), StructField("text", StringType()), StructField("from_char", IntegerType()),
+    StructField("to_char", IntegerType())])
 
 
 def sentence_pieces(text: str, longest: int) -> list[tuple[int, int]]:

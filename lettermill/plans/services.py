@@ -179,7 +179,8 @@ LENGTHS = "length({t})::double as x, (length({t}) % 7)::double as y"
 REPLIES = f"""with {catalogue.THREAD_CTE},
 n as (select job_id, length(thread) as n from threads where job_id % 3 <> 0),
 r as (select job_id, n,
-    case when n % 5 = 0 then null when n % 7 = 0 then 'no answer' else 'So: {{"origin": "port ' || (n % 9) || '", "confidence": ' || (n % 100) || '}} it is' end as reply,
+    case when n % 5 = 0 then null when n % 7 = 0 then 'no answer' else 'So: {{"origin": "port ' || (n % 9) || '", "confidence": ' || (n % 100)
+      || '}} it is' end as reply,
     case when n % 5 = 0 then 'down' end as error,
     case when n % 5 = 0 then 0 else (n // 4 + 400) * 1e-6 + 220 * 5e-6 end as cost
   from n)"""
@@ -214,9 +215,11 @@ ORACLE_SQL = {
     "ask_summary": f"""{REPLIES} select count(*) filter (where reply like 'So%') as n_read, count(*) filter (where reply is null or reply not like 'So%') as n_errors,
       round(sum(cost), 6) as spent_usd from r""",
     "ask_outcomes": f"""with {catalogue.THREAD_CTE}, n as (select count(*) as n from threads where job_id % 3 <> 0)
-      select 'no key' as outcome, 0::bigint as n_threads, true as no_call union all select 'refused', n, true from n union all select 'dry run', n, true from n""",
+      select 'no key' as outcome, 0::bigint as n_threads, true as no_call union all select 'refused', n, true from n union all select 'dry run', n,
+        true from n""",
     "answers_twice": f"""with {catalogue.ANSWER_CTE}, s as (select id, origin, coalesce(confidence, 0) as sure from a),
-      b as (select c_custkey as id, case when sure is null then null when sure > 50 then origin when sure < 50 then 'elsewhere' else least(origin, 'elsewhere') end as origin,
+      b as (select c_custkey as id, case when sure is null then null when sure > 50 then origin when sure < 50 then 'elsewhere' else least(origin,
+        'elsewhere') end as origin,
         greatest(sure, 100 - sure) >= 70 as ok, sure is not null as seen from customer left join s on s.id = c_custkey)
       select id, case when ok then origin end as origin, case when ok then 'ai' end as route_source, seen from b""",
     "cluster_members": f"""with c as ({catalogue.ORACLE_SQL["cluster_all"]}), n as (select cluster_id, count(*) as n from c group by 1),

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,8 +51,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_scope: ContextVar[str] = ContextVar("scope", default="all")
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lettermill/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/lettermill/{_scope.get()}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables that are made inside are removed at the end, and no
+    others: results must have been written by then."""
+    scope = uuid.uuid4().hex
+    token = _scope.set(scope)
+    try:
+        yield f"{shared_dir(spark)}/lettermill/{scope}"
+    finally:
+        _scope.reset(token)
+        remove_tables(spark, scope)
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:
@@ -66,7 +85,7 @@ def durable_buckets(df: DataFrame, name: str, key: str) -> DataFrame:
     has partitions, so that several joins on ``key`` move the other side only.
     The table is an external one of the session's catalogue."""
     spark = df.sparkSession
-    n, table = shuffle_partitions(spark), f"lettermill_{uuid.uuid4().hex}"
+    n, table = shuffle_partitions(spark), f"lettermill_{_scope.get()}_{uuid.uuid4().hex}"
     df.repartition(n, key).write.format("parquet").bucketBy(n, key).option("path", new_path(spark, name)).saveAsTable(table)
     return spark.table(table)
 
@@ -100,12 +119,13 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def remove_tables(spark: SparkSession) -> None:
-    """Delete all that ``durable`` and ``new_path`` have put in the shared
-    folder, once no DataFrame that reads it is needed any more."""
+def remove_tables(spark: SparkSession, scope: str = "") -> None:
+    """Delete what ``durable`` and ``new_path`` have put in the shared folder
+    (of one ``scratch``, or all), once no DataFrame that reads it is needed any
+    more."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lettermill")
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lettermill/{scope}".rstrip("/"))
     for table in spark.catalog.listTables():
-        if table.name.startswith("lettermill_"):
+        if table.name.startswith(f"lettermill_{scope}"):
             spark.sql(f"DROP TABLE IF EXISTS `{table.name}`")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

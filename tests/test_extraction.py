@@ -32,9 +32,11 @@ def test_estimate_and_refusal(spark):
     assert abs(x.estimate(frame).first().estimate_usd - ((200 + 400 + 100 + 400) * 1e-6 + 2 * 220 * 5e-6)) < 1e-12
     jobs = spark.createDataFrame([(1,), (2,), (2,), (9,)], "job_id int")
     called = lambda t: ("{}", 1, 1)
-    runs = [x.ask(jobs, frame, None), x.ask(jobs, frame, called, cap=0.001, apply=True), x.ask(jobs, frame, called), x.ask(jobs.where("job_id = 1"), frame, called, apply=True)]
+    runs = [x.ask(jobs, frame, None), x.ask(jobs, frame, called, cap=0.001, apply=True), x.ask(jobs, frame, called), x.ask(jobs.where("job_id = 1"),
+        frame, called, apply=True)]
     assert [r.outcome for r in runs] == ["no key", "refused", "dry run", "done"] and [r.n_threads for r in runs] == [0, 2, 2, 1]
-    assert [r.replies is None for r in runs] == [True, True, True, False] and runs[3].report() == "done: 1 threads, about 0.00 USD; 1 read, 0 errors, 0.000 USD spent"
+    assert [r.replies is None for r in runs] == [True, True, True,
+        False] and runs[3].report() == "done: 1 threads, about 0.00 USD; 1 read, 0 errors, 0.000 USD spent"
     assert x.request("hello", "m", "be brief") == {"model": "m", "max_tokens": 400, "system": "be brief", "messages": [{"role": "user", "content": "hello"}]}
 
 
@@ -57,8 +59,10 @@ def test_actual_cost_stops_the_run_and_errors_do_not(spark, tmp_path):
 
 
 def test_several_answers_for_a_job(spark):
-    jobs = spark.createDataFrame([(1, None, None, None, None, None, False), (2, None, None, None, None, None, False)], "id int, origin string, destination string, carrier string, route_source string, ai_seen_at timestamp, verified boolean")
-    rows = [(1, "unsure", "x", None, None, 70, ""), (1, "sure", None, "y", None, 90, ""), (1, "none", "z", None, None, None, ""), (2, "b", None, None, None, 80, ""), (2, "a", "d", None, None, 80, "")]
+    jobs = spark.createDataFrame([(1, None, None, None, None, None, False), (2, None, None, None, None, None, False)],
+        "id int, origin string, destination string, carrier string, route_source string, ai_seen_at timestamp, verified boolean")
+    rows = [(1, "unsure", "x", None, None, 70, ""), (1, "sure", None, "y", None, 90, ""), (1, "none", "z", None, None, None, ""), (2, "b", None, None,
+        None, 80, ""), (2, "a", "d", None, None, 80, "")]
     got = {r.id: tuple(r)[1:4] for r in x.guarded_update(jobs, spark.createDataFrame(rows, ANSWERS).repartition(3), dt.datetime(2026, 9, 9)).collect()}
     assert got == {1: ("sure", None, "y"), 2: ("a", "d", None)}
 
@@ -85,7 +89,8 @@ def test_observations(spark):
 
 def test_guarded_update(spark):
     jobs = spark.createDataFrame(
-        [(1, None, "typed", None, None, None, False), (2, None, None, None, "hand", None, False), (3, None, None, None, None, None, True), (4, None, None, None, None, None, None), (5, None, None, None, None, None, False), (6, None, None, None, None, None, False)],
+        [(1, None, "typed", None, None, None, False), (2, None, None, None, "hand", None, False), (3, None, None, None, None, None, True), (4, None,
+            None, None, None, None, None), (5, None, None, None, None, None, False), (6, None, None, None, None, None, False)],
         "id int, origin string, destination string, carrier string, route_source string, ai_seen_at timestamp, verified boolean",
     )
     answers = spark.createDataFrame([(k, "o", "d", "null", "to_load", 69 if k == 5 else 70, "") for k in (1, 2, 3, 4, 5)], ANSWERS)
@@ -96,7 +101,8 @@ def test_guarded_update(spark):
 
 
 def test_summary_and_answers(spark):
-    replies = spark.createDataFrame([(1, 'so {"origin": "Genova", "confidence": 90}', None, 0.1), (2, None, "down", 0.0), (3, "no idea", None, 0.2)], "job_id int, reply string, error string, cost double")
+    replies = spark.createDataFrame([(1, 'so {"origin": "Genova", "confidence": 90}', None, 0.1), (2, None, "down", 0.0), (3, "no idea", None, 0.2)],
+        "job_id int, reply string, error string, cost double")
     got = x.run_summary(replies).first()
     assert (got.n_read, got.n_errors) == (1, 2) and abs(got.spent_usd - 0.3) < 1e-12
     assert [(r.id, r.origin) for r in x.answers_of(replies).collect()] == [(1, "Genova")]

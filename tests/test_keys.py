@@ -48,7 +48,8 @@ def test_upsert_is_idempotent(spark):
 def test_cut_bodies_and_the_log(spark, tmp_path):
     from lettermill.sources.tables import append, cut_bodies
 
-    frame = spark.createDataFrame([(1, "m", "s", "é" * 5000, dt.datetime(2026, 1, 1), None, None), (2, "n", "s", None, dt.datetime(2025, 1, 1), None, None)], MESSAGE)
+    frame = spark.createDataFrame([(1, "m", "s", "é" * 5000, dt.datetime(2026, 1, 1), None, None), (2, "n", "s", None, dt.datetime(2025, 1, 1), None,
+        None)], MESSAGE)
     assert [len(r.body) for r in cut_bodies(frame, F.lit(dt.datetime(2025, 6, 1))).collect()] == [4000]
     for _ in range(2):
         append(frame.select("id"), str(tmp_path / "log"))

@@ -42,3 +42,16 @@ def test_buckets_and_stand_in(spark, monkeypatch):
     for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
             session.shared_dir(bare(master))
+
+
+def test_scratch_removes_its_own_tables_only(spark):
+    from lettermill.session import durable_buckets, scratch
+
+    kept = durable(spark.range(4), "kept")
+    with scratch(spark) as folder:
+        durable(spark.range(3), "t")
+        inside = durable_buckets(spark.range(5), "t", "id")
+        assert inside.count() == 5 and len(os.listdir(folder.removeprefix("file:").replace("//", "/"))) == 2
+        tables = [t.name for t in spark.catalog.listTables()]
+    assert not os.path.exists(folder.removeprefix("file:")) and kept.count() == 4
+    assert len(spark.catalog.listTables()) == len(tables) - 1

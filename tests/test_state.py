@@ -7,7 +7,9 @@ from lettermill.operators.state import PORTAL, shipment_state
 
 TODAY = dt.date(2026, 9, 10)
 SCHEMA = "proof_date date, proof_kinds string, travel_state string, job_status string, job_ref string, fully_settled boolean, revenue_to_invoice decimal(18,2), cost_to_receive decimal(18,2), last_message timestamp, pickup_date date, goods_ready_date date, departure_date date, line_count int"
-BASE = dict(proof_date=None, proof_kinds=None, travel_state=None, job_status="open", job_ref="842.113/26", fully_settled=False, revenue_to_invoice=Decimal(0), cost_to_receive=Decimal(0), last_message=dt.datetime(2026, 9, 9, 10), pickup_date=None, goods_ready_date=None, departure_date=None, line_count=3)
+BASE = dict(proof_date=None, proof_kinds=None, travel_state=None, job_status="open", job_ref="842.113/26", fully_settled=False,
+    revenue_to_invoice=Decimal(0), cost_to_receive=Decimal(0), last_message=dt.datetime(2026, 9, 9, 10), pickup_date=None, goods_ready_date=None,
+    departure_date=None, line_count=3)
 D = dt.date
 ago = lambda n: dt.datetime(2026, 9, 10, 23) - dt.timedelta(n)
 

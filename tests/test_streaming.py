@@ -4,7 +4,8 @@ MAIL = "id int, message_id string, subject string, body string, sent_at timestam
 
 
 def messages(spark, path, rows):
-    spark.createDataFrame(rows, MAIL.replace("timestamp", "string")).selectExpr("id", "message_id", "subject", "body", "cast(sent_at as timestamp) sent_at").write.mode("append").parquet(path)
+    spark.createDataFrame(rows, MAIL.replace("timestamp", "string")).selectExpr("id", "message_id", "subject", "body",
+        "cast(sent_at as timestamp) sent_at").write.mode("append").parquet(path)
     return spark.read.parquet(path).schema
 
 

@@ -1,3 +1,6 @@
+import pytest
+
+from lettermill.operators import components
 from lettermill.operators.components import connected_components
 from lettermill.operators.threads import cluster, members
 
@@ -5,7 +8,8 @@ EMAIL = "id string, message_id string, in_reply_to string, references string, su
 
 
 def groups(spark, emails, keys=(), **kw):
-    rows = [({"id": None, "message_id": f"<{e['id']}@example.com>", "in_reply_to": None, "references": None, "subject_key": "", "ingest_order": n} | e) for n, e in enumerate(emails)]
+    rows = [({"id": None, "message_id": f"<{e['id']}@example.com>", "in_reply_to": None, "references": None, "subject_key": "",
+        "ingest_order": n} | e) for n, e in enumerate(emails)]
     frame = spark.createDataFrame([tuple(r[c.split()[0]] for c in EMAIL.split(", ")) for r in rows], EMAIL)
     out = {}
     for r in cluster(frame, spark.createDataFrame(list(keys), "email_id string, kind string, value string"), **kw).collect():
@@ -73,7 +77,8 @@ def test_cap_on_a_subject(spark):
 
 
 def test_three_rules_chain(spark):
-    emails = [{"id": "a"}, {"id": "b", "in_reply_to": "<c@example.com>"}, {"id": "c", "subject_key": "crane to bilbao"}, {"id": "d", "subject_key": "crane to bilbao"}]
+    emails = [{"id": "a"}, {"id": "b", "in_reply_to": "<c@example.com>"}, {"id": "c", "subject_key": "crane to bilbao"}, {"id": "d",
+        "subject_key": "crane to bilbao"}]
     assert groups(spark, emails, [("a", "job", "1"), ("b", "job", "1")]) == [{"a", "b", "c", "d"}]
 
 
@@ -87,20 +92,26 @@ def test_empty(spark):
     assert groups(spark, []) == []
 
 
-def test_components_of_chain_star_and_loop(spark):
+@pytest.mark.parametrize("few", [1 << 18, 3, 0])
+def test_components_of_chain_star_and_loop(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "LOCAL_EDGES", few)
     edges = [(k, k + 1) for k in range(200)] + [(1000, 1000 + k) for k in range(1, 150)] + [(5000, 5000), (None, 3)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got[k] for k in range(201)} == {0} and {got[1000 + k] for k in range(150)} == {1000} and got[5000] == 5000 and len(got) == 352
 
 
-def test_random_mail_against_union_find(spark):
+@pytest.mark.parametrize("few", [1 << 18, 0])
+def test_random_mail_against_union_find(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "LOCAL_EDGES", few)
     import random
     from collections import Counter, defaultdict
 
     rnd = random.Random(5)
     emails = [
-        {"id": f"{k:03}", "message_id": rnd.choice([f"<m{k}>", f" <m{k % 40}> ", "", None, f"plain{k}"]), "in_reply_to": rnd.choice([None, None, "", f"<m{rnd.randrange(120)}>", f"plain{rnd.randrange(120)}"]),
-         "references": rnd.choice([None, f"<m{rnd.randrange(120)}> x <m{rnd.randrange(120)}>"]) if k % 9 == 0 else None, "subject_key": rnd.choice(["short", "", f"a long subject {rnd.randrange(60)}", "confirmation"])}
+        {"id": f"{k:03}", "message_id": rnd.choice([f"<m{k}>", f" <m{k % 40}> ", "", None, f"plain{k}"]), "in_reply_to": rnd.choice([None, None, "",
+            f"<m{rnd.randrange(120)}>", f"plain{rnd.randrange(120)}"]),
+         "references": rnd.choice([None, f"<m{rnd.randrange(120)}> x <m{rnd.randrange(120)}>"]) if k % 9 == 0 else None,
+             "subject_key": rnd.choice(["short", "", f"a long subject {rnd.randrange(60)}", "confirmation"])}
         for k in range(120)
     ]
     keys = [(f"{rnd.randrange(125):03}", rnd.choice(["job", "po", "container"]), f"v{rnd.randrange(90)}") for _ in range(150)]
