@@ -266,7 +266,8 @@ def passages(w: np.ndarray, first: np.ndarray, index: Index, threshold: float =
     return sorted(best.values())
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
+    threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``leaks``, an array of ``(item_id, score, question_overlap,
     answer_overlap, first_term)``, the best passage (of equals the first) of
     each leaked item, in order of the items' ids; a column of that name is
@@ -292,7 +293,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: s
             w, first = terms(data, off)
             doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
             once = np.unique(np.stack([doc.astype(np.uint64), w]), axis=1)[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[once.view(np.int64), 0]), pa.array(np.r_[np.ones(len(once), np.int64), 0]), pa.array(np.r_[np.zeros(len(once), np.int64), len(w)])], ["w", "df", "len"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[once.view(np.int64), 0]), pa.array(np.r_[np.ones(len(once), np.int64), 0]),
+                pa.array(np.r_[np.zeros(len(once), np.int64), len(w)])], ["w", "df", "len"])
 
     freq = tb.map_arrow(items, listed, "w long, df long, len long").groupBy("w").agg(F.sum("df").alias("df"), F.sum("len").alias("len"))
     freq = durable(freq, "items")
@@ -307,7 +309,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: s
         known = freq if blocks == 1 else freq.join(spark.createDataFrame([(x,) for x in mine], "w long"), "w", "left_semi")
         df = {r["w"]: r["df"] for r in known.select("w", "df").collect()}
         indexes.append(spark.sparkContext.broadcast(build_index(rows, n, max(length / max(n, 1), 1.0), df)))
-    leak = StructType([StructField("item_id", kind), *(StructField(c, DoubleType()) for c in ("score", "question_overlap", "answer_overlap")), StructField("first_term", LongType())])
+    leak = StructType([StructField("item_id", kind), *(StructField(c, DoubleType()) for c in ("score", "question_overlap", "answer_overlap")),
+        StructField("first_term", LongType())])
     schema = StructType([*docs.schema.fields, StructField("leaks", ArrayType(leak))])
     arrow = pa.list_(pa.struct([("item_id", to_arrow_type(kind)), *((c, pa.float64()) for c in leak.names[1:-1]), ("first_term", pa.int64())]))
 
@@ -381,6 +384,7 @@ shares as (
 best as (
   select *, row_number() over (partition by doc_id, item_id order by round(score, 9) desc, a) as k
   from shares where question_overlap >= 0.6 and answer_overlap >= 0.6)
-select doc_id, item_id, round(score, 6) as score, round(question_overlap, 6) as question_overlap, round(answer_overlap, 6) as answer_overlap, a::bigint as first_term
+select doc_id, item_id, round(score, 6) as score, round(question_overlap, 6) as question_overlap, round(answer_overlap, 6) as answer_overlap,
+  a::bigint as first_term
 from best where k = 1
 """

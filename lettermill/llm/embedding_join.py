@@ -137,11 +137,13 @@ def range_links(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             near = (d <= d[np.arange(len(cell)), cell][:, None] + 2 * r) & (d <= reach) & (np.arange(len(reach)) < cell[:, None])
             row, to = np.nonzero(near)
             offsets = np.r_[0, np.cumsum(near.sum(1))].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(to, pa.int32()))], [*batch.schema.names, "cell", "visits"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(to,
+                pa.int32()))], [*batch.schema.names, "cell", "visits"])
 
     from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-    placed = durable(tb.map_arrow(classes, visit, StructType([*classes.schema.fields, StructField("cell", IntegerType()), StructField("visits", ArrayType(IntegerType()))])), "cells")
+    placed = durable(tb.map_arrow(classes, visit, StructType([*classes.schema.fields, StructField("cell", IntegerType()), StructField("visits",
+        ArrayType(IntegerType()))])), "cells")
     guests = {c["to"]: c["n"] for c in placed.select(F.explode("visits").alias("to")).groupBy("to").agg(F.count("*").alias("n")).collect()}
     blocks = [max(1, -(-(guests.get(k, 0) + (CHUNK if c > 1 else 0) * int(c - 1)) // CHUNK)) for k, c in enumerate(chunks.tolist())]
     ints = lambda xs: F.array(*[F.lit(int(x)) for x in xs])
@@ -150,9 +152,12 @@ def range_links(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     mark = F.pmod(F.xxhash64("cid"), F.lit(1 << 20)).cast("int")
     placed = placed.withColumns({"chunk": F.pmod(mark, F.get(n_chunks, own)), "mark": F.pmod(F.xxhash64("cid", F.lit(7)), F.lit(1 << 20)).cast("int")})
     upto = lambda n: F.sequence(F.lit(0), n - 1)
-    at_home = F.transform(upto(F.get(n_blocks, own)), lambda b: F.struct(own.alias("cell"), F.col("chunk").alias("chunk"), b.alias("block"), F.lit(True).alias("home")))
-    beside = F.when(F.col("chunk") > 0, F.transform(upto(F.greatest(F.col("chunk"), F.lit(1))), lambda m: F.struct(own.alias("cell"), m.alias("chunk"), F.pmod(F.col("mark"), F.get(n_blocks, own)).alias("block"), F.lit(False).alias("home"))))
-    abroad = F.flatten(F.transform("visits", lambda c: F.transform(upto(F.get(n_chunks, c)), lambda m: F.struct(c.alias("cell"), m.alias("chunk"), F.pmod(F.col("mark"), F.get(n_blocks, c)).alias("block"), F.lit(False).alias("home")))))
+    at_home = F.transform(upto(F.get(n_blocks, own)), lambda b: F.struct(own.alias("cell"), F.col("chunk").alias("chunk"), b.alias("block"),
+        F.lit(True).alias("home")))
+    beside = F.when(F.col("chunk") > 0, F.transform(upto(F.greatest(F.col("chunk"), F.lit(1))), lambda m: F.struct(own.alias("cell"),
+        m.alias("chunk"), F.pmod(F.col("mark"), F.get(n_blocks, own)).alias("block"), F.lit(False).alias("home"))))
+    abroad = F.flatten(F.transform("visits", lambda c: F.transform(upto(F.get(n_chunks, c)), lambda m: F.struct(c.alias("cell"), m.alias("chunk"),
+        F.pmod(F.col("mark"), F.get(n_blocks, c)).alias("block"), F.lit(False).alias("home")))))
     kind = "array<struct<cell:int,chunk:int,block:int,home:boolean>>"
     seats = F.concat(at_home.cast(kind), F.coalesce(beside.cast(kind), F.array().cast(kind)), abroad.cast(kind))
     groups = placed.select("cid", "n", "emb", F.explode(seats).alias("s")).select("cid", "n", "emb", "s.*")
@@ -179,14 +184,16 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, ident: st
     emb = F.when(good, vec)
     # 128 bits stand for a vector, so that only the join of cells moves vectors
     key = F.when(good, F.concat_ws(".", F.hex(F.xxhash64(vec)), F.hex(F.xxhash64(F.lit(1), vec))))
-    rows = vectors.select(*[vectors[c].alias(f"c{k}") for k, c in enumerate(names)], vectors[ident].alias("id"), key.alias("key"), F.monotonically_increasing_id().alias("at"))
+    rows = vectors.select(*[vectors[c].alias(f"c{k}") for k, c in enumerate(names)], vectors[ident].alias("id"), key.alias("key"),
+        F.monotonically_increasing_id().alias("at"))
     classes = vectors.select(key.alias("key"), emb.alias("emb"), vectors[ident].alias("id")).where("key is not null")
     classes = classes.groupBy("key").agg(F.first("emb").alias("emb"), F.count("*").alias("n"), F.min("id").alias("least"))
     classes = durable(classes.withColumn("cid", F.monotonically_increasing_id()), "vectors")
     links = durable(range_links(classes.select("cid", "n", "emb"), threshold), "links")
     degree = links.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("links"))
     parts = connected_components(links.where("b is not null").select("a", "b"))
-    named = classes.select("key", "n", "least", "cid").join(parts.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    named = classes.select("key", "n", "least", "cid").join(parts.select(F.col("node").alias("cid"), "component"), "cid",
+        "left").withColumn("component", F.coalesce("component", "cid"))
     ends = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(ends, "component").join(degree, "cid", "left")
     named = durable(named.select("key", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), "component_id"), "groups")

@@ -215,7 +215,8 @@ def merge_trigrams(counted: DataFrame, folder: str, bits: int, word_bits: int, h
         deal("b", pair[ps], bits, v[ps], np.ones(len(ps), U32), w[ps], types.astype(U32))
         of_counts = [[int((n == k).sum()) for k in (1, 2, 3, 4)]] + [None] * (len(out) - 1)
         kinds, shards, blobs = zip(*out, strict=True)
-        return pa.table({"kind": pa.array(kinds), "shard": pa.array(shards, pa.int32()), "blob": pa.array(blobs, pa.binary()), "n": pa.array(of_counts, pa.list_(pa.int64()))})
+        return pa.table({"kind": pa.array(kinds), "shard": pa.array(shards, pa.int32()), "blob": pa.array(blobs, pa.binary()),
+            "n": pa.array(of_counts, pa.list_(pa.int64()))})
 
     def write(kind: str, columns: list[type]) -> Callable:
         def run(table: pa.Table) -> pa.Table:
@@ -228,7 +229,8 @@ def merge_trigrams(counted: DataFrame, folder: str, bits: int, word_bits: int, h
 
         return run
 
-    merged = durable(counted.repartitionById(1 << bits, "shard").groupBy("shard").applyInArrow(merge, "kind string, shard int, blob binary, n array<long>"), "trigrams")
+    merged = durable(counted.repartitionById(1 << bits, "shard").groupBy("shard").applyInArrow(merge,
+        "kind string, shard int, blob binary, n array<long>"), "trigrams")
     for kind, wide, columns in (("c", bits, [U64, U32, U32, U32, U32]), ("r", word_bits, [U64, np.int64])):
         part = merged.where(F.col("kind") == kind).select("shard", "blob")
         part.repartitionById(1 << wide, "shard").groupBy("shard").applyInArrow(write(kind, columns), "n long").agg(F.sum("n")).collect()
@@ -320,7 +322,8 @@ def merge_words(parts: DataFrame, folder: str, word_bits: int) -> DataFrame:
             "more": [int((types >= 3).sum())],
         })
 
-    return parts.repartitionById(1 << word_bits, "shard").groupBy("shard").applyInArrow(merge, "docs long, tokens long, words long, types long, n array<long>, m array<long>, more long")
+    return parts.repartitionById(1 << word_bits, "shard").groupBy("shard").applyInArrow(merge,
+        "docs long, tokens long, words long, types long, n array<long>, m array<long>, more long")
 
 
 def train_model(train: DataFrame, text: str = "text", order: int = ORDER) -> Model:
@@ -353,7 +356,8 @@ def train_model(train: DataFrame, text: str = "text", order: int = ORDER) -> Mod
         n_docs = size["n"]
         n_tokens = train.select(F.sum(F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0))).alias("n")).first()["n"] or 0
         n_tokens += n_docs
-    return Model(folder, bits, word_bits, hot, n_docs, n_tokens, order, total["words"] + (total["docs"] > 0), total["types"], discounts(n), d, float(rest), discounts(top))
+    return Model(folder, bits, word_bits, hot, n_docs, n_tokens, order, total["words"] + (total["docs"] > 0), total["types"], discounts(n), d,
+        float(rest), discounts(top))
 
 
 class Reader:
@@ -426,7 +430,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """
     from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-    names = {"n_tokens": LongType(), "n_known": LongType(), "train_tokens": LongType(), "base_score": DoubleType(), "score": DoubleType(), "perplexity": DoubleType()}
+    names = {"n_tokens": LongType(), "n_known": LongType(), "train_tokens": LongType(), "base_score": DoubleType(), "score": DoubleType(),
+        "perplexity": DoubleType()}
     docs = docs.drop(*names)
     schema = StructType([*docs.schema.fields, *(StructField(k, t) for k, t in names.items())])
 
@@ -435,7 +440,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for part, data, off in tb.chunks(batches, text):
             n, known, base, logs = reader.score(data, off)
             new = [n, known, np.full(len(n), model.tokens), base, logs, 10.0 ** np.minimum(-logs / n, 300.0)]
-            yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x, t) for x, t in zip(new, [pa.int64()] * 3 + [pa.float64()] * 3, strict=True))], schema.names)
+            yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x, t) for x, t in zip(new, [pa.int64()] * 3 + [pa.float64()] * 3,
+                strict=True))], schema.names)
 
     return tb.map_arrow(docs, run, schema)
 

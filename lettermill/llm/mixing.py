@@ -35,13 +35,15 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_pct: int
     })
     # level = (budget - 100 * below) / (100 * rest); compared as w * level > cap without dividing
     s = s.withColumn("full", F.col("w") * (F.col("budget") - 100 * F.col("below")) > 100 * F.col("cap") * F.col("rest"))
-    s = s.withColumns({"kept": F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0)).over(every), "open": F.sum(F.when(~F.col("full"), F.col("w")).otherwise(0)).over(every)})
+    s = s.withColumns({"kept": F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0)).over(every), "open": F.sum(F.when(~F.col("full"),
+        F.col("w")).otherwise(0)).over(every)})
     level = (F.col("w") * (F.col("budget") - 100 * F.col("kept"))).cast("double") / F.nullif(100 * F.col("open"), F.lit(0)).cast("double")
     target = F.when(F.col("full"), F.col("cap").cast("double")).otherwise(F.least(level, F.col("cap").cast("double")))
     return s.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_pct: int = 150, max_epochs: int = 2, seed: str = "mix", text: str = "text", source: str = "source", ident: str = "doc_id") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_pct: int = 150, max_epochs: int = 2, seed: str = "mix", text: str = "text",
+    source: str = "source", ident: str = "doc_id") -> DataFrame:
     """Say how many words of each document the mix takes.
 
     Adds ``size`` (words), ``source_size``, ``target`` and ``taken``; columns
@@ -66,7 +68,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_pct: int = 15
     key = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(docs[ident].cast("string"), F.lit("")), F.lit("|"), F.coalesce(body, F.lit(""))).cast("binary"))
     keyed = docs.select(
         *[docs[c].alias(f"c{k}") for k, c in enumerate(names)],
-        F.coalesce(F.regexp_count(body, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("key"), F.coalesce(origin, F.lit("")).alias("s"), origin.isNull().alias("n"),
+        F.coalesce(F.regexp_count(body, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("key"), F.coalesce(origin,
+            F.lit("")).alias("s"), origin.isNull().alias("n"),
     )
     keyed = keyed.withColumn("bucket", F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), 32 - bits))
     group = ["s", "n", "bucket"]

@@ -95,7 +95,8 @@ def op1_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: CRC-32 by its polynomial: a table of 256 remainders, and a fold over the bytes.
 SQL = """
 with step as (
-  select n, list_reduce(list_prepend(n::bigint, range(8)), lambda c, k: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as v from range(256) t(n)),
+  select n, list_reduce(list_prepend(n::bigint, range(8)), lambda c, k: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as v
+    from range(256) t(n)),
 crc as (select list(v order by n) as t from step),
 d as (
   select doc_id, coalesce(text, '') as x, strlen(coalesce(text, '')) + 1 as size from documents),

@@ -23,15 +23,67 @@ SHINGLE = 3
 DISTANCE = 3
 GROUP_ROWS = 512
 PIVOTS = 4
-VOTES = 1 << 19
 PAIRS = 1 << 20
 EMPTY = 255
 
 
+# The five primes of XXH64
+P1, P2, P3 = np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+P4, P5 = np.uint64(0x85EBCA77C2B2AE63), np.uint64(0x27D4EB2F165667C5)
+
+
+def _turn(x: np.ndarray, k: int) -> np.ndarray:
+    return (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+
+
+def _round(acc: np.ndarray, lane: np.ndarray) -> np.ndarray:
+    return _turn(acc + lane * P2, 31) * P1
+
+
+def xxh64(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """XXH64 of every slice of ``data``, all slices a step on at a time."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+    four = np.ndarray((len(data) + 1,), "<u4", padded, 0, (1,))
+    size, at = (ends - starts).astype(np.uint64), starts.copy()
+    with np.errstate(over="ignore"):
+        s = np.uint64(seed)
+        h = np.full(len(at), s + P5)
+        long_ = np.flatnonzero(size >= 32)
+        if len(long_):
+            acc = [np.full(len(long_), v) for v in (s + P1 + P2, s + P2, s, s - P1)]
+            live = np.arange(len(long_))
+            while len(live):
+                k = long_[live]
+                for lane in range(4):
+                    acc[lane][live] = _round(acc[lane][live], eight[at[k] + 8 * lane])
+                at[k] += 32
+                live = live[at[k] + 32 <= ends[k]]
+            whole = _turn(acc[0], 1) + _turn(acc[1], 7) + _turn(acc[2], 12) + _turn(acc[3], 18)
+            for a in acc:
+                whole = (whole ^ _round(np.zeros(1, np.uint64), a)) * P1 + P4
+            h[long_] = whole
+        h += size
+        live = np.flatnonzero(at + 8 <= ends)
+        while len(live):
+            h[live] = _turn(h[live] ^ _round(np.zeros(1, np.uint64), eight[at[live]]), 27) * P1 + P4
+            at[live] += 8
+            live = live[at[live] + 8 <= ends[live]]
+        live = np.flatnonzero(at + 4 <= ends)
+        h[live] = _turn(h[live] ^ (four[at[live]].astype(np.uint64) * P1), 23) * P2 + P3
+        at[live] += 4
+        live = np.flatnonzero(at < ends)
+        while len(live):
+            h[live] = _turn(h[live] ^ (data[at[live]].astype(np.uint64) * P5), 11) * P1
+            at[live] += 1
+            live = live[at[live] < ends[live]]
+        h = (h ^ (h >> np.uint64(33))) * P2
+        h = (h ^ (h >> np.uint64(29))) * P3
+        return h ^ (h >> np.uint64(32))
+
+
 def fingerprints(data: np.ndarray, off: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
     """The unsigned fingerprint of each text."""
-    import xxhash
-
     starts, ends, first = tb.word_spans(data, off)
     norm, starts, ends = tb.joined(data, starts, ends, lower=True)
     n_words = np.diff(first)
@@ -39,16 +91,7 @@ def fingerprints(data: np.ndarray, off: np.ndarray, shingle: int = SHINGLE) -> n
     doc = np.repeat(np.arange(len(n)), n)
     head = np.repeat(first[:-1] - (np.cumsum(n) - n), n) + np.arange(len(doc))
     last = np.minimum(head + shingle, np.repeat(first[1:], n)) - 1
-    raw, digest = norm.tobytes(), xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(raw[a:b], SEED) for a, b in zip(starts[head].tolist(), ends[last].tolist(), strict=True)), np.uint64, len(doc))
-    votes = np.zeros((len(n), 64), np.int64)
-    for at in range(0, len(doc), VOTES):
-        part = doc[at : at + VOTES]
-        bits = np.unpackbits(hashes[at : at + VOTES].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        begin = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-        votes[part[begin]] += np.add.reduceat(bits, begin, axis=0, dtype=np.int64)
-    on = 2 * votes > n[:, None]
-    return np.packbits(on, axis=1, bitorder="little").view(np.uint64).ravel()
+    return majority(xxh64(norm, starts[head], ends[last]), doc, len(n))
 
 
 def with_fingerprint(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -125,7 +168,8 @@ def ring_links(values: DataFrame, group_rows: int | None = None, ring: Ring = RI
     """
     m = len(ring.widths)
     places = [(i, ring.start(i), 64 - ring.reach(i, 2), flip) for i in range(m) for flip in (0, *(1 << k for k in range(ring.widths[(i + 1) % m])))]
-    place = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(o).alias("o"), F.lit(s).alias("s"), F.lit(f).cast("long").alias("f")) for i, o, s, f in places])).alias("p")
+    place = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(o).alias("o"), F.lit(s).alias("s"),
+        F.lit(f).cast("long").alias("f")) for i, o, s, f in places])).alias("p")
     node = F.col("node") if "node" in values.columns else F.col("fp").alias("node")
     listed = values.select("fp", node, place).select("fp", "node", "p.*")
     turned = F.expr("case when o = 0 then fp else shiftleft(fp, o) | shiftrightunsigned(fp, 64 - o) end")
@@ -223,7 +267,8 @@ def simhash_groups(docs: DataFrame, text: str = "text", ident: str = "doc_id", s
     texts = prints.groupBy("key").agg(F.min("fp").alias("fp"), F.count("*").alias("copies"))
     texts = with_facts(texts, durable(fingerprint_components(prints), "groups"), "fp", "rows", n, "key")
     out = with_facts(rows, durable(texts.select("key", "copies", "fp", "component_id"), "texts"), "key", "copies", n, "at")
-    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)], F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)], F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        "component_id")
 
 
 def simhash_dedup(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
@@ -252,14 +297,21 @@ SHARED, WORD_BITS = 4, 6
 TURNS = tb.mix64(np.arange(1, SLOTS * SLOTS + 1, dtype=np.uint64) * tb.RATIO).reshape(SLOTS, SLOTS).argsort(0)
 
 
+#: The bits of a byte as the bytes of a word, so that one sum counts eight of them.
+SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
+
+
 def majority(codes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     """For each of ``n`` owners (in order) the majority of each bit over its codes."""
-    votes, count = np.zeros((n, 64), np.int64), np.bincount(owner, minlength=n)
-    for at in range(0, len(codes), VOTES):
-        part = owner[at : at + VOTES]
-        bits = np.unpackbits(codes[at : at + VOTES].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        begin = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-        votes[part[begin]] += np.add.reduceat(bits, begin, axis=0, dtype=np.int64)
+    count, votes = np.bincount(owner, minlength=n), np.zeros((n, 64), np.int64)
+    if len(codes):
+        within = np.arange(len(codes)) - np.repeat(np.cumsum(count) - count, count)
+        begin = np.flatnonzero(within % 255 == 0)  # what a byte can count
+        lanes = codes.view(np.uint8).reshape(-1, 8)
+        part = np.hstack([np.add.reduceat(SPREAD[lanes[:, k]], begin).view(np.uint8).reshape(-1, 8) for k in range(8)])
+        of = owner[begin]
+        first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        votes[of[first]] = np.add.reduceat(part, first, axis=0, dtype=np.int64)
     return np.packbits(2 * votes > count[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
@@ -300,7 +352,8 @@ def with_sketch(rows: DataFrame, body: str) -> DataFrame:
             lanes = wide.view(np.int64)
             whole = np.column_stack([words.view(np.int64), lanes]).astype(np.int64)
             digest = [hashlib.md5(row.tobytes()).hexdigest() for row in whole]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(digest, pa.string()), *(pa.array(whole[:, k].copy()) for k in range(whole.shape[1]))], schema.names)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(digest, pa.string()), *(pa.array(whole[:,
+                k].copy()) for k in range(whole.shape[1]))], schema.names)
 
     return tb.map_arrow(rows, run, schema)
 
@@ -355,14 +408,16 @@ def band_links(nodes: DataFrame, similarity: float, group_rows: int | None = Non
         return _compared(met.select("key", F.lit(0).alias("x"), "node", F.col("node").alias("label")), nodes, similarity)
     ranked = [F.min(F.struct(F.xxhash64("node", F.lit(j)).alias("h"), "node"))["node"] for j in range(PIVOTS)]
     pivots = hot.groupBy("key", "n").agg(F.array_distinct(F.array(*ranked)).alias("p"))
-    pivots = pivots.select("key", parts.alias("c"), F.explode("p").alias("node")).select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)).alias("x"), "node")
+    pivots = pivots.select("key", parts.alias("c"), F.explode("p").alias("node")).select("key", F.explode(F.sequence(F.lit(0).cast("long"),
+        F.col("c") - 1)).alias("x"), "node")
     chunked = met.select("key", F.pmod(F.xxhash64("node"), parts).alias("x"), "node").unionByName(pivots).withColumn("label", F.col("node"))
     first = durable(_compared(chunked, nodes, similarity), "links")
     names = connected_components(first).withColumnRenamed("component", "label")
     named = durable(hot.select("key", "node").join(names, "node", "left").withColumn("label", F.coalesce("label", "node")), "hot")
     size = named.groupBy("key", "label").agg(F.count("*").alias("n"))
     lists = size.groupBy("key").agg(F.count("*").alias("labels"), F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("most")).where("labels > 1")
-    lists = lists.select("key", "all", F.ceil(F.col("most.n") / group_rows).alias("majors"), F.ceil((F.col("all") - F.col("most.n")) / group_rows).alias("minors"), F.col("most.label").alias("top"))
+    lists = lists.select("key", "all", F.ceil(F.col("most.n") / group_rows).alias("majors"),
+        F.ceil((F.col("all") - F.col("most.n")) / group_rows).alias("minors"), F.col("most.label").alias("top"))
     rows = with_facts(named, lists, "key", "all", named.count(), "node").where("all is not null")
     upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     at = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
@@ -392,7 +447,8 @@ def _compared(groups: DataFrame, nodes: DataFrame, similarity: float) -> DataFra
     return tb.map_arrow(dealt, run, "a long, b long")
 
 
-def band_linked(node: np.ndarray, key: np.ndarray, x: np.ndarray, known: np.ndarray, words: np.ndarray, lanes: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def band_linked(node: np.ndarray, key: np.ndarray, x: np.ndarray, known: np.ndarray, words: np.ndarray, lanes: np.ndarray,
+    similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links of each group of equal (key, x), sorted by it. Pairs
     that are connected already are not compared."""
     group = np.cumsum(np.r_[0, (key[1:] != key[:-1]) | (x[1:] != x[:-1])]) if len(node) else node

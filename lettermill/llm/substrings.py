@@ -75,7 +75,8 @@ def remove_repeated_substrings(docs: DataFrame, length: int = LENGTH, gram: int
             raw = data[~gone].tobytes()
             edge = off - np.searchsorted(np.flatnonzero(gone), off)
             kept = [raw[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
-            values = [pa.array(kept, pa.binary()), pa.array(n), pa.array(n - np.diff(edge)), pa.array(spans), pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
+            values = [pa.array(kept, pa.binary()), pa.array(n), pa.array(n - np.diff(edge)), pa.array(spans),
+                pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
             yield pa.RecordBatch.from_arrays([*winnow.back(part, names, text), *values], schema.names)
 
     return tb.map_arrow(joined, finish, schema)

@@ -190,7 +190,8 @@ def repeated_windows(rows: DataFrame, kind: Kind, length: int, gram: int, earlie
             columns = [bucket, anchor, content, shares, part.column(0).to_numpy()[text], part.column(1).to_numpy()[text], first]
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(blobs, pa.binary())], SENT)
 
-    sent = tb.map_arrow(rows.select("uid", "id", "body").join(wanted.hint("shuffle_hash"), "uid"), send, ", ".join(f"{c} {'binary' if c == 'blob' else 'long'}" for c in SENT))
+    sent = tb.map_arrow(rows.select("uid", "id", "body").join(wanted.hint("shuffle_hash"), "uid"), send,
+        ", ".join(f"{c} {'binary' if c == 'blob' else 'long'}" for c in SENT))
 
     def meet(table: pa.Table) -> pa.Table:
         column = {c: table.column(c).to_numpy() for c in SENT[:-1]}
@@ -236,7 +237,8 @@ def repeated_windows(rows: DataFrame, kind: Kind, length: int, gram: int, earlie
         begin = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1])])
         packed = [record[a:b].tobytes() for a, b in zip(begin.tolist(), np.r_[begin[1:], len(record)].tolist(), strict=True)]
         zero = pa.array(np.zeros(len(begin), np.int64))
-        return pa.concat_tables([out, pa.table({"uid": zero, "a": zero, "b": zero, "anchor": anchor[begin], "salt": salt[begin], "blob": pa.array(packed, pa.binary())})])
+        return pa.concat_tables([out, pa.table({"uid": zero, "a": zero, "b": zero, "anchor": anchor[begin], "salt": salt[begin],
+            "blob": pa.array(packed, pa.binary())})])
 
     met = durable(sent.groupBy("bucket").applyInArrow(meet, STRETCH_OR_OPEN), "windows")
 

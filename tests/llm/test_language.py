@@ -87,7 +87,8 @@ def test_languages_against_brute_force(spark):
     rows = [r for r in spark.read.parquet(f"{DATA}/documents.parquet").collect() if r.text]
     train = [(r.text, r.lang) for r in rows[:60]] + [(None, "en"), ("lost words", None)]
     short = [" ".join(r.text.split()[:60]) for r in rows[60:120]]
-    texts = [*short, *(f"{a} {b}" for a, b in zip(short, short[7:])), *(f"{a} {b} {c}" for a, b, c in zip(short[::3], short[1::3], short[2::3])), "x", "12 34", "", None, " \n", "Ω ж"]
+    texts = [*short, *(f"{a} {b}" for a, b in zip(short, short[7:])), *(f"{a} {b} {c}" for a, b, c in zip(short[::3], short[1::3], short[2::3])), "x",
+        "12 34", "", None, " \n", "Ω ж"]
     model = langid.fit(spark.createDataFrame(train, "text string, lang string").repartition(3))
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(frame, model).collect()}
@@ -171,7 +172,8 @@ def brute_scores(train, texts, order=2):
         return (less + sum(d[len(g)][k] * x[k + 1] for k in range(3)) * after(*g[1:])) / x[0]
 
     if single:  # probabilities of all words and an unknown one add up to one
-        for a in ((), max((c for c in context if len(c) == 1), key=lambda c: context[c][0]), max((c for c in context if len(c) == order - 1), key=lambda c: context[c][0])):
+        for a in ((), max((c for c in context if len(c) == 1), key=lambda c: context[c][0]), max((c for c in context if len(c) == order - 1),
+            key=lambda c: context[c][0])):
             assert sum(after(*a, w) for w in single) + after(*a, "?") == pytest.approx(1)
     out = []
     for text in texts:

@@ -70,8 +70,10 @@ def test_leaks_against_brute_force(spark, texts, monkeypatch):
     """Whole and edited items in texts, items of all lengths, whatever the size of an index block."""
     rng = random.Random(5)
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
-    items += [(900, "Who wrote Hamlet? William Shakespeare."), (901, "zyzzyva"), (902, "two words"), (903, "one two three"), (904, " ".join(f"l{k}" for k in range(300)) + ". The end."), (905, "..."), (None, "No number? None."), (906, None)]
-    rows = list(texts.values())[:30] + [None, "", "the zyzzyva", "in two words or one two three four", "Ask who wrote Hamlet: William Shakespeare did", "NO NUMBER, NONE"]
+    items += [(900, "Who wrote Hamlet? William Shakespeare."), (901, "zyzzyva"), (902, "two words"), (903, "one two three"), (904,
+        " ".join(f"l{k}" for k in range(300)) + ". The end."), (905, "..."), (None, "No number? None."), (906, None)]
+    rows = list(texts.values())[:30] + [None, "", "the zyzzyva", "in two words or one two three four",
+        "Ask who wrote Hamlet: William Shakespeare did", "NO NUMBER, NONE"]
     for _, t in items:
         w = (t or "").split()
         if w:
@@ -107,7 +109,8 @@ def test_wand_retrieves_all_above_any_threshold():
 
 
 def test_leaks_of_edge_cases(spark, edges, nothing, monkeypatch):
-    items = [(1, words(30, 5)), (2, None), (3, ""), (4, "word1"), (None, words(20, 510)), (1, words(30, 5)), (9, "What is it? " + words(12, 900) + ". Answer nine.")]
+    items = [(1, words(30, 5)), (2, None), (3, ""), (4, "word1"), (None, words(20, 510)), (1, words(30, 5)), (9, "What is it? " + words(12,
+        900) + ". Answer nine.")]
     table = spark.createDataFrame(items, "item_id long, text string")
     want = sorted(map(len, brute_leaks([r[1] for r in EDGES], items)))
     assert want[-1] == 4
@@ -121,7 +124,8 @@ def test_leaks_of_edge_cases(spark, edges, nothing, monkeypatch):
 
 def test_licences_of_documents(spark, texts):
     rows = {r.doc_id: r for r in licenses.op8_licenses(spark, DATA).collect()}
-    lines = {"Apache-2.0": "Licensed under the Apache License, Version 2.0.", "MIT": "Released under the MIT License.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.", "GPL-3.0": "This work is licensed under the GNU General Public License, version 3."}
+    lines = {"Apache-2.0": "Licensed under the Apache License, Version 2.0.", "MIT": "Released under the MIT License.",
+        "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.", "GPL-3.0": "This work is licensed under the GNU General Public License, version 3."}
     assert len(rows) == len(texts)
     for i, t in texts.items():
         assert rows[i].own_license in ([k for k, v in lines.items() if v in t] or [None])
@@ -130,10 +134,12 @@ def test_licences_of_documents(spark, texts):
 def test_nearest_directory_speaks(spark):
     mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
     prose = "Nothing of the kind is said here, and nobody would think so. " * 5
-    rows = [("LICENSE", mit), ("a/b/COPYING", gpl), ("a/b/c/x.py", prose), ("a/y.py", prose), ("a/b/c/z.py", f"{prose}\n{mit}"), ("top.py", None), (None, prose), ("a/b/c/", ""), ("q/licensed.txt", f"{prose} {gpl}")]
+    rows = [("LICENSE", mit), ("a/b/COPYING", gpl), ("a/b/c/x.py", prose), ("a/y.py", prose), ("a/b/c/z.py", f"{prose}\n{mit}"), ("top.py", None),
+        (None, prose), ("a/b/c/", ""), ("q/licensed.txt", f"{prose} {gpl}")]
     frame = spark.createDataFrame([(k, p, t, "x") for k, (p, t) in enumerate(rows)], "doc_id long, path string, text string, license string")
     got = {r.doc_id: (r.license, r.inherited_from) for r in licenses.inherit(licenses.scan(frame)).collect()}
-    assert got == {0: ("MIT", None), 1: ("GPL-3.0", None), 2: ("GPL-3.0", "a/b"), 3: ("MIT", ""), 4: ("MIT", None), 5: ("MIT", ""), 6: (None, None), 7: ("GPL-3.0", "a/b"), 8: ("GPL-3.0", None)}
+    assert got == {0: ("MIT", None), 1: ("GPL-3.0", None), 2: ("GPL-3.0", "a/b"), 3: ("MIT", ""), 4: ("MIT", None), 5: ("MIT", ""), 6: (None, None),
+        7: ("GPL-3.0", "a/b"), 8: ("GPL-3.0", None)}
 
 
 def test_headers_wrapped_over_lines(spark):
@@ -147,7 +153,8 @@ def test_headers_wrapped_over_lines(spark):
             text = header.format(n="file.c", k=kind)
             rows.append((len(rows), "\n".join(mark + line for line in text.split("\n")) + "\nint main() { return run(1); }\n" * 9))
     mit = "Permission is hereby granted, free of charge, to any\nperson obtaining a copy of this software and\nassociated documentation files"
-    rows += [(100, mit), (101, "All rights reserved. Unauthorized copying\nof this file is strictly prohibited."), (102, "The program is free to\nuse the terms of the text,\nor any later version of it.")]
+    rows += [(100, mit), (101, "All rights reserved. Unauthorized copying\nof this file is strictly prohibited."), (102,
+        "The program is free to\nuse the terms of the text,\nor any later version of it.")]
     want |= {100: "MIT", 101: "Proprietary", 102: None}
     rows += [(1000 + k, f"{words(50)} the program is of any use to you and it or the files in this work {k}") for k in range(50)]
     got = {r.doc_id: r.own_license for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -197,7 +204,8 @@ def test_cosines_against_brute_force(spark, texts):
     rows = [t for t in list(texts.values())[:40]]
     for t in notices:
         w = t.split(" ")
-        rows += ["\n".join([*rng.sample(rows[:40], 1), t]), " ".join(rng.choice(["word", x, x, x]) for x in w), "# " + "\n# ".join(" ".join(w[k : k + 6]) for k in range(0, len(w), 6)), t.upper() + " Indeed so."]
+        rows += ["\n".join([*rng.sample(rows[:40], 1), t]), " ".join(rng.choice(["word", x, x, x]) for x in w),
+            "# " + "\n# ".join(" ".join(w[k : k + 6]) for k in range(0, len(w), 6)), t.upper() + " Indeed so."]
     rows += [None, "", "\n \n", "...", notices[0], notices[0]]
     frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
     for threshold in (0.5, 0.7):
@@ -205,7 +213,8 @@ def test_cosines_against_brute_force(spark, texts):
         want = brute_licences(rows, licenses.TEMPLATES, threshold)
         for k, (name, score, whole) in enumerate(want):
             assert abs(got[k][1] - score) < 1e-9 and got[k][2] == whole, (k, rows[k], got[k], want[k])
-            tied = [n for n, t in licenses.TEMPLATES if name and abs(max(brute_licences_one(rows, k, [(n, t)], threshold)) - score) < 1e-9] if got[k][0] != name else [name]
+            tied = [n for n, t in licenses.TEMPLATES if name and abs(max(brute_licences_one(rows, k, [(n, t)],
+                threshold)) - score) < 1e-9] if got[k][0] != name else [name]
             assert got[k][0] in tied
 
 

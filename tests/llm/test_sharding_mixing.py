@@ -41,7 +41,8 @@ def test_a_very_long_text_fills_a_shard(spark):
     rows = [(k, "x" * (3_000_000 if k == 7 else 100)) for k in range(20)]
     got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
     check_shards(got, 4)
-    taken = mixing.mix(spark.createDataFrame([(k, " ".join(["w"] * (400_000 if k == 7 else 10)), "s") for k in range(20)], "doc_id long, text string, source string")).collect()
+    taken = mixing.mix(spark.createDataFrame([(k, " ".join(["w"] * (400_000 if k == 7 else 10)), "s") for k in range(20)],
+        "doc_id long, text string, source string")).collect()
     assert sum(r.taken for r in taken) == round(1.5 * (400_000 + 190)) and max(r.taken / r.size for r in taken) <= 2
 
 
@@ -62,7 +63,8 @@ def test_reruns_agree(spark):
     assert sorted(map(tuple, sharding.op1_shard_bytes(spark, DATA).collect())) == sorted(map(tuple, sharding.op1_shard_bytes(spark, DATA).collect()))
 
 
-@pytest.mark.parametrize("sizes", [{"a": 100, "b": 100, "c": 100}, {"a": 1, "b": 1000, None: 3}, {"a": 0, "b": 7}, {"a": 0}, {"": 5, "b": 5, "c": 90, "d": 4, None: 1}])
+@pytest.mark.parametrize("sizes", [{"a": 100, "b": 100, "c": 100}, {"a": 1, "b": 1000, None: 3}, {"a": 0, "b": 7}, {"a": 0}, {"": 5, "b": 5, "c": 90,
+    "d": 4, None: 1}])
 def test_targets(spark, sizes):
     frame = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
     got = {r.source: r.target for r in mixing.targets(frame).collect()}

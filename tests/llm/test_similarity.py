@@ -170,8 +170,10 @@ def test_near_copies_of_edge_cases(edges, nothing):
 
 
 VECTORS = [
-    (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 0.3]), (4, [1.0, 0.6]), (5, [0.0, 0.0]), (6, None), (7, []), (8, [1.0, None]), (9, [float("nan"), 1.0]), (10, [float("inf"), 1.0]),
-    (11, [1.0, 0.0]), (12, [1.0, 0.0, 0.0]), (13, [-1.0, 0.0]), (14, [1e200, 0.0]), (None, [0.0, 1.0]), (None, [5.0, 5.0, 5.0, 5.0]), (7, [0.0, 3.0]), (15, [5.0, 5.0, 5.0, 5.0]), (15, [5.0, 5.0, 5.0, 5.0]),
+    (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 0.3]), (4, [1.0, 0.6]), (5, [0.0, 0.0]), (6, None), (7, []), (8, [1.0, None]), (9, [float("nan"),
+        1.0]), (10, [float("inf"), 1.0]),
+    (11, [1.0, 0.0]), (12, [1.0, 0.0, 0.0]), (13, [-1.0, 0.0]), (14, [1e200, 0.0]), (None, [0.0, 1.0]), (None, [5.0, 5.0, 5.0, 5.0]), (7, [0.0, 3.0]),
+        (15, [5.0, 5.0, 5.0, 5.0]), (15, [5.0, 5.0, 5.0, 5.0]),
 ]
 
 
@@ -183,7 +185,8 @@ def brute_vectors(rows, threshold=0.95):
         return v / np.sqrt((v * v).sum())
 
     u = [unit(v) for _, v in rows]
-    links = [(a, b) for a in range(len(rows)) for b in range(a) if u[a] is not None and u[b] is not None and len(u[a]) == len(u[b]) and float(u[a] @ u[b]) >= threshold]
+    links = [(a,
+        b) for a in range(len(rows)) for b in range(a) if u[a] is not None and u[b] is not None and len(u[a]) == len(u[b]) and float(u[a] @ u[b]) >= threshold]
     n = [sum(k in p for p in links) for k in range(len(rows))]
     ends = least_reachable([i for i, _ in rows], links)
     return sorted(((i, k, e, (i == e and i is not None) or x is None) for (i, _), k, e, x in zip(rows, n, ends, u)), key=str)
@@ -208,6 +211,14 @@ def test_many_cells_and_chunks(spark, monkeypatch):
         assert sorted((tuple(r) for r in out.select("vec_id", "n_links", "component_id", "kept").collect()), key=str) == want
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.binary(max_size=150), min_size=1, max_size=12), st.integers(0, 2**64 - 1))
+def test_xxh64(parts, seed):
+    edge = np.cumsum([0, *map(len, parts)])
+    got = simhash.xxh64(np.frombuffer(b"".join(parts), np.uint8), edge[:-1], edge[1:], seed)
+    assert got.tolist() == [xxhash.xxh64_intdigest(p, seed) for p in parts]
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from("aB \n\tü1."), max_size=20), max_size=6))
 def test_words_of_a_batch(parts):

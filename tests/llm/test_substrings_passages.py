@@ -89,7 +89,8 @@ def test_a_passage_in_very_many_texts(spark):
 def test_a_passage_twice_in_each_of_very_many_texts(spark):
     """Both places go, also where the smaller id is in another group of the anchor."""
     hot = " ".join(f"hot{k}" for k in range(60))
-    rows = [(k, " ".join([*(f"a{k}x{j}" for j in range(60)), hot, *(f"b{k}x{j}" for j in range(60)), hot, *(f"c{k}x{j}" for j in range(60))])) for k in range(700)]
+    rows = [(k, " ".join([*(f"a{k}x{j}" for j in range(60)), hot, *(f"b{k}x{j}" for j in range(60)), hot,
+        *(f"c{k}x{j}" for j in range(60))])) for k in range(700)]
     out = passages.remove_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))
     assert got(out, WORDS) == brute_passages(rows)
 
