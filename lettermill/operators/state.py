@@ -34,6 +34,7 @@ class Dialect:
     by_calendar: bool
 
 
+# Both dialects' sentences, here and in the rules
 OFFICE = Dialect(tuple(LOADED), tuple(ARRIVED), "None", "the correspondence says delivered", "job closed, fully invoiced and paid",
     "no job reference, nothing heard for ", "collected and paid: the job is closed", "the correspondence says ", True)
 PORTAL = Dialect(tuple(PORTAL_LOADED), tuple(PORTAL_ARRIVED), "null", "correspondence says delivered", "job closed, invoiced and paid",
