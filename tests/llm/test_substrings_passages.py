@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lettermill.llm import passages, relative, runindex, substrings, winnow
+from lettermill.llm import textbytes as tb
 from tests.llm.conftest import DATA, EDGES
 
 
@@ -141,6 +142,17 @@ def test_pieces_of_a_long_text_hold_each_window_once(kind):
     assert [base for base, _ in parts] == np.cumsum([0, *(len(g) for _, g in parts)])[:-1].tolist()
 
 
+@pytest.mark.parametrize(("kind", "length", "gram"), [(passages.WORDS, passages.WINDOW, passages.GRAM), (substrings.BYTES, substrings.LENGTH, substrings.GRAM)])
+def test_blocks_of_real_anchors_are_even(texts, kind, length, gram):
+    """Anchors are minima, so their leading bits are not; blocks go by mixed ones."""
+    raw = [(t or "").encode() for t in texts.values()]
+    data, off = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    starts, ends, edge = kind.edges(data, off)
+    anchors = np.unique(winnow.runs_of(kind.codes(data, starts, ends), edge, length, gram).anchor)
+    size = np.bincount((tb.mix64(anchors) % np.uint64(16)).astype(int), minlength=16)
+    assert len(anchors) > 1000 and size.max() < 1.4 * size.mean() and size.min() > 0.6 * size.mean()
+
+
 def test_a_text_of_several_megabytes(spark):
     rng = np.random.default_rng(6)
     w = [f"v{k}" for k in rng.integers(0, 10**9, 250_000)]
