@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lettermill.llm import decontaminate, embedding_join, kneserney, langid, licenses, mixing, passages, sharding, simhash, spelling, substrings
+from lettermill.llm import alignment, decontaminate, embedding_join, kneserney, langid, licenses, mixing, passages, quality, sharding, simhash, spelling, substrings
 
 QUERIES = {
     "op1_shard_bytes": sharding.op1_shard_bytes,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_licenses": licenses.op8_licenses,
     "op9_mix": mixing.op9_mix,
     "op10_kneserney": kneserney.op10_kneserney,
+    "op11_alignment": alignment.op11_alignment,
+    "op12_quality": quality.op12_quality,
     "op13_spelling": spelling.op13_spelling,
 }
 
@@ -25,5 +27,6 @@ ORACLE_SQL = {
     "op4_embedding_join": embedding_join.SQL,
     "op6_decontaminate": decontaminate.SQL,
     "op9_mix": mixing.SQL,
+    "op12_quality": quality.SQL,
     "op13_spelling": spelling.SQL,
 }
