@@ -5,16 +5,19 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, MapType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from lettermill.functions.text import falsy, first_chars, shown, strip
+from lettermill.operators.paid import BILLION, Journal, Lease, billionths, in_leases, key_of
 from lettermill.operators.running import running_total
-from lettermill.session import durable, ship
+from lettermill.session import new_path, ship
+from lettermill.sources.versioned import Manifest, VersionedTable
 
 # Fixed values
 PRICE_IN, PRICE_OUT = 1.0 / 1_000_000, 5.0 / 1_000_000
@@ -30,11 +33,24 @@ ANSWER = "origin string, destination string, departed string, actually_departed
 
 
 def ends_of_threads(mails: DataFrame, by: str = "job_id", first: int = 3, last: int = 5) -> DataFrame:
-    """The first and last mails of each thread, by ``sent_at``; the middle
-    mostly quotes them."""
-    up = F.row_number().over(Window.partitionBy(by).orderBy("sent_at", *_tie(mails)))
-    n = F.count("*").over(Window.partitionBy(by))
-    return mails.withColumns({"__up": up, "__n": n}).where((F.col("__up") <= first) | (F.col("__up") > F.col("__n") - last)).drop("__up", "__n")
+    """The first and last mails of each thread, by ``sent_at`` (then
+    ``ordinal``, if there is one, then the other columns in turn, so equal rows
+    alone can stand for each other); the middle mostly quotes them.
+
+    Either end is a window whose rank is limited, so each task keeps ``first``
+    or ``last`` mails of a thread before the shuffle, and a thread of all rows
+    is no more work than another. How long a thread is says which of its last
+    mails are not among the first.
+    """
+    names = mails.columns
+    order = ["sent_at", *[c for c in ("ordinal",) if c in names]]
+    order += [c for c in names if c not in (by, *order) and not isinstance(mails.schema[c].dataType, MapType)]
+    end = lambda columns, most: mails.withColumn("__place", F.row_number().over(Window.partitionBy(by).orderBy(*columns))).where(
+        F.col("__place") <= most)
+    size = mails.groupBy(F.col(by).alias("__by")).agg(F.count("*").alias("__n"))
+    late = end([F.col(c).desc() for c in order], last)
+    late = late.join(size, late[by].eqNullSafe(size["__by"])).where(F.col("__n") - F.col("__place") >= first)
+    return end(order, first).select(*names).unionByName(late.select(*names))
 
 
 def _tie(mails: DataFrame) -> list[str]:
@@ -90,7 +106,7 @@ def request(thread: str, model: str, system: str, max_tokens: int = MAX_TOKENS)
 class Run:
     """How a run ended: ``no key``, ``refused`` (the estimate was over the cap),
     ``dry run`` or ``done``. Only what was done has replies, ``(job_id, reply,
-    error, cost)``, in a table that later actions read without new calls."""
+    error, cost, lost)``, in tables that later actions read without new calls."""
 
     outcome: str
     n_threads: int = 0
@@ -106,17 +122,28 @@ class Run:
         return f"{self.outcome}: {planned}; {got['n_read']} read, {got['n_errors']} errors, {got['spent_usd']:.3f} USD spent"
 
 
+def most_of(thread: Column) -> Column:
+    """The most that a call about a thread can cost: no token is shorter than a
+    byte, and the answer has a limit."""
+    return F.octet_length(thread) * billionths(PRICE_IN) + PROMPT_TOKENS * billionths(PRICE_IN) + MAX_TOKENS * billionths(PRICE_OUT)
+
+
 def ask(jobs: DataFrame, threads: DataFrame, model: Callable[[str], tuple[str, int, int]] | None, by: str = "job_id", cap: float = CAP,
-    apply: bool = False) -> Run:
+    apply: bool = False, most: Callable[[Column], Column] = most_of, journal: Journal | None = None) -> Run:
     """Ask ``model`` about the thread of every job that has one.
 
     ``model`` is a function of a thread (see ``request``) that returns the
     reply and the tokens in and out; None means that there is no key. Without a
     key, with an estimate over ``cap`` and unless ``apply`` is true nothing is
-    called. A call that fails is a row with an error. The calls run in the
-    order of ``by`` in one task, as the cap is on their sum: none is made once
-    ``cap`` is reached, and what is left then is missing from the replies. They
-    are written before this returns, so no later action calls again.
+    called. A call that fails is a row with an error.
+
+    All tasks call at once, in waves whose calls together cannot cost more than
+    what is left of ``cap`` (``most`` bounds each: see ``paid.in_leases``), so
+    spending never passes it; in the order of ``by``, what no longer fits is
+    missing from the replies. Each reply is journalled before the next call. A
+    task whose worker died makes one call again, and what the first may have
+    cost is its row's ``lost``. A run that failed goes on where it stopped if it
+    is given the ``journal`` of the first; speculative tasks would ask twice.
     """
     if model is None:
         return Run("no key")
@@ -127,34 +154,38 @@ def ask(jobs: DataFrame, threads: DataFrame, model: Callable[[str], tuple[str, i
         return Run("refused", *planned)
     if not apply:
         return Run("dry run", *planned)
-    ship(threads.sparkSession)
-    schema = StructType([threads.schema[by], StructField("reply", StringType()), StructField("error", StringType()), StructField("cost", DoubleType())])
+    spark = threads.sparkSession
+    ship(spark)
+    journal = journal or Journal(new_path(spark, "journal"))
+    schema = StructType([threads.schema[by], StructField("thread", StringType()), StructField("most", LongType()), StructField("reply", StringType()),
+        StructField("error", StringType()), StructField("cost", LongType()), StructField("lost", LongType()), StructField("deferred", BooleanType())])
+
+    def priced(thread: str) -> tuple[str, int]:
+        reply, tokens_in, tokens_out = model(thread)
+        return reply, tokens_in * billionths(PRICE_IN) + tokens_out * billionths(PRICE_OUT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spent = 0.0
+        lease = Lease(journal)
         for batch in batches:
-            rows = []
-            for ident, thread in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if spent >= cap:
-                    break
-                try:
-                    reply, tokens_in, tokens_out = model(thread)
-                except Exception as e:
-                    rows.append((ident, None, str(e), 0.0))
-                    continue
-                spent += tokens_in * PRICE_IN + tokens_out * PRICE_OUT
-                rows.append((ident, reply, None, tokens_in * PRICE_IN + tokens_out * PRICE_OUT))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((batch.schema[0].type, pa.string(), pa.string(),
-                pa.float64()))], schema.names)
-
-    replies = asked.repartition(1).sortWithinPartitions(by).mapInArrow(run, schema)
-    return Run("done", *planned, durable(replies, "replies"))
+            idents, texts, bounds = (batch.column(k).to_pylist() for k in range(3))
+            told = [lease.call(key_of(str(i), t or ""), m, lambda t=t: priced(t)) for i, t, m in zip(idents, texts, bounds, strict=True)]
+            columns = [("reply", pa.string()), ("error", pa.string()), ("cost", pa.int64()), ("lost", pa.int64()), ("deferred", pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([getattr(x, c) for x in told], t) for c, t in columns)], schema.names)
+
+    waves, _, _ = in_leases(asked, by, most(F.col("thread")), billionths(cap), lambda wave: wave.select(by, "thread", "most").mapInArrow(run, schema))
+    empty = spark.createDataFrame([], schema).drop("deferred")
+    usd = lambda c: (F.col(c) / BILLION).alias(c)
+    return Run("done", *planned, reduce(DataFrame.unionByName, waves, empty).select(by, "reply", "error", usd("cost"), usd("lost")))
 
 
 def run_summary(replies: DataFrame) -> DataFrame:
-    """One row: replies with an answer in them, failed or unreadable ones, and the cost."""
+    """One row: replies with an answer in them, failed or unreadable ones, what
+    was spent (calls that were lost counted at the most they can have cost), and
+    what of it was lost."""
     read = F.col("error").isNull() & parse_answer(F.col("reply")).isNotNull()
-    return replies.agg(F.count_if(read).alias("n_read"), F.count_if(~read).alias("n_errors"), F.coalesce(F.sum("cost"), F.lit(0.0)).alias("spent_usd"))
+    lost = F.coalesce(F.sum("lost"), F.lit(0.0))
+    return replies.agg(F.count_if(read).alias("n_read"), F.count_if(~read).alias("n_errors"), (F.coalesce(F.sum("cost"),
+        F.lit(0.0)) + lost).alias("spent_usd"), lost.alias("lost_usd"))
 
 
 def answers_of(replies: DataFrame, by: str = "job_id") -> DataFrame:
@@ -192,3 +223,10 @@ def guarded_update(jobs: DataFrame, answers: DataFrame, now: datetime.datetime,
     new["route_source"] = F.when(sure & F.col("route_source").isNull(), F.lit(SOURCE)).otherwise(F.col("route_source"))
     new["ai_seen_at"] = F.when(reached, F.lit(now).cast("timestamp")).otherwise(F.col("ai_seen_at"))
     return rows.select(*[new[c].alias(c) if c in new else F.col(c) for c in jobs.columns])
+
+
+def update_jobs(jobs: VersionedTable, answers: DataFrame, now: datetime.datetime, run: str, ident: str = "id") -> Manifest:
+    """``guarded_update`` of a table of jobs, in place: only the buckets that
+    hold a job with an answer are written anew, no other writer's update is
+    lost, and a ``run`` that is in the table already changes nothing."""
+    return jobs.update(run, answers, lambda rows, said: guarded_update(rows, said, now, ident))

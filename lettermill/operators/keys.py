@@ -24,6 +24,17 @@ def references(text: Column, written: str = WRITTEN_PREFIX, prefix: str = PREFIX
     return F.transform(found, lambda m: F.concat(F.lit(prefix), F.regexp_extract(m, pattern, 1), F.lit("/"), F.regexp_extract(m, pattern, 2)))
 
 
+def candidates(messages: DataFrame, since: Column | None = None, written: str = WRITTEN_PREFIX, prefix: str = PREFIX) -> DataFrame:
+    """``(id, msg, late, spare, value)``: each reference of each stored copy of
+    a message, and how the copy ranks (false before true)."""
+    rows = messages if since is None else messages.where(F.col("sent_at") >= since)
+    flag = lambda c: ~F.coalesce(F.col(c), F.lit(False)) if c in messages.columns else F.lit(False)
+    text = F.concat(F.coalesce("subject", F.lit("")), F.lit(" "), F.coalesce("body", F.lit("")))
+    same = F.coalesce(F.nullif(F.col("message_id").cast("string"), F.lit("")), F.col("id").cast("string"))
+    return rows.select("id", same.alias("msg"), flag("has_key").alias("late"), flag("kept_by_engine").alias("spare"), F.explode(references(text,
+        written, prefix)).alias("value"))
+
+
 def extract_keys(messages: DataFrame, since: Column | None = None, written: str = WRITTEN_PREFIX, prefix: str = PREFIX) -> DataFrame:
     """``(email_id, kind, value, confidence)``, one for each message and reference.
 
@@ -33,13 +44,7 @@ def extract_keys(messages: DataFrame, since: Column | None = None, written: str
     (``kept_by_engine``), else to the smallest id; both flags are optional
     columns. Subject and body are read whole.
     """
-    rows = messages if since is None else messages.where(F.col("sent_at") >= since)
-    flag = lambda c: ~F.coalesce(F.col(c), F.lit(False)) if c in messages.columns else F.lit(False)
-    text = F.concat(F.coalesce("subject", F.lit("")), F.lit(" "), F.coalesce("body", F.lit("")))
-    same = F.coalesce(F.nullif(F.col("message_id").cast("string"), F.lit("")), F.col("id").cast("string"))
-    rows = rows.select("id", same.alias("msg"), flag("has_key").alias("late"), flag("kept_by_engine").alias("spare"), F.explode(references(text,
-        written, prefix)).alias("value"))
-    picked = distinct_on(rows, [F.col("msg"), F.col("value")], F.struct("late", "spare", "id"))
+    picked = distinct_on(candidates(messages, since, written, prefix), [F.col("msg"), F.col("value")], F.struct("late", "spare", "id"))
     return picked.select(F.col("id").alias("email_id"), F.lit(KIND).alias("kind"), "value", F.lit(CONFIDENCE).alias("confidence"))
 
 

@@ -11,7 +11,7 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lettermill.operators import archive, extraction, keys, privacy, retrieval, state, threads, transcripts
+from lettermill.operators import archive, extraction, keys, pages, privacy, retrieval, state, threads, transcripts
 from lettermill.sources.tables import table
 
 OWN_DOMAIN = "mail5.example.com"
@@ -92,6 +92,13 @@ def archive_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(PAGE_SQL, args={"limit": 25, "offset": 25})
 
 
+def archive_deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page of 25 three quarters down, of an archive that is laid out once."""
+    rows = archive_dedup(spark, sf_dir).select("id", "name", "happened_on", "counterparty", "job_ref", "copies")
+    made = pages.lay_out(rows, [F.col("happened_on").desc_nulls_first(), F.col("name"), F.col("id")])
+    return made.page(len(made) * 3 // 4, 25)
+
+
 def archive_counterparty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each counterparty wrote or was written to."""
     rows = archive.received(**archive_tables(spark, sf_dir), own_domain=OWN_DOMAIN)
@@ -255,6 +262,10 @@ def mail_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+CONFIDENTIAL = r"""regexp_matches(coalesce(filename, ''),
+  '(?i)pay[\s_-]?slip|payroll|wage[\s_-]?slip|salary[\s_-]?statement|(^|[^a-z0-9])p60([^0-9]|$)|(^|[^a-z0-9])p45([^0-9]|$)|(^|[^a-z0-9])w[-_ ]?2([^0-9]|$)|form[\s_-]?16|severance|attendance[\s_-]?sheet|timesheet')
+  or (regexp_matches(coalesce(sender, ''), '(?i)@example\.') and regexp_matches(coalesce(subject, ''),
+    '(?i)payslip|payroll|salary|salaries|wages|severance|new\s+hire|onboarding|resignation|dismissal|termination|sick\s+leave|maternity|paternity|injury\s+report|employment\s+contract|payroll\s+consultant|attendance|clock[\s_-]?in|hours\s+worked'))"""
 PRIVACY_CTE = r"""
 rows_ as (select p_partkey as id, case
   when p_partkey % 13 > 0 then ['payslip','Pay_Slip','W-2_2025','w2025','P60','xp60','form 16','timesheet','packing list','FORM-16','p455','salary statement'][(p_partkey % 12 + 1)::int]
@@ -262,11 +273,7 @@ rows_ as (select p_partkey as id, case
   case when p_partkey % 11 > 0 then ['New  hire','delivery','sick leave','ETA','clock-in','quotation'][((p_partkey // 2) % 6 + 1)::int] end as subject,
   case when p_partkey % 17 > 0 then ['admin@example.com','ops@haulier.co.uk','x@example.evil.org'][((p_partkey // 5) % 3 + 1)::int] end as sender,
     p_brand as mailbox from part),
-judged as (select *, regexp_matches(coalesce(filename, ''),
-  '(?i)pay[\s_-]?slip|payroll|wage[\s_-]?slip|salary[\s_-]?statement|(^|[^a-z0-9])p60([^0-9]|$)|(^|[^a-z0-9])p45([^0-9]|$)|(^|[^a-z0-9])w[-_ ]?2([^0-9]|$)|form[\s_-]?16|severance|attendance[\s_-]?sheet|timesheet')
-  or (regexp_matches(coalesce(sender, ''), '(?i)@example\.') and regexp_matches(coalesce(subject, ''),
-    '(?i)payslip|payroll|salary|salaries|wages|severance|new\s+hire|onboarding|resignation|dismissal|termination|sick\s+leave|maternity|paternity|injury\s+report|employment\s+contract|payroll\s+consultant|attendance|clock[\s_-]?in|hours\s+worked')) as confidential
-    from rows_)"""
+judged as (select *, {confidential} as confidential from rows_)""".format(confidential=CONFIDENTIAL)
 
 
 def privacy_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -365,7 +372,7 @@ def chunk_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search(spark: SparkSession, sf_dir: str, limit: int, floor: float) -> DataFrame:
     """The vectors closest to each of those whose number 20 divides."""
     index = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding", F.col("vec_id").alias("ordinal"), F.lit("m").alias("model"))
-    queries = [(r["vec_id"], list(r["embedding"])) for r in index.where("vec_id % 20 = 0 and embedding is not null").collect()]  # the stated query set
+    queries = index.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")  # the stated query set
     return retrieval.nearest_each(index, queries, limit, floor, model="m")
 
 
@@ -463,14 +470,28 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.observations(answers(spark, sf_dir))
 
 
-def guarded_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+def job_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("c_custkey")
-    jobs = table(spark, sf_dir, "customer").select(
+    return table(spark, sf_dir, "customer").select(
         n.alias("id"), F.when(n % 2 == 0, "typed").alias("origin"), F.when(n % 8 == 0, "typed").alias("destination"),
             F.lit(None).cast("string").alias("carrier"),
         F.when(n % 9 == 0, "hand").alias("route_source"), F.lit(None).cast("timestamp").alias("ai_seen_at"), F.when(n % 6 > 0, n % 6 == 1).alias("verified"),
     )
-    return extraction.guarded_update(jobs, answers(spark, sf_dir), NOW)
+
+
+def guarded_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.guarded_update(job_rows(spark, sf_dir), answers(spark, sf_dir), NOW)
+
+
+JOB_CTE = """j as (select c_custkey as id, case when c_custkey % 2 = 0 then 'typed' end as origin, case when c_custkey % 8 = 0 then 'typed' end as destination,
+  null::varchar as carrier, case when c_custkey % 9 = 0 then 'hand' end as route_source, null::timestamp as ai_seen_at,
+  case when c_custkey % 6 > 0 then c_custkey % 6 = 1 end as verified from customer)"""
+UPDATE = """select id, case when sure and origin is null then o else origin end as origin, case when sure and destination is null then d else destination end
+    as destination, case when sure and carrier is null then c else carrier end as carrier,
+    case when sure and route_source is null then 'ai' else route_source end as route_source,
+    case when hit then timestamp {now} else ai_seen_at end as ai_seen_at, verified
+  from (select x.*, y.origin as o, y.destination as d, y.carrier as c, y.id is not null and coalesce(not verified, false) as hit,
+      y.id is not null and coalesce(not verified, false) and coalesce(y.confidence, 0) >= 70 as sure from {jobs} x left join {answers} y on y.id = x.id)"""
 
 
 CHUNK_SQL = r"""with recursive
@@ -501,7 +522,7 @@ select doc_id, ordinal, text, from_char::int as from_char, (from_char + length(t
 QUERIES = {
     f.__name__: f
     for f in (
-        archive_dedup, archive_filtered, archive_page, archive_counterparty, archive_copies_fanout, archive_copies_attachments,
+        archive_dedup, archive_filtered, archive_page, archive_deep_page, archive_counterparty, archive_copies_fanout, archive_copies_attachments,
         key_extract, key_upsert, cluster_strong, cluster_reply, cluster_subject, cluster_all, privacy_gate, privacy_held_back,
         state_verdict, state_portal, state_counts, chunk_passages, chunk_units, vec_nearest, vec_single, vec_group, thread_text, cost_estimate,
             cost_cap, observations, guarded_update,
@@ -512,6 +533,9 @@ ORACLE_SQL = {
     "archive_dedup": f"with {ARCHIVE_CTE} {ARCHIVE_PICK.format(where='')}",
     "archive_filtered": f"with {ARCHIVE_CTE} {ARCHIVE_PICK.format(where="where kind = 'en' and happened_on >= date '2026-02-01'")}",
     "archive_page": f"with {ARCHIVE_CTE} select id, name, happened_on, counterparty, job_ref, copies from ({ARCHIVE_PICK.format(where='')}) order by happened_on desc nulls first, name, id limit 25 offset 25",
+    "archive_deep_page": f"""with {ARCHIVE_CTE}, r as (select *, count(*) over () as n,
+      row_number() over (order by happened_on desc nulls first, name, id) - 1 as place from ({ARCHIVE_PICK.format(where='')}))
+      select id, name, happened_on, counterparty, job_ref, copies from r where place >= n * 3 // 4 and place < n * 3 // 4 + 25""",
     "archive_counterparty": f"with {ARCHIVE_CTE} select counterparty, count(*) as n from joined group by 1",
     "archive_copies_fanout": FANOUT_SQL.format(copies="rows_", join=""),
     "archive_copies_attachments": FANOUT_SQL.format(copies="n",
@@ -549,12 +573,5 @@ ORACLE_SQL = {
     "observations": f"""with {ANSWER_CTE}, p as (select id, confidence, unnest(['origin', 'destination', 'carrier', 'phase']) as field, unnest([origin, destination, carrier, phase]) as value from a)
       select 'job' as entity, id as entity_id, field, substr(value, 1, 200) as value, 5 as source_level, 'ai' as source, confidence,
         'because' as rationale from p where coalesce(value, '') not in ('', 'null', 'unknown')""",
-    "guarded_update": f"""with {ANSWER_CTE}, j as (select c_custkey as id, case when c_custkey % 2 = 0 then 'typed' end as origin, case when c_custkey % 8 = 0 then 'typed' end as destination,
-        case when c_custkey % 9 = 0 then 'hand' end as route_source, case when c_custkey % 6 > 0 then c_custkey % 6 = 1 end as verified from customer),
-      x as (select j.*, a.id is not null and coalesce(not verified, false) as hit, coalesce(a.confidence, 0) >= 70 as ok, a.origin as o,
-        a.destination as d, a.carrier as c from j left join a on a.id = j.id)
-      select id, case when hit and ok and origin is null then o else origin end as origin, case when hit and ok and destination is null then d
-        else destination end as destination,
-        case when hit and ok then c end as carrier, case when hit and ok and route_source is null then 'ai' else route_source end as route_source,
-        case when hit then timestamp '2026-01-01' end as ai_seen_at, verified from x""",
+    "guarded_update": f"""with {ANSWER_CTE}, {JOB_CTE} {UPDATE.format(jobs='j', answers='a', now="'2026-01-01'")}""",
 }

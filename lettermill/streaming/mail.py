@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from lettermill.operators.keys import CONFIDENCE, KIND, extract_keys, new_keys, references
+from lettermill.operators.keys import CONFIDENCE, KIND, references
 from lettermill.operators.privacy import gate
 
 
@@ -30,26 +29,3 @@ def streamed_keys(messages: DataFrame, delay: str = "1 day") -> DataFrame:
     rows = messages.withWatermark("sent_at", delay).select("id", "sent_at", msg.alias("msg"), F.explode(references(text)).alias("value"))
     rows = rows.dropDuplicatesWithinWatermark(["msg", "value"])
     return rows.select(F.col("id").alias("email_id"), F.lit(KIND).alias("kind"), "value", F.lit(CONFIDENCE).alias("confidence"))
-
-
-def append_keys(messages: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Append each batch's new keys to the Parquet table at ``target``; a batch
-    that is repeated after a failure finds its keys there and adds none."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        keys = extract_keys(batch)
-        try:
-            have = spark.read.parquet(target)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            have = spark.createDataFrame([], keys.schema)
-        span = keys.agg(F.min("email_id").alias("lo"), F.max("email_id").alias("hi")).first()
-        if span["lo"] is None:
-            return
-        # only files whose ids overlap the batch's are read
-        have = have.where(F.col("email_id").between(span["lo"], span["hi"]))
-        new_keys(keys, have).write.mode("append").parquet(target)
-
-    return messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

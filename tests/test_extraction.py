@@ -1,6 +1,10 @@
 import datetime as dt
 
+import pytest
+from pyspark.sql import functions as F
+
 from lettermill.operators import extraction as x
+from lettermill.operators.paid import Journal, key_of
 
 MAIL = "job_id int, ordinal int, sent_at timestamp, sender string, subject string, body string, attachment_text string"
 
@@ -27,6 +31,20 @@ def test_ends_of_threads(spark):
     assert sorted(got[1]) == [0, 1, 2, 7, 8, 9, 10, 11] and sorted(got[2]) == list(range(8))
 
 
+def test_ends_of_a_hot_thread(spark):
+    """Nulls, ties and repeated rows; tasks drop the middle before the shuffle."""
+    rows = [mail(None if k % 50 == 0 else 1, k % 40, f"b{k % 60}") for k in range(400)] + [mail(2, 0), mail(2, 0), mail(2, 1)]
+    frame = spark.createDataFrame(rows, MAIL).repartition(6)
+    out = x.ends_of_threads(frame)
+    got = sorted(map(tuple, out.collect()), key=str)
+    want = []
+    for job in (None, 1, 2):
+        own = sorted((r for r in rows if r[0] == job), key=lambda r: (r[2], r[1], r[3], r[4], r[5]))
+        want += own if len(own) <= 8 else own[:3] + own[-5:]
+    assert got == sorted(want, key=str)
+    assert out._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 4
+
+
 def test_estimate_and_refusal(spark):
     frame = spark.createDataFrame([(1, "y" * 700), (2, "y" * 350)], "job_id int, thread string")
     assert abs(x.estimate(frame).first().estimate_usd - ((200 + 400 + 100 + 400) * 1e-6 + 2 * 220 * 5e-6)) < 1e-12
@@ -40,8 +58,13 @@ def test_estimate_and_refusal(spark):
     assert x.request("hello", "m", "be brief") == {"model": "m", "max_tokens": 400, "system": "be brief", "messages": [{"role": "user", "content": "hello"}]}
 
 
+def bounded(usd):
+    """Calls that cost so much at most."""
+    return lambda thread: F.lit(round(usd * 1e9)).cast("long")
+
+
 def test_actual_cost_stops_the_run_and_errors_do_not(spark, tmp_path):
-    frame = spark.createDataFrame([(k, "t" * k) for k in range(1, 7)], "job_id int, thread string")
+    frame = spark.createDataFrame([(k, "t" * k) for k in range(1, 7)], "job_id int, thread string").repartition(4)
 
     def model(thread, folder=str(tmp_path)):
         import uuid
@@ -52,12 +75,67 @@ def test_actual_cost_stops_the_run_and_errors_do_not(spark, tmp_path):
             raise OSError("down")
         return "{}", 100_000, 0
 
-    replies = x.ask(frame, frame, model, cap=0.25, apply=True).replies
+    replies = x.ask(frame, frame, model, cap=0.35, apply=True, most=bounded(0.15)).replies
+    # 0.1 each but for the error: before the fifth 0.3 are spent, and it could cost 0.15
     assert [(r.job_id, r.error) for r in replies.orderBy("job_id").collect()] == [(1, None), (2, "down"), (3, None), (4, None)]
     assert replies.count() == 4 and x.run_summary(replies).first().n_read == 3
     assert len(list(tmp_path.iterdir())) == 4  # calls, after three actions
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_no_interleaving_passes_the_cap(spark, parts):
+    cost = {k: (k * 37) % 90 for k in range(60)}
+    frame = spark.createDataFrame([(k, f"{k} {'t' * (cost[k] + 1)}") for k in cost], "job_id int, thread string").repartition(parts)
+    model = lambda thread: ("{}", (len(thread.split()[1]) - 1) * 1000, 0)
+    replies = x.ask(frame, frame, model, cap=1.0, apply=True, most=bounded(0.09)).replies
+    want, spent = [], 0.0
+    for k in sorted(cost):
+        if spent + 0.09 > 1.0 + 1e-12:
+            break
+        want.append(k)
+        spent += cost[k] / 1000
+    assert sorted(r.job_id for r in replies.collect()) == want and x.run_summary(replies).first().spent_usd <= 1.0
+
+
+def test_a_lost_worker_costs_one_call(spark, tmp_path):
+    """The worker dies in its eighth call, with the call made; the run fails (a
+    local master does not try again) and is started anew with its journal."""
+    frame = spark.createDataFrame([(k, f"thread {k}") for k in range(10)], "job_id int, thread string").coalesce(1)
+
+    def model(thread, folder=str(tmp_path)):
+        import os
+        import uuid
+        from pathlib import Path
+
+        Path(folder, f"call-{uuid.uuid4().hex}").touch()
+        if len(list(Path(folder).glob("call-*"))) == 8:
+            os._exit(1)
+        return "{}", 1000, 100
+
+    journal = Journal(str(tmp_path / "journal"))
+    run = lambda: x.ask(frame, frame, model, cap=1.0, apply=True, journal=journal)
+    with pytest.raises(Exception, match="(?s)."):
+        run()
+    assert len(list(tmp_path.glob("call-*"))) == 8
+    done = run().replies
+    assert len(list(tmp_path.glob("call-*"))) == 11 and done.count() == 10
+    most = (len("thread 7") + 400) * 1e-6 + 400 * 5e-6
+    got = x.run_summary(done).first()
+    assert got.n_read == 10 and abs(got.lost_usd - most) < 1e-12 and abs(got.spent_usd - (10 * 0.0015 + most)) < 1e-12
+    assert [r.job_id for r in done.where("lost > 0").collect()] == [7]
+
+
+def test_a_lost_call_is_not_made_again_if_the_cap_forbids(spark, tmp_path):
+    frame = spark.createDataFrame([(1, "a")], "job_id int, thread string")
+    journal = Journal(str(tmp_path / "journal"))
+    journal.begin(key_of("1", "a"), 60_000_000)  # a worker died here
+    model = lambda thread: ("{}", 50_000, 0)
+    row = x.ask(frame, frame, model, cap=0.1, apply=True, most=bounded(0.06), journal=journal).replies.first()
+    assert (row.reply, row.error, row.cost, row.lost) == (None, "stopped by the cap", 0.0, 0.06)
+    row = x.ask(frame, frame, model, cap=0.12, apply=True, most=bounded(0.06), journal=journal).replies.first()
+    assert (row.reply, row.cost, row.lost) == ("{}", 0.05, 0.06)
+
+
 def test_several_answers_for_a_job(spark):
     jobs = spark.createDataFrame([(1, None, None, None, None, None, False), (2, None, None, None, None, None, False)],
         "id int, origin string, destination string, carrier string, route_source string, ai_seen_at timestamp, verified boolean")
@@ -101,8 +179,8 @@ def test_guarded_update(spark):
 
 
 def test_summary_and_answers(spark):
-    replies = spark.createDataFrame([(1, 'so {"origin": "Genova", "confidence": 90}', None, 0.1), (2, None, "down", 0.0), (3, "no idea", None, 0.2)],
-        "job_id int, reply string, error string, cost double")
+    replies = spark.createDataFrame([(1, 'so {"origin": "Genova", "confidence": 90}', None, 0.1, 0.0), (2, None, "down", 0.0, 0.0), (3, "no idea", None, 0.2, 0.0)],
+        "job_id int, reply string, error string, cost double, lost double")
     got = x.run_summary(replies).first()
     assert (got.n_read, got.n_errors) == (1, 2) and abs(got.spent_usd - 0.3) < 1e-12
     assert [(r.id, r.origin) for r in x.answers_of(replies).collect()] == [(1, "Genova")]

@@ -1,4 +1,4 @@
-from lettermill.streaming.mail import append_keys, arriving, gated, streamed_keys
+from lettermill.streaming.mail import arriving, gated, streamed_keys
 
 MAIL = "id int, message_id string, subject string, body string, sent_at timestamp"
 
@@ -9,14 +9,6 @@ def messages(spark, path, rows):
     return spark.read.parquet(path).schema
 
 
-def test_keys_are_appended_once(spark, tmp_path):
-    source, target = str(tmp_path / "in"), str(tmp_path / "out")
-    schema = messages(spark, source, [(1, "m", "100.113/26", None, "2026-01-01 00:00:00"), (2, "m", "100.113/26", None, "2026-01-01 00:00:00")])
-    for run in range(2):
-        append_keys(arriving(spark, source, schema), target, str(tmp_path / f"check{run}")).awaitTermination()
-    assert [(r.email_id, r.value) for r in spark.read.parquet(target).collect()] == [(1, "842.113/26")]
-
-
 def test_streamed_keys_and_gate(spark, tmp_path):
     source = str(tmp_path / "in")
     schema = messages(spark, source, [(1, "m", "100.113/26 100.114/26", None, "2026-01-01 00:00:00"), (2, "m", "100.113/26", None, "2026-01-01 00:00:00")])
