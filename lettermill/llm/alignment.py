@@ -7,6 +7,7 @@ import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,9 @@ from lettermill.session import durable
 
 FOLDER = os.environ.get("LETTERMILL_TOKENIZERS", "/opt/tokenizers")
 BYTES_FILE, PIECES_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Segments whose tokens a worker keeps, in each of two generations.
-KEPT_SEGMENTS = 1 << 18
+#: Segments whose tokens a worker keeps before it begins anew (100 to 200 MB).
+KEPT_SEGMENTS = 1 << 19
+BLOCK_BYTES = 1 << 12
 HELD_PAIRS = 1 << 21
 #: Pairs with more than this part of all links are broadcast: fewer than so many.
 FREQUENT = 1 << 19
@@ -48,8 +50,9 @@ class Vocabularies:
 
 
 @lru_cache(maxsize=1)
-def aligner(files: Vocabularies) -> Aligner:
-    return Aligner(files)
+def aligner(files: Vocabularies, written: bool) -> Aligner:
+    """The worker's aligner, which outlives its tasks."""
+    return Aligner(files, written)
 
 
 def byte_of_letter() -> dict[str, int]:
@@ -60,20 +63,11 @@ def byte_of_letter() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-@dataclass
-class Segments:
-    """Facts of some distinct segments, one place each: tokens, groups and
-    links; the groups written out; all links as ``a << 16 | b``. Where B's
-    bytes differ from the segment's, ``ok`` is false."""
-
-    facts: np.ndarray
-    ok: np.ndarray
-    written: list[bytes]
-    links: list[bytes]
-
-
 class Aligner:
-    """Tokens of segments and how they overlap, with what was found kept.
+    """Tokens of segments and how they overlap, with what was found kept: by
+    the place of a segment its ``facts`` (tokens of A and of B, groups, links),
+    whether it is ``ok`` (B's bytes are the segment's), its groups ``written``
+    out (if asked for), and its links, ``a << 16 | b``, between two ``edge``.
 
     A segment ends before a blank that follows none and comes before a
     character that is no white space. No token of either vocabulary crosses
@@ -82,7 +76,7 @@ class Aligner:
     those of its segments.
     """
 
-    def __init__(self, files: Vocabularies) -> None:
+    def __init__(self, files: Vocabularies, written: bool = True) -> None:
         import json
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the work
@@ -120,69 +114,133 @@ class Aligner:
         n = max(len(self.a_len), len(names))
         self.shown = pa.array([f"{i}{end}".encode() for end in ",|;" for i in range(n)], pa.large_binary())
         self.n_shown = n
-        self.new: dict[bytes, tuple] = {}
-        self.old: dict[bytes, tuple] = {}
-
-    def __call__(self, segments: list[bytes]) -> Segments:
-        new, old = self.new, self.old
-        found = list(map(new.get, segments))
-        missing = []
-        for k in (k for k, f in enumerate(found) if f is None):
-            if (kept := old.get(segments[k])) is None:
-                missing.append(k)
-            else:
-                found[k] = new[segments[k]] = kept
-        if missing:
-            for k, made in zip(missing, self.aligned([segments[k] for k in missing]), strict=True):
-                found[k] = new[segments[k]] = made
-        if len(new) > KEPT_SEGMENTS:
-            self.new, self.old = {}, new
-        facts, ok, written, links = zip(*found, strict=True) if found else ((), (), (), ())
-        return Segments(np.array(facts, np.int64).reshape(-1, 4), np.array(ok, bool), list(written), list(links))
-
-    def tokens_of_a(self, texts: list[str]) -> list[list[int]]:
-        fits = [self.quick is not None and len(t) <= SHORT and max(t) < chr(PLAIN) for t in texts]
-        out = [self.quick.encode_ordinary(t) if f else [] for t, f in zip(texts, fits, strict=True)]
-        rest = [k for k, f in enumerate(fits) if not f]
-        for k, got in zip(rest, self.whole.encode_batch([texts[k] for k in rest], add_special_tokens=False), strict=True):
-            out[k] = got.ids
-        return out
-
-    def aligned(self, segments: list[bytes]) -> Iterator[tuple]:
-        """Facts, ok, groups and links of segments, each of which begins with a blank."""
-        texts = [s.decode() for s in segments]
-        a, b = self.tokens_of_a(texts), self.pieces.encode([t[1:] for t in texts], num_threads=1)
-        ok = np.array([b"".join([self.b_bytes[i] for i in x]) == s for x, s in zip(b, segments, strict=True)], bool)
-        a, b = ([x if k else [] for x, k in zip(y, ok.tolist(), strict=True)] for y in (a, b))
-        n_a, n_b = (np.array([len(x) for x in y], np.int64) for y in (a, b))
-        a, b = (np.array([i for x in y for i in x], np.int64) for y in (a, b))
+        self.write = written
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.facts, self.ok, self.written = np.zeros((0, 4), np.int64), np.zeros(0, bool), []
+        self.links, self.edge = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def __call__(self, segments: list[bytes]) -> np.ndarray:
+        """The places of segments, each of which begins with a blank; good until the next call."""
+        if len(self.place) > KEPT_SEGMENTS:
+            self.clear()
+        at = np.fromiter(map(self.place.get, segments, repeat(-1)), np.int64, len(segments))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            at[missing] = len(self.place) + np.arange(len(missing))
+            new = [segments[k] for k in missing.tolist()]
+            self.place.update(zip(new, at[missing].tolist(), strict=True))
+            facts, ok, written, links, edge = self.aligned(new)
+            self.facts, self.ok = np.concatenate([self.facts, facts]), np.r_[self.ok, ok]
+            self.links, self.edge = np.r_[self.links, links], np.r_[self.edge, self.edge[-1] + edge[1:]]
+            self.written += written
+        return at
+
+    def links_at(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The links of some places, and their bounds."""
+        n = self.edge[at + 1] - self.edge[at]
+        edge = np.r_[0, np.cumsum(n)]
+        return self.links[np.arange(edge[-1]) + np.repeat(self.edge[at] - edge[:-1], n)], edge
+
+    def tokens_of_a(self, segments: list[bytes], clean: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A's ids, and how many each segment has. Those that are ``clean`` are
+        one text for the quick library, as no token crosses their bounds."""
+        ids, counts = [], np.zeros(len(segments), np.int64)
+        lens = np.fromiter(map(len, segments), np.int64, len(segments))
+        quick = np.flatnonzero(clean & (lens <= SHORT)) if self.quick else np.zeros(0, np.int64)
+        text = b"".join([segments[k] for k in quick.tolist()]).decode()
+        if text and max(text) >= chr(PLAIN):
+            quick = np.array([k for k in quick.tolist() if max(segments[k].decode()) < chr(PLAIN)], np.int64)
+            text = b"".join([segments[k] for k in quick.tolist()]).decode()
+        if text:
+            got = self.quick.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
+            ends, upto = np.cumsum(self.a_len[got]), np.cumsum(lens[quick])
+            edge = np.searchsorted(ends, upto, "right")
+            assert (ends[edge - 1] == upto).all(), "a token of A crosses segments"
+            counts[quick] = np.diff(np.r_[0, edge])
+            ids.append(got)
+        rest = np.setdiff1d(np.arange(len(segments)), quick)
+        for k, got in zip(rest.tolist(), self.whole.encode_batch([segments[k].decode() for k in rest.tolist()], add_special_tokens=False), strict=True):
+            counts[k] = len(got.ids)
+            ids.append(np.array(got.ids, np.int64))
+        order = np.concatenate([quick, rest])
+        return in_order(np.concatenate(ids), counts[order], order), counts
+
+    def tokens_of_b(self, segments: list[bytes], clean: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """B's ids (none where its bytes are not the segment's), how many each
+        segment has, and whether it is so. Clean segments are encoded some
+        kilobytes at a time, as no token crosses their bounds."""
+        lens = np.fromiter(map(len, segments), np.int64, len(segments))
+        joined, rest = np.flatnonzero(clean), np.flatnonzero(~clean)
+        cuts = np.searchsorted(np.cumsum(lens[joined]), np.arange(0, int(lens[joined].sum()), BLOCK_BYTES)[1:]).tolist()
+        parts = [p for p in np.split(joined, cuts) if len(p)] + [rest[k : k + 1] for k in range(len(rest))]
+        raw = [b"".join([segments[k] for k in p.tolist()]) for p in parts]
+        told = self.pieces.encode([r[1:].decode() for r in raw], num_threads=1)
+        ids, counts, ok = [], np.zeros(len(segments), np.int64), np.ones(len(segments), bool)
+        order = []
+        for p, r, got in zip(parts, raw, told, strict=True):
+            if b"".join([self.b_bytes[i] for i in got]) == r:
+                got = np.array(got, np.int64)
+                edge = np.searchsorted(np.cumsum(self.b_len[got]), np.cumsum(lens[p]), "right")
+                counts[p] = np.diff(np.r_[0, edge])
+            elif len(p) == 1:
+                got, ok[p] = np.zeros(0, np.int64), False
+            else:  # one of them has a blank that is none
+                each = self.pieces.encode([segments[k][1:].decode() for k in p.tolist()], num_threads=1)
+                same = [b"".join([self.b_bytes[i] for i in x]) == segments[k] for k, x in zip(p.tolist(), each, strict=True)]
+                each = [x if s else [] for x, s in zip(each, same, strict=True)]
+                ok[p], counts[p] = same, list(map(len, each))
+                got = np.array([i for x in each for i in x], np.int64)
+            ids.append(got)
+            order.append(p)
+        order = np.concatenate(order)
+        return in_order(np.concatenate(ids), counts[order], order), counts, ok
+
+    def aligned(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+        """Facts, ok, groups, links and their bounds."""
+        clean = np.array([len(s) > 1 and not NO_CUT[s[1]] and s[-1] != 32 for s in segments], bool)
+        b, n_b, ok = self.tokens_of_b(segments, clean)
+        a, n_a = self.tokens_of_a(segments, clean)
+        if not ok.all():
+            a, n_a = a[np.repeat(ok, n_a)], np.where(ok, n_a, 0)
         a_end, b_end = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
         a_begin, b_begin = a_end - self.a_len[a], b_end - self.b_len[b]
         # B's tokens are the index: those that a token of A overlaps stand between two bisections
         low, high = np.searchsorted(b_end, a_begin, "right"), np.searchsorted(b_begin, a_end, "left")
         # a gap between tokens of B that no token of A spans ends a group
-        spanned = np.zeros(len(b) + 1, np.int64)
-        np.add.at(spanned, low + 1, 1)
-        np.add.at(spanned, high, -1)
+        spanned = np.bincount(low + 1, minlength=len(b) + 1) - np.bincount(high, minlength=len(b) + 1)
         open_ = np.cumsum(spanned)[1:] > 0
-        group_b = np.cumsum(np.r_[0, ~open_[:-1]]) if len(b) else np.zeros(0, np.int64)
+        group_b = np.cumsum(np.r_[0, ~open_[:-1]])[: len(b)]
         group_a = group_b[low]
         n_links = high - low
         pair_a, first = np.repeat(np.arange(len(a)), n_links), np.cumsum(n_links) - n_links
         links = (a[pair_a] << B_BITS | b[np.arange(len(pair_a)) - first[pair_a] + low[pair_a]]).astype(np.uint32)
         a_edge, b_edge = np.r_[0, np.cumsum(n_a)], np.r_[0, np.cumsum(n_b)]
-        link_edge = np.r_[first, len(links)][a_edge]
-        n_groups = np.where(n_b > 0, group_b[np.maximum(b_edge[1:] - 1, 0)] - group_b[np.minimum(b_edge[:-1], max(len(b) - 1, 0))] + 1, 0) if len(b) else n_b
-        facts = np.stack([n_a, n_b, n_groups, np.diff(link_edge)], 1).tolist()
-        # the groups written out: of each first its tokens of A, then of B, and a sign behind every token
+        edge = np.r_[first, len(links)][a_edge]
+        bounds = np.r_[group_b, group_b[-1] + 1 if len(b) else 0]  # segments share no group
+        facts = np.stack([n_a, n_b, np.diff(bounds[b_edge]), np.diff(edge)], 1)
+        written = self.written_out(a, b, group_a, group_b, a_edge + b_edge) if self.write else []
+        return facts, ok, written, links, edge
+
+    def written_out(self, a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, edge: np.ndarray) -> list[bytes]:
+        """Each segment's groups: first their tokens of A, then of B, and a sign behind every token."""
+        if not len(a):
+            return [b""] * (len(edge) - 1)
         order = np.argsort(np.r_[2 * group_a, 2 * group_b + 1], kind="stable")
         last_a, last_b = np.r_[group_a[1:] != group_a[:-1], True], np.r_[group_b[1:] != group_b[:-1], True]
-        sign = np.r_[np.where(last_a[: len(a)], 1, 0), np.where(last_b[: len(b)], 2, 0)]
+        sign = np.r_[np.where(last_a, 1, 0), np.where(last_b, 2, 0)]
         told = self.shown.take(pa.array((np.r_[a, b] + sign * self.n_shown)[order]))
-        at = np.frombuffer(told.buffers()[1], np.int64)[(a_edge + b_edge)].tolist() if len(told) else [0] * (len(segments) + 1)
-        raw, links_raw, link_edge = (told.buffers()[2] or b"").to_pybytes() if len(told) else b"", links.tobytes(), (4 * link_edge).tolist()
-        for k in range(len(segments)):
-            yield facts[k], bool(ok[k]), raw[at[k] : max(at[k], at[k + 1] - 1)], links_raw[link_edge[k] : link_edge[k + 1]]
+        at, raw = np.frombuffer(told.buffers()[1], np.int64)[edge].tolist(), told.buffers()[2].to_pybytes()
+        return [raw[x : y - 1] if y > x else b"" for x, y in zip(at, at[1:], strict=False)]
+
+
+def in_order(ids: np.ndarray, counts: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Runs of ``ids``, of ``counts``, that stand in ``order``, by their numbers."""
+    begin, back = np.cumsum(counts) - counts, np.argsort(order)
+    n = counts[back]
+    return ids[np.arange(len(ids)) + np.repeat(begin[back] - (np.cumsum(n) - n), n)]
 
 
 def cut(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -219,14 +277,14 @@ def by_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([np.zeros((1, *values.shape[1:]), np.int64), np.cumsum(values, 0)])[first], axis=0)
 
 
-def segments_of(part: pa.RecordBatch, text: str, data: np.ndarray, off: np.ndarray, align: Aligner) -> tuple[Segments, np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct segments of some texts, the place of each segment in them,
-    the texts' bounds in the segments, and whether a text has tokens at all."""
+def segments_of(data: np.ndarray, off: np.ndarray, align: Aligner) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The places of some texts' distinct segments, the number of each segment
+    among them, the texts' bounds in the segments, and whether a text has tokens at all."""
     out, starts, first = cut(data, off)
     known, code = distinct(out, starts)
-    found = align(known)
-    bad = by_text((~found.ok[code]).astype(np.int64), first)
-    return found, code, first, (np.diff(first) > 0) & (bad == 0)
+    at = align(known)
+    bad = by_text((~align.ok[at])[code].astype(np.int64), first)
+    return at, code, first, (np.diff(first) > 0) & (bad == 0)
 
 
 def pair_counts(docs: DataFrame, files: Vocabularies, text: str = "text") -> DataFrame:
@@ -235,12 +293,12 @@ def pair_counts(docs: DataFrame, files: Vocabularies, text: str = "text") -> Dat
     shared = docs.sparkSession.sparkContext.broadcast(files)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        align, pairs, counts = aligner(shared.value), [], []
-        for part, data, off in tb.chunks(batches, "body", 2 * tb.CHUNK_BYTES):
-            found, code, first, ok = segments_of(part, "body", data, off, align)
-            times = np.bincount(code[np.repeat(ok, np.diff(first))], minlength=len(found.links))
-            pairs.append(np.frombuffer(b"".join(found.links), np.uint32))
-            counts.append(np.repeat(times, found.facts[:, 3]))
+        align, pairs, counts = aligner(shared.value, False), [], []
+        for _, data, off in tb.chunks(batches, "body", 2 * tb.CHUNK_BYTES):
+            at, code, first, ok = segments_of(data, off, align)
+            links, edge = align.links_at(at)
+            pairs.append(links)
+            counts.append(np.repeat(np.bincount(code[np.repeat(ok, np.diff(first))], minlength=len(at)), np.diff(edge)))
             if sum(map(len, pairs)) > HELD_PAIRS:
                 pairs, counts = ([x] for x in summed(pairs, counts))
                 if len(pairs[0]) > HELD_PAIRS // 2:
@@ -271,8 +329,9 @@ def with_best(counts: DataFrame) -> DataFrame:
 FACTS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 
-def align(docs: DataFrame, files: Vocabularies, text: str = "text", digest: bool = False, frequent: int = FREQUENT) -> DataFrame:
-    """``docs`` with ``n_a n_b n_groups n_links n_best count_sum`` (long) and
+def align(docs: DataFrame, files: Vocabularies, text: str = "text", digest: bool = False, frequent: int = FREQUENT,
+    keep_text: bool = True) -> DataFrame:
+    """``docs`` (without the text, unless ``keep_text``) with ``n_a n_b n_groups n_links n_best count_sum`` (long) and
     ``groups``, the groups written out as ``a1,a2|b1;a3|b2,b3`` (their SHA-256
     if ``digest``, '' staying ''); columns of these names are replaced.
 
@@ -297,29 +356,30 @@ def align(docs: DataFrame, files: Vocabularies, text: str = "text", digest: bool
     shared = spark.sparkContext.broadcast((files, *(top.column(c).to_numpy() for c in ("pair", "n", "best"))))
     names = {c: f"in{k}" for k, c in enumerate(docs.columns)}
     rows = docs.select(*[docs[c].alias(n) for c, n in names.items()])
-    fields = [StructField(n, rows.schema[n].dataType) for n in names.values()]
+    body = names[text]
+    back = [n for n in names.values() if keep_text or n != body]
+    fields = [StructField(n, rows.schema[n].dataType) for n in back]
     numbers = [StructField(c, LongType()) for c in FACTS]
     schema = StructType([*fields, *numbers, StructField("groups", StringType()), StructField("rare", ArrayType(IntegerType())), StructField("times",
         ArrayType(IntegerType()))])
-    body = names[text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, pair, n, best = shared.value
-        align = aligner(files)
+        align = aligner(files, True)
         for part, data, off in tb.chunks(batches, body, 2 * tb.CHUNK_BYTES):
-            found, code, first, ok = segments_of(part, body, data, off, align)
-            links = np.frombuffer(b"".join(found.links), np.uint32).astype(np.int64)
+            place, code, first, ok = segments_of(data, off, align)
+            links, edge = align.links_at(place)
+            links = links.astype(np.int64)
             at = np.minimum(np.searchsorted(pair, links), max(len(pair) - 1, 0))
             known = pair[at] == links if len(pair) else np.zeros(len(links), bool)
-            edge = np.r_[0, np.cumsum(found.facts[:, 3])]
             told = np.stack([np.where(known, best[at], False).astype(np.int64), np.where(known, n[at], 0)], 1) if len(pair) else np.zeros((len(links), 2), np.int64)
-            facts = by_text(np.concatenate([found.facts, by_text(told, edge)], 1)[code], first) * ok[:, None]
-            bounds, written = first.tolist(), found.written
+            facts = by_text(np.concatenate([align.facts[place], by_text(told, edge)], 1)[code], first) * ok[:, None]
+            bounds, written = first.tolist(), [align.written[k] for k in place.tolist()]
             groups = [b";".join([written[c] for c in code[bounds[i] : bounds[i + 1]].tolist()]) if ok[i] else b"" for i in range(len(ok))]
             if digest:
                 groups = [hashlib.sha256(g).hexdigest().encode() if g else b"" for g in groups]
             rare, times = rest(links, known, edge, code, first, ok)
-            yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(facts[:, k]) for k in range(len(FACTS))), pa.array(groups, pa.binary()).cast(pa.string()),
+            yield pa.RecordBatch.from_arrays([*part.select(back).columns, *(pa.array(facts[:, k]) for k in range(len(FACTS))), pa.array(groups, pa.binary()).cast(pa.string()),
                 rare, times], schema.names)
 
     def rest(links: np.ndarray, known: np.ndarray, edge: np.ndarray, code: np.ndarray, first: np.ndarray, ok: np.ndarray) -> tuple[pa.Array, pa.Array]:
@@ -339,8 +399,7 @@ def align(docs: DataFrame, files: Vocabularies, text: str = "text", digest: bool
     out = tb.map_arrow(rows, run, schema)
     if top.num_rows < total["rows"]:
         out = _with_rest(out, counts.where(F.col("n") * frequent <= total["n"]))
-    back = [F.col(n).alias(c) for c, n in names.items()]
-    return out.select(*back, *FACTS, "groups")
+    return out.select(*[F.col(n).alias(c) for c, n in names.items() if n in back], *FACTS, "groups")
 
 
 def _with_rest(rows: DataFrame, counts: DataFrame) -> DataFrame:
@@ -356,5 +415,5 @@ def _with_rest(rows: DataFrame, counts: DataFrame) -> DataFrame:
 
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = align(docs, Vocabularies.read(), digest=True)
+    out = align(docs, Vocabularies.read(), digest=True, keep_text=False)
     return out.select("doc_id", *FACTS, F.col("groups").alias("groups_sha256"))

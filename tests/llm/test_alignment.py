@@ -2,6 +2,7 @@ import hashlib
 import os
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from lettermill.llm import alignment
@@ -73,18 +74,31 @@ def rows_of(frame):
 
 
 def test_segments_have_the_tokens_of_whole_texts(whole):
-    files = Vocabularies.read()
-    align = alignment.Aligner(files)
+    align = alignment.Aligner(Vocabularies.read())
     assert align.quick is not None
-    for text in ODD:
-        if any(c in text for c in "▁"):
-            continue
-        parts = alignment.cut(*[__import__("numpy").array(x) for x in (bytearray(text.encode()), [0, len(text.encode())])])[:2]
-        raw = parts[0].astype("u1").tobytes()
-        pieces = [raw[x:y].decode() for x, y in zip(parts[1][:-1].tolist(), parts[1][1:].tolist(), strict=True)]
-        assert "".join(pieces) == " " + text
-        assert [i for ids in align.tokens_of_a(pieces) for i in ids] == whole[0].encode(" " + text, add_special_tokens=False).ids, text
-        assert [i for p in pieces for i in whole[1].encode(p[1:])] == whole[1].encode(text), text
+    for text in [t for t in ODD if "▁" not in t]:
+        raw = text.encode()
+        data, starts, _ = alignment.cut(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        segments = [data.tobytes()[x:y] for x, y in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+        assert b"".join(segments).decode() == " " + text
+        for clean in ([False] * len(segments), [len(s) > 1 and not alignment.NO_CUT[s[1]] and s[-1] != 32 for s in segments]):
+            assert align.tokens_of_a(segments, np.array(clean))[0].tolist() == whole[0].encode(" " + text, add_special_tokens=False).ids, text
+            ids, n, ok = align.tokens_of_b(segments, np.array(clean))
+            assert ids.tolist() == whole[1].encode(text) and n.sum() == len(ids) and ok.all(), text
+
+
+def test_places_are_forgotten(whole, monkeypatch):
+    """A worker that keeps few segments finds the same."""
+    monkeypatch.setattr(alignment, "KEPT_SEGMENTS", 5)
+    align = alignment.Aligner(Vocabularies.read())
+    segments = [f" w{k % 13}a▁b"[: 3 + k % 5].encode() for k in range(60)]
+    for k in range(0, 60, 4):
+        part = sorted(set(segments[k : k + 4]))
+        at = align(part)
+        new = alignment.Aligner(Vocabularies.read())
+        there = new(part)
+        assert (align.facts[at] == new.facts[there]).all() and (align.ok[at] == new.ok[there]).all()
+        assert [align.written[i] for i in at] == [new.written[i] for i in there] and (align.links_at(at)[0] == new.links_at(there)[0]).all()
 
 
 @pytest.mark.parametrize("frequent", [alignment.FREQUENT, 50, 2])
