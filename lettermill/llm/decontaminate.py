@@ -23,7 +23,8 @@ SHINGLE = 3
 BLOCK = 4
 INDEX_BYTES = 8 << 20
 HELD_BYTES = 16 << 20
-NON_ESSENTIAL = 0.4
+#: What the lists that are looked at second may add to an item, as a part of the threshold: too little to reach it.
+NON_ESSENTIAL = 0.8
 EPS = 1e-9
 
 
@@ -74,6 +75,7 @@ class Lists:
     item: np.ndarray
     impact: np.ndarray
     n_terms: int
+    threshold: float  # the least that is asked for
     key: np.ndarray = field(init=False)
     start: np.ndarray = field(init=False)
     top: np.ndarray = field(init=False)
@@ -96,7 +98,7 @@ class Lists:
         essential = np.ones(size, bool)
         for cut in (1 << k for k in range(20, -1, -1)):  # the longest lists leave first, as long as no item gets much from them
             trial = df <= cut
-            if np.bincount(self.item, self.impact * ~trial[self.term], n).max(initial=0) > NON_ESSENTIAL:
+            if np.bincount(self.item, self.impact * ~trial[self.term], n).max(initial=0) > NON_ESSENTIAL * self.threshold:
                 break
             essential = trial
         rest = np.bincount(self.item, self.impact * ~essential[self.term], n)
@@ -192,10 +194,11 @@ class Index:
     lists: list[Lists]
 
 
-def build_index(rows: list, n_items: int, mean_len: float, df: dict[int, int]) -> Index:
+def build_index(rows: list, n_items: int, mean_len: float, df: dict[int, int], threshold: float = THRESHOLD) -> Index:
     """BM25 impacts of a block's items; ``df``, ``n_items`` and ``mean_len``
     are of all items. An item's terms count once each in a query. An item
-    without an answer has to overlap as a whole by both measures."""
+    without an answer has to overlap as a whole by both measures. The index
+    answers for ``threshold`` and above."""
     ids, kept, question, answer, shingle, lens = [], [], [], [], [], []
     for ident, text in rows:
         w = _terms_of(text)
@@ -225,7 +228,7 @@ def build_index(rows: list, n_items: int, mean_len: float, df: dict[int, int]) -
         term, impact = (np.concatenate([x[k] for k in items]) for x in (terms_, impacts))
         item = np.repeat(np.arange(len(items)), [len(terms_[k]) for k in items])
         order = np.lexsort((item, term))
-        lists.append(Lists(cell, items, term[order].astype(np.int64), item[order], impact[order], len(vocabulary)))
+        lists.append(Lists(cell, items, term[order].astype(np.int64), item[order], impact[order], len(vocabulary), threshold))
     return Index(ids, vocabulary, question, answer, shingle, lists)
 
 
@@ -308,7 +311,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: s
         mine = np.unique(np.concatenate([_terms_of(t) for _, t in rows] + [np.zeros(0, np.uint64)])).view(np.int64).tolist()
         known = freq if blocks == 1 else freq.join(spark.createDataFrame([(x,) for x in mine], "w long"), "w", "left_semi")
         df = {r["w"]: r["df"] for r in known.select("w", "df").collect()}
-        indexes.append(spark.sparkContext.broadcast(build_index(rows, n, max(length / max(n, 1), 1.0), df)))
+        indexes.append(spark.sparkContext.broadcast(build_index(rows, n, max(length / max(n, 1), 1.0), df, threshold)))
     leak = StructType([StructField("item_id", kind), *(StructField(c, DoubleType()) for c in ("score", "question_overlap", "answer_overlap")),
         StructField("first_term", LongType())])
     schema = StructType([*docs.schema.fields, StructField("leaks", ArrayType(leak))])

@@ -3,6 +3,8 @@ import random
 import re
 from collections import Counter
 
+import pytest
+
 from lettermill.llm import decontaminate, licenses
 from tests.llm.conftest import DATA, EDGES, words
 
@@ -108,6 +110,22 @@ def test_wand_retrieves_all_above_any_threshold():
             assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
 
 
+@pytest.mark.parametrize("size", [8 << 20, 500])
+def test_leaks_at_any_threshold(spark, monkeypatch, size):
+    """Items of common terms alone, too: what they score must not be lost at a low threshold."""
+    rng = random.Random(11)
+    pool = [f"w{int(rng.paretovariate(0.8))}" for _ in range(3000)]
+    text = lambda n: " ".join(rng.choice(pool) for _ in range(n))
+    items = [(k, f"{text(rng.randint(3, 12))}. {text(rng.randint(2, 5))}.") for k in range(60)] + [(100 + k, f"w1 w2 w{k}") for k in range(12)]
+    texts = [f"{text(40)} {rng.choice(items)[1]} {text(40)}" for _ in range(40)] + ["w1 w2 w3 w1 w2", "", text(400)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    table = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", size)
+    for threshold in (0.1, 0.2, 0.4, 0.5, 0.7, 0.9):
+        got = leaks_of(sorted(decontaminate.find_leaks(frame, table, threshold=threshold).collect(), key=lambda r: r.doc_id))
+        close(got, brute_leaks(texts, items, threshold))
+
+
 def test_leaks_of_edge_cases(spark, edges, nothing, monkeypatch):
     items = [(1, words(30, 5)), (2, None), (3, ""), (4, "word1"), (None, words(20, 510)), (1, words(30, 5)), (9, "What is it? " + words(12,
         900) + ". Answer nine.")]
