@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Unicode white space, with the four separators that Java's ``\s`` leaves out.
-SPACES = r"[\s\x1c-\x1f]+"
+#: All characters that Unicode or Python calls white space.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+#: A run of them, as a pattern.
+SPACES = f"[{WHITE}]+"
 
 
 def strip(text: Column) -> Column:
     """Without white space at either end (any Unicode white space)."""
-    return F.regexp_replace(text, f"(?U)^{SPACES}|{SPACES}$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def falsy(text: Column) -> Column:

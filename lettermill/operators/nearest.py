@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,7 +18,8 @@ from lettermill.functions.vectors import half_up
 from lettermill.session import durable, ship
 
 DIGITS = 4
-PIVOTS = 256
+#: Cells are about as many as the root of the rows, and no more than this.
+MOST_PIVOTS = 4096
 CHUNK = 4096
 #: An index up to this size goes to the tasks that hold the queries.
 SMALL_BYTES = 16 << 20
@@ -96,7 +98,7 @@ class Search:
     """The index and what is known of it; ``results`` are the rows' columns but
     the vector, ``query_id`` and ``score``."""
 
-    def __init__(self, index: DataFrame, vector: str, ordinal: str, limit: int, floor: float, pivots: int = PIVOTS, chunk: int = CHUNK) -> None:
+    def __init__(self, index: DataFrame, vector: str, ordinal: str, limit: int, floor: float, pivots: int, chunk: int = CHUNK) -> None:
         self.vector, self.ordinal, self.limit, self.floor, self.n_pivots, self.chunk = vector, ordinal, limit, floor, pivots, chunk
         self.spark, self.index = index.sparkSession, index.drop("query_id", "score", "rank")
         own = [f for f in self.index.schema.fields if f.name != vector]
@@ -263,7 +265,7 @@ def _plain(schema: StructType) -> StructType:
 
 
 def nearest_rows(index: DataFrame, queries: DataFrame, limit: int, floor: float, vector: str, ordinal: str, small_bytes: int = SMALL_BYTES,
-    pivots: int = PIVOTS, chunk: int = CHUNK) -> DataFrame:
+    pivots: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """For each of ``queries`` (``query_id`` long, ``q`` array<double>; distinct
     ids) its ``limit`` best rows of ``index``: their columns but the vector,
     ``query_id``, ``score`` (rounded; equal ones keep the order of ``ordinal``)
@@ -271,16 +273,17 @@ def nearest_rows(index: DataFrame, queries: DataFrame, limit: int, floor: float,
 
     An index of ``small_bytes`` at most (they are counted first) is sent to each
     part of the queries. A larger one is parted into cells about ``pivots`` drawn
-    vectors, and neither side passes through the driver.
+    vectors (the root of the rows, ``MOST_PIVOTS`` at most), and neither side
+    passes through the driver.
     Each query is compared with its nearest cells; what its last result there
     scores bounds how far others can be, and only the cells that reach that far
     are visited then. The result is exact either way.
     """
-    search = Search(index, vector, ordinal, limit, floor, pivots, chunk)
+    fields = index.schema.fields
     wide = [F.octet_length(f.name) if isinstance(f.dataType, StringType) else F.size(f.name) * 8 if isinstance(f.dataType, ArrayType) else F.lit(16)
-        for f in search.index.schema.fields if not isinstance(f.dataType, (MapType, StructType))]
-    nested = len(wide) < len(search.index.columns)
-    size = search.index.agg(F.sum(sum((F.coalesce(w, F.lit(0)) for w in wide), F.lit(8))).alias("bytes")).first()["bytes"] or 0
-    if size <= small_bytes and not nested:
+        for f in fields if not isinstance(f.dataType, (MapType, StructType))]
+    size = index.agg(F.count("*").alias("n"), F.sum(sum((F.coalesce(w, F.lit(0)) for w in wide), F.lit(8))).alias("bytes")).first()
+    search = Search(index, vector, ordinal, limit, floor, pivots or min(MOST_PIVOTS, max(16, math.isqrt(size["n"]))), chunk)
+    if len(wide) == len(fields) and (size["bytes"] or 0) <= small_bytes:
         return search.ranked(search.in_one(queries, search.index.toArrow()))
     return search.ranked(search.in_cells(durable(queries.select("query_id", "q"), "queries")))

@@ -28,32 +28,56 @@ def star_edges(members: DataFrame, keys: list[str], most: int) -> DataFrame:
     return members.join(centre, keys).where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b"))
 
 
-def reference_edges(emails: DataFrame, keys: DataFrame, strong: list[str] = STRONG, most: int = MAX_PER_KEY) -> DataFrame:
-    """Messages that share a strong reference. A message that names several
-    references of one kind is a round-up, and none of these counts."""
+def single_references(emails: DataFrame, keys: DataFrame, strong: list[str] = STRONG) -> DataFrame:
+    """``(id, kind, value)`` of the strong references that count: a message that
+    names several of one kind is a round-up, and none of these does."""
     known = keys.select(F.col("email_id").alias("id"), "kind", F.coalesce("value", F.lit("")).alias("value")).where(F.col("kind").isin(strong)).distinct()
     known = known.join(emails.select("id"), "id", "left_semi")
     single = known.groupBy("id", "kind").agg(F.count("*").alias("n"), F.min("value").alias("value")).where("n = 1")
-    return star_edges(single.select("id", "kind", "value"), ["kind", "value"], most)
+    return single.select("id", "kind", "value")
 
 
-def reply_edges(emails: DataFrame) -> DataFrame:
-    """Messages and those their headers answer. Of messages with one
-    message id the last received is meant (those without ``ingest_order``
-    came first; among equals the largest id)."""
+def reference_edges(emails: DataFrame, keys: DataFrame, strong: list[str] = STRONG, most: int = MAX_PER_KEY) -> DataFrame:
+    """Messages that share a strong reference."""
+    return star_edges(single_references(emails, keys, strong), ["kind", "value"], most)
+
+
+def own_ids(emails: DataFrame) -> DataFrame:
+    """``(id, mid, ingest_order)`` of the messages that have a message id."""
     ident = strip(F.col("message_id"))
-    target = emails.where(~falsy(ident)).groupBy(ident.alias("mid")).agg(F.max(F.struct("ingest_order", "id"))["id"].alias("parent"))
+    return emails.where(~falsy(ident)).select("id", ident.alias("mid"), "ingest_order")
+
+
+def named_ids(emails: DataFrame) -> DataFrame:
+    """``(id, mid)``: the message ids that a message's headers name."""
     header = emails.select("id", F.explode(F.array("in_reply_to", "references")).alias("h")).where(~falsy(F.col("h")))
     bracketed = F.regexp_extract_all("h", F.lit("<[^>]+>"), F.lit(0))
     named = F.when(F.size(bracketed) > 0, bracketed).otherwise(F.array(strip(F.col("h"))))
-    links = header.select("id", F.explode(named).alias("mid")).select("id", strip(F.col("mid")).alias("mid")).distinct()
-    return links.join(target, "mid").where("parent <> id").select(F.col("parent").alias("a"), F.col("id").alias("b"))
+    return header.select("id", F.explode(named).alias("mid")).select("id", strip(F.col("mid")).alias("mid")).distinct()
+
+
+def link_edges(named: DataFrame, own: DataFrame) -> DataFrame:
+    """Messages and those they name. Of messages with one message id the last
+    received is meant (those without ``ingest_order`` came first; among equals
+    the largest id)."""
+    target = own.groupBy("mid").agg(F.max(F.struct("ingest_order", "id"))["id"].alias("parent"))
+    return named.join(target, "mid").where("parent <> id").select(F.col("parent").alias("a"), F.col("id").alias("b"))
+
+
+def reply_edges(emails: DataFrame) -> DataFrame:
+    """Messages and those their headers answer."""
+    return link_edges(named_ids(emails), own_ids(emails))
+
+
+def told_subjects(emails: DataFrame, least: int = MIN_SUBJECT_LEN) -> DataFrame:
+    """``(id, s)`` of the messages with a telling subject."""
+    told = emails.select("id", F.coalesce("subject_key", F.lit("")).alias("s"))
+    return told.where((F.length("s") >= least) & ~F.col("s").isin(GENERIC_SUBJECTS))
 
 
 def subject_edges(emails: DataFrame, most: int = MAX_PER_SUBJECT, least: int = MIN_SUBJECT_LEN) -> DataFrame:
     """Messages with one telling subject."""
-    told = emails.select("id", F.coalesce("subject_key", F.lit("")).alias("s")).where((F.length("s") >= least) & ~F.col("s").isin(GENERIC_SUBJECTS))
-    return star_edges(told, ["s"], most)
+    return star_edges(told_subjects(emails, least), ["s"], most)
 
 
 def cluster(emails: DataFrame, keys: DataFrame, strong_only: bool = False) -> DataFrame:

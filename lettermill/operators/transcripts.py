@@ -66,8 +66,7 @@ def passages(text: str | None, size: int = SIZE, overlap: int = OVERLAP, compat:
 
 def sentences(text: Column) -> Column:
     """The sentences of a stripped text, as an array, found in the JVM."""
-    unicode_space = SENTENCE_END.replace(r"\s+", SPACES)
-    return F.filter(F.split(strip(F.coalesce(text, F.lit(""))), f"(?U){unicode_space}", -1), lambda s: s != "")
+    return F.filter(F.split(strip(F.coalesce(text, F.lit(""))), SENTENCE_END.replace(r"\s+", SPACES), -1), lambda s: s != "")
 
 
 def with_passages(df: DataFrame, text: str = "text", size: int = SIZE, overlap: int = OVERLAP, compat: bool = True, out: str = "passages") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lettermill.operators import extraction, retrieval, threads
+from lettermill.operators.growing import GrowingClusters
 from lettermill.operators.privacy import held_back_counts
 from lettermill.plans import catalogue
 from lettermill.plans.catalogue import NOW
@@ -266,7 +267,17 @@ def state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.groupBy("id").agg(F.max_by("state", F.struct("batch", "day")).alias("state"))
 
 
-# Clusters as lists.
+# Clusters batch by batch, and as lists.
+
+
+def cluster_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clusters of ``cluster_all`` after three batches of messages."""
+    emails, refs = catalogue.cluster_frames(spark, sf_dir)
+    made = GrowingClusters(spark, new_path(spark, "clusters"))
+    for k in range(3):
+        part = emails.where(F.pmod(F.hash("id"), F.lit(3)) == k)
+        made.add(f"batch {k}", part, refs.join(part.select(F.col("id").alias("email_id")), "email_id", "left_semi"))
+    return made.clusters()
 
 
 def cluster_members(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,7 +307,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         mail_cut, mail_payloads, mail_walk, mail_held_back, log_append, vec_hosted, vec_local, vec_budget, vec_readable, vec_model, provider_choice,
-        ask_replies, ask_summary, ask_leased, ask_outcomes, answers_twice, update_thrice, key_stream, state_stream, cluster_members,
+        ask_replies, ask_summary, ask_leased, ask_outcomes, answers_twice, update_thrice, key_stream, state_stream, cluster_batches, cluster_members,
     )
 }
 
@@ -349,6 +360,7 @@ ORACLE_SQL = {
       two as ({catalogue.UPDATE.format(jobs='one', answers='b', now="'2026-02-01'")})
       select * from two""",
     "key_stream": catalogue.ORACLE_SQL["key_extract"],
+    "cluster_batches": catalogue.ORACLE_SQL["cluster_all"],
     "state_stream": f"with {catalogue.STATE_CTE} select id, state from verdicts",
     "cluster_members": f"""with c as ({catalogue.ORACLE_SQL["cluster_all"]}), n as (select cluster_id, count(*) as n from c group by 1),
       p as (select c.*, n.n, ('0x' || substr(md5(email_id::varchar), 1, 8))::bigint % ((n.n + 999) // 1000) as part from c join n using (cluster_id))

@@ -52,6 +52,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _scope: ContextVar[str] = ContextVar("scope", default="all")
+#: Tables in the catalogue that are ours: application, scope and full name.
+_made: list[tuple[str, str, str]] = []
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -86,6 +88,7 @@ def durable_buckets(df: DataFrame, name: str, key: str) -> DataFrame:
     The table is an external one of the session's catalogue."""
     spark = df.sparkSession
     n, table = shuffle_partitions(spark), f"lettermill_{_scope.get()}_{uuid.uuid4().hex}"
+    _made.append((spark.sparkContext.applicationId, _scope.get(), f"`{spark.catalog.currentDatabase()}`.`{table}`"))
     df.repartition(n, key).write.format("parquet").bucketBy(n, key).option("path", new_path(spark, name)).saveAsTable(table)
     return spark.table(table)
 
@@ -121,11 +124,13 @@ def ship(spark: SparkSession) -> None:
 
 def remove_tables(spark: SparkSession, scope: str = "") -> None:
     """Delete what ``durable`` and ``new_path`` have put in the shared folder
-    (of one ``scratch``, or all), once no DataFrame that reads it is needed any
-    more."""
+    (of one ``scratch``, or all), and the tables that ``durable_buckets`` has
+    made in this application's catalogue, whatever their database, once no
+    DataFrame that reads them is needed any more."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lettermill/{scope}".rstrip("/"))
-    for table in spark.catalog.listTables():
-        if table.name.startswith(f"lettermill_{scope}"):
-            spark.sql(f"DROP TABLE IF EXISTS `{table.name}`")
+    mine = [m for m in _made if m[0] == spark.sparkContext.applicationId and (not scope or m[1] == scope)]
+    for made in mine:
+        spark.sql(f"DROP TABLE IF EXISTS {made[2]}")
+        _made.remove(made)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

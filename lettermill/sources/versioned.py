@@ -27,6 +27,7 @@ class Manifest:
     n_buckets: int
     buckets: dict[str, str] = field(default_factory=dict)
     runs: list[str] = field(default_factory=list)
+    by: list[str] | None = None
 
 
 class Conflict(Exception):
@@ -91,7 +92,11 @@ class VersionedTable:
     # Rows.
 
     def _bucket(self, manifest: Manifest) -> Column:
-        return F.pmod(F.xxhash64(*manifest.keys), F.lit(manifest.n_buckets)).cast("int")
+        return F.pmod(F.xxhash64(*(manifest.by or manifest.keys)), F.lit(manifest.n_buckets)).cast("int")
+
+    def _touched(self, manifest: Manifest, rows: DataFrame) -> set[str]:
+        """The buckets that the keys of ``rows`` lie in: n_buckets at most."""
+        return {str(r["bucket"]) for r in rows.select(self._bucket(manifest).alias("bucket")).distinct().collect()}
 
     def _write(self, rows: DataFrame, manifest: Manifest) -> dict[str, str]:
         """The rows as a new folder; the folder of each bucket that has any."""
@@ -101,11 +106,15 @@ class VersionedTable:
         names = [f.getPath().getName() for f in store.listStatus(place)]
         return {n.removeprefix("bucket="): folder for n in names if n.startswith("bucket=")}
 
-    def create(self, rows: DataFrame, keys: list[str], n_buckets: int = BUCKETS) -> VersionedTable:
-        """Version 0, of ``rows`` with distinct keys. Raises ``Conflict`` if there is a table."""
-        if self._versions():
+    def exists(self) -> bool:
+        return bool(self._versions())
+
+    def create(self, rows: DataFrame, keys: list[str], n_buckets: int = BUCKETS, by: list[str] | None = None) -> VersionedTable:
+        """Version 0, of ``rows`` with distinct keys, dealt by some of these (all,
+        if not told). Raises ``Conflict`` if there is a table."""
+        if self.exists():
             raise Conflict(self.path)
-        first = Manifest(0, rows.schema.json(), keys, n_buckets)
+        first = Manifest(0, rows.schema.json(), keys, n_buckets, by=by)
         self._claim(replace(first, buckets=self._write(rows, first)))
         return self
 
@@ -117,6 +126,11 @@ class VersionedTable:
         paths = [f"{self.path}/data/{folder}/bucket={k}" for k, folder in manifest.buckets.items() if k in wanted]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
+    def near(self, rows: DataFrame) -> DataFrame:
+        """The rows of the buckets that keys of ``rows`` lie in; the others are not read."""
+        at = self.manifest()
+        return self.read(at, self._touched(at, rows))
+
     def update(self, run: str, changes: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], attempts: int = 20) -> Manifest:
         """The version after ``merge(rows, changes)``, which gets and returns
         the rows of the buckets that hold keys of ``changes``; the others are
@@ -127,8 +141,7 @@ class VersionedTable:
         """
         changes = durable(changes, "changes")
         at = self.manifest()
-        bucket = self._bucket(at).cast("string").alias("bucket")
-        touched = {r["bucket"] for r in changes.select(bucket).distinct().collect()}  # n_buckets rows at most
+        touched = self._touched(at, changes)
         based, written = None, {}
         for _ in range(attempts):
             if run in at.runs:

@@ -69,7 +69,7 @@ def keep_keys(messages: DataFrame, target: str, checkpoint: str) -> StreamingQue
     def write(batch: DataFrame, number: int) -> None:
         table = VersionedTable(batch.sparkSession, target)
         rows = batch.select("msg", F.col("id").cast(kind).alias("email_id"), F.lit(KIND).alias("kind"), "value", F.lit(CONFIDENCE).alias("confidence"))
-        if not table._versions():
+        if not table.exists():
             table.create(rows.limit(0), ["msg", "value"])
         table.update(f"{checkpoint}#{number}", rows, upsert(["msg", "value"]))
 

@@ -21,6 +21,25 @@ def test_tables_can_be_removed(spark, tmp_path, monkeypatch):
     assert not os.path.exists(tmp_path / "lettermill")
 
 
+def test_tables_of_others_stay(spark):
+    """A user's table with a name like ours, and ours in another database."""
+    from lettermill.session import durable_buckets, scratch
+
+    spark.sql("CREATE DATABASE IF NOT EXISTS other")
+    spark.sql("CREATE TABLE IF NOT EXISTS lettermill_mine (x INT) USING parquet")
+    with scratch(spark):
+        spark.sql("USE other")
+        try:
+            durable_buckets(spark.range(5), "t", "id")
+            assert len(spark.sql("SHOW TABLES IN other").collect()) == 1
+        finally:
+            spark.sql("USE default")
+    assert not spark.sql("SHOW TABLES IN other").collect()
+    assert "lettermill_mine" in [t.name for t in spark.catalog.listTables()]
+    spark.sql("DROP TABLE lettermill_mine")
+    spark.sql("DROP DATABASE other")
+
+
 def test_buckets_and_stand_in(spark, monkeypatch):
     from types import SimpleNamespace
 
