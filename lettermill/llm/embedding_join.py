@@ -50,11 +50,18 @@ def distances(u: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2 - 2 * (u @ pivots.T)))
 
 
+def screen(width: int) -> float:
+    """How far a cosine in single precision can be from the true one: each of
+    ``width`` products and sums, and the rounded numbers themselves, err by
+    2**-24 of at most one."""
+    return max(SLACK, 1.1 * (width + 4) * 2.0**-24)
+
+
 def compare(a: np.ndarray, b: np.ndarray, len_a: np.ndarray, len_b: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Linked positions of unit rows ``a`` and ``b``: screened in single, decided in double precision."""
-    af, bf = a.astype(np.float32), b.astype(np.float32)
+    af, bf, least = a.astype(np.float32), b.astype(np.float32), threshold - screen(a.shape[1])
     for at in range(0, len(a), SLICE):
-        i, j = np.nonzero(af[at : at + SLICE] @ bf.T >= threshold - SLACK)
+        i, j = np.nonzero(af[at : at + SLICE] @ bf.T >= least)
         i += at
         ok = len_a[i] == len_b[j]
         i, j = i[ok], j[ok]

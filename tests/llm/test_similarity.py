@@ -199,6 +199,21 @@ def test_vectors(spark):
     assert "cid" in out.columns and embedding_join.embedding_groups(frame.where("1 = 0")).count() == 0
 
 
+@pytest.mark.parametrize("width", [8, 64, 3000, 20_000])
+def test_the_screen_loses_no_pair_just_above_the_limit(width):
+    rng = np.random.default_rng(width)
+    a = embedding_join.unit(np.abs(rng.normal(size=(40, width))) + 1)  # sums of one sign err the most
+    side = rng.normal(size=a.shape)
+    side = embedding_join.unit(side - (side * a).sum(1, keepdims=True) * a)
+    cosine = 0.95 + rng.uniform(-1, 1, (40, 1)) * 10.0 ** rng.uniform(-9, -5, (40, 1))
+    b = embedding_join.unit(cosine * a + np.sqrt(1 - cosine**2) * side)
+    want = {(i, j) for i, j in zip(*np.nonzero(a @ b.T >= 0.95), strict=True)}
+    same = np.full(40, width)
+    got = {(i, j) for x, y in embedding_join.compare(a, b, same, same, 0.95) for i, j in zip(x.tolist(), y.tolist(), strict=True)}
+    edge = {(i, j) for i, j in want ^ got if abs(a[i] @ b[j] - 0.95) > 1e-12}
+    assert not edge and (width < 3000 or embedding_join.screen(width) > embedding_join.SLACK)
+
+
 def test_many_cells_and_chunks(spark, monkeypatch):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(30, 8))
