@@ -11,7 +11,7 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lettermill.operators import archive, extraction, keys, pages, privacy, retrieval, state, threads, transcripts
+from lettermill.operators import archive, extraction, keys, long_transcripts, pages, privacy, retrieval, state, threads, transcripts
 from lettermill.sources.tables import table
 
 OWN_DOMAIN = "mail5.example.com"
@@ -34,7 +34,7 @@ def archive_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     mail = docs.where("doc_id % 2 = 0")
     messages = mail.select(
         F.expr("doc_id div 2").alias("id"), F.expr("cast(date_add(DATE'2026-01-01', cast(doc_id % 90 as int)) as timestamp)").alias("received_at"),
-        F.substring("source", 1, 5).alias("subject"),
+        F.col("source").alias("subject"),
         F.when(F.col("doc_id") % 4 == 0, F.lit(f"Ops@{OWN_DOMAIN.upper()}")).otherwise(F.concat(F.lit("agent@"), "source", F.lit(".co.uk"))).alias("sender"),
         F.when(F.col("doc_id") % 8 == 0, F.lit("no address")).otherwise(F.concat(F.lit("<a@"), "lang", F.lit(".org>, b@x.net"))).alias("recipients"),
     )
@@ -54,7 +54,7 @@ attachments as (select d.doc_id as id, d.doc_id // 2 as message_id, md5(text) as
     case when d.doc_id % 9 > 1 then lang end as kind, 'final' as draft_or_final,
     case when d.doc_id % 3 = 0 then date '2026-03-01' + (d.doc_id % 40)::int end as document_date,
     case when q is not null then '/data/' || d.doc_id end as stored_path from documents d left join labels1 l on l.doc_id = d.doc_id),
-messages as (select doc_id // 2 as id, (date '2026-01-01' + (doc_id % 90)::int)::timestamp as received_at, substr(source, 1, 5) as subject,
+messages as (select doc_id // 2 as id, (date '2026-01-01' + (doc_id % 90)::int)::timestamp as received_at, source as subject,
     case when doc_id % 4 = 0 then 'Ops@{OWN_DOMAIN.upper()}' else 'agent@' || source || '.co.uk' end as sender,
     case when doc_id % 8 = 0 then 'no address' else '<a@' || lang || '.org>, b@x.net' end as recipients from documents where doc_id % 2 = 0),
 message_files as (select id as message_id, id % 60 as file_id from messages where id % 5 <> 0),
@@ -361,6 +361,12 @@ def chunk_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.inline("passages"))
 
 
+def chunk_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents of a source as one transcript, cut in blocks of 200,000 characters."""
+    parts = table(spark, sf_dir, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("seq"), F.concat("text", F.lit("\n")).alias("text"))
+    return long_transcripts.long_passages(parts, block_chars=200_000).withColumnRenamed("doc", "source")
+
+
 def chunk_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of each document and their longest."""
     units = transcripts.sentences(F.col("text"))
@@ -381,9 +387,10 @@ def vec_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vec_single(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One query, as a column expression."""
+    """The 50 vectors closest to the mean of all (to three places): one query, as a column expression."""
     index = table(spark, sf_dir, "embeddings").withColumn("ordinal", F.col("vec_id"))
-    query = [float(x) for x in index.where("vec_id = 0").first()["embedding"]]
+    numbers = index.select(F.posexplode("embedding").alias("i", "x")).groupBy("i").agg(F.round(F.avg(F.col("x").cast("double")), 3).alias("x"))
+    query = [r["x"] for r in numbers.orderBy("i").collect()]  # a row a dimension
     return retrieval.nearest(index, query, limit=50).select("vec_id", "label", "score")
 
 
@@ -495,7 +502,7 @@ UPDATE = """select id, case when sure and origin is null then o else origin end
 
 
 CHUNK_SQL = r"""with recursive
-d as (select doc_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') as s from documents),
+d as (select doc_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') as s from {texts}),
 m as (select doc_id, string_split(regexp_replace(s, '([.!?])(\s+)([A-ZÀÈÉÌÒÙ0-9])', '\1' || chr(1) || '\2' || chr(2) || '\3', 'g'), chr(1)) as p
   from d where s <> ''),
 e as (select doc_id, unnest(p) as x, generate_subscripts(p, 1) as i from m),
@@ -524,7 +531,7 @@ QUERIES = {
     for f in (
         archive_dedup, archive_filtered, archive_page, archive_deep_page, archive_counterparty, archive_copies_fanout, archive_copies_attachments,
         key_extract, key_upsert, cluster_strong, cluster_reply, cluster_subject, cluster_all, privacy_gate, privacy_held_back,
-        state_verdict, state_portal, state_counts, chunk_passages, chunk_units, vec_nearest, vec_single, vec_group, thread_text, cost_estimate,
+        state_verdict, state_portal, state_counts, chunk_passages, chunk_long, chunk_units, vec_nearest, vec_single, vec_group, thread_text, cost_estimate,
             cost_cap, observations, guarded_update,
     )
 }
@@ -554,13 +561,19 @@ ORACLE_SQL = {
     "state_verdict": f"with {STATE_CTE} select * from verdicts",
     "state_portal": "with " + PORTAL_CTE + " select * from verdicts",
     "state_counts": f"with {STATE_CTE} select state, count(*) as n from verdicts group by 1",
-    "chunk_passages": CHUNK_SQL,
+    "chunk_passages": CHUNK_SQL.format(texts="documents"),
+    "chunk_long": "select doc_id as source, * exclude (doc_id) from (" + CHUNK_SQL.format(
+        texts="(select source as doc_id, string_agg(text || chr(10), '' order by doc_id) as text from documents group by source)") + ")",
     "chunk_units": r"""with d as (select doc_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') as text from documents),
       u as (select doc_id, list_filter(string_split(regexp_replace(text, '([.!?])\s+([A-ZÀÈÉÌÒÙ0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)),
         lambda s: s <> '') as u from d)
       select doc_id, len(u)::bigint as n_units, coalesce(list_max(list_transform(u, lambda s: length(s))), 0)::bigint as longest from u""",
     "vec_nearest": f"with {VEC_SQL.format(floor=0)} select query_id, rank::int as rank, vec_id, label, score from ranked where rank <= 8",
-    "vec_single": f"with {VEC_SQL.format(floor=0)} select vec_id, label, score from ranked where query_id = 0 and rank <= 50",
+    "vec_single": """with n as (select unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from embeddings),
+      q as (select list(x order by i) as q from (select i, round(avg(x), 3) as x from n group by i)),
+      s as (select vec_id, label, case when len(embedding) = len(q) then list_cosine_similarity(embedding::double[], q) else 0 end as s from embeddings, q
+        where len(embedding) > 0)
+      select vec_id, label, round(s, 4) as score from s where s >= 0 order by round(s, 4) desc, vec_id limit 50""",
     "vec_group": f"""with {VEC_SQL.format(floor=0.1)}
       select query_id, label::varchar as meeting_id, 'v' || arg_min(vec_id, rank) as title, greatest(max(score), 0.0) as score, count(*) as n_passages,
         string_agg(vec_id::varchar, ',' order by rank) as ordinals

@@ -17,9 +17,9 @@ from lettermill.operators.privacy import held_back_counts
 from lettermill.plans import catalogue
 from lettermill.plans.catalogue import NOW
 from lettermill.session import new_path
-from lettermill.sources import mailbox
+from lettermill.sources import imap, mailbox
 from lettermill.sources.mail import payloads
-from lettermill.sources.stores import write_files
+from lettermill.sources.stores import files_below, read_bytes, write_files
 from lettermill.sources.tables import append, cut_bodies, table
 from lettermill.sources.versioned import VersionedTable
 from lettermill.streaming import keyed
@@ -95,6 +95,48 @@ def mail_held_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_back_counts(held_back, "sender")
 
 
+class FolderServer:
+    """A mail server stood in for by a folder of files, ``<uid>.eml``."""
+
+    def __init__(self, folder: str) -> None:
+        self.folder = folder
+
+    def select(self, mailbox: str, readonly: bool) -> tuple:
+        return ("OK", [b""]) if readonly else ("NO", [b"read only"])
+
+    def response(self, code: str) -> tuple:
+        last = max((int(f.rsplit("/", 1)[1].removesuffix(".eml")) for f, _ in files_below(self.folder)), default=0)
+        return code, [b"1" if code == "UIDVALIDITY" else str(last + 1).encode()]
+
+    def uid(self, command: str, *args: str) -> tuple:
+        lo, hi = map(int, args[0].split(":"))
+        out = []
+        for uid in range(lo, hi + 1):
+            try:
+                raw = read_bytes(f"{self.folder}/{uid}.eml")
+            except FileNotFoundError:
+                continue
+            out += [(f"{uid} (UID {uid} BODY[] {{{len(raw)}}}".encode(), raw), b")"]
+        return "OK", out
+
+    def logout(self) -> tuple:
+        return "BYE", []
+
+
+def mail_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as messages of a live mailbox, landed by several tasks and read again."""
+    kept, landed = new_path(spark, "server"), new_path(spark, "landed")
+    n = F.col("doc_id").cast("string")
+    mail = F.concat(F.lit("Message-ID: <"), n, F.lit(">\nSubject: s\nContent-Transfer-Encoding: base64\n\n"), F.base64(F.coalesce("text",
+        F.lit("")).cast("binary")))
+    docs = table(spark, sf_dir, "documents").select(F.concat((F.col("doc_id") + 1).cast("string"), F.lit(".eml")).alias("name"), mail.cast("binary").alias(
+        "content"))
+    write_files(docs, kept)
+    imap.land(spark, lambda: FolderServer(kept), ["INBOX"], landed)
+    found = mailbox.with_payload(mailbox.parts(spark, landed))
+    return found.select("message_id", F.octet_length("payload").cast("long").alias("n_bytes"), F.md5("payload").alias("digest"))
+
+
 def log_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log after two runs, of which the second repeats every tenth job."""
     path, rows = new_path(spark, "log"), catalogue.observations(spark, sf_dir)
@@ -306,7 +348,7 @@ judged as (select *, {catalogue.CONFIDENTIAL} as confidential from rows_)"""
 QUERIES = {
     f.__name__: f
     for f in (
-        mail_cut, mail_payloads, mail_walk, mail_held_back, log_append, vec_hosted, vec_local, vec_budget, vec_readable, vec_model, provider_choice,
+        mail_cut, mail_payloads, mail_walk, mail_held_back, mail_fetch, log_append, vec_hosted, vec_local, vec_budget, vec_readable, vec_model, provider_choice,
         ask_replies, ask_summary, ask_leased, ask_outcomes, answers_twice, update_thrice, key_stream, state_stream, cluster_batches, cluster_members,
     )
 }
@@ -316,6 +358,7 @@ ORACLE_SQL = {
       from documents where date '2026-01-01' + (doc_id % 90)::int >= date '2026-02-01'""",
     "mail_walk": f"""{MAIL} select message_id, '2' as part, filename, strlen(text) as n_bytes, md5(text) as digest from judged where not confidential""",
     "mail_held_back": f"{MAIL} select sender, count(*) as held_back from judged where confidential group by sender",
+    "mail_fetch": "select '<' || doc_id || '>' as message_id, strlen(coalesce(text, '')) as n_bytes, md5(coalesce(text, '')) as digest from documents",
     "mail_payloads": f"""with {catalogue.PRIVACY_CTE}
       select id, filename, md5('store/' || filename) as digest
       from judged where not confidential and coalesce(filename, '') <> '' and regexp_matches(filename, '{USEFUL}')""",
