@@ -7,6 +7,7 @@ what they answer.
 from __future__ import annotations
 
 import datetime
+import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from lettermill.plans.catalogue import NOW
 from lettermill.session import new_path
 from lettermill.sources import imap, mailbox
 from lettermill.sources.mail import payloads
-from lettermill.sources.stores import files_below, read_bytes, write_files
+from lettermill.sources.stores import read_bytes, write_files
 from lettermill.sources.tables import append, cut_bodies, table
 from lettermill.sources.versioned import VersionedTable
 from lettermill.streaming import keyed
@@ -28,6 +29,8 @@ from lettermill.streaming.mail import arriving
 BIG, SMALL = "big-model", "small-model"
 CAP = 0.002
 LATER = datetime.datetime(2026, 2, 1)
+#: Messages in a file of the server that stands in.
+SERVED = 50
 USEFUL = r"(?i)list|sheet|form"
 
 
@@ -96,27 +99,28 @@ def mail_held_back(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class FolderServer:
-    """A mail server stood in for by a folder of files, ``<uid>.eml``."""
+    """A mail server stood in for by a folder of files, ``<k>.json`` with the
+    messages from ``k * SERVED + 1`` on, which knows what number comes next."""
 
-    def __init__(self, folder: str) -> None:
-        self.folder = folder
+    def __init__(self, folder: str, next_uid: int) -> None:
+        self.folder, self.next = folder, next_uid
 
     def select(self, mailbox: str, readonly: bool) -> tuple:
         return ("OK", [b""]) if readonly else ("NO", [b"read only"])
 
     def response(self, code: str) -> tuple:
-        last = max((int(f.rsplit("/", 1)[1].removesuffix(".eml")) for f, _ in files_below(self.folder)), default=0)
-        return code, [b"1" if code == "UIDVALIDITY" else str(last + 1).encode()]
+        return code, [b"1" if code == "UIDVALIDITY" else str(self.next).encode()]
 
     def uid(self, command: str, *args: str) -> tuple:
         lo, hi = map(int, args[0].split(":"))
         out = []
-        for uid in range(lo, hi + 1):
+        for k in range((lo - 1) // SERVED, (hi - 1) // SERVED + 1):
             try:
-                raw = read_bytes(f"{self.folder}/{uid}.eml")
+                kept = json.loads(read_bytes(f"{self.folder}/{k}.json"))
             except FileNotFoundError:
                 continue
-            out += [(f"{uid} (UID {uid} BODY[] {{{len(raw)}}}".encode(), raw), b")"]
+            for raw, uid in ((m["mail"].encode(), m["uid"]) for m in kept if lo <= m["uid"] <= hi):
+                out += [(f"{uid} (UID {uid} BODY[] {{{len(raw)}}}".encode(), raw), b")"]
         return "OK", out
 
     def logout(self) -> tuple:
@@ -129,10 +133,11 @@ def mail_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("doc_id").cast("string")
     mail = F.concat(F.lit("Message-ID: <"), n, F.lit(">\nSubject: s\nContent-Transfer-Encoding: base64\n\n"), F.base64(F.coalesce("text",
         F.lit("")).cast("binary")))
-    docs = table(spark, sf_dir, "documents").select(F.concat((F.col("doc_id") + 1).cast("string"), F.lit(".eml")).alias("name"), mail.cast("binary").alias(
-        "content"))
-    write_files(docs, kept)
-    imap.land(spark, lambda: FolderServer(kept), ["INBOX"], landed)
+    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") + 1).alias("uid"), mail.alias("mail"))
+    served = docs.groupBy(F.expr(f"(uid - 1) div {SERVED}").alias("k")).agg(F.to_json(F.sort_array(F.collect_list(F.struct("uid", "mail")))).alias("mail"))
+    write_files(served.select(F.concat(F.col("k").cast("string"), F.lit(".json")).alias("name"), F.col("mail").cast("binary").alias("content")), kept)
+    last = docs.agg(F.max("uid").alias("uid")).first()["uid"] or 0
+    imap.land(spark, lambda: FolderServer(kept, last + 1), ["INBOX"], landed)
     found = mailbox.with_payload(mailbox.parts(spark, landed))
     return found.select("message_id", F.octet_length("payload").cast("long").alias("n_bytes"), F.md5("payload").alias("digest"))
 

@@ -14,6 +14,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 from lettermill.session import durable, ship
+from lettermill.sources.mailbox import packed
 from lettermill.sources.stores import open_store, read_bytes, write_whole
 
 #: Messages that one request asks for.
@@ -71,12 +72,13 @@ def _reached(place: str) -> int:
 
 def land(spark: SparkSession, connect: Callable[[], Connection], folders: list[str], path: str, range_size: int = RANGE) -> DataFrame:
     """Copy the messages of ``folders`` that are not yet below ``path`` to files
-    ``<uid>.eml`` there, for ``mailbox.parts`` to read: ``(folder, uid, n_bytes)``
-    of what came.
+    ``<first>-<last>.mails`` there, one for each request, for ``mailbox.parts``
+    to read: ``(folder, uid, n_bytes)`` of what came.
 
     ``connect`` opens a connection (``imaplib.IMAP4_SSL`` after its login); the
-    driver opens one to ask how far each folder goes, and every task its own.
-    Tasks take ranges of numbers and write each message whole, so a task that
+    driver opens one to ask how far each folder goes, and every task its own,
+    which opens a folder once for all of the task's ranges that follow in it.
+    Tasks take ranges of numbers and write each file whole, so a task that
     runs again writes the same. How far a folder was read is noted once all of
     it is there. A folder that the server has numbered anew is read from its
     start, to another place.
@@ -91,20 +93,20 @@ def land(spark: SparkSession, connect: Callable[[], Connection], folders: list[s
     asked = spark.createDataFrame(ranges, "folder string, validity long, lo long, hi long").repartition(max(1, min(len(ranges), 1000)), "folder", "lo")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        connection = None
+        connection = at = None
         try:
             for batch in batches:
                 for row in batch.to_pylist():
                     connection = connection or connect()
-                    at = opened(connection, row["folder"])
+                    at = at if at and at.folder == row["folder"] else opened(connection, row["folder"])
                     if at.validity != row["validity"]:
                         raise OSError(f"{at.folder} was numbered anew meanwhile")
                     for lo in range(row["lo"], row["hi"] + 1, AT_ONCE):
-                        got = []
-                        for uid, message in fetched(connection, lo, min(lo + AT_ONCE - 1, row["hi"])):
-                            write_whole(f"{_place(path, at)}/{uid}.eml", message)
-                            got.append((at.folder, uid, len(message)))
+                        hi = min(lo + AT_ONCE - 1, row["hi"])
+                        mail = list(fetched(connection, lo, hi))
+                        got = [(at.folder, uid, len(message)) for uid, message in mail]
                         if got:
+                            write_whole(f"{_place(path, at)}/{lo}-{hi}.mails", packed(message for _, message in mail))
                             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*got, strict=True)], ["folder", "uid", "n_bytes"])
         finally:
             if connection:

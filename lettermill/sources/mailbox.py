@@ -6,7 +6,7 @@ from __future__ import annotations
 import binascii
 import quopri
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import astuple, dataclass
 from email.header import decode_header, make_header
 from email.message import Message
@@ -111,6 +111,20 @@ def messages(read: Callable[[int, int], bytes], size: int, lo: int, hi: int, ste
         yield s, data[s - begin : e - begin]
 
 
+def packed(mail: Iterable[bytes]) -> bytes:
+    """Messages in a file, as they are: each behind a line that says how long it is."""
+    return b"".join(b"%d\n%s" % (len(m), m) for m in mail)
+
+
+def unpacked(raw: bytes) -> Iterator[tuple[int, bytes]]:
+    """``(place, bytes)`` of the messages in a ``packed`` file."""
+    at = 0
+    while at < len(raw):
+        begin = raw.index(b"\n", at) + 1
+        at = begin + int(raw[at:begin])
+        yield begin, raw[begin:at]
+
+
 def rows_of(file: str, place: int, raw: bytes, in_mbox: bool) -> Iterator[tuple]:
     """The rows of one message."""
     lo = raw.find(b"\n") + 1 if in_mbox else 0
@@ -136,7 +150,7 @@ class MailboxReader(DataSourceReader):
         """Ranges of ``split_bytes`` of large mailboxes; small files together, up to as many bytes."""
         out, held, size_held = [], [], 0
         for file, size in files_below(self.path):
-            cuts = [0, size] if file.endswith(".eml") else [*range(0, max(size, 1), self.split), size]
+            cuts = [0, size] if file.endswith((".eml", ".mails")) else [*range(0, max(size, 1), self.split), size]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 if held and size_held + hi - lo > self.split:
                     out.append(Ranges(held))
@@ -152,6 +166,9 @@ class MailboxReader(DataSourceReader):
                 read = lambda at, n, source=source: source.read_at(max(0, min(n, size - at)), at)
                 if file.endswith(".eml"):
                     yield from rows_of(file, 0, read(0, size), False)
+                elif file.endswith(".mails"):
+                    for place, raw in unpacked(read(0, size)):
+                        yield from rows_of(file, place, raw, False)
                 else:
                     for place, raw in messages(read, size, lo, hi):
                         yield from rows_of(file, place, raw, True)
@@ -159,7 +176,8 @@ class MailboxReader(DataSourceReader):
 
 class Mailboxes(DataSource):
     """``spark.read.format("mailboxes").load(folder)``: files that end in
-    ``.eml`` hold a message, others are mboxes. Option ``split_bytes``."""
+    ``.eml`` hold a message, in ``.mails`` several (``packed``), others are
+    mboxes. Option ``split_bytes``."""
 
     @classmethod
     def name(cls) -> str:

@@ -28,9 +28,13 @@ def write_whole(uri: str, content: bytes) -> None:
     a repeated task replaces it by its like."""
     store, path = open_store(uri)
     folder, name = path.rsplit("/", 1)
-    store.create_dir(folder, recursive=True)
     draft = f"{folder}/_{name}-{uuid.uuid4().hex}"
-    with store.open_output_stream(draft) as out:
+    try:
+        out = store.open_output_stream(draft)
+    except FileNotFoundError:  # the first file of a folder
+        store.create_dir(folder, recursive=True)
+        out = store.open_output_stream(draft)
+    with out:
         out.write(content)
     store.move(draft, path)
 

@@ -51,3 +51,35 @@ def test_a_new_numbering_and_refusals(spark, tmp_path):
     assert imap.land(spark, lambda: Server(10, 6), ["INBOX"], str(tmp_path)).count() == 9
     with pytest.raises(OSError, match="no such folder"):
         imap.land(spark, Server, ["Drafts"], str(tmp_path))
+
+
+def test_a_request_lands_in_one_file_and_a_task_opens_a_folder_once(spark, tmp_path):
+    opens = tmp_path / "opens"
+    opens.mkdir()
+
+    class Counted(Server):
+        def select(self, mailbox, readonly):
+            import uuid
+
+            (opens / uuid.uuid4().hex).touch()
+            return super().select(mailbox, readonly)
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    imap.land(spark, lambda: Counted(2000), ["INBOX"], str(tmp_path / "mail"), range_size=100)
+    files = [f for f in (tmp_path / "mail").rglob("*") if f.is_file() and f.name[:1] not in "_."]
+    assert len(files) == 40 and all(f.suffix == ".mails" for f in files)
+    found = mailbox.with_payload(mailbox.parts(spark, str(tmp_path / "mail"))).collect()
+    assert sorted(bytes(r.payload) for r in found) == sorted(f"body {k}\r\n".encode() for k in range(1, 2001) if k != 7)
+    assert len(list(opens.iterdir())) <= 21  # the driver's, and one for each task at most
+
+
+def test_the_server_that_stands_in_knows_its_next_number(tmp_path, monkeypatch):
+    """It listed all of its files whenever a task opened its folder."""
+    from lettermill.plans import services
+    from lettermill.sources import stores
+
+    monkeypatch.setattr(stores, "files_below", None)
+    server = services.FolderServer(str(tmp_path), 121)
+    (tmp_path / "1.json").write_text('[{"uid": 51, "mail": "a"}, {"uid": 53, "mail": "b"}]')
+    assert imap.opened(server, "INBOX").next == 121
+    assert list(imap.fetched(server, 1, 52)) == [(51, b"a")] and list(imap.fetched(server, 53, 120)) == [(53, b"b")]

@@ -105,3 +105,12 @@ def test_payload_encodings():
     assert mailbox.decoded(b"aGVs\r\nbG8", "base64") == b"hello" and mailbox.decoded(b"aGVsbG8=!!", "base64") == b"hello"
     assert mailbox.decoded(b"=C3=BC=\n", "quoted-printable") == "ü".encode() and mailbox.decoded(b"x=C3", "8bit") == b"x=C3"
     assert mailbox.decoded(b"", "base64") == b"" and mailbox.told("=?utf-8?q?gr=C3=B6=C3=9Fe?=") == "größe" and mailbox.told("=?no-such?q?x?=") == "=?no-such?q?x?="
+
+
+def test_packed_messages_are_as_they_were(spark, tmp_path):
+    mail = [message(k, random.Random(k)) for k in range(30)] + [b"", b"Subject: s\n\n\n\nFrom here\n7\n"]
+    assert [m for _, m in mailbox.unpacked(mailbox.packed(mail))] == mail
+    (tmp_path / "1-50.mails").write_bytes(mailbox.packed(mail[:30]))
+    found = mailbox.with_payload(mailbox.parts(spark, str(tmp_path))).collect()
+    want = [(f"<{k}>", *x) for k, raw in enumerate(mail[:30]) for x in leaves(raw)]
+    assert sorted((r.message_id, r.content_type, r.filename or "", bytes(r.payload)) for r in found) == sorted((i, t, n or "", p) for i, t, n, p in want)
