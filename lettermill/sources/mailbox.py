@@ -11,6 +11,7 @@ from dataclasses import astuple, dataclass
 from email.header import decode_header, make_header
 from email.message import Message
 from email.parser import BytesHeaderParser
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,9 +23,15 @@ from lettermill.session import ship
 from lettermill.sources.stores import files_below, open_store
 
 SPLIT_BYTES = 32 << 20
+#: What a file costs besides its bytes, so that many small ones go to many tasks.
+OPEN_BYTES = 1 << 16
+#: Payloads that a task tells of together: rows, and bytes after which no more are added.
+TOLD_ROWS, TOLD_BYTES = 256, 1 << 20
 DEEPEST = 64
 PARTS = ("file string, message_at long, message_id string, sender string, subject string, part string, content_type string, filename string, "
     "encoding string, begin long, length long")
+#: Headers up to this size are looked up before they are parsed.
+ALIKE_BYTES = 1024
 START = re.compile(rb"(?:\A|(?<=\n\n)|(?<=\n\r\n))From ")
 BLANK_LINE = re.compile(rb"\r?\n\r?\n")
 
@@ -59,7 +66,13 @@ def headers(raw: bytes, lo: int, hi: int) -> tuple[Message, int]:
             return Message(), lo + len(end)
     found = BLANK_LINE.search(raw, lo, hi)
     head, body = (raw[lo : found.start()], found.end()) if found else (raw[lo:hi], hi)
-    return BytesHeaderParser().parsebytes(head), body
+    return (_parsed(head) if len(head) <= ALIKE_BYTES else BytesHeaderParser().parsebytes(head)), body
+
+
+@lru_cache(1024)
+def _parsed(head: bytes) -> Message:
+    """Headers, which are only read; those of parts are mostly alike."""
+    return BytesHeaderParser().parsebytes(head)
 
 
 def children(raw: bytes, lo: int, hi: int, boundary: str) -> Iterator[tuple[int, int]]:
@@ -147,7 +160,8 @@ class MailboxReader(DataSourceReader):
         self.split = int(options.get("split_bytes", SPLIT_BYTES))
 
     def partitions(self) -> list[InputPartition]:
-        """Ranges of ``split_bytes`` of large mailboxes; small files together, up to as many bytes."""
+        """Ranges of ``split_bytes`` of large mailboxes; small files together, up to
+        as many bytes, to which each file adds what it costs to open it."""
         out, held, size_held = [], [], 0
         for file, size in files_below(self.path):
             cuts = [0, size] if file.endswith((".eml", ".mails")) else [*range(0, max(size, 1), self.split), size]
@@ -156,7 +170,7 @@ class MailboxReader(DataSourceReader):
                     out.append(Ranges(held))
                     held, size_held = [], 0
                 held.append((file, size, lo, hi))
-                size_held += hi - lo
+                size_held += hi - lo + OPEN_BYTES
         return [*out, Ranges(held)] if held or not out else out
 
     def read(self, partition: Ranges) -> Iterator[tuple]:
@@ -216,6 +230,8 @@ def with_payload(kept: DataFrame, decode: Callable[[bytes, str], bytes] = decode
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, source = None, None
         for batch in batches:
+            told: list[bytes] = []
+            size = begun = 0
             column = lambda c, batch=batch: batch.column(batch.schema.get_field_index(c)).to_pylist()
             for k, (file, begin, length, encoding) in enumerate(zip(*map(column, ("file", "begin", "length", "encoding")), strict=True)):
                 if file != name:
@@ -223,8 +239,11 @@ def with_payload(kept: DataFrame, decode: Callable[[bytes, str], bytes] = decode
                         source.close()
                     store, path = open_store(file)
                     name, source = file, store.open_input_file(path)
-                payload = decode(source.read_at(length, begin), encoding)
-                yield pa.RecordBatch.from_arrays([*batch.slice(k, 1).columns, pa.array([payload], pa.binary())], schema.names)
+                told.append(decode(source.read_at(length, begin), encoding))
+                size += len(told[-1])
+                if len(told) == TOLD_ROWS or size >= TOLD_BYTES or k + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([*batch.slice(begun, len(told)).columns, pa.array(told, pa.binary())], schema.names)
+                    told, size, begun = [], 0, k + 1
 
     return kept.drop("payload").mapInArrow(run, schema)
 

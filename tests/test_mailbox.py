@@ -107,6 +107,13 @@ def test_payload_encodings():
     assert mailbox.decoded(b"", "base64") == b"" and mailbox.told("=?utf-8?q?gr=C3=B6=C3=9Fe?=") == "größe" and mailbox.told("=?no-such?q?x?=") == "=?no-such?q?x?="
 
 
+def test_many_small_files_go_to_several_tasks(spark, tmp_path):
+    for k in range(1600):
+        (tmp_path / f"{k}.eml").write_bytes(b"Message-ID: <%d>\n\nx" % k)
+    found = mailbox.parts(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() >= 3 and found.count() == 1600
+
+
 def test_packed_messages_are_as_they_were(spark, tmp_path):
     mail = [message(k, random.Random(k)) for k in range(30)] + [b"", b"Subject: s\n\n\n\nFrom here\n7\n"]
     assert [m for _, m in mailbox.unpacked(mailbox.packed(mail))] == mail
@@ -114,3 +121,12 @@ def test_packed_messages_are_as_they_were(spark, tmp_path):
     found = mailbox.with_payload(mailbox.parts(spark, str(tmp_path))).collect()
     want = [(f"<{k}>", *x) for k, raw in enumerate(mail[:30]) for x in leaves(raw)]
     assert sorted((r.message_id, r.content_type, r.filename or "", bytes(r.payload)) for r in found) == sorted((i, t, n or "", p) for i, t, n, p in want)
+
+
+def test_payloads_are_told_of_together(spark, tmp_path):
+    for k in range(20):
+        (tmp_path / f"{k}.eml").write_bytes(b"Message-ID: <%d>\n\nbody %d" % (k, k))
+    rows = mailbox.parts(spark, str(tmp_path)).coalesce(1)
+    kept = mailbox.with_payload(rows).mapInArrow(lambda it: (b.slice(0, 1).select(["message_id"]) for b in it), "message_id string")
+    batches = kept.count()
+    assert batches == 1 and {bytes(r.payload) for r in mailbox.with_payload(rows).collect()} == {b"body %d" % k for k in range(20)}
