@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -16,6 +17,8 @@ from lettermill.operators.transcripts import MIN_PASSAGE, OVERLAP, SENTENCE_END,
 from lettermill.session import durable, ship
 
 BLOCK_CHARS = 4 << 20
+#: So many blocks' facts, some MB, spare the texts another shuffle.
+FEW_BLOCKS = 1 << 16
 GAP = re.compile(SENTENCE_END)
 
 
@@ -28,8 +31,8 @@ class Cutter:
     read, so equal states behave alike wherever they stand in a text.
     """
 
-    def __init__(self, size: int = SIZE, overlap: int = OVERLAP, compat: bool = True, state: str | None = None) -> None:
-        self.size, self.overlap, self.compat = size, overlap, compat
+    def __init__(self, size: int = SIZE, overlap: int = OVERLAP, compat: bool = True, state: str | None = None, edges: str | None = None) -> None:
+        self.size, self.overlap, self.compat, self.edges = size, overlap, compat, edges
         blank = {"started": False, "before": "", "open": "", "at": 0, "pieces": [], "carried": 0, "held": None}
         self.__dict__.update(json.loads(state) if state else blank)
         self.read, self.out = 0, []
@@ -69,7 +72,7 @@ class Cutter:
         self.pieces.append([at, text])
         if sum(len(t) + 1 for _, t in self.pieces) - 1 < self.size:
             return
-        self._tell([self.pieces[0][0], " ".join(t for _, t in self.pieces).strip()])
+        self._tell([self.pieces[0][0], " ".join(t for _, t in self.pieces).strip(self.edges)])
         keep, width = len(self.pieces), 0
         while keep - 1 > 0 and width < self.overlap:
             keep -= 1
@@ -87,9 +90,9 @@ class Cutter:
         last = self.open.rstrip()
         if last:
             self._add(self.at, last)
-        left = " ".join(t for _, t in self.pieces).strip() if self.compat or len(self.pieces) > self.carried else ""
+        left = " ".join(t for _, t in self.pieces).strip(self.edges) if self.compat or len(self.pieces) > self.carried else ""
         if left and len(left) < MIN_PASSAGE and self.held:
-            self.held[1] = f"{self.held[1]} {left}".strip()
+            self.held[1] = f"{self.held[1]} {left}".strip(self.edges)
         elif left:
             self._tell([self.pieces[0][0], left])
         self._tell(None)
@@ -102,31 +105,52 @@ def meet(left: DataFrame, right: DataFrame, *keys: str, how: str = "inner") -> D
     return left.join(right, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()], how).drop(*names.values())
 
 
+def few(facts: DataFrame) -> DataFrame:
+    """``facts``, a row a block, sent to all tasks unless there are too many."""
+    return F.broadcast(facts) if facts.count() <= FEW_BLOCKS else facts
+
+
 def blocks_of(parts: DataFrame, doc: str, seq: str, text: str, block_chars: int) -> DataFrame:
     """``(doc, block, last, n, text)``: each transcript's consecutive stretches,
-    numbered from 0 and cut where a range of the sorted parts ends."""
+    numbered from 0 and cut behind ``block_chars`` characters or where a range of
+    the sorted parts ends. The texts are dealt and written once."""
     rows = parts.select(F.col(doc).alias("doc"), F.col(seq).alias("seq"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    dealt = rows.repartitionByRange(max(1, -(-total // block_chars)), "doc", "seq").withColumn("range", F.spark_partition_id())
-    dealt = durable(dealt, "stretches")
+    dealt = rows.repartitionByRange(max(1, -(-total // max(block_chars, BLOCK_CHARS))), "doc", "seq").sortWithinPartitions("doc", "seq")
+    dealt = dealt.select("doc", F.spark_partition_id().cast("long").alias("range"), "text")
+    names = dealt.columns
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The parts of each transcript in a range, which stand together, as blocks."""
+        held, size, n, mine, doc = [], 0, 0, None, None
 
-    def joined(table: pa.Table) -> pa.Table:
-        table = table.sort_by("seq")
-        whole = pc.binary_join(pa.chunked_array([pa.array([table.column("text").to_pylist()], pa.list_(pa.string()))]), "")
-        return pa.table([table.column("doc").slice(0, 1), table.column("range").slice(0, 1), whole], ["doc", "range", "text"])
+        def block() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([mine, pa.array([(at << 32) + n]), pa.array(["".join(held)])], names)
+
+        for batch in batches:
+            for k, (d, at, t) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                if mine is not None and (d != doc or size >= block_chars):
+                    yield block()
+                    held, size, n, mine = [], 0, n + 1, None
+                if mine is None:
+                    mine, doc = batch.column(0).slice(k, 1), d
+                held.append(t)
+                size += len(t)
+        if mine is not None:
+            yield block()
 
     ship(parts.sparkSession)
     schema = StructType([StructField("doc", rows.schema["doc"].dataType), StructField("range", dealt.schema["range"].dataType), StructField("text", StringType())])
-    made = dealt.groupBy("doc", "range").applyInArrow(joined, schema)
-    made = durable(made, "blocks")
+    made = durable(dealt.mapInArrow(joined, schema), "blocks")
     order = Window.partitionBy("doc").orderBy("range")  # a row a block
     facts = made.select("doc", "range", F.length("text").cast("long").alias("n"))
     facts = facts.select("doc", "range", "n", (F.row_number().over(order) - 1).cast("int").alias("block"), F.lead("range").over(order).isNull().alias("last"))
-    return durable(meet(made, facts, "doc", "range").select("doc", "block", "last", "n", "text"), "numbered")
+    facts = durable(facts, "numbered")
+    return meet(made, few(facts), "doc", "range").select("doc", "block", "last", "n", "text")
 
 
 def long_passages(parts: DataFrame, doc: str = "doc", seq: str = "seq", text: str = "text", size: int = SIZE, overlap: int = OVERLAP, compat: bool = True,
-    block_chars: int = BLOCK_CHARS) -> DataFrame:
+    block_chars: int = BLOCK_CHARS, edges: str | None = None) -> DataFrame:
     """``(doc, ordinal, text, from_char, to_char)``: the ``passages`` of
     transcripts that come in parts (``seq`` orders a transcript's parts, each
     once; the transcript is its parts one behind the other, nulls being empty).
@@ -137,8 +161,11 @@ def long_passages(parts: DataFrame, doc: str = "doc", seq: str = "seq", text: st
     be another, because the block before ended otherwise, is cut again, until
     none is. The first block of a transcript begins right, so the end is exact;
     and as passages soon fall into step whatever they began with, the second
-    round mostly is the last. A task holds a block. An empty table gives an
-    empty result.
+    round mostly is the last. Of the first round only the passages of first
+    blocks are kept, as the others' beginnings are guesses. A block's passages
+    are written once a round and stay where they are; which round has the right
+    ones is kept beside them, a row a block. A task holds a block. An empty
+    table gives an empty result.
     """
     blocks = blocks_of(parts, doc, seq, text, block_chars)
     kind = blocks.schema["doc"].dataType.simpleString()
@@ -149,33 +176,42 @@ def long_passages(parts: DataFrame, doc: str = "doc", seq: str = "seq", text: st
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1)
-                told = {c: row.column(row.schema.get_field_index(c))[0].as_py() for c in ("text", "last", "entry", "n")}
-                cutter = Cutter(size, overlap, compat, told["entry"])
+                told = {c: row.column(row.schema.get_field_index(c))[0].as_py() for c in ("text", "block", "last", "entry", "n")}
+                cutter = Cutter(size, overlap, compat, told["entry"], edges)
                 cutter.feed(told["text"])
                 if told["last"]:
                     cutter.finish()
-                out = pa.array([[{"at": a, "text": t} for a, t in cutter.out]], passage)
+                known = told["entry"] is not None or told["block"] == 0
+                out = pa.array([[{"at": a, "text": t} for a, t in cutter.out] if known else None], passage)
                 yield pa.RecordBatch.from_arrays([*(row.column(row.schema.get_field_index(c)) for c in ("doc", "block", "last")), pa.array([told["n"]], pa.int64()),
                     pa.array([told["entry"]], pa.string()), pa.array([cutter.state()]), out], ["doc", "block", "last", "n", "entry", "exit", "out"])
 
     def cut(some: DataFrame) -> DataFrame:
         return durable(some.select("doc", "block", "last", "n", "text", "entry").mapInArrow(run, schema), "cut")
 
-    done = cut(blocks.withColumn("entry", F.lit(None).cast("string")))
+    def known(made: DataFrame, turn: int) -> DataFrame:
+        return made.select("doc", "block", "last", "n", "entry", "exit", F.size("out").alias("told"), F.lit(turn).alias("turn"))
+
+    rounds = [cut(blocks.withColumn("entry", F.lit(None).cast("string")))]
+    done = durable(known(rounds[0], 0), "known")
     while True:
         before = done.where("not last").select("doc", (F.col("block") + 1).alias("block"), F.col("exit").alias("right"))
         wrong = meet(done.select("doc", "block", "entry"), before, "doc", "block").where(~F.col("right").eqNullSafe(F.col("entry")))
         wrong = durable(wrong.select("doc", "block", F.col("right").alias("entry")), "wrong")
         if wrong.isEmpty():
             break
-        again = cut(meet(blocks, wrong, "doc", "block"))
-        done = durable(meet(done, again.select("doc", "block"), "doc", "block", how="left_anti").unionByName(again), "cut")
+        rounds.append(cut(meet(blocks, wrong, "doc", "block")))
+        again = known(rounds[-1], len(rounds) - 1)
+        done = durable(meet(done, again.select("doc", "block"), "doc", "block", how="left_anti").unionByName(again), "known")
 
     order = Window.partitionBy("doc").orderBy("block")  # a row a block
     upto = order.rowsBetween(Window.unboundedPreceding, -1)
-    facts = done.select("doc", "block", "n", F.size("out").alias("told"))
-    facts = facts.select("doc", "block", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("chars"), F.coalesce(F.sum("told").over(upto), F.lit(0)).alias("ordinal0"))
-    rows = meet(done.select("doc", "block", "out"), facts, "doc", "block").select("doc", "chars", "ordinal0", F.posexplode("out").alias("k", "p"))
+    facts = done.select("doc", "block", "turn", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("chars"), F.coalesce(F.sum("told").over(upto),
+        F.lit(0)).alias("ordinal0"))
+    facts = few(durable(facts, "facts"))
+    rows = reduce(DataFrame.unionByName, (meet(made.select("doc", "block", "out"), facts.where(F.col("turn") == k), "doc", "block") for k, made
+        in enumerate(rounds)))
+    rows = rows.select("doc", "chars", "ordinal0", F.posexplode("out").alias("k", "p"))
     rows = rows.select("doc", (F.col("ordinal0") + F.col("k")).cast("int").alias("ordinal"), F.col("p.text").alias("text"), (F.col("chars") + F.col(
         "p.at")).alias("place"))
     begin = rows.where("ordinal = 0").select("doc", F.col("place").alias("begin"))  # the first passage begins with the stripped text

@@ -355,16 +355,19 @@ def state_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Passages and vectors.
 
+#: The queries' passages lose blanks at their ends, other white space stays, as their SQL says.
+EDGES = " "
+
 
 def chunk_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = transcripts.with_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = transcripts.with_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), edges=EDGES)
     return docs.select("doc_id", F.inline("passages"))
 
 
 def chunk_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents of a source as one transcript, cut in blocks of 200,000 characters."""
     parts = table(spark, sf_dir, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("seq"), F.concat("text", F.lit("\n")).alias("text"))
-    return long_transcripts.long_passages(parts, block_chars=200_000).withColumnRenamed("doc", "source")
+    return long_transcripts.long_passages(parts, block_chars=200_000, edges=EDGES).withColumnRenamed("doc", "source")
 
 
 def chunk_units(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,3 +69,27 @@ def test_frame(spark):
     frame = spark.createDataFrame([(1, prose(60)), (2, None)], "id int, text string")
     got = {r.id: r.passages for r in with_passages(frame).collect()}
     assert got[2] == [] and [p.asDict() for p in got[1]] == passages(prose(60))
+
+
+def test_white_space_beside_a_cut_stays_if_only_blanks_go():
+    """A sentence that is cut behind a line break: the first passage keeps it, as the SQL's trim does."""
+    text = "x" * 1199 + "\n" + "y" * 300
+    assert [p["text"] for p in passages(text)] == ["x" * 1199, "y" * 300]
+    got = passages(text, edges=" ")
+    assert [(p["text"], p["from_char"], p["to_char"]) for p in got] == [("x" * 1199 + "\n", 0, 1200), ("y" * 300, 1200, 1500)]
+
+
+def test_the_query_equals_its_sql_beside_a_cut(spark, tmp_path):
+    import duckdb
+
+    from lettermill.plans import catalogue
+
+    texts = ["x" * 1199 + "\n" + "y" * 300, "x" * 1199 + " " + "y" * 300, "x" * 1200 + "\n" + "y" * 300 + "\n", "Yes. " + "x" * 1199 + "\ny"]
+    frame = spark.createDataFrame([(k, t, "s") for k, t in enumerate(texts)], "doc_id long, text string, source string")
+    frame.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("chunk_passages", "chunk_long"):
+        got = catalogue.QUERIES[name](spark, str(tmp_path))
+        want = con.sql(catalogue.ORACLE_SQL[name])
+        assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
