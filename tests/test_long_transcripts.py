@@ -60,3 +60,18 @@ def test_transcripts_in_parts(spark, block_chars):
 
 def test_no_parts(spark):
     assert long_passages(spark.createDataFrame([], "doc int, seq int, text string")).count() == 0
+
+
+def test_texts_are_written_once_and_passages_once_a_round(spark):
+    from pathlib import Path
+
+    from lettermill.session import scratch
+
+    draw = random.Random(4)
+    text = " ".join(f"{draw.getrandbits(200):x}." for _ in range(12000))
+    rows = [(1, k, text[k * 1000 : k * 1000 + 1000]) for k in range(len(text) // 1000 + 1)]
+    with scratch(spark) as folder:
+        got = long_passages(spark.createDataFrame(rows, "doc int, seq int, text string"), block_chars=50_000).orderBy("ordinal").collect()
+        written = sum(f.stat().st_size for f in Path(folder).rglob("*.parquet"))
+    assert [(r.text, r.from_char) for r in got] == [(p["text"], p["from_char"]) for p in passages(text)]
+    assert written < 4 * len(text)
