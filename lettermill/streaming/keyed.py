@@ -63,17 +63,22 @@ def key_changes(messages: DataFrame) -> DataFrame:
 def keep_keys(messages: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     """Keep the keys of arriving messages in the versioned table at ``target``:
     one for each message and reference, whatever the batches in which copies
-    arrive. A batch that is repeated after a failure changes nothing."""
-    kind = messages.schema["id"].dataType.simpleString()
+    arrive. A batch that is repeated after a failure changes nothing.
+
+    The best copy so far of each key is the state of a streaming aggregate, as
+    the table needs no more; ``key_changes`` also tells who had a key before.
+    """
+    with_state(messages.sparkSession)
 
     def write(batch: DataFrame, number: int) -> None:
         table = VersionedTable(batch.sparkSession, target)
-        rows = batch.select("msg", F.col("id").cast(kind).alias("email_id"), F.lit(KIND).alias("kind"), "value", F.lit(CONFIDENCE).alias("confidence"))
+        rows = batch.select("msg", F.col("best.id").alias("email_id"), F.lit(KIND).alias("kind"), "value", F.lit(CONFIDENCE).alias("confidence"))
         if not table.exists():
             table.create(rows.limit(0), ["msg", "value"])
         table.update(f"{checkpoint}#{number}", rows, upsert(["msg", "value"]))
 
-    return key_changes(messages).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(
+    best = candidates(messages).groupBy("msg", "value").agg(F.min(F.struct("late", "spare", "id")).alias("best"))
+    return best.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(
         availableNow=True).start()
 
 

@@ -70,3 +70,14 @@ def test_silence_alone_moves_a_shipment(spark, tmp_path, until):
     if until == 30:
         assert told[1][-1] == (dt.date(2026, 3, 17), "archived", "no job reference, nothing heard for 16 days")
         assert [(d.day, s) for d, s, _ in told[2]][-1] == (25, "unclear") and [s for _, s, _ in told[4]] == ["awaiting_loading", "loading_overdue"]
+
+
+def test_keys_are_kept_without_a_worker_for_each(spark, tmp_path, monkeypatch):
+    """The state is Spark's own aggregate, so no key is passed to Python."""
+    from lettermill.streaming import keyed
+
+    monkeypatch.setattr(keyed, "Winner", None)
+    rows = spark.createDataFrame(BATCHES[0], MAIL)
+    rows.write.parquet(str(tmp_path / "in"))
+    keep_keys(arriving(spark, str(tmp_path / "in"), rows.schema), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    assert sorted(map(tuple, kept_keys(spark, str(tmp_path / "out")).collect())) == sorted(map(tuple, extract_keys(rows).collect()))
