@@ -27,11 +27,27 @@ def received(attachments: DataFrame, messages: DataFrame, message_files: DataFra
     rows = a.join(m, F.col("m.id") == F.col("a.message_id"))
     rows = rows.join(b, F.col("b.message_id") == F.col("m.id"), "left").join(f, F.col("f.id") == F.col("b.file_id"), "left").join(j,
         F.col("j.id") == F.col("f.job_id"), "left")
+    return _shown(rows, own_domain, F.col("j.reference"))
+
+
+def received_once(attachments: DataFrame, messages: DataFrame, message_files: DataFrame, files: DataFrame, jobs: DataFrame, own_domain: str) -> DataFrame:
+    """As ``received``, but one row for each attachment and message, however
+    often the message is filed: with its smallest job reference (nulls last) and
+    ``filed``, how many rows it stands for. Filings are reduced by message
+    before they meet the wide rows."""
+    a, m, b, f, j = attachments.alias("a"), messages.alias("m"), message_files.alias("b"), files.alias("f"), jobs.alias("j")
+    filed = b.join(f, F.col("f.id") == F.col("b.file_id"), "left").join(j, F.col("j.id") == F.col("f.job_id"), "left")
+    filed = filed.groupBy("b.message_id").agg(F.count("*").alias("filed"), F.min("j.reference").alias("reference")).alias("n")
+    rows = a.join(m, F.col("m.id") == F.col("a.message_id")).join(filed, F.col("n.message_id") == F.col("m.id"), "left")
+    return _shown(rows, own_domain, F.col("n.reference"), F.coalesce("n.filed", F.lit(1)).alias("filed"))
+
+
+def _shown(rows: DataFrame, own_domain: str, reference: Column, *more: Column) -> DataFrame:
     return rows.select(
         "a.fingerprint", "a.id", "a.name", "a.kind", "a.draft_or_final",
         F.coalesce("a.document_date", F.to_date("m.received_at")).alias("happened_on"), "m.received_at", "m.subject",
         counterparty(F.col("m.sender"), F.col("m.recipients"), own_domain).alias("counterparty"),
-        F.col("j.reference").alias("job_ref"), F.col("a.stored_path").isNotNull().alias("openable"),
+        reference.alias("job_ref"), F.col("a.stored_path").isNotNull().alias("openable"), *more,
     )
 
 
@@ -44,10 +60,11 @@ def archive(attachments: DataFrame, messages: DataFrame, message_files: DataFram
     joined rows, so a message filed in three files counts three times;
     ``copies="attachments"`` counts attachments.
     """
-    rows = received(attachments, messages, message_files, files, jobs, own_domain)
-    if filters:
-        rows = rows.where(reduce(lambda x, y: x & y, filters))
-    count = F.count("*") if copies == "rows" else F.count_distinct("id")
+    if filters:  # which may ask for any job of a message
+        rows = received(attachments, messages, message_files, files, jobs, own_domain).where(reduce(lambda x, y: x & y, filters)).withColumn("filed", F.lit(1))
+    else:
+        rows = received_once(attachments, messages, message_files, files, jobs, own_domain)
+    count = F.sum("filed") if copies == "rows" else F.count_distinct("id")
     rank = F.struct((~F.col("openable")).alias("a"), newest_first(F.col("received_at")).alias("b"), F.col("id").alias("c"),
         F.col("job_ref").isNull().alias("d"), F.col("job_ref").alias("e"))
     return distinct_on(rows, [F.col("fingerprint")], rank, copies=count).select(*COLUMNS)

@@ -99,3 +99,22 @@ def test_pages(spark):
 
 def test_empty(spark):
     assert run(spark, [], []).count() == 0
+
+
+def test_filings_are_reduced_before_they_meet_the_attachments(spark):
+    """Two attachments of a message in three files (one without a job), one of a message in none."""
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    tables = {
+        "attachments": frame([(1, 1), (2, 1), (3, 2)], "id int, message_id int").selectExpr("*", "'f' as fingerprint", "'a' as name", "'k' as kind",
+            "'final' as draft_or_final", "cast(null as date) as document_date", "'/x' as stored_path"),
+        "messages": frame([(1,), (2,)], "id int").selectExpr("*", "timestamp'2026-01-01' as received_at", "'s' as subject", "'a@b.c' as sender", "'' as recipients"),
+        "message_files": frame([(1, 7), (1, 8), (1, 9), (None, 7)], "message_id int, file_id int"),
+        "files": frame([(7, 1), (8, 2), (9, None)], "id int, job_id int"),
+        "jobs": frame([(1, "842.2"), (2, "842.1")], "id int, reference string"),
+    }
+    rows = archive.received_once(**tables, own_domain="x.y")
+    assert sorted((r.id, r.job_ref, r.filed) for r in rows.collect()) == [(1, "842.1", 3), (2, "842.1", 3), (3, None, 1)]
+    assert archive.received(**tables, own_domain="x.y").count() == 7
+    got = archive.archive(**tables, own_domain="x.y").first()
+    assert (got.id, got.job_ref, got.copies) == (1, "842.1", 7)
+    assert archive.archive(**tables, own_domain="x.y", copies="attachments").first().copies == 3
