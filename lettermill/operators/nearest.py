@@ -26,6 +26,8 @@ SMALL_BYTES = 16 << 20
 #: Vectors of so many lengths, at most, may stand in one index.
 LENGTHS = 64
 SLACK = 1e-9
+#: Rows of a batch that a task hands on.
+TOLD = 4096
 
 
 def matrix(column: pa.Array, size: int, which: np.ndarray) -> np.ndarray:
@@ -158,7 +160,7 @@ class Search:
         score) the others that can hold one: a cell whose vectors are at most
         its radius from its pivot has none nearer than the query's distance from
         the pivot less the radius."""
-        pivots, offset, radius, limit = self.pivots, self.first, self.radius, self.limit
+        pivots, offset, radius, limit, step = self.pivots, self.first, self.radius, self.limit, TOLD
         schema = StructType([StructField("query_id", LongType()), StructField("q", ArrayType(DoubleType())), StructField("cell", IntegerType())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,8 +191,9 @@ class Search:
                     cells.append(own[b])
                 where = np.concatenate([*took, np.zeros(0, np.int64)]).astype(np.int64)
                 cell = np.concatenate([*cells, np.zeros(0, np.int64)]).astype(np.int32)
-                picked = batch.select(["query_id", "q"]).take(pa.array(where))
-                yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(cell)], schema.names)
+                for lo in range(0, len(where), step):  # a query that visits many cells is told of often
+                    picked = batch.select(["query_id", "q"]).take(pa.array(where[lo : lo + step]))
+                    yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(cell[lo : lo + step])], schema.names)
 
         return queries.mapInArrow(run, _plain(schema))
 
