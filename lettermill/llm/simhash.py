@@ -338,19 +338,21 @@ def sketch(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return words, slots.reshape(len(n), SLOTS)
 
 
-def with_sketch(rows: DataFrame, body: str) -> DataFrame:
-    """``rows`` with ``sketch`` (a hash of all that follows), ``words`` and
-    ``LANES``."""
+def with_sketch(rows: DataFrame, body: str, prints: bool = False) -> DataFrame:
+    """``rows`` with ``sketch`` (a hash of all that follows), ``words``,
+    ``LANES`` and, if ``prints`` are asked for, ``fp`` as ``with_fingerprint``
+    has it."""
     from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-    names = ["words", *LANES]
+    names = ["words", *LANES, *(["fp"] if prints else [])]
     schema = StructType([*rows.schema.fields, StructField("sketch", StringType()), *(StructField(c, LongType()) for c in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in tb.chunks(batches, body):
             words, wide = sketch(data, off)
             lanes = wide.view(np.int64)
-            whole = np.column_stack([words.view(np.int64), lanes]).astype(np.int64)
+            more = [fingerprints(data, off).view(np.int64)] if prints else []
+            whole = np.column_stack([words.view(np.int64), lanes, *more]).astype(np.int64)
             digest = [hashlib.md5(row.tobytes()).hexdigest() for row in whole]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(digest, pa.string()), *(pa.array(whole[:,
                 k].copy()) for k in range(whole.shape[1]))], schema.names)
@@ -481,15 +483,26 @@ def similar(lanes: np.ndarray, words: np.ndarray, a: np.ndarray, b: np.ndarray,
     return out
 
 
-def near_copy_dedup(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
+def print_links(nodes: DataFrame, ring: Ring) -> DataFrame:
+    """``node, fp`` -> edges ``(a, b)`` that connect all nodes whose fingerprints
+    are equal or, by ``ring_links``, near each other."""
+    nodes = nodes.select("node", "fp")
+    prints = durable(nodes.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("copies")), "fingerprints")
+    equal = with_facts(nodes, prints.where("copies > 1"), "fp", "copies", nodes.count(), "node").where("least <> node")
+    return ring_links(prints.select("fp", F.col("least").alias("node")), ring=ring).unionByName(equal.select(F.col("least").alias("a"), F.col("node").alias("b")))
+
+
+def near_copy_dedup(docs: DataFrame, text: str = "text", ident: str = "doc_id", ring: Ring | None = None) -> DataFrame:
     """One row of each group of near-copies, that of the smallest id (null ids
     last; among rows of one id, any one).
 
     Rows link if the sketches of their five-word shingles agree in
     ``SIMILARITY`` of the slots; pairs that share a band of slots are compared.
     If fewer than ``SHARED`` slots agree, the fingerprints of their distinct
-    words must be within ``WORD_BITS`` bits too. Rows of equal sketch and
-    fingerprint, such as repeated ones, are one node. Texts without a word
+    words must be within ``WORD_BITS`` bits too. Given a ``ring``, rows whose
+    SimHash fingerprints (see ``simhash_groups``) it finds near each other link
+    as well, and a group hangs together by links of either kind. Rows of equal
+    sketch and fingerprints, such as repeated ones, are one node. Texts without a word
     (null, empty, blank) are copies of each other; very long texts are read
     whole. Columns are kept whatever their names. An empty table gives an empty
     result.
@@ -497,11 +510,13 @@ def near_copy_dedup(docs: DataFrame, text: str = "text", ident: str = "doc_id")
     names = docs.columns
     at = {c: f"c{k}" for k, c in enumerate(names)}
     aside = docs.select(*[docs[c].alias(at[c]) for c in names], F.monotonically_increasing_id().alias("uid"))
-    rows = durable(with_sketch(aside, at[text]), "sketches")
-    slim = rows.select(F.col(at[ident]).alias("id"), "uid", "sketch", "words", *LANES)
-    nodes = slim.groupBy("sketch").agg(F.min("uid").alias("node"), F.count("*").alias("copies"), *[F.min(c).alias(c) for c in ("words", *LANES)])
+    rows = durable(with_sketch(aside, at[text], ring is not None), "sketches")
+    told = ["words", *LANES, *(["fp"] if ring else [])]
+    slim = rows.select(F.col(at[ident]).alias("id"), "uid", "sketch", *told)
+    nodes = slim.groupBy("sketch").agg(F.min("uid").alias("node"), F.count("*").alias("copies"), *[F.min(c).alias(c) for c in told])
     nodes = durable(nodes, "nodes")
-    parts = connected_components(band_links(nodes.select("node", "words", *LANES), SIMILARITY))
+    links = band_links(nodes.select("node", "words", *LANES), SIMILARITY)
+    parts = connected_components(links.unionByName(print_links(nodes, ring)) if ring else links)
     labelled = nodes.select("sketch", "copies", "node").join(parts, "node", "left").select("sketch", "copies", F.coalesce("component", "node").alias("g"))
     mine = with_facts(slim.select("id", "uid", "sketch"), durable(labelled, "groups"), "sketch", "copies", slim.count(), "uid")
     keep = mine.groupBy("g").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "uid")).alias("r")).select(F.col("r.uid").alias("uid"))

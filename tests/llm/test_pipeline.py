@@ -1,12 +1,14 @@
 from collections import Counter, defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from lettermill.llm import simhash
 from tests.llm.conftest import DATA
 from tests.llm.test_language import brute_languages
 from tests.llm.test_sharding_mixing import check_shards
-from tests.llm.test_similarity import brute_near_copies
+from tests.llm.test_similarity import brute_near_copies, fingerprint, least_reachable
 
 
 def test_each_stage_against_its_brute_force(spark, tmp_path, documents):
@@ -75,3 +77,25 @@ def test_stages_with_nulls_ties_repeats_and_clashing_names(spark, documents):
         left = spark.createDataFrame(got, out.schema)
     named = docs.withColumnRenamed("n_chars", "Size")
     assert "Size" not in corpus_pipeline.shards(spark, named, DATA).columns and corpus_pipeline.mixture(spark, named, DATA).columns == named.columns
+
+
+def test_near_copies_by_fingerprints_and_by_sketches(spark, documents):
+    """Groups hang together by op5's links and by those of sketches: texts that
+    mostly repeat one line, with tails of their own, are within 3 bits though few
+    of their shingles agree; one is a sketch's near-copy of another alone."""
+    line = " ".join(f"line{k}" for k in range(13))
+    tail = lambda k, n=40: " ".join(f"t{k}x{j}" for j in range(n))
+    rows = [(10_000 + k, f"{f'{line} ' * 30}{tail(k)}") for k in range(6)]
+    own = tail(9, 300)
+    rows += [(10_100, own), (10_101, f"{own} {tail(8, 45)}"), (10_102, tail(7, 300)), (10_103, None), (10_104, " \n")]
+    rows += [(r.doc_id, r.text) for r in documents.collect()]
+    prints = [fingerprint(t) for _, t in rows]
+    raw = [(t or "").encode() for _, t in rows]
+    words, slots = simhash.sketch(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a)]
+    near = [(a, b) for a, b in pairs if (prints[a] ^ prints[b]).bit_count() <= 3]
+    wide = simhash.similar(slots, words, *np.array(pairs).T, simhash.SIMILARITY)
+    want = set(least_reachable([i for i, _ in rows], near + [p for p, ok in zip(pairs, wide.tolist()) if ok]))
+    assert not want & {10_001, 10_101, 10_104} and {10_000, 10_100, 10_102} <= want
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, frame, DATA).collect()} == want
