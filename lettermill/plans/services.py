@@ -305,11 +305,7 @@ def state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         None).cast(f.dataType).alias(f.name) for f in rows.schema.fields])
     clock.write.mode("append").parquet(source)
 
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    stream = keyed.verdicts(arriving(spark, source, rows.schema)).writeStream.outputMode("update").foreachBatch(write)
-    stream.option("checkpointLocation", f"{out}-check").trigger(availableNow=True).start().awaitTermination()
+    keyed.keep_verdicts(arriving(spark, source, rows.schema), new_path(spark, "plans"), out, f"{out}-check").awaitTermination()
     told = spark.read.parquet(out).where("id >= 0")
     return told.groupBy("id").agg(F.max_by("state", F.struct("batch", "day")).alias("state"))
 

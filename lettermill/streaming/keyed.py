@@ -153,3 +153,46 @@ def verdicts(shipments: DataFrame, as_of: str = "as_of", ident: str = "id", dela
         F.to_json(verdict_plan(F.col(as_of), dialect=dialect)).alias("plan"))
     kind = shipments.schema[ident].dataType.simpleString()
     return rows.groupBy(ident).transformWithState(Due(), f"id {kind}, state string, reason string, day date", "Update", "EventTime")
+
+
+DAY = 86_400_000_000
+
+
+def keep_verdicts(shipments: DataFrame, target: str, log: str, checkpoint: str, as_of: str = "as_of", ident: str = "id",
+    dialect: Dialect = OFFICE) -> StreamingQuery:
+    """Keep the plan of each arriving shipment in the versioned table at
+    ``target``, and tell the verdicts of each batch in a folder below ``log``
+    (``batch=<number>``: ``ident, state, reason, day``).
+
+    As in ``verdicts``, one is told when a row comes and another whenever one
+    falls due by time alone, and of several rows of a shipment the newest counts.
+    Time is the newest ``as_of`` so far, in UTC days; rows without one are left
+    out. No shipment passes through Python: a batch is merged into the table, and
+    what has fallen due since the version before is read from its plans, so a
+    batch costs its own rows and one pass over the plans. A batch that is
+    repeated after a failure merges nothing and tells the same.
+    """
+    now = F.unix_micros(F.col(as_of).cast("timestamp"))
+    rows = shipments.where(F.col(as_of).isNotNull()).select(ident, now.alias("at"), verdict_plan(F.col(as_of), dialect=dialect).alias("plan"))
+
+    def newest(rows: DataFrame) -> DataFrame:
+        # a row that is sent again is not a newer one
+        best = F.max_by(F.struct("at", "plan", "batch"), F.struct("at", F.to_json("plan"), -F.col("batch")))
+        return rows.groupBy(ident).agg(best.alias("r")).select(ident, "r.*")
+
+    def write(batch: DataFrame, number: int) -> None:
+        table, run = VersionedTable(batch.sparkSession, target), f"{checkpoint}#{number}"
+        changes = batch.withColumn("batch", F.lit(number).cast("long"))
+        if not table.exists():
+            table.create(changes.limit(0), [ident])
+        table.update(run, newest(changes), lambda rows, more: newest(rows.unionByName(more)))
+        version = table.manifest().runs.index(run)  # an update is a run and a version
+        rows = table.read(table.manifest(version + 1))
+        last, clock = (table.read(table.manifest(v)).agg(F.max("at")).first()[0] for v in (version, version + 1))
+        fresh, due = F.col("batch") == number, lambda e: F.unix_date(e["day"]).cast("long") * DAY
+        first = F.when(fresh, F.slice("plan", 1, 1)).otherwise(F.slice("plan", 1, 0))
+        later = F.filter(F.slice("plan", 2, F.size("plan")), lambda e: (due(e) <= F.lit(clock)) & (fresh | (due(e) > F.lit(last))))
+        told = rows.select(ident, F.inline(F.concat(first, later))).select(ident, "state", "reason", "day")
+        told.write.mode("overwrite").parquet(f"{log}/batch={number}")
+
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -4,7 +4,7 @@ import pytest
 
 from lettermill.operators.keys import extract_keys
 from lettermill.operators.state import shipment_state
-from lettermill.streaming.keyed import keep_keys, kept_keys, verdicts
+from lettermill.streaming.keyed import keep_keys, keep_verdicts, kept_keys, verdicts
 from lettermill.streaming.mail import arriving
 
 MAIL = "id int, message_id string, subject string, body string, has_key boolean, kept_by_engine boolean"
@@ -81,3 +81,30 @@ def test_keys_are_kept_without_a_worker_for_each(spark, tmp_path, monkeypatch):
     rows.write.parquet(str(tmp_path / "in"))
     keep_keys(arriving(spark, str(tmp_path / "in"), rows.schema), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert sorted(map(tuple, kept_keys(spark, str(tmp_path / "out")).collect())) == sorted(map(tuple, extract_keys(rows).collect()))
+
+
+def test_verdicts_are_kept_without_a_worker_for_each(spark, tmp_path, monkeypatch):
+    """Each is told once, when its row comes or on its day; no shipment is passed
+    to Python."""
+    from lettermill.streaming import keyed
+
+    monkeypatch.setattr(keyed, "Due", None)
+    silent = shipment(1, 2, day(1, 9))
+    batches = [
+        [silent, shipment(2, 2, day(1, 9), "842.1"), shipment(4, 2, None, due=dt.date(2026, 3, 10)), shipment(4, 1, None, due=dt.date(2026, 3, 3)),
+            shipment(6, 2, day(2), proof=dt.date(2026, 3, 1)), shipment(7, 2)],
+        [shipment(2, 10, day(9), "842.1"), shipment(4, 1, due=dt.date(2026, 3, 3)), silent],
+        [shipment(-1, 16)], [shipment(-1, 17)], [shipment(-1, 30), shipment(8, 5, day(1, 9))],
+    ]
+    source, target, log = (str(tmp_path / n) for n in ("in", "plans", "log"))
+
+    for batch in batches:
+        frame = spark.createDataFrame(batch, FACTS)
+        frame.coalesce(1).write.mode("append").parquet(source)
+        keep_verdicts(arriving(spark, source, frame.schema), target, log, str(tmp_path / "check")).awaitTermination()
+    told = sorted((r.batch, r.id, r.state, r.day.day) for r in spark.read.parquet(log).where("id > 0").collect())
+    assert told == [
+        (0, 1, "awaiting_loading", 2), (0, 2, "awaiting_loading", 2), (0, 4, "awaiting_loading", 2), (0, 6, "delivered", 2), (0, 7, "awaiting_loading", 2),
+        (1, 2, "awaiting_loading", 10), (2, 4, "loading_overdue", 11), (3, 1, "archived", 17), (4, 2, "unclear", 25), (4, 8, "archived", 17),
+        (4, 8, "awaiting_loading", 5),
+    ]
