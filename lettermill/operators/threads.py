@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lettermill.functions.text import falsy, strip
@@ -28,13 +28,17 @@ def star_edges(members: DataFrame, keys: list[str], most: int) -> DataFrame:
     return members.join(centre, keys).where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b"))
 
 
+def single_values(keys: DataFrame, strong: list[str] = STRONG) -> DataFrame:
+    """``(id, kind, value)`` of the strong references of which ``id`` has one value only."""
+    known = keys.select(F.col("email_id").alias("id"), "kind", F.coalesce("value", F.lit("")).alias("value")).where(F.col("kind").isin(strong))
+    single = known.groupBy("id", "kind").agg(F.min("value").alias("value"), F.max("value").alias("other")).where("value = other")
+    return single.select("id", "kind", "value")
+
+
 def single_references(emails: DataFrame, keys: DataFrame, strong: list[str] = STRONG) -> DataFrame:
     """``(id, kind, value)`` of the strong references that count: a message that
     names several of one kind is a round-up, and none of these does."""
-    known = keys.select(F.col("email_id").alias("id"), "kind", F.coalesce("value", F.lit("")).alias("value")).where(F.col("kind").isin(strong)).distinct()
-    known = known.join(emails.select("id"), "id", "left_semi")
-    single = known.groupBy("id", "kind").agg(F.count("*").alias("n"), F.min("value").alias("value")).where("n = 1")
-    return single.select("id", "kind", "value")
+    return single_values(keys, strong).join(emails.select("id"), "id", "left_semi")
 
 
 def reference_edges(emails: DataFrame, keys: DataFrame, strong: list[str] = STRONG, most: int = MAX_PER_KEY) -> DataFrame:
@@ -48,12 +52,17 @@ def own_ids(emails: DataFrame) -> DataFrame:
     return emails.where(~falsy(ident)).select("id", ident.alias("mid"), "ingest_order")
 
 
+def ids_in(header: str) -> Column:
+    """The message ids that a header names, an array."""
+    h = F.col(header)
+    bracketed = F.regexp_extract_all(h, F.lit("<[^>]+>"), F.lit(0))
+    named = F.when(F.size(bracketed) > 0, bracketed).otherwise(F.array(strip(h)))
+    return F.when(falsy(h), F.array().cast("array<string>")).otherwise(F.transform(named, strip))
+
+
 def named_ids(emails: DataFrame) -> DataFrame:
     """``(id, mid)``: the message ids that a message's headers name."""
-    header = emails.select("id", F.explode(F.array("in_reply_to", "references")).alias("h")).where(~falsy(F.col("h")))
-    bracketed = F.regexp_extract_all("h", F.lit("<[^>]+>"), F.lit(0))
-    named = F.when(F.size(bracketed) > 0, bracketed).otherwise(F.array(strip(F.col("h"))))
-    return header.select("id", F.explode(named).alias("mid")).select("id", strip(F.col("mid")).alias("mid")).distinct()
+    return emails.select("id", F.explode(F.concat(ids_in("in_reply_to"), ids_in("references"))).alias("mid")).distinct()
 
 
 def link_edges(named: DataFrame, own: DataFrame) -> DataFrame:
@@ -69,10 +78,14 @@ def reply_edges(emails: DataFrame) -> DataFrame:
     return link_edges(named_ids(emails), own_ids(emails))
 
 
+def telling(subject: Column, least: int = MIN_SUBJECT_LEN) -> Column:
+    """Whether a subject (not null) tells messages apart."""
+    return (F.length(subject) >= least) & ~subject.isin(GENERIC_SUBJECTS)
+
+
 def told_subjects(emails: DataFrame, least: int = MIN_SUBJECT_LEN) -> DataFrame:
     """``(id, s)`` of the messages with a telling subject."""
-    told = emails.select("id", F.coalesce("subject_key", F.lit("")).alias("s"))
-    return told.where((F.length("s") >= least) & ~F.col("s").isin(GENERIC_SUBJECTS))
+    return emails.select("id", F.coalesce("subject_key", F.lit("")).alias("s")).where(telling(F.col("s"), least))
 
 
 def subject_edges(emails: DataFrame, most: int = MAX_PER_SUBJECT, least: int = MIN_SUBJECT_LEN) -> DataFrame:

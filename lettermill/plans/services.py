@@ -318,8 +318,8 @@ def cluster_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     emails, refs = catalogue.cluster_frames(spark, sf_dir)
     made = GrowingClusters(spark, new_path(spark, "clusters"))
     for k in range(3):
-        part = emails.where(F.pmod(F.hash("id"), F.lit(3)) == k)
-        made.add(f"batch {k}", part, refs.join(part.select(F.col("id").alias("email_id")), "email_id", "left_semi"))
+        mine = lambda c, k=k: F.pmod(F.hash(c), F.lit(3)) == k
+        made.add(f"batch {k}", emails.where(mine("id")), refs.where(mine("email_id")))
     return made.clusters()
 
 

@@ -15,11 +15,14 @@ from pyspark.sql.types import StructType
 from lettermill.session import durable
 
 BUCKETS = 64
+#: A bucket of more folders is written anew.
+PARTS = 8
 
 
 @dataclass(frozen=True)
 class Manifest:
-    """A version: the folder that holds each bucket, and the runs it contains."""
+    """A version: the folder that holds each bucket (several, joined by ``+``, once
+    rows have been appended), and the runs it contains."""
 
     version: int
     schema: str
@@ -123,7 +126,7 @@ class VersionedTable:
         manifest = manifest or self.manifest()
         schema = StructType.fromJson(json.loads(manifest.schema))
         wanted = set(manifest.buckets if only is None else only)
-        paths = [f"{self.path}/data/{folder}/bucket={k}" for k, folder in manifest.buckets.items() if k in wanted]
+        paths = [f"{self.path}/data/{folder}/bucket={k}" for k, folders in manifest.buckets.items() if k in wanted for folder in folders.split("+")]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def near(self, rows: DataFrame) -> DataFrame:
@@ -155,11 +158,29 @@ class VersionedTable:
                 at = self.manifest()
         raise Conflict(f"{self.path} is changed too often")
 
+    def append(self, run: str, rows: DataFrame, attempts: int = 20) -> Manifest:
+        """The version with ``rows`` added, whose keys the table must not have:
+        nothing is read or written anew, but for buckets of over ``PARTS`` folders.
+        ``run`` is as in ``update``."""
+        at, written = self.manifest(), None
+        for _ in range(attempts):
+            if run in at.runs:
+                return at
+            if any(folders.count("+") + 1 >= PARTS for folders in at.buckets.values()):
+                return self.update(run, rows, DataFrame.unionByName, attempts)
+            written = self._write(rows, at) if written is None else written
+            both = at.buckets | {k: f"{at.buckets[k]}+{f}" if k in at.buckets else f for k, f in written.items()}
+            try:
+                return self._claim(replace(at, version=at.version + 1, buckets=both, runs=[*at.runs, run]))
+            except Conflict:
+                at = self.manifest()
+        raise Conflict(f"{self.path} is changed too often")
+
     def vacuum(self, keep: int = 10) -> int:
         """Remove data that none of the last ``keep`` versions holds, and the
         versions before these; no writer may be at work. The number of folders removed."""
         versions = self._versions()
-        used = {f for v in versions[-keep:] for f in self.manifest(v).buckets.values()}
+        used = {f for v in versions[-keep:] for folders in self.manifest(v).buckets.values() for f in folders.split("+")}
         store, place = self._fs(f"{self.path}/data")
         gone = [f.getPath() for f in store.listStatus(place) if f.getPath().getName() not in used]
         for path in [*(self._fs(f"{self.path}/versions/{v:020d}")[1] for v in versions[:-keep]), *gone]:

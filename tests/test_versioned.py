@@ -83,3 +83,16 @@ def test_an_empty_table(spark, tmp_path):
     assert t.read().count() == 0
     t.update("a", spark.createDataFrame([(1, 2)], "id long, n long"), upsert(["id"]))
     assert rows(t) == [(1, 2)]
+
+
+def test_appended_rows_leave_what_is_there(spark, tmp_path):
+    t = VersionedTable(spark, str(tmp_path / "a")).create(spark.range(100).selectExpr("id", "cast(0 as long) as n"), ["id"], 4)
+    before, rows = t.manifest().buckets, lambda k: spark.range(100 * k, 100 * k + 100).selectExpr("id", "cast(1 as long) as n")
+    for k in range(1, 12):
+        t.append(f"r{k}", rows(k))
+        t.append(f"r{k}", rows(k))  # again
+        if k == 1:
+            assert all(folders.split("+")[0] == before[b] and folders.count("+") == 1 for b, folders in t.manifest().buckets.items())
+    assert max(folders.count("+") + 1 for folders in t.manifest().buckets.values()) <= 8
+    t.vacuum(1)
+    assert sorted(r["id"] for r in t.read().collect()) == list(range(1200))
