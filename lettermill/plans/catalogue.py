@@ -87,9 +87,10 @@ order by happened_on desc nulls first, name, id limit :limit offset :offset"""
 
 
 def archive_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second page of 25, as SQL text with bound parameters."""
-    archive_dedup(spark, sf_dir).createOrReplaceTempView("archive")
-    return spark.sql(PAGE_SQL, args={"limit": 25, "offset": 25})
+    """The second page of 25, as SQL text with bound parameters. The table is
+    bound too: no view of ours stays in the session or replaces a user's."""
+    rows = archive_dedup(spark, sf_dir)
+    return spark.sql("with archive as (select * from {rows})" + PAGE_SQL, args={"limit": 25, "offset": 25}, rows=rows)
 
 
 def archive_deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:

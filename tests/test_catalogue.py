@@ -36,6 +36,21 @@ def test_query_equals_its_sql(spark, name):
     assert rows(got.columns, map(tuple, got.collect())) == rows(want.columns, want.fetchall())
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the supplied tables are not here")
+def test_a_page_leaves_views_alone(spark):
+    """A user's view named like the table in the page's text, and no other stays."""
+    from lettermill.plans import catalogue
+
+    spark.range(3).createOrReplaceTempView("archive")
+    try:
+        before = {t.name for t in spark.catalog.listTables()}
+        assert catalogue.archive_page(spark, str(DATA)).count() == 25
+        assert {t.name for t in spark.catalog.listTables()} == before
+        assert spark.table("archive").columns == ["id"] and spark.table("archive").count() == 3
+    finally:
+        spark.catalog.dropTempView("archive")
+
+
 def test_every_query_without_sql_is_known():
     import __spark_entry__
 
